@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tessera.llm.arrays import ngram_buckets, slices
 from tessera.llm.filters import keep_where
 from tessera.llm.samples import labelled_texts
+from tessera.llm.scratch import discard, written
 
 BITS = 18
 LENGTHS = (4, 5)
@@ -65,49 +66,44 @@ def presence(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None =
     return pairs >> BITS, (pairs & ((1 << BITS) - 1)).astype(np.int32)
 
 
-def fit_arrays(rows: np.ndarray, buckets: np.ndarray, y: np.ndarray, l1: float = 4e-4, rounds: int = 200) -> Model:
-    """From (row, bucket) pairs sorted by row and the rows' labels 0 and 1."""
-    size, n = 1 << BITS, len(y)
-    pos = max(int(y.sum()), 0)
-    prior = (pos + 0.5) / (n + 1)
-    flat = Model(np.zeros(size, np.float32), float(np.log(prior / (1 - prior))))
-    if not pos or pos == n:
-        return flat
-    toxic = y[rows] > 0
-    p = np.bincount(buckets[toxic], minlength=size).astype(np.float64)
-    q = np.bincount(buckets[~toxic], minlength=size).astype(np.float64)
+def choose(p: np.ndarray, q: np.ndarray, pos: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The MAX_FEATURES buckets whose log-count ratio is surest, and their ratios, from counts in toxic (p) and other texts (q)."""
     ratio = np.log((p + 1) / (pos + 2)) - np.log((q + 1) / (n - pos + 2))
-    spread = np.sqrt(1 / (p + 1) + 1 / (q + 1))
-    strength = np.where(p + q >= 3, np.abs(ratio) / spread, 0)
+    strength = np.where(p + q >= 3, np.abs(ratio) / np.sqrt(1 / (p + 1) + 1 / (q + 1)), 0)
     chosen = np.argsort(-strength, kind="stable")[:MAX_FEATURES]
-    chosen = chosen[strength[chosen] > 0]
-    if not len(chosen):
-        return flat
-    place = np.full(size, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
-    col = place[buckets]
-    row, col = rows[col >= 0], col[col >= 0]
-    val = ratio[chosen][col].astype(np.float32)
-    # accelerated proximal gradient; the step is found by the norm of the scaled matrix
-    v = np.ones(len(chosen)) / np.sqrt(len(chosen))
-    for _ in range(15):
-        v = np.bincount(col, val * np.bincount(row, val * v[col], n)[row], len(chosen))
+    chosen = np.sort(chosen[strength[chosen] > 0])
+    return chosen, ratio[chosen]
+
+
+def logistic(row: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray, size: int, l1: float = 4e-4, rounds: int = 200) -> tuple[np.ndarray, float]:
+    """Weights and intercept of an L1 logistic regression on a sparse matrix, by accelerated proximal gradient."""
+    n = len(y)
+    prior = (y.sum() + 0.5) / (n + 1)
+    start = float(np.log(prior / (1 - prior)))
+    v = np.ones(size) / np.sqrt(size)
+    norm = 0.0
+    for _ in range(15):  # the step is found by the norm of the matrix
+        v = np.bincount(col, val * np.bincount(row, val * v[col], n)[row], size)
         norm = np.linalg.norm(v)
         v /= norm or 1
     step = 1 / (0.25 * (norm / n) * 1.1 + 0.25)
-    w, b, w0, b0, t = np.zeros(len(chosen)), flat.intercept, np.zeros(len(chosen)), flat.intercept, 1.0
+    w, b, w0, b0, t = np.zeros(size), start, np.zeros(size), start, 1.0
     for _ in range(rounds):
         t1 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         m = (t - 1) / t1
         z, c, t = w + m * (w - w0), b + m * (b - b0), t1
         err = 1 / (1 + np.exp(-(np.bincount(row, val * z[col], n) + c))) - y
         w0, b0 = w, b
-        w = z - step * np.bincount(col, val * err[row], len(chosen)) / n
+        w = z - step * np.bincount(col, val * err[row], size) / n
         w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
         b = c - step * err.mean()
-    weights = np.zeros(size, np.float32)
-    weights[chosen] = w * ratio[chosen]
-    return Model(weights, float(b))
+    return w, float(b)
+
+
+def unfitted(pos: int, n: int) -> Model:
+    """Without n-grams: the smoothed share of label 1."""
+    prior = (pos + 0.5) / (n + 1)
+    return Model(np.zeros(1 << BITS, np.float32), float(np.log(prior / (1 - prior))))
 
 
 def score_arrays(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -117,7 +113,11 @@ def score_arrays(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndar
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model from at most max_rows labelled rows; n-grams are taken on the executors."""
+    """A model from at most max_rows labelled rows.
+
+    N-grams are taken and counted on the executors; the driver gets the counts of the 2**BITS
+    buckets, then the chosen buckets of each sampled text.
+    """
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,12 +126,46 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows:
                 cut = np.searchsorted(text, np.arange(b - a + 1))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([bucket[cut[k] : cut[k + 1]].tobytes() for k in range(b - a)], pa.binary())], ["y", "buckets"])
 
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, 1 << BITS), np.int64)
+        for batch in batches:
+            for y, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                seen[y][np.frombuffer(raw, np.int32)] += 1
+        at = np.flatnonzero(seen.any(0)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[1][at]), pa.array(seen[0][at])], ["bucket", "p", "q"])
+
     known = labelled_texts(docs, labels.where(F.col(label_col).isin(0, 1)), label_col, max_rows, id_col, text_col)
-    got = known.select(F.col("label").cast("int"), "text").mapInArrow(features, "y int, buckets binary").toArrow()
-    y = got.column(0).to_numpy().astype(np.int64)
+    sample = written(known.select(F.col("label").cast("int"), "text").mapInArrow(features, "y int, buckets binary"), "toxicity-sample")
+    total = sample.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos")).first()
+    n, pos = total["n"], total["pos"]
+    if not pos or pos == n:
+        discard(sample)
+        return unfitted(pos, n)
+    sums = sample.mapInArrow(counts, "bucket int, p long, q long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).where("p + q >= 3").toArrow()
+    p, q = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    p[sums.column(0).to_numpy()], q[sums.column(0).to_numpy()] = sums.column(1).to_numpy(), sums.column(2).to_numpy()
+    chosen, ratio = choose(p, q, pos, n)
+    if not len(chosen):
+        discard(sample)
+        return unfitted(pos, n)
+
+    def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.full(1 << BITS, -1, np.int32)
+        place[chosen] = np.arange(len(chosen))
+        for batch in batches:
+            cols = [place[np.frombuffer(raw, np.int32)] for raw in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c[c >= 0].tobytes() for c in cols], pa.binary())], ["y", "cols"])
+
+    got = sample.mapInArrow(narrowed, "y int, cols binary").toArrow()
+    discard(sample)
+    y = got.column(0).to_numpy().astype(np.float64)
     parts = [np.frombuffer(x.as_py(), np.int32) for x in got.column(1)]
-    rows = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts])
-    return fit_arrays(rows, np.concatenate([*parts, np.zeros(0, np.int32)]), y)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in parts])
+    col = np.concatenate(parts)
+    w, b = logistic(row, col, ratio[col].astype(np.float32), y, len(chosen))
+    weights = np.zeros(1 << BITS, np.float32)
+    weights[chosen] = w * ratio
+    return Model(weights, b)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
