@@ -172,9 +172,41 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: st
     return out
 
 
+def away_from_hubs(members: DataFrame, hubs: DataFrame, component: DataFrame, light: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes that share a bucket, are of different components and may be similar enough; written.
+
+    Strays (classes off the component of their bucket's hub) meet the bucket's other classes, whose
+    size is within a factor of 4/3, in blocks of STRAYS by OTHERS, dealt by hash: a bucket of any
+    size is many small groups. The hub itself has been compared with all.
+    """
+    n_parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    labelled = members.join(component, "node", "left").select("band", "node", F.coalesce("component", "node").alias("label"))
+    mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
+    hub_label = hubs.join(component, hubs["hub"] == component["node"], "left").select("band", "hub", F.coalesce("component", "hub").alias("hub_label"))
+    open_ = labelled.join(mixed, "band").join(hub_label, "band")
+    level = F.floor(F.log("n_shingles") / F.log(F.lit(4 / 3))).cast("int")
+    open_ = written(open_.join(light.select("node", "n_shingles"), "node").select("band", "node", "label", (F.col("label") != F.col("hub_label")).alias("stray"), (F.col("node") == F.col("hub")).alias("is_hub"), "n_shingles", level.alias("level")), "open")
+    stray = open_.where("stray").select("band", "node", "label", "n_shingles", F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)).alias("level"))
+    other = open_.where("not is_hub").select("band", "node", "label", "n_shingles", "level")
+    sizes = stray.groupBy("band", "level").agg(F.count(F.lit(1)).alias("_s")).join(other.groupBy("band", "level").agg(F.count(F.lit(1)).alias("_o")), ["band", "level"])
+    sizes = written(sizes.select("band", "level", F.ceil(F.col("_s") / STRAYS).cast("int").alias("s_blocks"), F.ceil(F.col("_o") / OTHERS).cast("int").alias("o_blocks")), "block-sizes")
+
+    def dealt(side: DataFrame, own: str, across: str, flag: bool) -> DataFrame:
+        mine = F.pmod(F.xxhash64("node"), F.col(own)).cast("int")  # hashes of an int and of a long differ
+        theirs = F.explode(F.sequence(F.lit(0), F.col(across) - 1))
+        placed = side.join(sizes, ["band", "level"]).select("*", theirs.alias("_across"), mine.alias("_mine"))
+        key = ("_mine", "_across") if flag else ("_across", "_mine")
+        return placed.select(F.xxhash64("band", "level", *key).alias("key"), F.lit(flag).alias("stray"), "node", "label", "n_shingles")
+
+    blocks = dealt(stray, "s_blocks", "o_blocks", True).unionByName(dealt(other, "o_blocks", "s_blocks", False)).join(light.select("node", "sketch"), "node").select("key", "stray", "node", "label", "n_shingles", "sketch")
+    more = blocks.repartition(n_parts, "key").sortWithinPartitions("key").mapInArrow(_across, "a long, b long")
+    out = written(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    discard(open_, sizes)
+    return out
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles long, component_id, kept boolean) of every row, by links of Jaccard similarity 0.75 or more."""
-    spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     described = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
         _describe, f"doc_id {id_type}, n_shingles long, digest binary, bands array<long>, sketch binary"
@@ -202,29 +234,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _confirmed(likely, classes, docs, id_col, text_col)
     component = connected_components(links)
 
-    # buckets that still hold several components: strays from the hub's component against the others
-    labelled = members.join(component, "node", "left").select("band", "node", F.coalesce("component", "node").alias("label"))
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-    hub_label = hubs.join(component, hubs["hub"] == component["node"], "left").select("band", "hub", F.coalesce("component", "hub").alias("hub_label"))
-    open_ = labelled.join(mixed, "band").join(hub_label, "band")
-    level = F.floor(F.log("n_shingles") / F.log(F.lit(4 / 3))).cast("int")
-    open_ = written(open_.join(light.select("node", "n_shingles"), "node").select("band", "node", "label", (F.col("label") != F.col("hub_label")).alias("stray"), (F.col("node") == F.col("hub")).alias("is_hub"), "n_shingles", level.alias("level")), "open")
-    stray = open_.where("stray").select("band", "node", "label", "n_shingles", F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)).alias("level"))
-    other = open_.where("not is_hub").select("band", "node", "label", "n_shingles", "level")
-    sizes = stray.groupBy("band", "level").agg(F.count(F.lit(1)).alias("_s")).join(other.groupBy("band", "level").agg(F.count(F.lit(1)).alias("_o")), ["band", "level"])
-    sizes = written(sizes.where("_s > 1 or _o > 1").select("band", "level", F.ceil(F.col("_s") / STRAYS).cast("int").alias("s_blocks"), F.ceil(F.col("_o") / OTHERS).cast("int").alias("o_blocks")), "block-sizes")
-
-    def dealt(side: DataFrame, own: str, across: str, flag: bool) -> DataFrame:
-        mine = F.pmod(F.xxhash64("node"), F.col(own))
-        theirs = F.explode(F.sequence(F.lit(0), F.col(across) - 1))
-        placed = side.join(sizes, ["band", "level"]).select("*", theirs.alias("_across"), mine.alias("_mine"))
-        key = ("_mine", "_across") if flag else ("_across", "_mine")
-        return placed.select(F.xxhash64("band", "level", *key).alias("key"), F.lit(flag).alias("stray"), "node", "label", "n_shingles")
-
-    blocks = dealt(stray, "s_blocks", "o_blocks", True).unionByName(dealt(other, "o_blocks", "s_blocks", False)).join(light.select("node", "sketch"), "node").select("key", "stray", "node", "label", "n_shingles", "sketch")
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    more = blocks.repartition(n_parts, "key").sortWithinPartitions("key").mapInArrow(_across, "a long, b long")
-    more = written(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    more = away_from_hubs(members, hubs, component, light)
     if not more.isEmpty():
         late = _confirmed(more, classes, docs, id_col, text_col)
         if not late.isEmpty():
@@ -232,7 +242,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             discard(component)
             component = joined
         discard(late)
-    discard(more, open_, sizes, shared, members, hubs, likely, links)
+    discard(more, shared, members, hubs, likely, links)
 
     # the least id of each component, for each class
     labels = classes.select("node", "min_id", "digest").join(component, "node", "left").select("digest", "min_id", F.coalesce("component", "node").alias("label"))
