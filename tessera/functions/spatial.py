@@ -210,3 +210,54 @@ def group_hull(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
         return pd.DataFrame([{**first, "hull": [{"x": a, "y": b} for a, b in hull]}])
 
     return corners.distinct().groupBy(*keys).applyInPandas(whole, f"{kinds}, hull array<struct<x: double, y: double>>")
+
+
+def to_utm(lon: Column, lat: Column) -> Column:
+    """WGS84 degrees to UTM on the northern hemisphere: struct<zone int, easting double, northing double>.
+
+    The usual series of the transverse Mercator projection, good to a millimetre inside a zone.
+    """
+    a, f, k0 = MERCATOR, 1 / 298.257223563, 0.9996  # fixed values: the ellipsoid's axis and flattening, the central scale
+    e2 = f * (2 - f)
+    ep2 = e2 / (1 - e2)
+    zone = F.floor((lon + 180) / 6).cast("int") + 1
+    phi = F.radians(lat)
+    s, c, t = F.sin(phi), F.cos(phi), F.tan(phi)
+    n = a / F.sqrt(1 - e2 * s * s)
+    tt, cc = t * t, ep2 * c * c
+    al = F.radians(lon - (zone * 6 - 183)) * c
+    m = a * (
+        (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256) * phi - (3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024) * F.sin(2 * phi)
+        + (15 * e2**2 / 256 + 45 * e2**3 / 1024) * F.sin(4 * phi) - (35 * e2**3 / 3072) * F.sin(6 * phi)
+    )
+    power = lambda k: F.pow(al, F.lit(float(k)))
+    easting = k0 * n * (al + (1 - tt + cc) * power(3) / 6 + (5 - 18 * tt + tt * tt + 72 * cc - 58 * ep2) * power(5) / 120) + 500_000
+    northing = k0 * (m + n * t * (al * al / 2 + (5 - tt + 9 * cc + 4 * cc * cc) * power(4) / 24 + (61 - 58 * tt + tt * tt + 600 * cc - 330 * ep2) * power(6) / 720))
+    return F.struct(zone.alias("zone"), easting.alias("easting"), northing.alias("northing"))
+
+
+def dbscan(df: DataFrame, d: float, min_points: int, id_col: str = "id", x: str = "x", y: str = "y") -> DataFrame:
+    """(id, cluster): density clusters named by their least core id, null for noise. A border point goes to its least core's cluster.
+
+    Neighbours come from the grid join, clusters from the components of neighbouring core points.
+    """
+    from tessera.operators.graph import connected_components
+    from tessera.sources.rounds import keep_round
+
+    pts = df.select(F.col(id_col).alias("id"), F.col(x).alias("x"), F.col(y).alias("y"))
+    near = keep_round(within_join(pts, pts, d).select("id", "other_id"), "near")
+    core = near.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_points).select("id")
+    links = near.join(core, "id").join(core.withColumnRenamed("id", "other_id"), "other_id")
+    label = connected_components(core, links.select(F.col("id").alias("src"), F.col("other_id").alias("dst")))
+    border = near.join(label.withColumnRenamed("id", "other_id"), "other_id").groupBy("id").agg(F.min_by("component", "other_id").alias("_border"))
+    out = pts.select("id").join(label, "id", "left").join(border, "id", "left")
+    return out.select(F.col("id").alias(id_col), F.coalesce("component", "_border").alias("cluster"))
+
+
+def kmeans(df: DataFrame, k: int, x: str = "x", y: str = "y", seed: int = 1) -> DataFrame:
+    """df with `cluster`, by Spark's distributed k-means."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = VectorAssembler(inputCols=[x, y], outputCol="_features").transform(df)
+    return KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="cluster").fit(rows).transform(rows).drop("_features")

@@ -1,6 +1,6 @@
 """All registered queries but those of the training-text subpackage."""
 
-from tessera.queries import models, relational, scalars
+from tessera.queries import fronts, models, relational, scalars
 from tessera.queries.base import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "models", "relational", "scalars"]
+__all__ = ["QUERIES", "SQL", "fronts", "models", "relational", "scalars"]

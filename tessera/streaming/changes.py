@@ -74,3 +74,58 @@ def geofence(df: DataFrame, entity: str, order: str, inside: Column) -> DataFram
     w = Window.partitionBy(entity).orderBy(order)
     rows = df.withColumn("_in", inside).withColumn("_was", F.coalesce(F.lag("_in").over(w), F.lit(False)))
     return rows.where("_in <> _was").withColumn("event", F.when(F.col("_in"), "enter").otherwise("exit")).drop("_in", "_was")
+
+
+def geofence_stream(df: DataFrame, entity: str, inside: Column):
+    """(entity, event) as entities enter or leave on a stream, by one boolean of state each; rows are taken in the order they come."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (was,) = state.get if state.exists else (False,)
+        out = []
+        for part in parts:
+            for now in part["_in"]:
+                if bool(now) != was:
+                    was = bool(now)
+                    out.append((key[0], "enter" if was else "exit"))
+        state.update((was,))
+        yield pd.DataFrame(out, columns=[entity, "event"])
+
+    kind = df.schema[entity].dataType.simpleString()
+    return df.select(entity, inside.alias("_in")).groupBy(entity).applyInPandasWithState(run, f"`{entity}` {kind}, event string", "was boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def movement_alerts(df: DataFrame, entity: str, at: str, x: str, y: str, max_speed: float = 100.0, max_move: float = 1000.0) -> DataFrame:
+    """Rows whose move since the entity's last row is longer than max_move, or faster than max_speed a second, with move, speed, alert."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(entity).orderBy(at)
+    move = F.sqrt(F.pow(F.col(x) - F.lag(x).over(w), F.lit(2.0)) + F.pow(F.col(y) - F.lag(y).over(w), F.lit(2.0)))
+    rows = df.withColumn("move", move).withColumn("speed", F.try_divide(F.col("move"), (F.col(at) - F.lag(at).over(w)) / 1000.0))
+    alert = F.when(F.col("move") > max_move, "move").when(F.col("speed") > max_speed, "speed")
+    return rows.withColumn("alert", alert).where("alert is not null")
+
+
+def append_events(store: DataFrame, events: DataFrame, keys: Sequence[str], version: str = "version") -> DataFrame:
+    """An event store with new events, numbered on from each aggregate's last version."""
+    from pyspark.sql import Window
+
+    last = store.groupBy(*keys).agg(F.max(version).alias("_last"))
+    w = Window.partitionBy(*keys).orderBy(version)
+    numbered = events.withColumn("_n", F.row_number().over(w)).join(last, list(keys), "left").withColumn(version, (F.coalesce("_last", F.lit(0)) + F.col("_n")).cast(store.schema[version].dataType))
+    return store.unionByName(numbered.select(*store.columns))
+
+
+def rows_in_batches(df: DataFrame, size: int = 1000):
+    """Lists of at most `size` rows, fetched partition by partition: the driver holds one partition."""
+    batch = []
+    for row in df.toLocalIterator(prefetchPartitions=True):
+        batch.append(row)
+        if len(batch) == size:
+            yield batch
+            batch = []
+    if batch:
+        yield batch

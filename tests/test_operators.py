@@ -192,3 +192,40 @@ def test_streams_equal_batch(spark, tmp_path):
     q = changes.on_batch(stream, lambda d: d.where("event_type = 'error'"), lambda d, n: seen.append(d.count()), str(tmp_path / "trigger"))
     q.awaitTermination()
     assert sum(seen) == e.where("event_type = 'error'").count()
+
+
+def test_knowledge(spark):
+    from tessera.operators import knowledge
+
+    docs = spark.createDataFrame([(1, "a1 b2 c3"), (2, "a1 b2"), (3, "c3 d4"), (4, None), (5, "zz")], "id int, text string")
+    entities, nodes, edges = knowledge.build_knowledge(docs, "id", "text", {"code": r"[a-z]\d"})
+    assert tuple(knowledge.stats(nodes, edges).select("entities", "relationships").first()) == (4, 4)
+    assert rows(knowledge.list_entities(nodes, "code").select("text", "documents")) == [("a1", 2), ("b2", 2), ("c3", 2), ("d4", 1)]
+    assert [r["hops"] for r in knowledge.find_paths(nodes, edges, "a1", "d4").orderBy("hops").collect()] == [2, 3]
+    assert rows(knowledge.find_similar(nodes, edges, "a1", 1).select("text")) == [("d4",)] or rows(knowledge.find_similar(nodes, edges, "a1", 1).select("text")) == [("b2",)]
+    got = knowledge.rag_query(entities, nodes, edges, "id", ["D4"]).collect()
+    assert [r["id"] for r in got][0] == 3 and {r["id"] for r in got} == {1, 3}
+
+
+def test_dbscan_and_utm(spark):
+    pts = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 0.0), (3, 0.0, 1.0), (4, 1.9, 0.0), (5, 9.0, 9.0), (6, 9.0, 9.0)], "id int, x double, y double")
+    assert rows(spatial.dbscan(pts, 1.0, 3)) == [(1, 1), (2, 1), (3, 1), (4, 1), (5, None), (6, None)]
+    z = spark.range(1).select(spatial.to_utm(F.lit(9.0), F.lit(48.0)).alias("u")).select("u.*").first()
+    assert (z["zone"], round(z["easting"], 3), round(z["northing"])) == (32, 500000.0, 5316300)
+
+
+def test_movement_and_store(spark):
+    m = spark.createDataFrame([("a", 0, 0.0, 0.0), ("a", 1000, 50.0, 0.0), ("a", 2000, 250.0, 0.0), ("a", 9000, 5000.0, 0.0)], "e string, t long, x double, y double")
+    assert rows(changes.movement_alerts(m, "e", "t", "x", "y").select("t", "alert")) == [(2000, "speed"), (9000, "move")]
+    store = spark.createDataFrame([("k", 1, "x"), ("k", 2, "y")], "key string, version long, what string")
+    new = spark.createDataFrame([("k", 1, "z"), ("j", 1, "w")], "key string, version long, what string")
+    assert rows(changes.append_events(store, new, ["key"])) == [("j", 1, "w"), ("k", 1, "x"), ("k", 2, "y"), ("k", 3, "z")]
+    assert [len(b) for b in changes.rows_in_batches(spark.range(7), 3)] == [3, 3, 1]
+
+
+def test_geofence_stream(spark, tmp_path):
+    spark.createDataFrame([("a", 1.0), ("a", 5.0), ("a", 6.0), ("a", 1.0), ("b", 1.0)], "e string, x double").coalesce(1).write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema("e string, x double").parquet(str(tmp_path / "in"))
+    q = changes.geofence_stream(s, "e", F.col("x") > 3).writeStream.format("memory").queryName("fence").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [tuple(r) for r in spark.table("fence").collect()] == [("a", "enter"), ("a", "exit")]
