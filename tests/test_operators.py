@@ -201,7 +201,7 @@ def test_knowledge(spark):
     entities, nodes, edges = knowledge.build_knowledge(docs, "id", "text", {"code": r"[a-z]\d"})
     assert tuple(knowledge.stats(nodes, edges).select("entities", "relationships").first()) == (4, 4)
     assert rows(knowledge.list_entities(nodes, "code").select("text", "documents")) == [("a1", 2), ("b2", 2), ("c3", 2), ("d4", 1)]
-    assert [r["hops"] for r in knowledge.find_paths(nodes, edges, "a1", "d4").orderBy("hops").collect()] == [2, 3]
+    assert [r["hops"] for r in knowledge.find_paths(nodes, edges, "a1", "d4").collect()] == [2]  # the longer one falls below 0.2
     assert rows(knowledge.find_similar(nodes, edges, "a1", 1).select("text")) == [("d4",)] or rows(knowledge.find_similar(nodes, edges, "a1", 1).select("text")) == [("b2",)]
     got = knowledge.rag_query(entities, nodes, edges, "id", ["D4"]).collect()
     assert [r["id"] for r in got][0] == 3 and {r["id"] for r in got} == {1, 3}
