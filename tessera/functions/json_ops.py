@@ -6,6 +6,7 @@ Malformed text gives null. Paths are dotted: a.b[0].
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -102,3 +103,108 @@ def kind(doc: Column, dotted: str | None = None) -> Column:
     """typeof: object, array, string, number, boolean or null, of the document or of the value at a path."""
     t = F.schema_of_variant(F.variant_get(F.try_parse_json(doc), "$" + (f".{dotted}" if dotted else ""), "variant"))
     return F.when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "array").when(t == "STRING", "string").when(t == "BOOLEAN", "boolean").when(t == "VOID", "null").when(t.isNotNull(), "number")
+
+
+_STEP = re.compile(r"\.\.(\w+|\*)|\.(\w+|\*)|\[\s*\?\s*\(\s*@\.?([\w.]*)\s*(?:(==|!=|<=|>=|<|>)\s*('[^']*'|\"[^\"]*\"|[\w.+-]+))?\s*\)\s*\]|\[\s*(-?\d*)\s*:\s*(-?\d*)\s*\]|\[\s*(-?\d+|\*|'[^']*'|\"[^\"]*\")\s*\]")
+
+
+def parse_path(text: str) -> list[tuple]:
+    """$.a.b, [0], [-1], [1:3], .*, [*], ..name, [?(@.x > 1)] as steps."""
+    text = text.strip().removeprefix("$")
+    steps, at = [], 0
+    while at < len(text):
+        m = _STEP.match(text, at)
+        if not m:
+            raise ValueError(f"can't read the path at {text[at:]!r}")
+        deep, key, field, op, value, low, high, item = m.groups()
+        if deep:
+            steps.append(("deep", deep))
+        elif key:
+            steps.append(("any",) if key == "*" else ("key", key))
+        elif field is not None:
+            steps.append(("where", [p for p in field.split(".") if p], op, None if value is None else value[1:-1] if value[0] in "'\"" else json.loads(value)))
+        elif item is not None:
+            steps.append(("any",) if item == "*" else ("key", item[1:-1]) if item[0] in "'\"" else ("item", int(item)))
+        else:
+            steps.append(("slice", int(low) if low else None, int(high) if high else None))
+        at = m.end()
+    return steps
+
+
+def _deep(value, name: str):
+    for k, v in value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else ():
+        if name == "*" or k == name:
+            yield v
+        yield from _deep(v, name)
+
+
+def _meets(value, fields: list[str], op: str | None, other) -> bool:
+    for f in fields:
+        if not isinstance(value, dict) or f not in value:
+            return False
+        value = value[f]
+    if op is None:
+        return True
+    try:
+        return {"==": value == other, "!=": value != other}[op] if op in ("==", "!=") else {"<": value < other, "<=": value <= other, ">": value > other, ">=": value >= other}[op]
+    except TypeError:
+        return False
+
+
+def follow(value, steps: list[tuple]) -> list:
+    """All values that the steps lead to; what is missing leads nowhere."""
+    now = [value]
+    for kind, *arg in steps:
+        nxt = []
+        for v in now:
+            if kind == "key":
+                nxt += [v[arg[0]]] if isinstance(v, dict) and arg[0] in v else []
+            elif kind == "item":
+                nxt += [v[arg[0]]] if isinstance(v, list) and -len(v) <= arg[0] < len(v) else []
+            elif kind == "slice":
+                nxt += v[arg[0] : arg[1]] if isinstance(v, list) else []
+            elif kind == "any":
+                nxt += list(v.values()) if isinstance(v, dict) else v if isinstance(v, list) else []
+            elif kind == "deep":
+                nxt += _deep(v, arg[0])
+            else:
+                nxt += [x for x in (v if isinstance(v, list) else [v]) if _meets(x, *arg)]
+        now = nxt
+    return now
+
+
+def path_query(doc: Column, text: str) -> Column:
+    """array<string> of the JSON of every value at a path with slices, wildcards, recursion or filters; null for malformed text."""
+    steps = parse_path(text)
+
+    @pandas_udf("array<string>")
+    def run(a: pd.Series) -> pd.Series:
+        parsed = a.map(_loads)
+        return pd.Series([None if x is None or (v is None and x != "null") else [json.dumps(y, separators=(",", ":"), ensure_ascii=False) for y in follow(v, steps)] for x, v in zip(a, parsed)], dtype=object)
+
+    return run(doc)
+
+
+def delete_path(doc: Column, dotted: str) -> Column:
+    """`#-`: the document without what is at the path; unchanged if there is nothing."""
+    steps = parse_path("$" + ("" if dotted.startswith("[") else ".") + dotted)
+
+    def without(v, rest):
+        (kind, key), *more = rest
+        if kind == "key" and isinstance(v, dict) and key in v:
+            return {k: x for k, x in v.items() if k != key} if not more else v | {key: without(v[key], more)}
+        if kind == "item" and isinstance(v, list) and -len(v) <= key < len(v):
+            key %= len(v)
+            return v[:key] + v[key + 1 :] if not more else [*v[:key], without(v[key], more), *v[key + 1 :]]
+        return v
+
+    @pandas_udf("string")
+    def run(a: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or (v := _loads(x)) is None else json.dumps(without(v, steps), separators=(",", ":"), ensure_ascii=False) for x in a], dtype=object)
+
+    return run(doc)
+
+
+def size(doc: Column) -> Column:
+    """Items of an array, keys of an object, null for other values."""
+    return F.coalesce(F.json_array_length(doc), F.size(F.json_object_keys(doc)))

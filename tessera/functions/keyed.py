@@ -88,3 +88,39 @@ def zrange(df: DataFrame, key: str, member: str, score: str, start: int, stop: i
 
 def zrange_by_score(df: DataFrame, score: str, low: float, high: float) -> DataFrame:
     return df.where(F.col(score).between(low, high))
+
+
+def lpop(items: Column, count: int = 1) -> Column:
+    """What is left after `count` items are taken from the head."""
+    return F.slice(items, count + 1, F.greatest(F.size(items) - count, F.lit(0)))
+
+
+def rpop(items: Column, count: int = 1) -> Column:
+    return F.slice(items, 1, F.greatest(F.size(items) - count, F.lit(0)))
+
+
+def ltrim(items: Column, start: int, stop: int) -> Column:
+    return lrange(items, start, stop)
+
+
+def linsert(items: Column, pivot: Column, value: Column, after: bool = False) -> Column:
+    """The value before (after) the first item that equals the pivot; unchanged if there is none."""
+    at = F.array_position(items, pivot).cast("int")
+    return F.when(at > 0, F.concat(F.slice(items, 1, at - 1 + int(after)), F.array(value), F.slice(items, at + int(after), F.size(items)))).otherwise(items)
+
+
+def hset(fields: Column, field: str, value: Column) -> Column:
+    return F.map_concat(hdel(fields, field), F.create_map(F.lit(field), value))
+
+
+def hdel(fields: Column, field: str) -> Column:
+    return F.map_filter(fields, lambda k, _: k != field)
+
+
+def hincrby(fields: Column, field: str, by) -> Column:
+    """A missing field counts from 0."""
+    return hset(fields, field, F.coalesce(F.try_element_at(fields, F.lit(field)), F.lit(0)) + by)
+
+
+def hmget(fields: Column, *names: str) -> Column:
+    return F.array(*[F.try_element_at(fields, F.lit(n)) for n in names])

@@ -261,3 +261,39 @@ def kmeans(df: DataFrame, k: int, x: str = "x", y: str = "y", seed: int = 1) ->
 
     rows = VectorAssembler(inputCols=[x, y], outputCol="_features").transform(df)
     return KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="cluster").fit(rows).transform(rows).drop("_features")
+
+
+def n_points(points: Column) -> Column:
+    return F.size(points)
+
+
+def point_n(points: Column, n: int) -> Column:
+    """1-based; negative from the end; null out of range."""
+    return F.try_element_at(points, F.lit(n))
+
+
+def start_point(points: Column) -> Column:
+    return point_n(points, 1)
+
+
+def end_point(points: Column) -> Column:
+    return point_n(points, -1)
+
+
+def is_closed(points: Column) -> Column:
+    a, b = start_point(points), end_point(points)
+    return (F.size(points) > 2) & points_equal(a["x"], a["y"], b["x"], b["y"])
+
+
+def is_empty(points: Column) -> Column:
+    return F.size(points) == 0
+
+
+def line_text(points: Column, kind: str = "LINESTRING") -> Column:
+    """WKT of a line, or with kind POLYGON of a ring, closed."""
+    pairs = F.transform(points, lambda p: F.concat(p["x"].cast("string"), F.lit(" "), p["y"].cast("string")))
+    inner = F.array_join(pairs, ", ")
+    if kind == "POLYGON":
+        closed = F.when(is_closed(points), inner).otherwise(F.concat(inner, F.lit(", "), pairs[0]))
+        return F.concat(F.lit("POLYGON(("), closed, F.lit("))"))
+    return F.concat(F.lit(f"{kind}("), inner, F.lit(")"))

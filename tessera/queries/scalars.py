@@ -150,3 +150,29 @@ def kv_sinter(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id FROM events WHERE value IS NULL OR value > 50")
 def kv_ttl(spark: SparkSession, d: str) -> DataFrame:
     return keyed.alive(load(spark, d, "events"), "value", 50).select("event_id")
+
+
+@query("SELECT n_nationkey, [CAST(n_regionkey AS VARCHAR), '7'] AS wild, ['7'] AS part, ['7'] AS deep FROM nation")
+def json_path_query(spark: SparkSession, d: str) -> DataFrame:
+    doc = F.to_json(F.struct(F.array(F.struct(F.col("n_regionkey").alias("v")), F.struct(F.lit(7).alias("v"))).alias("a"), F.struct(F.lit(7).alias("z")).alias("o")))
+    return load(spark, d, "nation").select("n_nationkey", json_ops.path_query(doc, "$.a[*].v").alias("wild"), json_ops.path_query(doc, "$.a[1:2].v").alias("part"), json_ops.path_query(doc, "$..z").alias("deep"))
+
+
+@query("SELECT n_nationkey, '{\"a\":[' || n_regionkey || ',2]}' AS left_over, 2 AS size FROM nation")
+def json_delete_path(spark: SparkSession, d: str) -> DataFrame:
+    doc = F.to_json(F.struct(F.array(F.col("n_regionkey"), F.lit(1), F.lit(2)).alias("a")))
+    less = json_ops.delete_path(doc, "a[1]")
+    return load(spark, d, "nation").select("n_nationkey", less.alias("left_over"), json_ops.size(json_ops.path(less, "a")).alias("size"))
+
+
+@query("SELECT n_nationkey, [2, n_regionkey] AS popped, [1, 2] AS cut, [1, 9, 2, n_regionkey] AS put FROM nation")
+def kv_list_edit(spark: SparkSession, d: str) -> DataFrame:
+    items = F.array(F.lit(1), F.lit(2), F.col("n_regionkey"))
+    return load(spark, d, "nation").select("n_nationkey", keyed.lpop(items).alias("popped"), keyed.rpop(items).alias("cut"), keyed.linsert(items, F.lit(2), F.lit(9)).alias("put"))
+
+
+@query("SELECT n_nationkey, n_regionkey + 5 AS a, 1 AS c, 2 AS n FROM nation")
+def kv_hash_edit(spark: SparkSession, d: str) -> DataFrame:
+    m = F.create_map(F.lit("a"), F.col("n_regionkey"), F.lit("b"), F.lit(3))
+    m = keyed.hincrby(keyed.hdel(keyed.hincrby(m, "a", 5), "b"), "c", 1)
+    return load(spark, d, "nation").select("n_nationkey", m["a"].alias("a"), m["c"].alias("c"), F.size(m).alias("n"))

@@ -229,3 +229,18 @@ def test_geofence_stream(spark, tmp_path):
     q = changes.geofence_stream(s, "e", F.col("x") > 3).writeStream.format("memory").queryName("fence").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [tuple(r) for r in spark.table("fence").collect()] == [("a", "enter"), ("a", "exit")]
+
+
+def test_json_paths():
+    doc = {"a": [{"x": 1, "t": "p"}, {"x": 5, "t": "q"}, {"t": "r"}], "b": {"x": 9}}
+    go = lambda p: json_ops.follow(doc, json_ops.parse_path(p))
+    assert go("$.a[?(@.x > 1)].t") == ["q"] and go("$.a[?(@.t == 'r')]") == [{"t": "r"}] and go("$.a[?(@.x)].x") == [1, 5]
+    assert go("$..x") == [1, 5, 9] and go("$.a[-1].t") == ["r"] and go("$.a[0:2].x") == [1, 5] and go("$.*.x") == [9] and go("$['b'].x") == [9] and go("$.no") == []
+    with pytest.raises(ValueError, match="path"):
+        go("$.a[")
+
+
+def test_spatial_accessors(spark):
+    r = spatial.ring([(0, 0), (4, 0), (4, 3)])
+    got = spark.range(1).select(spatial.n_points(r), spatial.end_point(r)["y"], spatial.is_closed(r), spatial.point_n(r, 9), spatial.line_text(r, "POLYGON")).first()
+    assert tuple(got) == (3, 3.0, False, None, "POLYGON((0.0 0.0, 4.0 0.0, 4.0 3.0, 0.0 0.0))")
