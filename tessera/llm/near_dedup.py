@@ -3,14 +3,15 @@
 Signatures: one permutation of the 32-bit numbers shuffles a text's shingle hashes, a second one,
 shifted circularly by k, gives the k-th coordinate's minimum (both permutations are bijections of
 0..2**32-1). With BANDS bands of ROWS coordinates a pair of similarity 0.75 shares no band with
-probability 2e-5, one of 0.8 with 1e-7.
+probability 2e-6, one of 0.8 with 5e-9.
 
 Texts with equal shingle sets are one class from the start, so copies are never compared or
 paired. Within a bucket (classes that share a band) not all pairs are made: each class is
 compared with the bucket's hub, the class that shares most bands with others. Only where a bucket
 then still holds several components, classes off the hub's component are compared with those of
-other components, in blocks of bounded size, so that no link that joins two components is missed
-among the pairs that share a band. Every link is confirmed on the full 64-bit shingle sets.
+other components on their full sets, in blocks of bounded size, so that no link that joins two
+components is missed among the pairs that share a band; pairs that are joined by then aren't
+compared, none are written but the links that join. Every link is confirmed on the full 64-bit sets.
 
 Defined results: a text without words, or null, has an empty set, is linked with nothing and is
 its own component; equal texts are linked; repeated ids are rows of their own (a component's id
@@ -32,11 +33,11 @@ from tessera.llm.arrays import mix, shingle_sets
 from tessera.llm.components import connected_components
 from tessera.llm.scratch import discard, written
 
-BANDS, ROWS, WIDTH = 40, 5, 5
+BANDS, ROWS, WIDTH = 48, 5, 5
 SKETCH = 128  # coordinates kept, a byte each, to dismiss pairs before their sets are fetched
 AGREE = 72  # of SKETCH; of a pair of similarity 0.75 fewer agree with probability 1e-6
 BLOCK = 16_384  # shingles at once
-STRAYS, OTHERS = 256, 2_048  # classes in a block of the second comparison
+STRAYS, OTHERS, BLOCK_SHINGLES = 256, 2_048, 2_000_000  # classes and hashes in a block of the second comparison
 BROADCAST_IDS = 1_000_000
 
 
@@ -114,94 +115,138 @@ def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(1) >= AGREE))
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a stray and another class of its block, of other components, that may be similar enough.
+class _Block:
+    """The classes that meet in one block: strays on the left, others on the right."""
+
+    def __init__(self, rows: list[tuple]):
+        self.left = [r for r in rows if r[0]]
+        right = [r for r in rows if not r[0]]
+        self.node = np.array([r[1] for r in right], np.int64)
+        self.root = np.array([r[2] for r in right], np.int64)
+        self.size = np.array([len(r[6]) for r in right], np.int64)
+        self.sets = [r[6] for r in right]
+        self.bands = np.array([r[4] for r in right], np.int64).reshape(len(right), -1)
+        self.sketch = np.frombuffer(b"".join(r[5] for r in right), np.uint8).reshape(len(right), SKETCH)
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (up := self.parent.get(x, x)) != x:
+            x = up
+        return x
+
+    def links(self) -> Iterator[tuple[int, int]]:
+        """Confirmed links between components, no more than join them: what is joined already isn't compared.
+
+        A pair that shares several bands is compared in the first of them only.
+        """
+        for _, a, label, band, bands, sketch, own in self.left if len(self.node) else ():
+            at = np.flatnonzero((self.root != self.find(label)) & (100 * np.minimum(self.size, len(own)) >= 75 * np.maximum(self.size, len(own))))
+            at = at[(self.sketch[at] == np.frombuffer(sketch, np.uint8)).sum(1) >= AGREE]
+            at = at[bands[(self.bands[at] == bands).argmax(1)] == band] if len(at) else at
+            for k in range(0, len(at), 64):
+                part = at[k : k + 64]
+                part = part[self.root[part] != self.find(label)]
+                if not len(part):
+                    continue
+                flat = np.concatenate([self.sets[j] for j in part])
+                place = np.searchsorted(own, flat)
+                place[place == len(own)] = 0
+                both = np.add.reduceat(own[place] == flat, np.concatenate([[0], np.cumsum(self.size[part])[:-1]]), dtype=np.int64)
+                for j in part[100 * both >= 75 * (self.size[part] + len(own) - both)]:
+                    x, y = self.find(label), int(self.root[j])
+                    if x != y:
+                        yield a, int(self.node[j])
+                        self.parent[x] = y
+                        self.root[self.root == x] = y
 
-    Rows come sorted by key; a key's rows (STRAYS and OTHERS of them at most, on the average) are held together.
-    """
-    key, rows = None, []
-
-    def pairs() -> tuple[list[int], list[int]]:
-        left = [r for r in rows if r[1]]
-        right = [r for r in rows if not r[1]]
-        if not left or not right:
-            return [], []
-        node, label, n = (np.array([r[k] for r in right], np.int64) for k in (2, 3, 4))
-        sketch = np.frombuffer(b"".join(r[5] for r in right), np.uint8).reshape(-1, SKETCH)
-        out_a, out_b = [], []
-        for _, _, a, la, na, sa in left:
-            ok = (label != la) & (100 * np.minimum(n, na) >= 75 * np.maximum(n, na))
-            at = np.flatnonzero(ok)
-            at = at[(sketch[at] == np.frombuffer(sa, np.uint8)).sum(1) >= AGREE]
-            out_a += [a] * len(at)
-            out_b += node[at].tolist()
-        return out_a, out_b
 
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links found in the blocks, whose rows come sorted by key; one block is held at a time."""
+    key, rows, found = None, [], []
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if row[0] != key:
-                if len(rows) > 1 and (found := pairs())[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
-                key, rows = row[0], []
-            rows.append(row)
-    if len(rows) > 1 and (found := pairs())[0]:
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
+        keys, stray, node, label, band = (batch.column(k).to_pylist() for k in range(5))
+        sketch = batch.column(6).to_pylist()
+        lists = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in (batch.column(5), batch.column(7))]
+        for k in range(batch.num_rows):
+            if keys[k] != key:
+                found += _Block(rows).links() if len(rows) > 1 else ()
+                key, rows = keys[k], []
+            bands, own = (v[o[k] : o[k + 1]].copy() for v, o in lists)
+            rows.append((stray[k], node[k], label[k], band[k], bands, sketch[k], own.view(np.uint64)))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
+            found = []
+    found += _Block(rows).links() if len(rows) > 1 else ()
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["a", "b"])
+
+
+def _full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, shingles array<long>) of the classes in nodes (node, distinct), from one text of each; written."""
+    used = written(nodes.join(classes, "node").select("node", "keeper_id", "digest"), "used")
+    ids = used.select(F.col("keeper_id").alias("_wanted")).distinct()
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    wanted = F.broadcast(ids) if used.count() <= BROADCAST_IDS else ids  # else both sides are shuffled
+    texts = texts.join(wanted, F.col("_id").eqNullSafe(F.col("_wanted")), "left_semi")
+    sets = texts.select("_text").mapInArrow(_sets, "digest binary, shingles array<long>")
+    out = written(used.select("node", "digest").join(sets, "digest").dropDuplicates(["node"]).select("node", "shingles"), "sets")
+    discard(used)
+    return out
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= 75 * union; written. pairs is written already."""
-    used = written(
-        pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node").select("node", "keeper_id", "digest"),
-        "used",
-    )
-    ids = used.select(F.col("keeper_id").alias("_id")).distinct()
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    wanted = F.broadcast(ids) if used.count() <= BROADCAST_IDS else ids  # else both sides are shuffled
-    texts = texts.join(wanted.withColumnRenamed("_id", "_wanted"), F.col("_id").eqNullSafe(F.col("_wanted")), "left_semi")
-    sets = written(
-        texts.select("_text").mapInArrow(_sets, "digest binary, shingles array<long>").dropDuplicates(["digest"]).join(used.select("node", "digest"), "digest").select("node", "shingles"),
-        "sets",
-    )
+    sets = _full_sets(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), classes, docs, id_col, text_col)
     both = (
         pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("_b")), "b")
         .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_a")), "a")
         .select("a", "b", F.size("_a").alias("n_a"), F.size("_b").alias("n_b"), F.size(F.array_intersect("_a", "_b")).alias("n"))
     )
     out = written(both.where("100 * n >= 75 * (n_a + n_b - n)").select("a", "b"), "links")
-    discard(used, sets)
+    discard(sets)
     return out
 
 
-def away_from_hubs(members: DataFrame, hubs: DataFrame, component: DataFrame, light: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that share a bucket, are of different components and may be similar enough; written.
+def open_buckets(members: DataFrame, hubs: DataFrame, component: DataFrame, light: DataFrame) -> DataFrame:
+    """(band, node, label, stray, level): the classes of buckets that hold several components, but the hubs; written.
 
-    Strays (classes off the component of their bucket's hub) meet the bucket's other classes, whose
-    size is within a factor of 4/3, in blocks of STRAYS by OTHERS, dealt by hash: a bucket of any
-    size is many small groups. The hub itself has been compared with all.
+    A stray is off the component of its bucket's hub. Classes whose sizes are within a factor of 4/3
+    are of the same level or of neighbouring ones.
     """
-    n_parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     labelled = members.join(component, "node", "left").select("band", "node", F.coalesce("component", "node").alias("label"))
     mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
     hub_label = hubs.join(component, hubs["hub"] == component["node"], "left").select("band", "hub", F.coalesce("component", "hub").alias("hub_label"))
-    open_ = labelled.join(mixed, "band").join(hub_label, "band")
     level = F.floor(F.log("n_shingles") / F.log(F.lit(4 / 3))).cast("int")
-    open_ = written(open_.join(light.select("node", "n_shingles"), "node").select("band", "node", "label", (F.col("label") != F.col("hub_label")).alias("stray"), (F.col("node") == F.col("hub")).alias("is_hub"), "n_shingles", level.alias("level")), "open")
-    stray = open_.where("stray").select("band", "node", "label", "n_shingles", F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)).alias("level"))
-    other = open_.where("not is_hub").select("band", "node", "label", "n_shingles", "level")
+    rows = labelled.join(mixed, "band").join(hub_label, "band").where("node <> hub").join(light.select("node", "n_shingles"), "node")
+    return written(rows.select("band", "node", "label", (F.col("label") != F.col("hub_label")).alias("stray"), level.alias("level")), "open")
+
+
+def away_from_hubs(open_: DataFrame, light: DataFrame, sets: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) that join components of open buckets: all that there are, up to links that join nothing more; written.
+
+    Strays meet the others of their bucket and level in blocks of STRAYS by OTHERS, and of at most
+    some BLOCK_SHINGLES, dealt by hash: a bucket of any size is many small groups, and a block
+    gives no more links than it has components. The hubs have been compared with all.
+    """
+    n_parts = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stray = open_.where("stray").select("band", "node", "label", F.explode(F.array(F.col("level") - 1, F.col("level"), F.col("level") + 1)).alias("level"))
+    other = open_.select("band", "node", "label", "level")
+    room = F.greatest(F.lit(BLOCK_SHINGLES) / F.pow(F.lit(4 / 3), F.col("level") + 1.0), F.lit(8.0))
     sizes = stray.groupBy("band", "level").agg(F.count(F.lit(1)).alias("_s")).join(other.groupBy("band", "level").agg(F.count(F.lit(1)).alias("_o")), ["band", "level"])
-    sizes = written(sizes.select("band", "level", F.ceil(F.col("_s") / STRAYS).cast("int").alias("s_blocks"), F.ceil(F.col("_o") / OTHERS).cast("int").alias("o_blocks")), "block-sizes")
+    blocks = lambda n, most: F.ceil(F.col(n) / F.least(room, F.lit(float(most)))).cast("int")
+    sizes = written(sizes.select("band", "level", blocks("_s", STRAYS).alias("s_blocks"), blocks("_o", OTHERS).alias("o_blocks")), "block-sizes")
 
     def dealt(side: DataFrame, own: str, across: str, flag: bool) -> DataFrame:
         mine = F.pmod(F.xxhash64("node"), F.col(own)).cast("int")  # hashes of an int and of a long differ
         theirs = F.explode(F.sequence(F.lit(0), F.col(across) - 1))
         placed = side.join(sizes, ["band", "level"]).select("*", theirs.alias("_across"), mine.alias("_mine"))
         key = ("_mine", "_across") if flag else ("_across", "_mine")
-        return placed.select(F.xxhash64("band", "level", *key).alias("key"), F.lit(flag).alias("stray"), "node", "label", "n_shingles")
+        return placed.select(F.xxhash64("band", "level", *key).alias("key"), F.lit(flag).alias("stray"), "node", "label", "band")
 
-    blocks = dealt(stray, "s_blocks", "o_blocks", True).unionByName(dealt(other, "o_blocks", "s_blocks", False)).join(light.select("node", "sketch"), "node").select("key", "stray", "node", "label", "n_shingles", "sketch")
-    more = blocks.repartition(n_parts, "key").sortWithinPartitions("key").mapInArrow(_across, "a long, b long")
-    out = written(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    discard(open_, sizes)
+    rows = dealt(stray, "s_blocks", "o_blocks", True).unionByName(dealt(other, "o_blocks", "s_blocks", False))
+    full = rows.join(light.select("node", "bands", "sketch").join(sets, "node"), "node").select("key", "stray", "node", "label", "band", "bands", "sketch", "shingles")
+    out = written(full.repartition(n_parts, "key").sortWithinPartitions("key").mapInArrow(_across, "a long, b long"), "late-links")
+    discard(sizes)
     return out
 
 
@@ -224,7 +269,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     score = members.groupBy("node").agg(F.sum("n").alias("score"))
     hubs = written(members.join(score, "node").groupBy("band").agg(F.max(F.struct("score", "node")).alias("top")).select("band", F.col("top.node").alias("hub")), "hubs")
     pairs = members.join(hubs, "band").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    light = classes.select("node", "n_shingles", "sketch")
+    light = classes.select("node", "n_shingles", "bands", "sketch")
 
     def with_sketches(pairs: DataFrame) -> DataFrame:
         a, b = (light.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
@@ -234,15 +279,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _confirmed(likely, classes, docs, id_col, text_col)
     component = connected_components(links)
 
-    more = away_from_hubs(members, hubs, component, light)
-    if not more.isEmpty():
-        late = _confirmed(more, classes, docs, id_col, text_col)
+    open_ = open_buckets(members, hubs, component, light)
+    if not open_.where("stray").isEmpty():
+        sets = _full_sets(open_.select("node").distinct(), classes, docs, id_col, text_col)
+        late = away_from_hubs(open_, light, sets)
         if not late.isEmpty():
             joined = connected_components(links.unionByName(late))
             discard(component)
             component = joined
-        discard(late)
-    discard(more, shared, members, hubs, likely, links)
+        discard(sets, late)
+    discard(open_, shared, members, hubs, likely, links)
 
     # the least id of each component, for each class
     labels = classes.select("node", "min_id", "digest").join(component, "node", "left").select("digest", "min_id", F.coalesce("component", "node").alias("label"))

@@ -2,8 +2,8 @@
 
 import random
 
+import numpy as np
 import pytest
-from pyspark.sql import functions as F
 from test_kernels import shingles
 
 from tessera.llm import near_dedup
@@ -90,22 +90,37 @@ def test_components_of_chains_and_stars(spark):
 
 @pytest.mark.parametrize("blocks", [(256, 2048), (3, 4)])
 def test_second_comparison_is_complete(spark, monkeypatch, blocks):
-    """All pairs of a bucket that aren't in one component come out, but the hub's, whatever the blocks."""
+    """What is alike in an open bucket is joined, whatever the blocks; only links that join are given."""
     monkeypatch.setattr(near_dedup, "STRAYS", blocks[0])
     monkeypatch.setattr(near_dedup, "OTHERS", blocks[1])
-    n, sketch = 23, bytes(range(near_dedup.SKETCH))
-    size = {k: 100 if k % 3 else 78 for k in range(n)}
+    n, bands = 40, [11] * near_dedup.BANDS
+    family = {k: k % 5 for k in range(n)}
+    sets = {k: np.unique(np.arange(100, dtype=np.uint64) * np.uint64(2**57 + 12345) + np.uint64(family[k])) for k in range(n)}
+    for k in range(n):
+        sets[k] = np.unique(np.concatenate([sets[k][k % 7 :], np.array([10**12 + k], np.uint64)]))
     label = {k: 0 if k < 8 else 8 if k < 12 else k for k in range(n)}
-    members = spark.createDataFrame([(5, k, n) for k in range(n)] + [(6, 0, 2), (6, 3, 2)], "band long, node long, n long")
-    hubs = spark.createDataFrame([(5, 2), (6, 0)], "band long, hub long")
-    component = spark.createDataFrame([(k, v) for k, v in label.items() if k < 12], "node long, component long")
-    far = bytes(near_dedup.SKETCH)
-    light = spark.createDataFrame([(k, size[k], far if k == 20 else sketch) for k in range(n)], "node long, n_shingles long, sketch binary")
-    got = {(r["a"], r["b"]) for r in near_dedup.away_from_hubs(members, hubs, component, light).collect()}
-    assert got == {(a, b) for b in range(n) for a in range(b) if label[a] != label[b] and 2 not in (a, b) and 20 not in (a, b)}
-    small = light.select("node", F.when(F.col("node") % 3 == 0, 70).otherwise(100).cast("long").alias("n_shingles"), "sketch")
-    got = {(r["a"], r["b"]) for r in near_dedup.away_from_hubs(members, hubs, component, small).collect()}
-    assert got == {(a, b) for b in range(n) for a in range(b) if label[a] != label[b] and 2 not in (a, b) and 20 not in (a, b) and (a % 3 == 0) == (b % 3 == 0)}
+    frame = spark.createDataFrame
+    members = frame([(11, k, n) for k in range(n)] + [(6, 0, 2), (6, 3, 2)], "band long, node long, n long")
+    hubs = frame([(11, 2), (6, 0)], "band long, hub long")
+    component = frame([(k, v) for k, v in label.items() if k < 12], "node long, component long")
+    light = frame([(k, len(sets[k]), bands, bytes(near_dedup.SKETCH)) for k in range(n)], "node long, n_shingles long, bands array<long>, sketch binary")
+    full = frame([(k, sets[k].view(np.int64).tolist()) for k in range(n)], "node long, shingles array<long>")
+    open_ = near_dedup.open_buckets(members, hubs, component, light)
+    assert {(r["band"], r["node"]) for r in open_.collect()} == {(11, k) for k in range(n) if k != 2}
+    got = [(r["a"], r["b"]) for r in near_dedup.away_from_hubs(open_, light, full).collect()]
+
+    def parts(links):
+        up = dict(label)
+        for a, b in links:
+            x, y = up[a], up[b]
+            up = {k: y if v == x else v for k, v in up.items()}
+        return sorted(sorted(k for k in up if up[k] == v) for v in set(up.values()))
+
+    true = [(a, b) for b in range(n) for a in range(b) if 2 not in (a, b) and family[a] == family[b]]
+    assert all(family[a] == family[b] for a, b in got)
+    assert parts(got) == parts(true)
+    if blocks[0] > n:
+        assert len(got) < 2 * n
 
 
 def test_links_away_from_the_hub(spark):
