@@ -272,7 +272,7 @@ def _joined(docs: DataFrame, items: DataFrame, least: float, id_col: str, text_c
     theirs = items.select("row", "text").mapInArrow(windows_of, shape).select(F.col("row").alias("item_row"), "hash", "width")
     mine = docs.select("row", "text").mapInArrow(windows_of, shape)
     pairs = mine.join(theirs, ["hash", "width"]).select("row", "item_row").distinct()
-    candidates = pairs.join(items.select(F.col("row").alias("item_row"), "item", F.col("text").alias("item_text")), "item_row").groupBy("row").agg(F.collect_list(F.struct("item", "item_text")).alias("items"))
+    candidates = pairs.join(items.select(F.col("row").alias("item_row"), "item", F.col("text").alias("item_text")), "item_row").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("item_row", "item", "item_text"))).alias("items"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

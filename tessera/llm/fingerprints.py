@@ -110,7 +110,7 @@ def neighbour_fingerprints(docs: DataFrame, fraction: float = FRACTION, width: i
         cuts = sorted({found["top"], *found["cuts"]}, reverse=True)  # range k: ids in (cuts[k + 1], cuts[k]]
     last = len(cuts) - 1 if total["n"] == total["all"] else len(cuts)  # null ids are a range of their own
     edges = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<long>")
-    own = F.coalesce(F.size(F.filter(edges, lambda c: c >= F.col(id_col))) - 1, F.lit(last)).cast("int")
+    own = F.when(F.col(id_col).isNull(), last).otherwise(F.size(F.filter(edges, lambda c: c >= F.col(id_col))) - 1).cast("int")
     rows = docs.select(F.col(id_col), F.col(text_col).alias("text"), own.alias("own"))
     if cuts:
         is_first = F.col(id_col).isin(cuts) if len(cuts) < 1000 else F.array_contains(edges, F.col(id_col))
