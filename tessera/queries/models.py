@@ -118,16 +118,16 @@ def ts_continuous_aggregate(spark: SparkSession, d: str) -> DataFrame:
 Q = "(SELECT vec_id AS q, embedding AS e FROM embeddings WHERE vec_id % 100 = 0)"
 
 
-def pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Every vector whose id is divisible by 100 with every vector."""
+def neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector with the one whose id is one less."""
     e = load(spark, d, "embeddings").select("vec_id", "embedding")
-    return e.join(F.broadcast(e.where("vec_id % 100 = 0").toDF("q", "e")))
+    return e.join(e.select((F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("e")), "vec_id")
 
 
 def _pairwise(name: str, sql: str, f) -> None:
-    @query(f"SELECT q, vec_id, round({sql}, 4) AS v FROM {Q} q, embeddings", name=name)
+    @query(f"SELECT a.vec_id, round({sql}, 4) AS v FROM embeddings a JOIN (SELECT vec_id + 1 AS vec_id, embedding AS e FROM embeddings) b ON a.vec_id = b.vec_id", name=name)
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return pairs(spark, d).select("q", "vec_id", F.round(f(F.col("e"), F.col("embedding")), 4).alias("v"))
+        return neighbours(spark, d).select("vec_id", F.round(f(F.col("e"), F.col("embedding")), 4).alias("v"))
 
 
 D = "list_zip(CAST(e AS DOUBLE[]), CAST(embedding AS DOUBLE[]))"
