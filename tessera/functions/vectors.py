@@ -68,7 +68,7 @@ def search(df: DataFrame, vector: list[float], k: int, metric: str = "cosine", t
     return scored.orderBy(F.desc("score"), id_col).limit(k)
 
 
-MAX_QUERY_FLOATS = 64_000_000
+MAX_QUERY_FLOATS = 8_000_000
 
 
 def knn_join(df: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", col: str = "embedding", exclude_self: bool = True) -> DataFrame:

@@ -189,7 +189,7 @@ def triangles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(counts, "id", "left").na.fill(0, ["triangles"])
 
 
-MAX_GRAPH_EDGES = 20_000_000
+MAX_GRAPH_EDGES = 5_000_000
 
 
 def _adjacency(nodes: DataFrame, edges: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
