@@ -12,8 +12,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import sys
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -22,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 320_000
 CACHED_LENGTH = 64
 _loaded: dict[tuple, Vocabulary] = {}
 
@@ -34,6 +36,30 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
+class Recent(dict):
+    """A bounded cache in two generations: a full young one becomes the old one, and what is used again moves back.
+
+    Lookups by [] of what is young stay inside the interpreter's dict; entries number at most
+    CACHE_ENTRIES, their keys' characters about CACHED_LENGTH times that and one key.
+    """
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make, self.old, self.held = make, {}, 0
+
+    def __missing__(self, token: str):
+        value = self.old.pop(token, None)
+        if value is None:
+            value = self.make(token)
+        if 2 * len(self) >= CACHE_ENTRIES or 2 * self.held >= CACHE_ENTRIES * CACHED_LENGTH:
+            self.old = dict(self)
+            self.clear()
+            self.held = 0
+        self[token] = value
+        self.held += len(token)
+        return value
+
+
 class Vocabulary:
     def __init__(self, source: str):
         spec = json.loads(source)
@@ -45,7 +71,9 @@ class Vocabulary:
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.merges = {(self.ids[a], self.ids[b]): (rank, self.ids[a + b]) for rank, (a, b) in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens") or []}
-        self.strings = {i: s for s, i in chain(self.ids.items(), self.special.items())}
+        self.strings = [""] * (1 + max(chain(self.ids.values(), self.special.values())))
+        for string, i in chain(self.ids.items(), self.special.items()):
+            self.strings[i] = string
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         symbols = byte_symbols()
         self.first = [self.ids.get(s) for s in symbols]
@@ -54,7 +82,15 @@ class Vocabulary:
         self.byte_decoder = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         self.steps = self._normalizers(spec.get("normalizer"))
         self.pattern = regex.compile(self._pattern(spec["pre_tokenizer"]))
-        self.cache: dict[str, tuple[int, ...]] = {}
+        blank = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+        if not self.pattern.search(regex.sub(r"\S", "", blank)):  # runs of white space as one space change nothing where no pre-token has any
+            self.steps = [f for f in self.steps if getattr(f, "spaces", None) is None]
+        self.coded = Recent(self._code)
+        self.cache = Recent(lambda t: tuple(self.merge(t.encode())))
+
+    def _code(self, token: str) -> bytes:
+        """A pre-token's ids as little-endian unsigned 32-bit integers."""
+        return np.array(self.merge(token.encode()), "<u4").tobytes() if sys.byteorder != "little" else array("I", self.merge(token.encode())).tobytes()
 
     @staticmethod
     def _normalizers(spec: dict | None) -> list:
@@ -68,6 +104,8 @@ class Vocabulary:
             elif kind == "Replace":
                 p = step["pattern"]
                 out.append(lambda s, p=regex.compile(p.get("Regex") or regex.escape(p["String"])), c=step["content"]: p.sub(lambda _: c, s))
+                if (p.get("Regex"), step["content"]) == (r"\s+", " "):
+                    out[-1].spaces = True
             elif kind == "Lowercase":  # each character by itself: a sigma that ends a word isn't special
                 out.append(lambda s: "".join(map(str.lower, s)) if "Σ" in s else s.lower())
             else:
@@ -129,29 +167,19 @@ class Vocabulary:
                 heapq.heappush(queue, (m[0], h, m[1]))
         return [s for s in sym if s is not None]
 
-    def pretoken_ids(self, token: str) -> tuple[int, ...]:
-        found = self.cache.get(token)
-        if found is None:
-            found = tuple(self.merge(token.encode()))
-            if len(token) <= CACHED_LENGTH:
-                if len(self.cache) >= CACHE_ENTRIES:
-                    self.cache.clear()
-                self.cache[token] = found
-        return found
-
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
         for known, part in self.pieces(text or ""):
             if known is not None:
                 out.append(known)
             else:
-                for t in self.pretokens(part):
-                    out += self.pretoken_ids(t)
+                for ids in map(self.cache.__getitem__, self.pretokens(part)):
+                    out += ids
         return out
 
     def decode(self, ids) -> str:
-        """Vocabulary strings put together: by spaces where the file names no decoder, else as bytes."""
-        strings = [self.strings[i] for i in ids if i in self.strings]
+        """Vocabulary strings of known ids put together: by spaces where the file names no decoder, else as bytes."""
+        strings = map(self.strings.__getitem__, ids)
         if not self.byte_decoder:
             return " ".join(strings)
         out, code = bytearray(), self.bytes_of
@@ -172,28 +200,6 @@ def vocabulary(source: str) -> Vocabulary:
     return _loaded[key]
 
 
-class _Coded(dict):
-    """Pre-token -> its ids' bytes; `text` has the decoded strings beside it. Bounded: emptied when full."""
-
-    def __init__(self, voc: Vocabulary):
-        super().__init__()
-        self.voc, self.text, self.held = voc, {}, 0
-
-    def __missing__(self, token: str) -> bytes:
-        ids = self.voc.merge(token.encode())
-        raw = np.array(ids, "<u4").tobytes()
-        self.text[token] = self.voc.decode(ids)
-        self[token] = raw
-        self.held += len(token)
-        return raw
-
-    def trim(self) -> None:
-        if len(self) > CACHE_ENTRIES or self.held > CACHE_ENTRIES * CACHED_LENGTH:
-            self.clear()
-            self.text.clear()
-            self.held = 0
-
-
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """Ids of every whole text, and the text that they decode to.
 
@@ -215,32 +221,23 @@ def _apply(docs: DataFrame, path: str, id_col: str, text_col: str, kind: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(source.value)
-        coded = voc.__dict__.setdefault("coded", _Coded(voc))
-        if voc.byte_decoder:  # a character may span tokens
-            join, mark = "", None
-        else:
-            join, mark = " ", True
-        get = coded.__getitem__
+        get = voc.coded.__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 n, first, second = [], [], []
                 for text in part.column(1).to_pylist():
-                    raw, tokens = [], []
+                    raw = []
                     for known, piece in voc.pieces(text or ""):
                         if known is not None:
                             raw.append(np.array([known], "<u4").tobytes())
-                            tokens.append(voc.strings[known])
                         else:
-                            pre = voc.pretokens(piece)
-                            raw += map(get, pre)
-                            tokens += [s for s in map(coded.text.__getitem__, pre) if s] if mark else ()
+                            raw += map(get, voc.pretokens(piece))
                     ids = b"".join(raw)
-                    text = join.join(tokens) if mark else voc.decode(np.frombuffer(ids, "<u4").tolist())
+                    text = voc.decode(np.frombuffer(ids, "<u4").tolist())
                     n.append(len(ids) // 4)
                     first.append(hashlib.sha256(ids).hexdigest() if kind == "digests" else np.frombuffer(ids, "<i4"))
                     second.append(hashlib.sha256(text.encode()).hexdigest() if kind == "digests" else text)
-                    coded.trim()
                 cols = [part.column(0), pa.array(n, pa.int64())]
                 if kind == "digests":
                     cols.append(pa.array(first, pa.string()))
