@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontamination, near_dedup, quality, toxicity
 from tessera.llm.scratch import written
-from tessera.llm.tables import table
+from tessera.llm.tables import small_batches, table
 
 
 def grades(labels: DataFrame) -> DataFrame:
@@ -24,26 +24,31 @@ def grades(labels: DataFrame) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose grade is probably 1 or better; rejected ones go."""
+    small_batches(spark)
     return quality.drop_low(docs, quality.fit(docs, grades(table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))))
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't predicted toxic."""
+    small_batches(spark)
     return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of every group of near-duplicates."""
+    small_batches(spark)
     return near_dedup.drop_duplicates(docs)
 
 
 def keep_unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without benchmark items."""
+    small_batches(spark)
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, token_ids, decoded): each document's ids and what they decode to."""
+    small_batches(spark)
     return bpe.encode_decode(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
