@@ -155,7 +155,7 @@ def neighbour_fingerprints(docs: DataFrame, fraction: float = FRACTION, width: i
                 held = (where, i, text)
                 if extra:
                     held, closed = None, where
-                if size > 4_000_000:
+                if size > 1_000_000:
                     yield done()
                     size = 0
         if pending:
