@@ -39,19 +39,19 @@ def byte_symbols() -> list[str]:
 class Recent(dict):
     """A bounded cache in two generations: a full young one becomes the old one, and what is used again moves back.
 
-    Lookups by [] of what is young stay inside the interpreter's dict; entries number at most
-    CACHE_ENTRIES, their keys' characters about CACHED_LENGTH times that and one key.
+    Lookups by [] of what is young stay inside the interpreter's dict; there are at most `entries`,
+    with about CACHED_LENGTH times as many characters and one key more.
     """
 
-    def __init__(self, make: Callable):
+    def __init__(self, make: Callable, entries: int = CACHE_ENTRIES):
         super().__init__()
-        self.make, self.old, self.held = make, {}, 0
+        self.make, self.entries, self.old, self.held = make, entries, {}, 0
 
     def __missing__(self, token: str):
         value = self.old.pop(token, None)
         if value is None:
             value = self.make(token)
-        if 2 * len(self) >= CACHE_ENTRIES or 2 * self.held >= CACHE_ENTRIES * CACHED_LENGTH:
+        if 2 * len(self) >= self.entries or 2 * self.held >= self.entries * CACHED_LENGTH:
             self.old = dict(self)
             self.clear()
             self.held = 0

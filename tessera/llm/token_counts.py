@@ -15,15 +15,17 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import CACHE_ENTRIES, CACHED_LENGTH, Vocabulary, vocabulary
+from tessera.llm.bpe import CACHED_LENGTH, Recent, Vocabulary, vocabulary
 
-REPORT = 20_000
+REPORT = 50_000
 COUNTED = 100_000
+LENGTHS_CACHED = 600_000
 
 
 def frequent_pretokens(docs: DataFrame, source, text_col: str, table_size: int) -> list[str]:
@@ -34,7 +36,7 @@ def frequent_pretokens(docs: DataFrame, source, text_col: str, table_size: int)
         seen: Counter[str] = Counter()
         total = cut = 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in chain.from_iterable(batch.column(0).slice(at, 512).to_pylist() for at in range(0, batch.num_rows, 512)):
                 for known, part in voc.pieces(text or ""):
                     if known is None:
                         found = voc.pretokens(part)
@@ -54,21 +56,14 @@ def frequent_pretokens(docs: DataFrame, source, text_col: str, table_size: int)
 
 
 class _Lengths(dict):
-    """Tier one is the dict itself; a miss goes to tier two."""
+    """Tier one is the dict itself; a miss goes to tier two, the worker's cache of encoded pre-tokens."""
 
     def __init__(self, table: dict[str, int], voc: Vocabulary):
         super().__init__(table)
-        self.voc, self.cache = voc, {}
+        self.recent = Recent(lambda t: len(voc.merge(t.encode())), LENGTHS_CACHED)
 
     def __missing__(self, token: str) -> int:
-        n = self.cache.get(token)
-        if n is None:
-            n = len(self.voc.merge(token.encode()))
-            if len(token) <= CACHED_LENGTH:
-                if len(self.cache) >= CACHE_ENTRIES:
-                    self.cache.clear()
-                self.cache[token] = n
-        return n
+        return self.recent[token]
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, table_size: int = 50_000) -> DataFrame:
@@ -92,7 +87,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
         get = voc.lengths.__getitem__
         for batch in batches:
             n_bytes, n_tokens = [], []
-            for text in batch.column(1).to_pylist():
+            for text in chain.from_iterable(batch.column(1).slice(at, 512).to_pylist() for at in range(0, batch.num_rows, 512)):
                 n = 0
                 for known, part in voc.pieces(text or ""):
                     n += 1 if known is not None else sum(map(get, voc.pretokens(part)))
