@@ -5,12 +5,20 @@ Placeholders: a number (with its decimals and thousands as one token), a unit (a
 after a number) and a name (a word whose first letter, only, is a capital, wherever it stands, so
 that a passage has the same template inside any sentence). Windows of WINDOW template tokens, of
 which at least LITERALS are plain words, are hash-joined with the benchmark's; an item with fewer
-tokens has one window of them all. Each document and item that share a window are then laid side by
+tokens has one window of them all (with one plain word less than it has tokens at least, and LITERALS at most).
+Each document and item that share a window are then laid side by
 side along the shared windows, and the slots are checked: as a re-parameterised question replaces a
 value by one other value throughout, a run in which one item value meets different document values
 of its kind more often than not is no match. A document is contaminated by an item if matching
 windows cover at least `least` of the item's windows (and two windows, where it has so many).
 
+Every item has exact windows as well, of its lower-cased tokens as they stand, whatever their kinds:
+WINDOW tokens each, or the whole of a shorter item. They are joined like the templates and need the
+same share; the larger of the two shares counts. So verbatim copies of items with few plain words
+(short sums, lists of names, Title Case), and copies in Title Case, are found; with other values
+such items are not, as their templates would fit too much. An item of one token is found wherever
+that token stands.
+
 The benchmark's windows are broadcast up to BROADCAST_WINDOWS of them; beyond, both sides are
 shuffled by window. Documents themselves are shuffled in neither case, but for those that share a
 window where the benchmark is large.
@@ -124,8 +132,21 @@ def template_windows(t: Tokens, width: int = WINDOW, literals: int = LITERALS) -
     return mix(acc[at]), at
 
 
+def exact_windows(t: Tokens, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all full windows of the tokens as they stand, and the tokens where they begin."""
+    h, at = template_windows(Tokens(t.surface, t.surface, t.kind, t.first), width, 0)
+    return mix(h ^ _MARK[0]), at
+
+
+def windows_of_width(t: Tokens, width: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+    """(exact, hashes, first tokens): the windows by template, then the exact ones. One token has no template."""
+    if width > 1:
+        yield False, *template_windows(t, width, min(LITERALS, width - 1))
+    yield True, *exact_windows(t, width)
+
+
 class Benchmark:
-    """Items and their windows. A short item (fewer tokens than a window) has one window, of its own width."""
+    """Items and their windows, by template and exact. A short item (fewer tokens than a window) has one of each at most, of its own width."""
 
     def __init__(self, items: list[tuple]):
         self.ids = [i for i, _ in items]
@@ -136,50 +157,56 @@ class Benchmark:
         self.tokens = tokenize(data, offsets)
         self.of = np.repeat(np.arange(len(items)), np.diff(self.tokens.first)) if items else np.zeros(0, np.int64)
         n = np.diff(self.tokens.first)
-        hashes, at, width = [], [], []
-        for w in sorted({WINDOW, *(int(x) for x in n[(n > 1) & (n < WINDOW)])}):
-            h, start = template_windows(self.tokens, w, min(LITERALS, w - 1))
-            keep = np.isin(self.of[start], np.flatnonzero(n == w)) if w < WINDOW else n[self.of[start]] >= WINDOW if len(start) else np.zeros(0, bool)
-            hashes.append(h[keep])
-            at.append(start[keep])
-            width.append(np.full(int(keep.sum()), w))
-        hashes, at, width = np.concatenate(hashes), np.concatenate(at), np.concatenate(width)
+        hashes, at, width, exact = [], [], [], []
+        for w in sorted({WINDOW, *(int(x) for x in n[(n > 0) & (n < WINDOW)])}):
+            for as_is, h, start in windows_of_width(self.tokens, w):
+                keep = np.isin(self.of[start], np.flatnonzero(n == w)) if w < WINDOW else n[self.of[start]] >= WINDOW if len(start) else np.zeros(0, bool)
+                hashes.append(h[keep])
+                at.append(start[keep])
+                width.append(np.full(int(keep.sum()), w))
+                exact.append(np.full(int(keep.sum()), as_is))
+        hashes, at, width, exact = (np.concatenate(x) for x in (hashes, at, width, exact))
         order = np.argsort(hashes, kind="stable")
-        self.hashes, self.at, self.width = hashes[order], at[order], width[order]
-        self.n_windows = np.bincount(self.of[at], minlength=len(items))
+        self.hashes, self.at, self.width, self.exact = hashes[order], at[order], width[order], exact[order]
+        self.n_windows, self.n_exact = (np.bincount(self.of[at[exact == as_is]], minlength=len(items)) for as_is in (False, True))
         self.filter = np.zeros(1 << 20, bool)  # by the upper bits: most windows of most texts end here
         self.filter[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
 
-    def probe(self, t: Tokens) -> Iterator[tuple[int, int, int]]:
-        """(document's token, item's token, width) of every shared window."""
+    def probe(self, t: Tokens) -> Iterator[tuple[bool, int, int, int]]:
+        """(exact, document's token, item's token, width) of every shared window."""
         for w in np.unique(self.width):
-            h, at = template_windows(t, int(w), min(LITERALS, int(w) - 1))
-            near = np.flatnonzero(self.filter[(h >> np.uint64(44)).astype(np.int64)])
-            lo, hi = np.searchsorted(self.hashes, h[near]), np.searchsorted(self.hashes, h[near], "right")
-            for k in np.flatnonzero(hi > lo):
-                for j in range(lo[k], hi[k]):
-                    if self.width[j] == w:
-                        yield int(at[near[k]]), int(self.at[j]), int(w)
+            for exact, h, at in windows_of_width(t, int(w)):
+                near = np.flatnonzero(self.filter[(h >> np.uint64(44)).astype(np.int64)])
+                lo, hi = np.searchsorted(self.hashes, h[near]), np.searchsorted(self.hashes, h[near], "right")
+                for k in np.flatnonzero(hi > lo):
+                    for j in range(lo[k], hi[k]):
+                        if self.width[j] == w and self.exact[j] == exact:
+                            yield exact, int(at[near[k]]), int(self.at[j]), int(w)
 
     def matches(self, t: Tokens, least: float) -> dict[int, dict[int, tuple[float, int]]]:
         """By text, by item: (share of the item's windows covered, slots that hold another value), where enough match."""
         text_of = np.repeat(np.arange(len(t.first) - 1), np.diff(t.first))
         runs: dict[tuple[int, int], dict[int, list[tuple[int, int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for d, i, w in self.probe(t):
-            runs[int(text_of[d]), int(self.of[i])][d - i].append((d, i, w))
+        as_is: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for exact, d, i, w in self.probe(t):
+            pair = int(text_of[d]), int(self.of[i])
+            if exact:
+                as_is[pair].add(i)
+            else:
+                runs[pair][d - i].append((d, i, w))
         out: dict[int, dict[int, tuple[float, int]]] = defaultdict(dict)
-        for (text, item), by_shift in runs.items():
+        for text, item in runs.keys() | as_is.keys():
             covered, changed = set(), 0
-            for shift, found in by_shift.items():
+            for shift, found in runs.get((text, item), {}).items():
                 at = np.unique(np.concatenate([np.arange(i, i + w) for _, i, w in found]))
                 agree, differ = self.slots(t, at, shift)
                 if agree >= differ[0]:
                     covered.update(i for _, i, _ in found)
                     changed += differ[1]
-            need = min(2, self.n_windows[item])
-            share = len(covered) / self.n_windows[item]
-            if len(covered) >= need and share >= least:
-                out[text][item] = (share, changed)
+            for found, n, differ in ((covered, self.n_windows[item], changed), (as_is.get((text, item), ()), self.n_exact[item], 0)):
+                if n and len(found) >= min(2, n) and len(found) / n >= least:
+                    share, before = out[text].get(item, (0.0, 0))
+                    out[text][item] = (max(share, len(found) / n), before + differ)
         return out
 
     def slots(self, t: Tokens, at: np.ndarray, shift: int) -> tuple[int, tuple[int, int]]:
@@ -232,8 +259,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, i
 
 
 def _is_small(items: DataFrame, broadcast_windows: int) -> bool:
-    """Whether the items have at most so many windows: one for each two characters at most."""
-    return items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"] <= 2 * broadcast_windows
+    """Whether the items have at most so many windows: one of each kind for each two characters at most."""
+    return items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"] <= broadcast_windows
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -253,7 +280,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = LEAS
 
 def _joined(docs: DataFrame, items: DataFrame, least: float, id_col: str, text_col: str, schema: str) -> DataFrame:
     """For a benchmark of any size: both sides' windows meet in a shuffle, then each document meets its candidates."""
-    widths = list(range(2, WINDOW + 1))
+    widths = list(range(1, WINDOW + 1))
     items = items.withColumn("row", F.monotonically_increasing_id())
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("row", F.xxhash64("id", "text"))
 
@@ -264,9 +291,9 @@ def _joined(docs: DataFrame, items: DataFrame, least: float, id_col: str, text_c
                 text_of = np.repeat(np.arange(b - a), np.diff(t.first))
                 rows = batch.column(0).slice(a, b - a).to_numpy()
                 for w in widths:
-                    h, at = template_windows(t, w, min(LITERALS, w - 1))
-                    pairs = np.unique(np.stack([rows[text_of[at]], h.view(np.int64)]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(np.full(pairs.shape[1], w, np.int32))], ["row", "hash", "width"])
+                    for _, h, at in windows_of_width(t, w):
+                        pairs = np.unique(np.stack([rows[text_of[at]], h.view(np.int64)]), axis=1) if len(at) else np.zeros((2, 0), np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(np.full(pairs.shape[1], w, np.int32))], ["row", "hash", "width"])
 
     shape = "row long, hash long, width int"
     theirs = items.select("row", "text").mapInArrow(windows_of, shape).select(F.col("row").alias("item_row"), "hash", "width")

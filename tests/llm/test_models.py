@@ -136,6 +136,21 @@ def test_templates(spark, windows):
     assert got[2]["contaminated"] is False and got[2]["coverage"] == 0.0
 
 
+@pytest.mark.parametrize("windows", [0, dec.BROADCAST_WINDOWS])
+def test_items_of_few_plain_words(spark, windows):
+    """Sums, names, Title Case and single tokens have no template window, but exact ones; so have copies in Title Case."""
+    names = "Anna Berta Carl Dora Emil Frida Gustav Hanna Ivan Jakob"
+    items = ["What is 15 * 27?", "What is 12 + 7 - 3 + 5?", "Solve 3 + 4 = 7", names, "The Quick Brown Fox Jumps Over It", "Xylograph", ITEMS[1][1]]
+    texts = [f"{FILL}. {i} {FILL}" for i in [*items[:6], ITEMS[1][1].title()]] + [FILL, "What is 15 * 28?", " ".join(reversed(names.split())), None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r["doc_id"]: r for r in dec.decontaminate(docs, bench, broadcast_windows=windows).collect()}
+    assert [got[k]["item_ids"] for k in range(len(texts))] == [[0], [1], [2], [3], [4], [5], [6], [], [], [], []]
+    assert all(got[k]["coverage"] == 1.0 and got[k]["changed_slots"] == 0 for k in range(7))
+    kept = dec.drop_contaminated(docs, bench, broadcast_windows=windows)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [7, 8, 9, 10]
+
+
 def test_inconsistent_slots_are_no_match(spark):
     item = "Ann saw 3 of Ann and 3 of Ann then 3 or Ann met 3 on Ann"
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
