@@ -14,9 +14,11 @@ components is missed among the pairs that share a band; pairs that are joined by
 compared, none are written but the links that join. Every link is confirmed on the full 64-bit sets.
 
 Defined results: a text without words, or null, has an empty set, is linked with nothing and is
-its own component; equal texts are linked; repeated ids are rows of their own (a component's id
-is the least id in it); null ids are ignored in that minimum; other columns are ignored; an empty
-input gives an empty result.
+its own component; equal texts are linked; repeated ids are rows of their own, with one text or
+several (a component's id is the least id in it, and two components may have the same); null ids
+are ignored in that minimum, and a component of null ids only has a null id; exactly one row of
+each component is kept, one of those with its id; other columns are ignored; an empty input gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.arrays import mix, shingle_sets
@@ -79,7 +81,7 @@ def band_hashes(sig: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nda
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_shingles", "digest", "bands", "sketch"]
+    names = ["doc_id", "text_key", "n_shingles", "digest", "bands", "sketch"]
     for batch in batches:
         at = 0
         for group in shingle_sets(batch.column(1), WIDTH):
@@ -91,7 +93,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lines = iter(sketch)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).slice(at, len(group)), pa.array(n), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in group], pa.binary()),
+                    batch.column(0).slice(at, len(group)), batch.column(2).slice(at, len(group)), pa.array(n), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in group], pa.binary()),
                     pa.ListArray.from_arrays(size, pa.array(bands.ravel())), pa.array([next(lines).tobytes() if len(s) else b"" for s in group], pa.binary()),
                 ],
                 names,
@@ -250,16 +252,26 @@ def away_from_hubs(open_: DataFrame, light: DataFrame, sets: DataFrame) -> DataF
     return out
 
 
+def _text_key(text_col: str) -> Column:
+    """Tells the texts of one id apart: 96 bits."""
+    return F.struct(F.xxhash64(text_col).alias("x"), F.hash(text_col).alias("m"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles long, component_id, kept boolean) of every row, by links of Jaccard similarity 0.75 or more."""
+    return _marked(docs, id_col, text_col).select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id, kept) of every row."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    described = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _describe, f"doc_id {id_type}, n_shingles long, digest binary, bands array<long>, sketch binary"
+    described = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), _text_key(text_col).alias("text_key")).mapInArrow(
+        _describe, f"doc_id {id_type}, text_key struct<x: long, m: int>, n_shingles long, digest binary, bands array<long>, sketch binary"
     )
     rows = written(described.withColumn("row", F.monotonically_increasing_id()), "described")
-    classes_of = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("min_id"), F.min("row").alias("node"))
+    classes_of = rows.where("n_shingles > 0").groupBy("digest").agg(_least("doc_id", "row").alias("first"))  # a class's node is its row with the least id
     classes = written(
-        rows.join(classes_of.select("min_id", F.col("node").alias("row")), "row").select(F.col("row").alias("node"), F.col("doc_id").alias("keeper_id"), "min_id", "digest", "n_shingles", "bands", "sketch"),
+        rows.join(classes_of.select("first.row"), "row").select(F.col("row").alias("node"), F.col("doc_id").alias("keeper_id"), "digest", "n_shingles", "bands", "sketch"),
         "classes",
     )
     # buckets of two classes or more, and their members
@@ -290,30 +302,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         discard(sets, late)
     discard(open_, shared, members, hubs, likely, links)
 
-    # the least id of each component, for each class
-    labels = classes.select("node", "min_id", "digest").join(component, "node", "left").select("digest", "min_id", F.coalesce("component", "node").alias("label"))
-    least = labels.groupBy("label").agg(F.min("min_id").alias("component_id"))
-    named = labels.join(least, "label").select("digest", "component_id")
-    out = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left").select(
-        F.col("doc_id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    # the least id of each component and the row that is kept, for each class
+    labels = classes.select("node", "keeper_id", "digest").join(component, "node", "left").select("node", "keeper_id", "digest", F.coalesce("component", "node").alias("label"))
+    least = labels.groupBy("label").agg(_least("keeper_id", "node").alias("first"))
+    named = labels.join(least, "label").select("digest", F.col("first.keeper_id").alias("component_id"), F.col("first.node").alias("keeper"))
+    out = rows.select("doc_id", "text_key", "n_shingles", "digest", "row").join(named, "digest", "left")
+    own = F.col("n_shingles") == 0
+    return out.select(
+        "doc_id", "text_key", "n_shingles", F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (own | (F.col("row") == F.col("keeper"))).alias("kept")
     )
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
+
+
+def _least(id_col: str, row_col: str) -> Column:
+    """The least (id, row), null ids last."""
+    return F.min(F.struct(F.col(id_col).isNull().alias("none"), id_col, row_col))
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, with one row of each component: the one with the least id.
+    """docs, all columns, with exactly one row of each component: one with the least id.
 
-    The ids that go are broadcast up to BROADCAST_IDS of them, else both sides are shuffled. Rows
-    that share an id and a component are told apart only if there are such rows.
+    Rows are told apart by id, null or not, and text; equal in both, one of them is kept, found by a
+    second join only if there are such rows. What goes is broadcast up to BROADCAST_IDS rows of it,
+    else both sides are shuffled.
     """
-    found = written(near_duplicates(docs, id_col, text_col), "near-duplicates")
-    gone = found.where("not kept").select(F.col(id_col).alias("_gone"))
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    repeated = found.where("kept and n_shingles > 0").groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_again"))
-    left = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    if repeated.isEmpty():
+    found = written(_marked(docs, id_col, text_col), "near-duplicates")
+    keys = found.groupBy(F.col("doc_id").alias("_gone_id"), F.col("text_key.x").alias("_gone_x"), F.col("text_key.m").alias("_gone_m")).agg(
+        F.max(F.col("kept").cast("int")).alias("_any"), F.min(F.col("kept").cast("int")).alias("_all")
+    )
+    keys = written(keys.where("_all = 0"), "gone")
+    discard(found)
+    key = _text_key(text_col)
+    same = F.col(id_col).eqNullSafe(F.col("_gone_id")) & (key["x"] == F.col("_gone_x")) & (key["m"] == F.col("_gone_m"))
+    gone, again = keys.where("_any = 0"), keys.where("_any = 1")
+    left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, same, "left_anti")
+    n_again = again.count()
+    if n_again == 0:
         return left
-    words = F.col(text_col).rlike(r"[^ \t-\r]")
-    single = left.join(repeated, F.col(id_col) == F.col("_again"), "left_anti").unionByName(left.join(repeated, F.col(id_col) == F.col("_again"), "left_semi").where(~F.coalesce(words, F.lit(False))))
-    return single.unionByName(left.join(repeated, F.col(id_col) == F.col("_again"), "left_semi").where(words).dropDuplicates([id_col]))
+    if n_again <= BROADCAST_IDS:
+        again = F.broadcast(again)
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))

@@ -82,6 +82,23 @@ def test_repeated_rows_null_ids_and_empty(spark):
     assert sorted(r["doc_id"] for r in drop_duplicates(twice).collect()) == [1, 2]
 
 
+@pytest.mark.parametrize("broadcast", [0, near_dedup.BROADCAST_IDS])
+def test_one_row_of_each_component_is_kept(spark, monkeypatch, broadcast):
+    """Null ids, one id with several texts, and equal rows, by the shuffled and the broadcast way."""
+    monkeypatch.setattr(near_dedup, "BROADCAST_IDS", broadcast)
+    rng = random.Random(3)
+    a, b, c, d, e = (" ".join(f"{k}{rng.randrange(10**6)}" for _ in range(80)) for k in "abcde")
+    near = c + " more"
+    data = [(1, a), (5, a), (5, b), (6, c), (6, d), (None, a), (None, near), (None, e), (None, e), (None, e.upper()), (7, d), (7, d), (8, "Some words"), (8, "some words"), (8, "some words"), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(data)], "doc_id long, text string, k int").repartition(3)
+    marked = near_duplicates(docs).collect()
+    assert len(marked) == len(data) and sum(r["kept"] for r in marked) == 8
+    kept = drop_duplicates(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], (r["text"] or "").lower()) for r in kept.collect()), key=repr)
+    assert got == sorted([(1, a), (5, b), (6, c), (6, d), (None, e), (8, "some words"), (None, ""), (None, "")], key=repr)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(50)] + [(1000, 900 + i) for i in range(30)] + [(7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
