@@ -3,9 +3,11 @@
 Each language has a distribution over character trigrams within words (word ends count as
 characters; A-Z and the Latin-1 capitals lower-cased; 2**BITS buckets). A text is a mixture: each
 of its words comes from one language. Expectation-maximisation estimates the languages'
-proportions from the words' trigram likelihoods; the language set is the one, among the leading
-1..MAX_SET languages, whose log-likelihood less PENALTY * log(1 + words) for each language more is
-highest. The prediction is the set's largest share, the score is that share.
+proportions from the words' trigram likelihoods; the language set is the one, among the leading 1, 2, 3, ...
+up to all languages, whose log-likelihood less PENALTY * log(1 + words) for each language more is
+highest. A text's search ends where no larger set can be better: no set's log-likelihood is above the
+whole mixture's by more than words * log(g), g the largest gradient of the mean log-likelihood by a
+share. The prediction is the set's largest share, the score is that share.
 
 The fit counts trigrams on the executors, over about `per_language` texts of each language
 (PER_LANGUAGE by default), taken by hash at a rate that follows from the language's own count.
@@ -30,7 +32,6 @@ from tessera.llm.arrays import ngram_buckets, slices, spans
 BITS = 15
 PER_LANGUAGE = 2_000
 MAX_LANGUAGES = 500
-MAX_SET = 3
 PENALTY = 3.0
 ROUNDS = 8
 UNKNOWN = "und"
@@ -103,21 +104,30 @@ def proportions(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
     text = np.repeat(np.arange(len(has)), words)
     top = ll.max(1)
     lik = np.maximum(np.exp(ll - top[:, None]), 1e-30)
-    share, _ = _mixture(lik, text, bound, np.full((len(has), size), 1 / size), ROUNDS)
+    share, mixed = _mixture(lik, text, bound, np.full((len(has), size), 1 / size), ROUNDS)
     order = np.argsort(-share, axis=1, kind="stable")
-    base = np.add.reduceat(top, bound[:-1])
+    # what any set can reach, less nothing for its languages (by Jensen's inequality; shares sum to 1 up to their floor)
+    gradient = np.add.reduceat(lik / np.exp(mixed)[:, None], bound[:-1], axis=0).max(1) / words
+    reach = np.minimum(np.add.reduceat(mixed, bound[:-1]) + words * np.log(gradient), 0.0) + 1e-6 * words
     best = np.full(len(has), -np.inf)
-    for k in range(1, min(MAX_SET, size) + 1):
-        chosen = order[:, :k]
-        part = np.take_along_axis(lik, chosen[text], 1)
-        start = np.take_along_axis(share, chosen, 1)
-        got, mixed = _mixture(part, text, bound, start / start.sum(1, keepdims=True), ROUNDS if k > 1 else 0)
-        value = base + np.add.reduceat(mixed, bound[:-1]) - PENALTY * (k - 1) * np.log1p(words)
-        better = value > best
-        best[better] = value[better]
-        full = np.zeros((len(has), size))
-        np.put_along_axis(full, chosen, got, 1)
-        out[has[better]] = full[better]
+    for k in range(1, size + 1):
+        cost = PENALTY * (k - 1) * np.log1p(words)
+        left = reach - cost > best
+        at = np.flatnonzero(left)
+        if not len(at):
+            break
+        chosen = order[at, :k]
+        of = np.repeat(np.arange(len(at)), words[at])
+        ends = np.concatenate([[0], np.cumsum(words[at])])
+        part = np.take_along_axis(lik[left[text]], chosen[of], 1)
+        start = np.take_along_axis(share[at], chosen, 1)
+        got, mixed = _mixture(part, of, ends, start / start.sum(1, keepdims=True), ROUNDS if k > 1 else 0)
+        value = np.add.reduceat(mixed, ends[:-1]) - cost[at]
+        better = value > best[at]
+        at = at[better]
+        best[at] = value[better]
+        out[has[at]] = 0
+        out[has[at][:, None], chosen[better]] = got[better]
     return out
 
 

@@ -107,6 +107,18 @@ def test_language_mixtures(spark):
     assert {r["lang_pred"] for r in languages.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_language_sets_of_any_size(spark):
+    """Five languages in one text, all found; the set is the best of all sizes."""
+    rng = random.Random(6)
+    make = {"aa": ["ka", "ro", "mi"], "bb": ["bel", "dor", "sch"], "cc": ["éa", "uî", "oç"], "dd": ["zyx", "qwv", "jjk"], "ee": ["thu", "ngo", "pfe"], "ff": ["lli", "ggu", "cca"]}
+    text = lambda k, n: " ".join("".join(rng.choice(make[k]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    model = languages.fit(spark.createDataFrame([(i, text(k, 60), k) for i, k in enumerate([*make] * 30)], "doc_id long, text string, lang string"))
+    five = " ".join(text(k, n) for k, n in zip("aa bb cc dd ee".split(), (60, 50, 40, 30, 20)))
+    got = {r["doc_id"]: r for r in languages.identify(spark.createDataFrame([(1, five), (2, text("dd", 40))], "doc_id long, text string"), model).collect()}
+    assert got[1]["lang_pred"] == "aa" and set(got[1]["languages"]) == {"aa", "bb", "cc", "dd", "ee"} and abs(got[1]["score"] - 0.3) < 0.03
+    assert got[2]["languages"] == {"dd": 1.0}
+
+
 ITEMS = [
     (1, "Alice has 12 apples and gives 5 apples to Bob before walking 3 km home, how many apples remain with Alice?"),
     (2, "what is the capital of the large country that lies south of the river"),
