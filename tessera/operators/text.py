@@ -21,9 +21,26 @@ def extract_patterns(docs: DataFrame, id_col: str, text_col: str, patterns: Mapp
 
 
 def extract_keywords(docs: DataFrame, id_col: str, text_col: str, keywords: DataFrame, max_keywords: int = 1_000_000) -> DataFrame:
-    """(id, type, text, confidence 0.9): words of the text that equal a keyword (keyword, type), case ignored, by a hash join."""
-    words = docs.select(id_col, F.explode(F.array_distinct(F.split(F.lower(text_col), r"[^\p{L}\p{N}]+"))).alias("_word"))
-    known = keywords.select(F.lower("keyword").alias("_word"), "type", F.col("keyword").alias("text"))
+    """(id, type, text, confidence 0.9): words and phrases of the text that equal a keyword (keyword, type), case ignored, by a hash join.
+
+    A keyword of several words matches these words one after another, whatever stands between
+    them that is no letter or digit; keywords that begin or end with such a character match nothing.
+    """
+
+    def split(text: str) -> Column:
+        return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+    known = keywords.where(F.col("keyword").rlike(r"^[\p{L}\p{N}]") & F.col("keyword").rlike(r"[\p{L}\p{N}]\z"))
+    known = known.select(split("keyword").alias("_words"), "type", F.col("keyword").alias("text"))
+    longest = known.agg(F.max(F.size("_words"))).first()[0] or 1
+    known = known.select(F.array_join("_words", " ").alias("_word"), "type", "text")
+    words = docs.select(id_col, split(text_col).alias("_words"))
+
+    def phrases(n: int) -> Column:
+        starts = F.when(F.size("_words") >= n, F.sequence(F.lit(1), F.size("_words") - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.col("_words") if n == 1 else F.transform(starts, lambda k: F.array_join(F.slice("_words", k, n), " "))
+
+    words = words.select(id_col, F.explode(F.array_distinct(F.concat(*[phrases(n) for n in range(1, longest + 1)]))).alias("_word"))
     small = known.limit(max_keywords + 1).count() <= max_keywords
     return words.join(F.broadcast(known) if small else known, "_word").select(id_col, "type", "text", F.lit(KEYWORD_CONFIDENCE).alias("confidence"))
 

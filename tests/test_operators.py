@@ -244,3 +244,11 @@ def test_spatial_accessors(spark):
     r = spatial.ring([(0, 0), (4, 0), (4, 3)])
     got = spark.range(1).select(spatial.n_points(r), spatial.end_point(r)["y"], spatial.is_closed(r), spatial.point_n(r, 9), spatial.line_text(r, "POLYGON")).first()
     assert tuple(got) == (3, 3.0, False, None, "POLYGON((0.0 0.0, 4.0 0.0, 4.0 3.0, 0.0 0.0))")
+
+
+def test_keywords_of_several_words(spark):
+    docs = spark.createDataFrame([(1, "In New York, new  YORK city; yorkshire"), (2, "a new one, york"), (3, None), (4, ""), (5, "city")], "id long, body string")
+    keywords = spark.createDataFrame([("New York", "place"), ("New York City", "place"), ("city", "thing"), ("C++", "thing"), ("a b c d e f", "long")], "keyword string, type string")
+    got = rows(text.extract_keywords(docs, "id", "body", keywords))
+    assert got == [(1, "place", "New York City", 0.9), (1, "place", "New York", 0.9), (1, "thing", "city", 0.9), (5, "thing", "city", 0.9)]
+    assert rows(text.extract_keywords(docs, "id", "body", keywords.limit(0))) == []
