@@ -1,8 +1,9 @@
 """Whole-batch text kernels over Arrow buffers: words, shingles and byte n-grams as numpy arrays.
 
 Texts are read straight from Arrow's UTF-8 buffers, in slices of bounded size, so a worker holds
-one slice's arrays at a time however long the partition is. A single text longer than a slice is
-handled whole, as a slice of its own.
+one slice's arrays at a time however long the partition is. A text longer than a slice is a slice of
+its own, and its bytes are worked through in blocks of SLICE_BYTES, with what a block needs of the one
+before carried over: only its words' hashes (16 bytes each) and its results are held as a whole.
 """
 
 from __future__ import annotations
@@ -79,18 +80,44 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.flatnonzero(start), np.flatnonzero(end) + 1
 
 
-def span_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run of byte codes, by where it starts and ends."""
+def span_sums(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The polynomial of each run of byte codes, by where it starts and ends."""
     p, inv = powers(len(codes) + 1)
     total = np.zeros(len(codes) + 1, U64)
     np.cumsum(codes * p[:-1], out=total[1:])
-    return mix((total[end] - total[start]) * inv[start])
+    return (total[end] - total[start]) * inv[start]
+
+
+def span_hashes(codes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of byte codes, by where it starts and ends."""
+    return mix(span_sums(codes, start, end))
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words (runs without ASCII white space, A-Z lower-cased) and each text's first word."""
-    start, end = spans(~SPACE[data], offsets)
-    return span_hashes(_WORD_CODE[data], start, end), np.searchsorted(start, offsets)
+    """Hashes of the words (runs without ASCII white space, A-Z lower-cased) and each text's first word.
+
+    In blocks of bytes: a word that goes on into the next block has the sums of its parts put together.
+    """
+    starts, sums = [], []
+    length = 0  # bytes so far of a word that reaches the end of the blocks so far
+    for lo in range(0, len(data), SLICE_BYTES):
+        hi = min(lo + SLICE_BYTES, len(data))
+        block = data[lo:hi]
+        cuts = offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi, "right")] - lo
+        start, end = spans(~SPACE[block], cuts)
+        got = span_sums(_WORD_CODE[block], start, end)
+        on = bool(length and len(start) and start[0] == 0 and not (len(cuts) and cuts[0] == 0))
+        if on:
+            sums[-1][-1] = U64((int(sums[-1][-1]) + pow(int(_M), length, 1 << 64) * int(got[0])) % (1 << 64))
+            length += int(end[0])
+        if len(start) > on:
+            starts.append(start[on:] + lo)
+            sums.append(got[on:])
+            length = int(end[-1] - start[-1])
+        if not len(end) or end[-1] != len(block):
+            length = 0
+    start = np.concatenate([np.zeros(0, np.int64), *starts])
+    return mix(np.concatenate([np.zeros(0, U64), *sums])), np.searchsorted(start, offsets)
 
 
 def windows(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,10 +144,21 @@ def windows(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, n
     return out, bound
 
 
+def _long_set(h: np.ndarray, width: int) -> np.ndarray:
+    """The sorted distinct shingle hashes of one long text's words, in blocks of words."""
+    step = SLICE_BYTES // 8
+    found = [np.unique(windows(part, np.array([0, len(part)]), width)[0]) for k in range(0, max(1, len(h) - width + 1), step) if len(part := h[k : k + step + width - 1])]
+    return np.unique(np.concatenate([np.zeros(0, U64), *found]))
+
+
 def shingle_sets(col: pa.Array, width: int = 5) -> Iterator[list[np.ndarray]]:
     """For runs of rows: the sorted distinct shingle hashes of each row's whole text."""
     for a, b, data, offsets in slices(col):
-        h, bound = windows(*word_hashes(data, offsets), width)
+        h, first = word_hashes(data, offsets)
+        if b - a == 1 and len(data) > SLICE_BYTES:
+            yield [_long_set(h, width)]
+            continue
+        h, bound = windows(h, first, width)
         yield [np.unique(h[bound[i] : bound[i + 1]]) for i in range(b - a)]
 
 
@@ -146,3 +184,13 @@ def ngram_buckets(codes: np.ndarray, offsets: np.ndarray, n: int, bits: int) ->
         e = offsets[1:-1] - k
         keep[e[(e >= 0) & (e < total)]] = False
     return h[keep].astype(np.int32), bound
+
+
+def ngram_blocks(table: np.ndarray, data: np.ndarray, offsets: np.ndarray, n: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """ngram_buckets of table[data]: at once, or for one text that is longer than a slice in blocks that each give some of its n-grams."""
+    if len(offsets) != 2 or len(data) <= SLICE_BYTES:
+        yield ngram_buckets(table[data], offsets, n, bits)
+        return
+    for k in range(0, max(1, len(data) - n + 1), SLICE_BYTES):
+        part = table[data[k : k + SLICE_BYTES + n - 1]]
+        yield ngram_buckets(part, np.array([0, len(part)]), n, bits)
