@@ -3,6 +3,13 @@
 `Vocabulary` reads the JSON of a public tokenizer (BPE models whose pre-tokenizer ends in a byte
 level) and encodes or decodes as that file says. It never trains anything.
 
+The tokenizers library has Unicode tables of its own: letters and digits of Unicode 16, lower case of
+17, normal forms of 9. Texts with characters on which this Python or its regex module differ go a
+second, exact way; whatever release of them is installed, the results are the library's.
+
+A pre-token of n bytes takes about 60 n bytes while it is merged; nothing else grows with a text but
+the text itself, its pre-tokens and ids.
+
 Defined results: a null text is an empty one; an empty text has no ids and decodes to an empty
 string; repeated rows each get their own result; other columns of the input are ignored.
 """
@@ -12,10 +19,12 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 import sys
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
+from functools import cache, partial
 from itertools import chain
 
 import numpy as np
@@ -24,11 +33,76 @@ import regex
 from pyspark.sql import DataFrame
 
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# fixed values: letters and digits that Unicode 16 added to Unicode 15.1
+LETTERS_16 = "1C89-1C8A A7CB-A7CD A7DA-A7DC 105C0-105F3 10D4A-10D65 10D6F-10D85 10EC2-10EC4 11380-11389 1138B 1138E 11390-113B5 113B7 113D1 113D3 11BC0-11BE0 13460-143FA 16100-1611D 16D40-16D6C 18CFF 1E5D0-1E5ED 1E5F0"
+DIGITS_16 = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1CCF9 1E5F1-1E5FA"
+# fixed values: capitals that Unicode 16 and 17 added, first-last=lower case of the first
+CAPITALS_17 = "1C89=1C8A A7CB=264 A7CC=A7CD A7CE=A7CF A7D2=A7D3 A7D4=A7D5 A7DA=A7DB A7DC=19B 10D50-10D65=10D70 16EA0-16EB8=16EBB"
+# fixed values: characters with a combining class, or that compose, added from Unicode 10 to 15.1
+MARKS_10 = "7FD 898-89F 8CA-8D3 9FE C3C D3B-D3C EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85 11070 1133B 1145E 11839-1183A 11930 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"
 CACHE_ENTRIES = 320_000
 CACHED_LENGTH = 64
 _loaded: dict[tuple, Vocabulary] = {}
 
 
+def _points(ranges: str) -> set[int]:
+    ends = [[int(x, 16) for x in r.split("-")] for r in ranges.split()]
+    return {c for e in ends for c in range(e[0], e[-1] + 1)}
+
+
+def _class(points: set[int]) -> str:
+    """The members of a regular expression's class."""
+    out: list[list[int]] = []
+    for c in sorted(points):
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(rf"\U{a:08X}-\U{b:08X}" for a, b in out)
+
+
+@cache
+def odd_classes() -> dict[str, tuple[set[int], set[int]]]:
+    """For L and N: what the regex module takes for one and the library doesn't, and the other way round."""
+    out = {}
+    every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for kind, added in (("L", LETTERS_16), ("N", DIGITS_16)):
+        theirs = {c for c in every if unicodedata.category(chr(c))[0] == kind} | _points(added)
+        ours = set(map(ord, regex.findall(rf"\p{{{kind}}}", "".join(map(chr, every)))))
+        out[kind] = ours - theirs, theirs - ours
+    return out
+
+
+def _exact(pattern: str) -> str:
+    """The pattern with the library's letters and digits spelt out."""
+    for kind, (more, less) in odd_classes().items():
+        inner = rf"\p{{{kind}}}" + (f"--[{_class(more)}]" if more else "")
+        pattern = pattern.replace(rf"\p{{{kind}}}", f"[[{inner}]{_class(less)}]")
+    return "(?V1)" + pattern
+
+
+_CAPITALS = {
+    c: chr(int(low, 16) + k) for r in CAPITALS_17.split() for span, low in [r.split("=")] for k, c in enumerate(sorted(_points(span)))
+}
+_MARKS = re.compile(f"([{_class(_points(MARKS_10))}])")
+_NEW_CAPITALS = re.compile(f"[{_class(set(_CAPITALS))}]")
+
+
+def _normal(kind: str, text: str) -> str:
+    """A normal form in which the newest marks stay where they are."""
+    if text.isascii():
+        return text
+    if _MARKS.search(text):
+        return "".join(p if k % 2 else unicodedata.normalize(kind, p) for k, p in enumerate(_MARKS.split(text)))
+    return unicodedata.normalize(kind, text)
+
+
+def _lower(text: str) -> str:
+    """Lower case of each character by itself: a sigma that ends a word isn't special."""
+    low = text.lower() if text.isascii() or "Σ" not in text else "".join(map(str.lower, text))
+    return low if low.isascii() or not _NEW_CAPITALS.search(low) else low.translate(_CAPITALS)
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte: itself where printable, else the next from U+0100."""
     plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -74,14 +148,17 @@ class Vocabulary:
         self.strings = [""] * (1 + max(chain(self.ids.values(), self.special.values())))
         for string, i in chain(self.ids.items(), self.special.items()):
             self.strings[i] = string
+        self.special_starts = {s[0] for s in self.special if s}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         symbols = byte_symbols()
-        self.first = [self.ids.get(s) for s in symbols]
-        self.last = [self.ids.get(s + self.suffix) for s in symbols]
+        self.first = [self.ids.get(s, -1) for s in symbols]
+        self.last = [self.ids.get(s + self.suffix, -1) for s in symbols]
         self.bytes_of = {s: b for b, s in enumerate(symbols)}
         self.byte_decoder = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         self.steps = self._normalizers(spec.get("normalizer"))
         self.pattern = regex.compile(self._pattern(spec["pre_tokenizer"]))
+        self.exact_pattern = regex.compile(_exact(self.pattern.pattern))
+        self.odd = re.compile(f"[{_class(set().union(*chain.from_iterable(odd_classes().values())))}]")
         blank = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
         if not self.pattern.search(regex.sub(r"\S", "", blank)):  # runs of white space as one space change nothing where no pre-token has any
             self.steps = [f for f in self.steps if getattr(f, "spaces", None) is None]
@@ -100,14 +177,14 @@ class Vocabulary:
         for step in spec["normalizers"] if spec["type"] == "Sequence" else [spec]:
             kind = step["type"]
             if kind in ("NFC", "NFD", "NFKC", "NFKD"):
-                out.append(lambda s, k=kind: unicodedata.normalize(k, s))
+                out.append(partial(_normal, kind))
             elif kind == "Replace":
                 p = step["pattern"]
                 out.append(lambda s, p=regex.compile(p.get("Regex") or regex.escape(p["String"])), c=step["content"]: p.sub(lambda _: c, s))
                 if (p.get("Regex"), step["content"]) == (r"\s+", " "):
                     out[-1].spaces = True
-            elif kind == "Lowercase":  # each character by itself: a sigma that ends a word isn't special
-                out.append(lambda s: "".join(map(str.lower, s)) if "Σ" in s else s.lower())
+            elif kind == "Lowercase":
+                out.append(_lower)
             else:
                 raise ValueError(f"unknown normalizer {kind}")
         return out
@@ -127,11 +204,13 @@ class Vocabulary:
     def pretokens(self, text: str) -> list[str]:
         for f in self.steps:
             text = f(text)
+        if not text.isascii() and self.odd.search(text):
+            return self.exact_pattern.findall(text)
         return self.pattern.findall(text)
 
     def pieces(self, text: str) -> Iterator[tuple[int | None, str]]:
         """(id, string) of special strings, (None, string) of the text between them."""
-        if self.split_special is None or "<" not in text:
+        if not any(c in text for c in self.special_starts):
             yield None, text
             return
         for k, part in enumerate(self.split_special.split(text)):
@@ -139,33 +218,34 @@ class Vocabulary:
                 yield (self.special[part] if k % 2 else None), part
 
     def merge(self, raw: bytes) -> list[int]:
-        """Ids of one pre-token's bytes."""
-        n = len(raw)
-        if not n:
+        """Ids of one pre-token's bytes; a symbol that was merged into the one before it becomes -1."""
+        if not raw:
             return []
-        sym = [self.first[b] for b in raw[:-1]] + [self.last[raw[-1]]]
-        if None in sym:  # the model has no unknown token: such a symbol has no id
-            sym = [s for s in sym if s is not None]
-            n = len(sym)
+        sym = [self.first[b] for b in raw[:-1]] + [self.last[raw[-1]]] if len(raw) < 4096 else array("i", chain((self.first[b] for b in raw[:-1]), (self.last[raw[-1]],)))
+        if -1 in sym:  # the model has no unknown token: such a symbol has no id
+            sym = [s for s in sym if s >= 0]
+        n = len(sym)
         merges = self.merges
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [(m[0], i, m[1]) for i in range(n - 1) if (m := merges.get((sym[i], sym[i + 1])))]
+        after, before = (range(1, n + 1), range(-1, n - 1))
+        after, before = (list(after), list(before)) if n < 4096 else (array("i", after), array("i", before))
+        queue = [m[0] << 32 | i for i in range(n - 1) if (m := merges.get((sym[i], sym[i + 1])))]
         heapq.heapify(queue)
         while queue:
-            rank, i, new = heapq.heappop(queue)
+            top = heapq.heappop(queue)
+            i = top & 0xFFFFFFFF
             j = after[i]
-            if j >= n or sym[i] is None or (m := merges.get((sym[i], sym[j]))) is None or m[0] != rank:
+            if j >= n or sym[i] < 0 or (m := merges.get((sym[i], sym[j]))) is None or m[0] != top >> 32:
                 continue  # stale: one of the two was merged meanwhile
-            sym[i], sym[j] = new, None
+            sym[i], sym[j] = new, _ = m[1], -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
                 if m := merges.get((new, sym[k])):
-                    heapq.heappush(queue, (m[0], i, m[1]))
+                    heapq.heappush(queue, m[0] << 32 | i)
             h = before[i]
             if h >= 0 and (m := merges.get((sym[h], new))):
-                heapq.heappush(queue, (m[0], h, m[1]))
-        return [s for s in sym if s is not None]
+                heapq.heappush(queue, m[0] << 32 | h)
+        return [s for s in sym if s >= 0]
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []

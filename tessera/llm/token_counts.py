@@ -1,10 +1,11 @@
 """Token counts by a two-tier lookup at the map side.
 
-Tier one is a compact table of the lengths, in tokens, of frequent pre-tokens: every partition
-counts its own pre-tokens in bounded memory and reports those that make up at least
-1/REPORT of them, the sums of the reports give the table, and the table is broadcast (at most
-`table_size` entries). Tier two is each worker's own bounded cache of what the table misses,
-filled by encoding. Pre-tokens themselves are never shuffled.
+Tier one is a compact table of the lengths, in tokens, of frequent pre-tokens, at most `table_size`
+of them, that is broadcast. It is taken from about `sample_texts` texts (SAMPLE_TEXTS by default),
+drawn at random; it decides how fast a token is counted, never what is counted. Tier two is each
+worker's own bounded cache of what the table misses, filled by encoding. Pre-tokens are never
+shuffled: the sampled texts are dealt to SAMPLE_PARTS tasks, each of which reports its
+`table_size` most frequent ones to the driver.
 
 Defined results: a null or empty text has 0 tokens and 0 bytes; repeated rows each get their
 own result; other columns of the input are ignored; an empty input gives an empty result.
@@ -23,36 +24,40 @@ from pyspark.sql import functions as F
 
 from tessera.llm.bpe import CACHED_LENGTH, Recent, Vocabulary, vocabulary
 
-REPORT = 50_000
-COUNTED = 100_000
+SAMPLE_TEXTS, SAMPLE_PARTS = 10_000, 8
+COUNTED = 200_000
 LENGTHS_CACHED = 600_000
+SEED = 20240607
 
 
-def frequent_pretokens(docs: DataFrame, source, text_col: str, table_size: int) -> list[str]:
-    """The most frequent pre-tokens of all texts, table_size at most."""
+def frequent_pretokens(docs: DataFrame, source, text_col: str, table_size: int, sample_texts: int = SAMPLE_TEXTS) -> list[str]:
+    """The most frequent pre-tokens of a sample of the texts, table_size at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(source.value)
         seen: Counter[str] = Counter()
-        total = cut = 0
+        cut = 0
         for batch in batches:
             for text in chain.from_iterable(batch.column(0).slice(at, 512).to_pylist() for at in range(0, batch.num_rows, 512)):
                 for known, part in voc.pieces(text or ""):
                     if known is None:
-                        found = voc.pretokens(part)
-                        total += len(found)
-                        seen.update(found)
-                if len(seen) > COUNTED:  # what is dropped had few counts: the reports stay right but for these
+                        seen.update(voc.pretokens(part))
+                while len(seen) > COUNTED:  # in bounded memory: rare ones are forgotten
                     cut += 1
                     seen = Counter({t: c for t, c in seen.items() if c > cut})
-        least = max(2, total / REPORT)
-        out = [(t, c) for t, c in seen.items() if c >= least and len(t) <= CACHED_LENGTH]
+        out = [(t, c) for t, c in seen.most_common(table_size) if len(t) <= CACHED_LENGTH]
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], pa.string()), pa.array([c for _, c in out], pa.int64())], ["token", "n"])
 
-    reports = docs.select(text_col).mapInArrow(count, "token string, n long")
-    top = reports.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(table_size)
-    return [r[0] for r in top.select("token").collect()]
+    texts = docs.select(text_col)
+    n = texts.count()
+    if n > sample_texts:
+        texts = texts.sample(sample_texts / n, SEED)
+    reports = texts.limit(2 * sample_texts).repartition(SAMPLE_PARTS).mapInArrow(count, "token string, n long").toArrow()
+    total: Counter[str] = Counter()
+    for token, found in zip(reports.column(0).to_pylist(), reports.column(1).to_pylist()):
+        total[token] += found
+    return [t for t, c in sorted(total.items(), key=lambda x: (-x[1], x[0]))[:table_size] if c > 1]
 
 
 class _Lengths(dict):
@@ -66,18 +71,18 @@ class _Lengths(dict):
         return self.recent[token]
 
 
-def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, table_size: int = 50_000) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, table_size: int = 50_000, sample_texts: int = SAMPLE_TEXTS) -> DataFrame:
     """(id_col, n_bytes long, n_tokens long, over_limit boolean) of every whole text.
 
     Special strings inside a text count as one token each, as the library's default has it.
-    Two narrow passes over the texts; only the reports of `frequent_pretokens` are shuffled.
+    One narrow pass over the texts, after one that draws the sample.
     """
     sc = docs.sparkSession.sparkContext
     with open(tokenizer_path, encoding="utf-8") as f:
         raw = f.read()
     source = sc.broadcast(raw)
     voc = Vocabulary(raw)
-    table = sc.broadcast({t: len(voc.merge(t.encode())) for t in frequent_pretokens(docs, source, text_col, table_size)})
+    table = sc.broadcast({t: len(voc.merge(t.encode())) for t in frequent_pretokens(docs, source, text_col, table_size, sample_texts)})
     key = uuid.uuid4().hex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

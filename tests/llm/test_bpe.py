@@ -28,6 +28,37 @@ def test_vocabulary_equals_library(name):
         assert own.decode(ids) == lib.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_every_code_point(name):
+    """Each by itself, and between letters, digits, spaces and marks that it may join or reorder."""
+    path = public_tokenizers.path(name)
+    lib, own = Tokenizer.from_file(path), bpe.Vocabulary(open(path, encoding="utf-8").read())
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    plain = {p for p in points if 0x3400 <= ord(p) < 0xD7A4 or 0x17000 <= ord(p) < 0x18CD6 or 0x20000 <= ord(p)} - set("\U0002FA1D\U0002F800")  # all alike: one in 97 of them
+    some = [p for k, p in enumerate(points) if p not in plain or k % 97 == 0]
+    for texts in ([f"a{p}b 1{p}2 {p}" for p in some], [f"x\u0323{p}\u0301y" for p in some[: len(some) // 2]]):
+        for k in range(0, len(texts), 4096):
+            want = lib.encode_batch_fast(texts[k : k + 4096], add_special_tokens=False)
+            wrong = [hex(ord(some[k + j])) for j, (t, w) in enumerate(zip(texts[k : k + 4096], want)) if own.encode(t) != w.ids]
+            assert not wrong
+
+
+def test_long_pretoken():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, own = Tokenizer.from_file(path), bpe.Vocabulary(open(path, encoding="utf-8").read())
+    word = "".join(random.Random(2).choice("abcdetho") for _ in range(60_000))
+    assert own.merge(word.encode()) == lib.encode(word, add_special_tokens=False).ids
+
+
+def test_special_strings_of_any_form():
+    import json
+
+    spec = json.load(open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8"))
+    spec["added_tokens"][0]["content"] = "[END]"
+    lib, own = Tokenizer.from_str(json.dumps(spec)), bpe.Vocabulary(json.dumps(spec))
+    assert own.encode("a [END] b[END]") == lib.encode("a [END] b[END]", add_special_tokens=False).ids
+
+
 def test_merge_skips_stale_entries():
     """All orders of merging of repeated pairs: the lowest rank first, then the leftmost."""
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -52,13 +83,13 @@ def test_encode_digests(spark):
     assert bpe.encode_digests(docs.limit(0), path).count() == 0
 
 
-@pytest.mark.parametrize("table_size", [5, 50_000])
-def test_token_counts(spark, table_size):
+@pytest.mark.parametrize(("table_size", "sample"), [(5, 10_000), (50_000, 10_000), (50_000, 20)])
+def test_token_counts(spark, table_size, sample):
     data = [(i, t, 1) for i, t in enumerate(texts())]
     docs = spark.createDataFrame(data, "doc_id long, text string, n_bytes int").repartition(3)
     path = public_tokenizers.path("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
-    got = {r["doc_id"]: r for r in token_counts.token_counts(docs, path, limit=10, table_size=table_size).collect()}
+    got = {r["doc_id"]: r for r in token_counts.token_counts(docs, path, limit=10, table_size=table_size, sample_texts=sample).collect()}
     for i, t, _ in data:
         n = len(lib.encode(t or "", add_special_tokens=False).ids)
         assert (got[i]["n_tokens"], got[i]["n_bytes"], got[i]["over_limit"]) == (n, len((t or "").encode()), n > 10)
