@@ -3,29 +3,28 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the
 last return the columns of documents. `run` writes each stage's rows to the shared folder and reads
 them again as the next one's documents.
+
+Defined results: a null text is an empty one in every stage, it has the model's own probabilities
+(kept, unless most rated texts are rejected), is a duplicate of nothing and leaks nothing; rows are
+judged by their texts, whatever their ids, null or repeated; of equal rows one stays after the third
+stage; empty tables give empty results, and without labels or benchmark items nothing is rejected for
+them; other columns, of any names, go along to the last stage but one.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontamination, near_dedup, quality, toxicity
-from tessera.llm.scratch import written
+from tessera.llm.scratch import release, rounds, written
 from tessera.llm.tables import small_batches, table
 
 
-def grades(labels: DataFrame) -> DataFrame:
-    """(doc_id, grade) from the labels: 0 poor, 1 well written but toxic, 2 well written and fit."""
-    toxic = F.coalesce(F.col("toxic"), F.lit(0)) > 0
-    return labels.where("quality is not null").select("doc_id", F.when(F.col("quality") < 1, 0).when(toxic, 1).otherwise(2).alias("grade"))
-
-
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose grade is probably 1 or better; rejected ones go."""
     small_batches(spark)
-    return quality.drop_low(docs, quality.fit(docs, grades(table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))))
+    return quality.drop_low(docs, quality.fit(docs, quality.grades(table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))))
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,6 +64,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    with rounds() as made:
+        for name, stage in STAGES[:-1]:
+            docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            release(made, docs)
     return STAGES[-1][1](spark, docs, sf_dir)
