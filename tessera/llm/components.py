@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.hot import join_values
 from tessera.llm.scratch import discard, written
 
 
@@ -39,8 +40,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         left = fewer
     discard(left)
     nodes = edges.where("a <> b").select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("component", F.col("node"))
+    used: list[DataFrame] = []
     for roots in steps:
-        nodes = nodes.join(roots.select(F.col("x").alias("component"), "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        named = written(nodes, "named")
+        nodes = join_values(named, roots.select(F.col("x").alias("component"), "to"), "component").select("node", F.coalesce("to", "component").alias("component"))
+        used.append(named)
     out = written(nodes, "components")
-    discard(*steps)
+    discard(*steps, *used)
     return out

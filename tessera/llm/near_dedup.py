@@ -24,6 +24,7 @@ an empty result.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.arrays import mix, shingle_sets
 from tessera.llm.components import connected_components
-from tessera.llm.scratch import discard, written
+from tessera.llm.hot import join_values
+from tessera.llm.scratch import discard, release, rounds, written
 
 BANDS, ROWS, WIDTH = 48, 5, 5
 SKETCH = 128  # coordinates kept, a byte each, to dismiss pairs before their sets are fetched
@@ -303,10 +305,11 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     discard(open_, shared, members, hubs, likely, links)
 
     # the least id of each component and the row that is kept, for each class
-    labels = classes.select("node", "keeper_id", "digest").join(component, "node", "left").select("node", "keeper_id", "digest", F.coalesce("component", "node").alias("label"))
-    least = labels.groupBy("label").agg(_least("keeper_id", "node").alias("first"))
-    named = labels.join(least, "label").select("digest", F.col("first.keeper_id").alias("component_id"), F.col("first.node").alias("keeper"))
-    out = rows.select("doc_id", "text_key", "n_shingles", "digest", "row").join(named, "digest", "left")
+    labels = written(classes.select("node", "keeper_id", "digest").join(component, "node", "left").select("node", "keeper_id", "digest", F.coalesce("component", "node").alias("label")), "labels")
+    least = written(labels.groupBy("label").agg(_least("keeper_id", "node").alias("first")), "least")
+    named = written(join_values(labels, least, "label").select("digest", F.col("first.keeper_id").alias("component_id"), F.col("first.node").alias("keeper")), "named")
+    discard(labels, least, component, classes)
+    out = join_values(rows.select("doc_id", "text_key", "n_shingles", "digest", "row"), named, "digest")
     own = F.col("n_shingles") == 0
     return out.select(
         "doc_id", "text_key", "n_shingles", F.when(own, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (own | (F.col("row") == F.col("keeper"))).alias("kept")
@@ -325,15 +328,18 @@ def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     second join only if there are such rows. What goes is broadcast up to BROADCAST_IDS rows of it,
     else both sides are shuffled.
     """
-    found = written(_marked(docs, id_col, text_col), "near-duplicates")
-    keys = found.groupBy(F.col("doc_id").alias("_gone_id"), F.col("text_key.x").alias("_gone_x"), F.col("text_key.m").alias("_gone_m")).agg(
-        F.max(F.col("kept").cast("int")).alias("_any"), F.min(F.col("kept").cast("int")).alias("_all")
+    with rounds() as made:
+        found = written(_marked(docs, id_col, text_col), "near-duplicates")
+    release(made, found)
+    gone_id, gone_x, gone_m = (f"_gone_{uuid.uuid4().hex}" for _ in range(3))  # no names of docs
+    keys = found.groupBy(F.col("doc_id").alias(gone_id), F.col("text_key.x").alias(gone_x), F.col("text_key.m").alias(gone_m)).agg(
+        F.max(F.col("kept").cast("int")).alias("any"), F.min(F.col("kept").cast("int")).alias("all")
     )
-    keys = written(keys.where("_all = 0"), "gone")
+    keys = written(keys.where("all = 0"), "gone")
     discard(found)
     key = _text_key(text_col)
-    same = F.col(id_col).eqNullSafe(F.col("_gone_id")) & (key["x"] == F.col("_gone_x")) & (key["m"] == F.col("_gone_m"))
-    gone, again = keys.where("_any = 0"), keys.where("_any = 1")
+    same = F.col(id_col).eqNullSafe(F.col(gone_id)) & (key["x"] == F.col(gone_x)) & (key["m"] == F.col(gone_m))
+    gone, again = keys.where("any = 0").drop("any", "all"), keys.where("any = 1").drop("any", "all")
     left = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, same, "left_anti")
     n_again = again.count()
     if n_again == 0:

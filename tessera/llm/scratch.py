@@ -1,41 +1,7 @@
-"""Tables written between jobs, in the folder that all executors share."""
+"""Tables written between jobs, under the names that this subpackage uses."""
 
-from __future__ import annotations
+from tessera.sources.rounds import drop_round as discard
+from tessera.sources.rounds import keep_round as written
+from tessera.sources.rounds import release, rounds
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="tessera-")
-    return _own[app]
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written once as Parquet in the shared folder and read again: its lineage ends there.
-
-    Executors that are lost later cost no more than a new read. Files stay until `discard`.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._tessera_path = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete what `written` wrote for these frames; they can't be read any more."""
-    for df in frames:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._tessera_path)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+__all__ = ["discard", "release", "rounds", "written"]
