@@ -1,10 +1,12 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Which n-grams of 4 and 5 characters (bytes of the text with A-Z lower-cased and runs of anything but
-letters and digits as a space) a text has goes into 2**BITS buckets. Each bucket is scaled by the
-log of the ratio of its smoothed counts in toxic and other texts; a logistic regression with an L1
-penalty on the scaled buckets is fitted on the driver from a sample of at most `max_rows` labelled
-texts (MAX_ROWS by default). Scoring is one narrow pass over whole texts.
+Which n-grams of 4 and 5 characters (code points, in lower case; runs of anything but letters, marks
+and digits as one space) a text has goes into 2**BITS buckets. Each bucket is scaled by the log of the
+ratio of its smoothed counts in toxic and other texts; a logistic regression with an L1 penalty on the
+scaled buckets is fitted on the driver from a sample of at most `max_rows` labelled texts (MAX_ROWS by
+default) and at most `max_features` buckets (MAX_FEATURES by default), those whose ratio is surest among
+the buckets that LEAST_TEXTS texts have. Scoring is one narrow pass over whole texts; a text longer than
+a slice is worked through in blocks, and only its distinct buckets are held.
 
 Defined results: a null or empty text scores as one without n-grams (the intercept); repeated rows
 each get a result; labels other than 0 and 1 and null labels are left out of the fit; without both
@@ -13,15 +15,17 @@ classes in the sample the score is the (smoothed) share of label 1; other column
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrays import ngram_buckets, slices
+from tessera.llm.arrays import SLICE_BYTES, ngram_buckets, slices
 from tessera.llm.filters import keep_where
 from tessera.llm.samples import labelled_texts
 from tessera.llm.scratch import discard, written
@@ -30,10 +34,19 @@ BITS = 18
 LENGTHS = (4, 5)
 MAX_ROWS = 8_000
 MAX_FEATURES = 20_000
-_CODE = np.full(256, 32, np.uint8)
-for _b in [*range(48, 58), *range(97, 123), *range(128, 256)]:
-    _CODE[_b] = _b
-_CODE[65:91] = np.arange(97, 123)
+LEAST_TEXTS = 3
+BLANK = 32
+
+
+@cache
+def _folded() -> np.ndarray:
+    """For each code point below 2**17: its lower case if it is a letter, mark or digit, else a space."""
+    out = np.full(1 << 17, BLANK, np.uint32)
+    for c in range(1 << 17):
+        if unicodedata.category(chr(c))[0] in "LMN":
+            low = chr(c).lower()
+            out[c] = ord(low) if len(low) == 1 else c
+    return out
 
 
 @dataclass
@@ -43,34 +56,57 @@ class Model:
 
 
 def _codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes as codes, runs of separators as one; each text's first code."""
-    c = _CODE[data]
+    """Folded code points, runs of separators as one; each text's first. Planes above the second are letters."""
+    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+    bound = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
+    table = _folded()
+    c = np.where(points < len(table), table[np.minimum(points, len(table) - 1)], points)
     keep = np.ones(len(c), bool)
-    keep[1:] = (c[1:] != 32) | (c[:-1] != 32)
-    keep[offsets[:-1][offsets[:-1] < len(c)]] = True
-    return c[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
+    keep[1:] = (c[1:] != BLANK) | (c[:-1] != BLANK)
+    keep[bound[:-1][bound[:-1] < len(c)]] = True
+    return c[keep], np.concatenate([[0], np.cumsum(keep)])[bound]
+
+
+def _blocks(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """_codes at once, or for one text that is longer than a slice block by block, each after the last codes of the one before."""
+    if len(offsets) != 2 or len(data) <= SLICE_BYTES:
+        yield _codes(data, offsets)
+        return
+    before, lo = np.zeros(0, np.uint32), 0
+    while lo < len(data):
+        hi = min(lo + SLICE_BYTES, len(data))
+        while hi < len(data) and data[hi] & 0xC0 == 0x80:  # inside a character
+            hi += 1
+        codes, _ = _codes(data[lo:hi], np.array([0, hi - lo]))
+        if len(before) and len(codes) and before[-1] == BLANK == codes[0]:
+            codes = codes[1:]
+        codes = np.concatenate([before, codes])
+        yield codes, np.array([0, len(codes)])
+        before, lo = codes[len(codes) - min(len(codes), max(LENGTHS) - 1) :], hi
 
 
 def presence(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(text, bucket) pairs without repeats, sorted; only buckets where `wanted` is true."""
-    codes, bound = _codes(data, offsets)
     found = []
-    for n in LENGTHS:
-        bucket, first = ngram_buckets(codes, bound, n, BITS)
-        text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        if wanted is not None:
-            hit = wanted[bucket]
-            bucket, text = bucket[hit], text[hit]
-        found.append(text.astype(np.int64) << BITS | bucket)
+    for codes, bound in _blocks(data, offsets):
+        for n in LENGTHS:
+            bucket, first = ngram_buckets(codes, bound, n, BITS)
+            text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+            if wanted is not None:
+                hit = wanted[bucket]
+                bucket, text = bucket[hit], text[hit]
+            found.append(text.astype(np.int64) << BITS | bucket)
+        if len(offsets) == 2:
+            found = [np.unique(np.concatenate(found))]
     pairs = np.unique(np.concatenate(found))
     return pairs >> BITS, (pairs & ((1 << BITS) - 1)).astype(np.int32)
 
 
-def choose(p: np.ndarray, q: np.ndarray, pos: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The MAX_FEATURES buckets whose log-count ratio is surest, and their ratios, from counts in toxic (p) and other texts (q)."""
+def choose(p: np.ndarray, q: np.ndarray, pos: int, n: int, max_features: int = MAX_FEATURES) -> tuple[np.ndarray, np.ndarray]:
+    """The max_features buckets whose log-count ratio is surest, and their ratios, from counts in toxic (p) and other texts (q)."""
     ratio = np.log((p + 1) / (pos + 2)) - np.log((q + 1) / (n - pos + 2))
-    strength = np.where(p + q >= 3, np.abs(ratio) / np.sqrt(1 / (p + 1) + 1 / (q + 1)), 0)
-    chosen = np.argsort(-strength, kind="stable")[:MAX_FEATURES]
+    strength = np.where(p + q >= LEAST_TEXTS, np.abs(ratio) / np.sqrt(1 / (p + 1) + 1 / (q + 1)), 0)
+    chosen = np.argsort(-strength, kind="stable")[:max_features]
     chosen = np.sort(chosen[strength[chosen] > 0])
     return chosen, ratio[chosen]
 
@@ -112,8 +148,8 @@ def score_arrays(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndar
     return 1 / (1 + np.exp(-total))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model from at most max_rows labelled rows.
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", max_features: int = MAX_FEATURES) -> Model:
+    """A model of at most max_features buckets from at most max_rows labelled rows.
 
     N-grams are taken and counted on the executors; the driver gets the counts of the 2**BITS
     buckets, then the chosen buckets of each sampled text.
@@ -141,10 +177,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows:
     if not pos or pos == n:
         discard(sample)
         return unfitted(pos, n)
-    sums = sample.mapInArrow(counts, "bucket int, p long, q long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).where("p + q >= 3").toArrow()
+    sums = sample.mapInArrow(counts, "bucket int, p long, q long").groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("q").alias("q")).where(f"p + q >= {LEAST_TEXTS}").toArrow()
     p, q = np.zeros(1 << BITS), np.zeros(1 << BITS)
     p[sums.column(0).to_numpy()], q[sums.column(0).to_numpy()] = sums.column(1).to_numpy(), sums.column(2).to_numpy()
-    chosen, ratio = choose(p, q, pos, n)
+    chosen, ratio = choose(p, q, pos, n, max_features)
     if not len(chosen):
         discard(sample)
         return unfitted(pos, n)
