@@ -5,7 +5,8 @@ by all grades, and thresholds in ascending order. Features are frequencies in 2*
 character n-grams of the text's shape (letters and digits stand for their kind, the rest for itself)
 and of words that repeat one of the REPEATS words before them. The fit (on the driver, at most `max_rows` rated texts, MAX_ROWS by
 default) maximises the likelihood with an L2 penalty; it gives each text its expected grade and its
-tail probability P(grade >= cut), by which texts are selected.
+tail probability P(grade >= cut), by which texts are selected. Texts longer than a slice are worked through
+in blocks; 28 bytes for each of their words are held.
 
 Defined results: a null or empty text has no features and the thresholds' own probabilities;
 repeated rows each get a result; null grades are left out of the fit; a sample with one grade, or
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrays import ngram_buckets, slices, word_hashes
+from tessera.llm.arrays import ngram_blocks, slices, word_hashes
 from tessera.llm.filters import keep_where
 from tessera.llm.samples import labelled_texts
 
@@ -59,40 +60,47 @@ def tail_probability(model: Model, x: np.ndarray, cut: int) -> np.ndarray:
     return model.tail(x)[:, upper - 1] if upper < len(model.grades) else np.zeros(len(x))
 
 
-def tokens(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each family, the tokens' buckets and each text's first token."""
-    out = []
-    for codes, n in FAMILIES:
-        out.append(ngram_buckets(codes[data], offsets, n, BITS))
+def tokens(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(family, tokens' buckets, each text's first token); for a long text in blocks, so a family comes several times."""
+    for k, (codes, n) in enumerate(FAMILIES):
+        for bucket, first in ngram_blocks(codes, data, offsets, n, BITS):
+            yield k, bucket, first
     h, first = word_hashes(data, offsets)
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    text = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
     code = np.zeros(len(h), np.int32)
     for back in range(REPEATS, 0, -1):
         same = np.zeros(len(h), bool)
         same[back:] = (h[back:] == h[:-back]) & (text[back:] == text[:-back]) if len(h) > back else False
         code[same] = back
-    out.append((code, first))
-    return out
+    yield len(FAMILIES), code, first
 
 
 def total(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """w.x of each text."""
-    out = np.zeros(len(offsets) - 1)
-    for k, (bucket, first) in enumerate(tokens(data, offsets)):
+    weighed, count = np.zeros((len(FAMILIES) + 1, len(offsets) - 1)), np.zeros((len(FAMILIES) + 1, len(offsets) - 1))
+    for k, bucket, first in tokens(data, offsets):
         sums = np.concatenate([[0.0], np.cumsum(model.weights[k << BITS :][: 1 << BITS][bucket], dtype=np.float64)])
-        out += (sums[first[1:]] - sums[first[:-1]]) / (np.diff(first) + PSEUDO)
-    return out
+        weighed[k] += sums[first[1:]] - sums[first[:-1]]
+        count[k] += np.diff(first)
+    return (weighed / (count + PSEUDO)).sum(0)
 
 
 def frequencies(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Of each text: its features, and their frequencies."""
-    found = tokens(data, offsets)
-    for t in range(len(offsets) - 1):
+    n = len(offsets) - 1
+    found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(len(FAMILIES) + 1)]
+    for k, bucket, first in tokens(data, offsets):
+        if n == 1:  # maybe one of several blocks
+            more = np.bincount(bucket, minlength=1 << BITS)
+            found[k] = [(found[k][0][0] + more if found[k] else more, first)]
+        else:
+            found[k].append((bucket, first))
+    for t in range(n):
         keys, values = [], []
-        for k, (bucket, first) in enumerate(found):
-            b, n = np.unique(bucket[first[t] : first[t + 1]], return_counts=True)
+        for k, ((bucket, first),) in enumerate(found):
+            b, c = (np.flatnonzero(bucket), bucket[bucket > 0]) if n == 1 else np.unique(bucket[first[t] : first[t + 1]], return_counts=True)
             keys.append(b + (k << BITS))
-            values.append(n / (first[t + 1] - first[t] + PSEUDO))
+            values.append(c / (c.sum() + PSEUDO))
         yield np.concatenate(keys).astype(np.int32), np.concatenate(values).astype(np.float32)
 
 
@@ -137,6 +145,12 @@ def fit_arrays(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.nda
     return Model((w * inverse).astype(np.float32), theta + shift @ w, grades)
 
 
+def grades(labels: DataFrame) -> DataFrame:
+    """(doc_id, grade) from labels (doc_id, quality, toxic): 0 poor, 1 well written but toxic, 2 well written and fit."""
+    toxic = F.coalesce(F.col("toxic"), F.lit(0)) > 0
+    return labels.where("quality is not null").select("doc_id", F.when(F.col("quality") < 1, 0).when(toxic, 1).otherwise(2).alias("grade"))
+
+
 def fit(docs: DataFrame, ratings: DataFrame, grade_col: str = "grade", max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from at most max_rows rated texts; features are taken on the executors."""
 
