@@ -10,7 +10,13 @@ whole mixture's by more than words * log(g), g the largest gradient of the mean
 share. The prediction is the set's largest share, the score is that share.
 
 The fit counts trigrams on the executors, over about `per_language` texts of each language
-(PER_LANGUAGE by default), taken by hash at a rate that follows from the language's own count.
+(PER_LANGUAGE by default), taken by hash at a rate that follows from the language's own count. The
+model has 2**BITS numbers for each language and goes to every worker, so more than MAX_LANGUAGES
+languages are an error.
+
+A worker holds the likelihoods of a slice's words by all languages; slices are shorter the more
+languages there are. A text longer than a slice is read in blocks (a word that goes on after a block
+is two), and its words are taken once each, with their numbers.
 
 Defined results: a text that is null or has no letter is `und` with score 0 and no languages; so
 is every text if no language was learned. Null languages are left out of the fit. Repeated rows
@@ -27,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrays import ngram_buckets, slices, spans
+from tessera.llm.arrays import _BYTES, SLICE_BYTES, ngram_buckets, slices, span_hashes, spans
 
 BITS = 15
 PER_LANGUAGE = 2_000
@@ -45,69 +51,122 @@ class Model:
     logp: np.ndarray  # float32, language x bucket
 
 
-def word_trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Trigram buckets of all texts, the words' first and last trigrams, each text's first word."""
-    n = len(offsets) - 1
-    code = np.insert(data, offsets, 32)  # a space before each text and after the last
+def _folded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes with a space before each and after the last, letters folded and the rest blank; the words' starts and ends."""
+    code = np.insert(data, offsets, 32)
     letter = _LETTER[code]
     latin = np.zeros(len(code), bool)
     latin[1:] = (code[:-1] == 0xC3) & (code[1:] >= 0x80) & (code[1:] <= 0x9E) & (code[1:] != 0x97)
     code = np.where((code >= 65) & (code <= 90) | latin, code + np.uint8(32), code)
     code[~letter] = 32
-    start, end = spans(letter, np.array([0, len(code)]))
+    return code, *spans(letter, np.array([0, len(code)]))
+
+
+def word_trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Trigram buckets of all texts, the words' first and last trigrams, each text's first word."""
+    code, start, end = _folded(data, offsets)
     bucket, _ = ngram_buckets(code, np.array([0, len(code)]), 3, BITS)
-    first = np.searchsorted(start, offsets + np.arange(n + 1))
+    first = np.searchsorted(start, offsets + np.arange(len(offsets)))
     return bucket, start - 1, end - 1, first
 
 
+def _blocks(data: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of at most `limit` bytes that end between words, or inside a word that is longer."""
+    lo = 0
+    while lo < len(data):
+        hi = min(lo + limit, len(data))
+        if hi < len(data):
+            breaks = np.flatnonzero(~_LETTER[data[lo:hi]])
+            hi = lo + int(breaks[-1]) + 1 if len(breaks) else hi
+        yield lo, hi
+        lo = hi
+
+
 def count_trigrams(texts: pa.Array) -> np.ndarray:
     out = np.zeros(1 << BITS, np.int64)
     for _, _, data, offsets in slices(texts):
-        bucket, lo, hi, _ = word_trigrams(data, offsets)
-        inside = np.zeros(len(bucket) + 1, np.int32)
-        np.add.at(inside, lo, 1)
-        np.add.at(inside, hi, -1)
-        out += np.bincount(bucket[np.cumsum(inside[:-1]) > 0], minlength=1 << BITS)
+        for a, b in _blocks(data, SLICE_BYTES) if len(data) > SLICE_BYTES and len(offsets) == 2 else [(0, len(data))]:
+            bucket, lo, hi, _ = word_trigrams(data[a:b], np.array([0, b - a]) if b - a < len(data) else offsets)
+            inside = np.zeros(len(bucket) + 1, np.int32)
+            np.add.at(inside, lo, 1)
+            np.add.at(inside, hi, -1)
+            out += np.bincount(bucket[np.cumsum(inside[:-1]) > 0], minlength=1 << BITS)
     return out
 
 
+def slice_bytes(model: Model) -> int:
+    """So many bytes at once that their words' likelihoods stay small."""
+    return max(1 << 14, SLICE_BYTES * 8 // max(8, len(model.languages)))
+
+
+def _likelihoods(model: Model, bucket: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """words x languages: log-likelihoods."""
+    ll = np.empty((len(lo), len(model.languages)))
+    for k in range(len(model.languages)):
+        total = np.concatenate([[0.0], np.cumsum(model.logp[k][bucket], dtype=np.float64)])
+        ll[:, k] = total[hi] - total[lo]
+    return ll
+
+
+def _words(model: Model, data: np.ndarray, offsets: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log-likelihoods of words, how often each stands there, each text's first word. A long text has each word once."""
+    if len(offsets) != 2 or len(data) <= limit:
+        bucket, lo, hi, first = word_trigrams(data, offsets)
+        return _likelihoods(model, bucket, lo, hi), np.ones(len(lo)), first
+    seen, often, ll = np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, len(model.languages)))
+    for a, b in _blocks(data, limit):
+        code, start, end = _folded(data[a:b], np.array([0, b - a]))
+        words, at, back = np.unique(span_hashes(_BYTES[code], start, end), return_index=True, return_inverse=True)
+        more = np.bincount(back, minlength=len(words)).astype(float)
+        place = np.searchsorted(seen, words)
+        old = np.zeros(len(words), bool)
+        old[place < len(seen)] = seen[place[place < len(seen)]] == words[place < len(seen)]
+        often[place[old]] += more[old]
+        bucket, _ = ngram_buckets(code, np.array([0, len(code)]), 3, BITS)
+        new = at[~old]
+        both = np.concatenate([seen, words[~old]])
+        order = np.argsort(both, kind="stable")
+        seen, often = both[order], np.concatenate([often, more[~old]])[order]
+        ll = np.concatenate([ll, _likelihoods(model, bucket, start[new] - 1, end[new] - 1)])[order]
+    return ll, often, np.array([0, len(seen)])
+
+
 def model_of(languages: list[str], counts: np.ndarray) -> Model:
     """Smoothed log probabilities from a row of trigram counts for each language."""
     p = counts + 0.5
     return Model(languages, np.log(p / p.sum(1, keepdims=True)).astype(np.float32) if len(languages) else np.zeros((0, 1 << BITS), np.float32))
 
 
-def _mixture(lik: np.ndarray, text: np.ndarray, first: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """EM from `share` (texts x languages): the proportions, and each word's log of its mixed likelihood. Every text has words."""
-    n = np.diff(first)[:, None]
+def _mixture(lik: np.ndarray, often: np.ndarray, text: np.ndarray, first: np.ndarray, share: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """EM from `share` (texts x languages): the proportions, and each word's log of its mixed likelihood, as often as it stands there. Every text has words."""
+    n = np.add.reduceat(often, first[:-1])[:, None]
     for _ in range(rounds):
         part = share[text] * lik
-        part /= part.sum(1, keepdims=True)
+        part *= (often / part.sum(1))[:, None]
         share = np.maximum(np.add.reduceat(part, first[:-1], axis=0) / n, 1e-9)
-    return share, np.log((share[text] * lik).sum(1))
+    return share, often * np.log((share[text] * lik).sum(1))
 
 
-def proportions(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def proportions(model: Model, data: np.ndarray, offsets: np.ndarray, limit: int = SLICE_BYTES) -> np.ndarray:
     """texts x languages: the shares of the selected languages, 0 elsewhere; all 0 for a text without words."""
     n, size = len(offsets) - 1, len(model.languages)
     out = np.zeros((n, size))
-    bucket, lo, hi, first = word_trigrams(data, offsets)
+    if not size:
+        return out
+    ll, often, first = _words(model, data, offsets, limit)
     has = np.flatnonzero(np.diff(first))
-    if not len(has) or not size:
+    if not len(has):
         return out
-    ll = np.empty((len(lo), size))
-    for k in range(size):
-        total = np.concatenate([[0.0], np.cumsum(model.logp[k][bucket], dtype=np.float64)])
-        ll[:, k] = total[hi] - total[lo]
     bound = np.concatenate([first[has], first[-1:]])
-    words = np.diff(bound)
-    text = np.repeat(np.arange(len(has)), words)
-    top = ll.max(1)
-    lik = np.maximum(np.exp(ll - top[:, None]), 1e-30)
-    share, mixed = _mixture(lik, text, bound, np.full((len(has), size), 1 / size), ROUNDS)
+    rows = np.diff(bound)
+    words = np.add.reduceat(often, bound[:-1])
+    text = np.repeat(np.arange(len(has)), rows)
+    ll -= ll.max(1)[:, None]
+    lik = np.maximum(np.exp(ll, out=ll), 1e-30, out=ll)
+    share, mixed = _mixture(lik, often, text, bound, np.full((len(has), size), 1 / size), ROUNDS)
     order = np.argsort(-share, axis=1, kind="stable")
     # what any set can reach, less nothing for its languages (by Jensen's inequality; shares sum to 1 up to their floor)
-    gradient = np.add.reduceat(lik / np.exp(mixed)[:, None], bound[:-1], axis=0).max(1) / words
+    gradient = np.add.reduceat(lik * (often / np.exp(mixed / often))[:, None], bound[:-1], axis=0).max(1) / words
     reach = np.minimum(np.add.reduceat(mixed, bound[:-1]) + words * np.log(gradient), 0.0) + 1e-6 * words
     best = np.full(len(has), -np.inf)
     for k in range(1, size + 1):
@@ -117,11 +176,11 @@ def proportions(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
         if not len(at):
             break
         chosen = order[at, :k]
-        of = np.repeat(np.arange(len(at)), words[at])
-        ends = np.concatenate([[0], np.cumsum(words[at])])
+        of = np.repeat(np.arange(len(at)), rows[at])
+        ends = np.concatenate([[0], np.cumsum(rows[at])])
         part = np.take_along_axis(lik[left[text]], chosen[of], 1)
         start = np.take_along_axis(share[at], chosen, 1)
-        got, mixed = _mixture(part, of, ends, start / start.sum(1, keepdims=True), ROUNDS if k > 1 else 0)
+        got, mixed = _mixture(part, often[left[text]], of, ends, start / start.sum(1, keepdims=True), ROUNDS if k > 1 else 0)
         value = np.add.reduceat(mixed, ends[:-1]) - cost[at]
         better = value > best[at]
         at = at[better]
@@ -134,13 +193,15 @@ def proportions(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Trigram distributions of the languages in lang_col, from about per_language texts of each."""
     known = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()}
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
         return model_of([], np.zeros((0, 1 << BITS)))
     languages = sorted(sizes)
     of = {lang: k for k, lang in enumerate(languages)}
     rates = known.sparkSession.createDataFrame([(lang, k, min(1.0, per_language / sizes[lang])) for lang, k in of.items()], "lang string, k int, rate double")
-    taken = known.join(F.broadcast(rates), "lang").where((F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(float(1 << 30))) < F.col("rate")).select("k", "text")
+    taken = known.join(F.broadcast(rates), "lang").where((F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))) < F.col("rate")).select("k", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -165,10 +226,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        limit = slice_bytes(model)
         for batch in batches:
             lettered = batch.column(2).to_numpy(zero_copy_only=False)
-            for a, b, data, offsets in slices(batch.column(1)):
-                got = proportions(model, data, offsets)
+            for a, b, data, offsets in slices(batch.column(1), limit):
+                got = proportions(model, data, offsets, limit)
                 ok = lettered[a:b] & (got.sum(1) > 0) if len(model.languages) else np.zeros(b - a, bool)
                 best = got.argmax(1) if len(model.languages) else np.zeros(b - a, int)
                 langs = [model.languages[k] if good else UNKNOWN for k, good in zip(best, ok)]
