@@ -16,14 +16,16 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from tessera.llm.scratch import written
+
 RULES_BROADCAST = 2_000_000
 TOKENS_AT_ONCE = 5_000
 
@@ -47,15 +49,16 @@ class Rule:
         return {t for t in [*self.host.split("."), *whole] if t and "*" not in t}
 
     def pattern(self) -> str:
-        """Over the host, a newline and the path."""
-        host = r"[^.\n]*".join(map(re.escape, self.host.split("*")))
-        path = "[^\n]*".join(map(re.escape, self.path.split("*")))
-        return rf"(?:[^\n]*\.)?{host}\n{path}"
+        """Over the host, a # (which neither can hold) and the path."""
+        host = r"[^.#]*".join(map(re.escape, self.host.split("*")))
+        path = "[^#]*".join(map(re.escape, self.path.split("*")))
+        return rf"(?:[^#]*\.)?{host}\#{path}"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host: after the first :// up to / ? # or the end, A-Z lower-cased; path: then up to ? # or the end."""
-    rest = F.when(F.instr(url, "://") > 0, F.expr("substring(_url, instr(_url, '://') + 3)")).otherwise("")
+    at = F.instr(url, "://")
+    rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
     host = F.regexp_extract(rest, r"^[^/?#]*", 0)
     path = F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
     a_z = "abcdefghijklmnopqrstuvwxyz"
@@ -78,10 +81,10 @@ def index(rules: list[Rule], frequency: dict[str, int]) -> tuple[dict[str, list[
     return dict(by_token), always
 
 
-def token_frequency(pages: DataFrame, rules: list[Rule]) -> dict[str, int]:
-    """In how many URLs each token of the rules is found, over all URLs."""
+def token_frequency(hosts: DataFrame, rules: list[Rule]) -> dict[str, int]:
+    """In how many URLs each token of the rules is found, over all of hosts (host, path)."""
     wanted = sorted({t for r in rules for t in r.tokens()})
-    found = pages.select(F.explode(F.array_distinct(F.concat(F.split("_host", r"\."), F.split("_path", "/")))).alias("token"))
+    found = hosts.select(F.explode(F.array_distinct(F.concat(F.split("host", r"\."), F.split("path", "/")))).alias("token"))
     out: dict[str, int] = {}
     for k in range(0, len(wanted), TOKENS_AT_ONCE):
         part = found.where(F.col("token").isin(wanted[k : k + TOKENS_AT_ONCE]))
@@ -89,40 +92,47 @@ def token_frequency(pages: DataFrame, rules: list[Rule]) -> dict[str, int]:
     return out
 
 
-def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", url_col: str = "url") -> DataFrame:
-    """pages with host, path, rule (the winning rule's text, else null) and verdict (else `default`).
-
-    Narrow: the rules are broadcast (RULES_BROADCAST at most), nothing is shuffled but the counts
-    of the rules' own tokens.
-    """
-    if len(rules) > RULES_BROADCAST:
-        raise ValueError(f"{len(rules)} rules; {RULES_BROADCAST} fit into a worker")
-    spark = pages.sparkSession
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "_url", "_host", "_path")]
-    host, path = host_and_path(F.col("_url"))
-    parts = pages.withColumn("_url", F.col(url_col)).withColumn("_host", host).withColumn("_path", path)
-    by_token, always = index(rules, token_frequency(parts, rules))
+def _matcher(spark: SparkSession, rules: list[Rule], frequency: dict[str, int], default: str, url_at: int, kept: list[str]) -> Callable:
+    """The function over Arrow batches whose last columns are host, path, rule and verdict so far (a rule may have been found already)."""
+    by_token, always = index(rules, frequency)
     shared = spark.sparkContext.broadcast((by_token, always, [(r.verdict, r.text, r.pattern()) for r in rules]))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_token, always, known = shared.value
         compiled: dict[int, re.Pattern] = {}
         for batch in batches:
-            rule, verdict = [], []
-            for host, path in zip(batch.column("_host").to_pylist(), batch.column("_path").to_pylist()):
-                best = None
-                if host:
-                    tried = {k for t in url_tokens(host, path) if t in by_token for k in by_token[t]}
-                    for k in sorted(tried.union(always), key=lambda k: (-len(known[k][1]), k)):
-                        if (p := compiled.get(k)) is None:
-                            p = compiled[k] = re.compile(known[k][2])
-                        if p.match(f"{host}\n{path}"):
-                            best = k
-                            break
-                rule.append(None if best is None else known[best][1])
-                verdict.append(default if best is None else known[best][0])
-            cols = {c: batch.column(c) for c in kept} | {"host": batch.column("_host"), "path": batch.column("_path"), "rule": pa.array(rule, pa.string()), "verdict": pa.array(verdict, pa.string())}
-            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
-
-    schema = StructType([pages.schema[c] for c in kept] + [StructField(c, StringType()) for c in ("host", "path", "rule", "verdict")])
-    return parts.select(*kept, "_host", "_path").mapInArrow(judge, schema)
+            *_, hosts, paths, rule, verdict = (batch.column(k).to_pylist() if k >= url_at else None for k in range(batch.num_columns))
+            for i, (host, path) in enumerate(zip(hosts, paths)):
+                if not host:
+                    continue
+                tried = {k for t in url_tokens(host, path) if t in by_token for k in by_token[t]}
+                for k in sorted(tried.union(always), key=lambda k: (-len(known[k][1]), k)):
+                    if rule[i] is not None and len(rule[i]) >= len(known[k][1]):
+                        break  # an earlier block's rule is as long
+                    if (p := compiled.get(k)) is None:
+                        p = compiled[k] = re.compile(known[k][2])
+                    if p.match(f"{host}#{path}"):
+                        rule[i], verdict[i] = known[k][1], known[k][0]
+                        break
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(rule, pa.string()), pa.array(verdict, pa.string())], [*kept, "host", "path", "rule", "verdict"])
+
+    return judge
+
+
+def filter_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", url_col: str = "url", rules_at_once: int = RULES_BROADCAST) -> DataFrame:
+    """pages with host, path, rule (the winning rule's text, else null) and verdict (else `default`).
+
+    Narrow: the rules are broadcast, rules_at_once at most; more rules go in several passes, whose
+    results are written in between. Nothing is shuffled but the counts of the rules' own tokens.
+    """
+    spark = pages.sparkSession
+    host, path = host_and_path(F.col(url_col))
+    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    out = pages.select(*kept, host.alias("host"), path.alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    schema = StructType([*out.schema.fields[:-1], StructField("verdict", StringType())])
+    frequency = token_frequency(out.select("host", "path"), rules)
+    for k in range(0, max(1, len(rules)), rules_at_once):
+        if k:
+            out = written(out, "urls")
+        out = out.mapInArrow(_matcher(spark, rules[k : k + rules_at_once], frequency, default, len(kept), kept), schema)
+    return out
