@@ -3,8 +3,9 @@
 The shuffle of n rows into s shards is done as it would be between machines: draw how many rows
 each source partition gives to each shard (a random matrix whose margins are the partitions'
 and the shards' sizes, so the draws are multivariate hypergeometric), permute each partition by
-itself and cut it by its row of the matrix, exchange, and permute each shard again. Every one of
-the n! orders is as likely as any other, and the shard sizes are exact.
+itself and cut it by its row of the matrix, exchange, and permute each shard again. With true random
+numbers every one of the n! orders would be as likely as any other; here the draws follow from `seed`
+and the permutations are by hashes of it and the row's place. The shard sizes are exact.
 
 DataFrame functions only: the texts are measured in the scan and never shuffled; what moves is a
 row of a few numbers. The driver holds one small number for each source partition and shard, of
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import math
 import random
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,8 +93,8 @@ def shuffle_shards(docs: DataFrame, shards: int = 8, seed: int = 20240607, id_co
     n = sum(c for _, c in counts)
     sizes = [n // shards + (k < n % shards) for k in range(shards)]
     matrix = communication_matrix([c for _, c in counts], sizes, seed)
-    cuts = [f"({p}, array({', '.join(f'{sum(row[: k + 1])}L' for k in range(shards))}))" for (p, _), row in zip(counts, matrix)]
-    ends = spark.sql("SELECT * FROM VALUES " + (", ".join(cuts) or "(-1, array(0L))") + " AS m(_from, _ends)")
+    cuts = [(p, list(accumulate(row))) for (p, _), row in zip(counts, matrix)]
+    ends = spark.createDataFrame(cuts, "_from int, _ends array<long>")
 
     def draw(salt: int):
         return F.xxhash64(F.lit(seed + salt), F.col("_row"))
