@@ -40,7 +40,7 @@ DIGITS_16 = "10D40-10D49 116D0-116E3 11BF0-11BF9 16130-16139 16D70-16D79 1CCF0-1
 CAPITALS_17 = "1C89=1C8A A7CB=264 A7CC=A7CD A7CE=A7CF A7D2=A7D3 A7D4=A7D5 A7DA=A7DB A7DC=19B 10D50-10D65=10D70 16EA0-16EB8=16EBB"
 # fixed values: characters with a combining class, or that compose, added from Unicode 10 to 15.1
 MARKS_10 = "7FD 898-89F 8CA-8D3 9FE C3C D3B-D3C EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85 11070 1133B 1145E 11839-1183A 11930 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"
-CACHE_ENTRIES = 320_000
+CACHE_ENTRIES = 400_000
 CACHED_LENGTH = 64
 _loaded: dict[tuple, Vocabulary] = {}
 
@@ -90,17 +90,17 @@ _NEW_CAPITALS = re.compile(f"[{_class(set(_CAPITALS))}]")
 
 def _normal(kind: str, text: str) -> str:
     """A normal form in which the newest marks stay where they are."""
-    if text.isascii():
-        return text
-    if _MARKS.search(text):
-        return "".join(p if k % 2 else unicodedata.normalize(kind, p) for k, p in enumerate(_MARKS.split(text)))
-    return unicodedata.normalize(kind, text)
+    return "".join(p if k % 2 else unicodedata.normalize(kind, p) for k, p in enumerate(_MARKS.split(text)))
 
 
 def _lower(text: str) -> str:
     """Lower case of each character by itself: a sigma that ends a word isn't special."""
-    low = text.lower() if text.isascii() or "Σ" not in text else "".join(map(str.lower, text))
-    return low if low.isascii() or not _NEW_CAPITALS.search(low) else low.translate(_CAPITALS)
+    return text.lower() if "Σ" not in text else "".join(map(str.lower, text))
+
+
+def _newest_lower(text: str) -> str:
+    low = _lower(text)
+    return low.translate(_CAPITALS) if _NEW_CAPITALS.search(low) else low
 
 
 def byte_symbols() -> list[str]:
@@ -114,7 +114,7 @@ class Recent(dict):
     """A bounded cache in two generations: a full young one becomes the old one, and what is used again moves back.
 
     Lookups by [] of what is young stay inside the interpreter's dict; there are at most `entries`,
-    with about CACHED_LENGTH times as many characters and one key more.
+    with about CACHED_LENGTH times as many characters; keys longer than four times that aren't kept.
     """
 
     def __init__(self, make: Callable, entries: int = CACHE_ENTRIES):
@@ -125,6 +125,8 @@ class Recent(dict):
         value = self.old.pop(token, None)
         if value is None:
             value = self.make(token)
+        if len(token) > 4 * CACHED_LENGTH:
+            return value
         if 2 * len(self) >= self.entries or 2 * self.held >= self.entries * CACHED_LENGTH:
             self.old = dict(self)
             self.clear()
@@ -153,38 +155,40 @@ class Vocabulary:
         symbols = byte_symbols()
         self.first = [self.ids.get(s, -1) for s in symbols]
         self.last = [self.ids.get(s + self.suffix, -1) for s in symbols]
+        self.holes = -1 in self.first or -1 in self.last
         self.bytes_of = {s: b for b, s in enumerate(symbols)}
         self.byte_decoder = (spec.get("decoder") or {}).get("type") == "ByteLevel"
-        self.steps = self._normalizers(spec.get("normalizer"))
-        self.pattern = regex.compile(self._pattern(spec["pre_tokenizer"]))
-        self.exact_pattern = regex.compile(_exact(self.pattern.pattern))
-        self.odd = re.compile(f"[{_class(set().union(*chain.from_iterable(odd_classes().values())))}]")
+        pattern = self._pattern(spec["pre_tokenizer"])
+        self.pattern, self.exact_pattern = regex.compile(pattern), regex.compile(_exact(pattern))
+        self.steps, self.exact_steps = self._normalizers(spec.get("normalizer"), False), self._normalizers(spec.get("normalizer"), True)
+        odd = set().union(*chain.from_iterable(odd_classes().values()))
+        self.odd = re.compile(f"[{_class(odd)}]")
+        self.high = re.compile(f"[{chr(min(odd | _points(MARKS_10) | set(_CAPITALS)))}-\U0010ffff]")  # below it, all releases agree
         blank = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
         if not self.pattern.search(regex.sub(r"\S", "", blank)):  # runs of white space as one space change nothing where no pre-token has any
-            self.steps = [f for f in self.steps if getattr(f, "spaces", None) is None]
+            self.steps, self.exact_steps = ([f for f in steps if getattr(f, "spaces", None) is None] for steps in (self.steps, self.exact_steps))
         self.coded = Recent(self._code)
-        self.cache = Recent(lambda t: tuple(self.merge(t.encode())))
 
     def _code(self, token: str) -> bytes:
         """A pre-token's ids as little-endian unsigned 32-bit integers."""
         return np.array(self.merge(token.encode()), "<u4").tobytes() if sys.byteorder != "little" else array("I", self.merge(token.encode())).tobytes()
 
     @staticmethod
-    def _normalizers(spec: dict | None) -> list:
+    def _normalizers(spec: dict | None, exact: bool) -> list:
         if not spec:
             return []
         out = []
         for step in spec["normalizers"] if spec["type"] == "Sequence" else [spec]:
             kind = step["type"]
             if kind in ("NFC", "NFD", "NFKC", "NFKD"):
-                out.append(partial(_normal, kind))
+                out.append(partial(_normal if exact else unicodedata.normalize, kind))
             elif kind == "Replace":
                 p = step["pattern"]
                 out.append(lambda s, p=regex.compile(p.get("Regex") or regex.escape(p["String"])), c=step["content"]: p.sub(lambda _: c, s))
                 if (p.get("Regex"), step["content"]) == (r"\s+", " "):
                     out[-1].spaces = True
             elif kind == "Lowercase":
-                out.append(_lower)
+                out.append(_newest_lower if exact else _lower)
             else:
                 raise ValueError(f"unknown normalizer {kind}")
         return out
@@ -202,11 +206,13 @@ class Vocabulary:
         return split["pattern"]["Regex"]
 
     def pretokens(self, text: str) -> list[str]:
-        for f in self.steps:
+        if text.isascii() or not self.high.search(text):
+            for f in self.steps:
+                text = f(text)
+            return self.pattern.findall(text)
+        for f in self.exact_steps:
             text = f(text)
-        if not text.isascii() and self.odd.search(text):
-            return self.exact_pattern.findall(text)
-        return self.pattern.findall(text)
+        return (self.exact_pattern if self.odd.search(text) else self.pattern).findall(text)
 
     def pieces(self, text: str) -> Iterator[tuple[int | None, str]]:
         """(id, string) of special strings, (None, string) of the text between them."""
@@ -221,13 +227,15 @@ class Vocabulary:
         """Ids of one pre-token's bytes; a symbol that was merged into the one before it becomes -1."""
         if not raw:
             return []
-        sym = [self.first[b] for b in raw[:-1]] + [self.last[raw[-1]]] if len(raw) < 4096 else array("i", chain((self.first[b] for b in raw[:-1]), (self.last[raw[-1]],)))
-        if -1 in sym:  # the model has no unknown token: such a symbol has no id
+        n, first = len(raw), self.first
+        kind = list if n < 4096 else partial(array, "i")
+        sym = kind([first[b] for b in raw])
+        sym[-1] = self.last[raw[-1]]
+        if self.holes and -1 in sym:  # the model has no unknown token: such a symbol has no id
             sym = [s for s in sym if s >= 0]
-        n = len(sym)
+            n = len(sym)
         merges = self.merges
-        after, before = (range(1, n + 1), range(-1, n - 1))
-        after, before = (list(after), list(before)) if n < 4096 else (array("i", after), array("i", before))
+        after, before = kind(range(1, n + 1)), kind(range(-1, n - 1))
         queue = [m[0] << 32 | i for i in range(n - 1) if (m := merges.get((sym[i], sym[i + 1])))]
         heapq.heapify(queue)
         while queue:
@@ -236,7 +244,8 @@ class Vocabulary:
             j = after[i]
             if j >= n or sym[i] < 0 or (m := merges.get((sym[i], sym[j]))) is None or m[0] != top >> 32:
                 continue  # stale: one of the two was merged meanwhile
-            sym[i], sym[j] = new, _ = m[1], -1
+            new = sym[i] = m[1]
+            sym[j] = -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
@@ -247,15 +256,18 @@ class Vocabulary:
                 heapq.heappush(queue, m[0] << 32 | h)
         return [s for s in sym if s >= 0]
 
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        for known, part in self.pieces(text or ""):
+    def encoded(self, text: str) -> bytes:
+        """The ids of the text as little-endian unsigned 32-bit integers."""
+        get, raw = self.coded.__getitem__, []
+        for known, piece in self.pieces(text):
             if known is not None:
-                out.append(known)
+                raw.append(np.array([known], "<u4").tobytes())
             else:
-                for ids in map(self.cache.__getitem__, self.pretokens(part)):
-                    out += ids
-        return out
+                raw += map(get, self.pretokens(piece))
+        return b"".join(raw)
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.encoded(text or ""), "<u4").tolist()
 
     def decode(self, ids) -> str:
         """Vocabulary strings of known ids put together: by spaces where the file names no decoder, else as bytes."""
@@ -301,19 +313,12 @@ def _apply(docs: DataFrame, path: str, id_col: str, text_col: str, kind: str) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(source.value)
-        get = voc.coded.__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 n, first, second = [], [], []
                 for text in part.column(1).to_pylist():
-                    raw = []
-                    for known, piece in voc.pieces(text or ""):
-                        if known is not None:
-                            raw.append(np.array([known], "<u4").tobytes())
-                        else:
-                            raw += map(get, voc.pretokens(piece))
-                    ids = b"".join(raw)
+                    ids = voc.encoded(text or "")
                     text = voc.decode(np.frombuffer(ids, "<u4").tolist())
                     n.append(len(ids) // 4)
                     first.append(hashlib.sha256(ids).hexdigest() if kind == "digests" else np.frombuffer(ids, "<i4"))
