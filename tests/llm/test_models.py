@@ -1,15 +1,20 @@
 """Classifiers on planted signals, language mixtures, decontamination, and the pipeline's stages."""
 
 import random
+import re
+import unicodedata
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import decontamination as dec
-from tessera.llm import languages, quality, toxicity
+from tessera.llm import arrays, languages, quality, toxicity
 from tessera.llm import queries as q
+from tessera.llm.arrays import slices
 
 D = "/root/testdata/sf0.01"
 
@@ -119,6 +124,89 @@ def test_language_sets_of_any_size(spark):
     assert got[2]["languages"] == {"dd": 1.0}
 
 
+def test_long_texts_in_blocks(monkeypatch):
+    """Every kernel gives a text that is longer than a slice what it gives the same text as a whole."""
+    rng = random.Random(9)
+    text = " ".join(rng.choice(["Über", "ça", "ÉTÉ!!", "naïve", "12,5", "the", "the", "日本語", "x-y", "Ωmega"]) + str(rng.randrange(9)) * rng.randrange(2) for _ in range(900)) + "zz" * 200
+    data, offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])
+    weights = np.random.default_rng(1).normal(size=(len(quality.FAMILIES) + 1) << quality.BITS).astype(np.float32)
+    graded = quality.Model(weights, np.array([0.0, 1.0]), [0, 1, 2])
+    model = languages.model_of(["aa", "bb", "cc"], np.random.default_rng(2).integers(0, 50, (3, 1 << languages.BITS)).astype(float))
+    whole = quality.total(graded, data, offsets), list(quality.frequencies(data, offsets))[0], toxicity.presence(data, offsets)[1], languages.proportions(model, data, offsets), languages.count_trigrams(pa.array([text]))
+    for size in (64, 500, 3000):
+        for m in (toxicity, languages, arrays):
+            monkeypatch.setattr(m, "SLICE_BYTES", size)
+        assert np.allclose(whole[0], quality.total(graded, data, offsets))
+        assert all(np.allclose(a, b) for a, b in zip(whole[1], list(quality.frequencies(data, offsets))[0]))
+        assert np.array_equal(whole[2], toxicity.presence(data, offsets)[1])
+        if size > 500:  # the last word is longer than the smaller ones
+            assert np.allclose(whole[3], languages.proportions(model, data, offsets, size))
+            assert np.array_equal(whole[4], languages.count_trigrams(pa.array([text])))
+
+
+def test_brute_force_scores(spark):
+    """The array kernels against plain Python, with weights at random."""
+    rng, gen = random.Random(10), np.random.default_rng(3)
+    texts = ["", "a", "Ab cd", "ÀÉ  naïve,  日本語テスト ok", "x" * 40, "the the cat the cat"] + [prose(rng, rng.randrange(1, 60)) for _ in range(40)]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    model = toxicity.Model((gen.normal(size=1 << toxicity.BITS) * (gen.random(1 << toxicity.BITS) < 0.3)).astype(np.float32), -0.2)
+    bucket = lambda codes, n, bits: int(arrays.ngram_buckets(np.array(codes, np.uint32), np.array([0, len(codes)]), n, bits)[0][0])
+    got = toxicity.score_arrays(model, data, offsets)
+    for t, s in zip(texts, got):
+        folded = re.sub(" +", " ", "".join(c.lower() if unicodedata.category(c)[0] in "LMN" else " " for c in t))
+        have = {bucket([*map(ord, folded[k : k + n])], n, toxicity.BITS) for n in (4, 5) for k in range(len(folded) - n + 1)}
+        assert abs(s - 1 / (1 + np.exp(-(sum(float(model.weights[b]) for b in have) - 0.2)))) < 1e-5
+    weights = gen.normal(size=(len(quality.FAMILIES) + 1) << quality.BITS).astype(np.float32)
+    graded = quality.Model(weights, np.array([0.0, 1.0]), [0, 1, 2])
+    for t, x in zip(texts, quality.total(graded, data, offsets)):
+        want, raw, words = 0.0, t.encode(), t.lower().encode().split()
+        for k, (codes, n) in enumerate(quality.FAMILIES):
+            grams = [bucket([int(codes[b]) for b in raw[i : i + n]], n, quality.BITS) for i in range(len(raw) - n + 1)]
+            want += sum(float(weights[(k << quality.BITS) + g]) for g in grams) / (len(grams) + quality.PSEUDO)
+        near = [next((d for d in range(1, quality.REPEATS + 1) if i >= d and words[i - d] == w), 0) for i, w in enumerate(words)]
+        want += sum(float(weights[(len(quality.FAMILIES) << quality.BITS) + d]) for d in near) / (len(words) + quality.PSEUDO)
+        assert abs(x - want) < 1e-4
+
+
+def test_language_sets_by_brute_force():
+    """Proportions against a plain search: EM over all sets of leading languages."""
+    rng = random.Random(11)
+    names = ["aa", "bb", "cc", "dd"]
+    model = languages.model_of(names, np.random.default_rng(4).integers(0, 400, (4, 1 << languages.BITS)).astype(float) ** 2)
+    texts = [" ".join("".join(rng.choice("abcdefgé") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 30))) for _ in range(30)]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    got = languages.proportions(model, data, offsets)
+
+    def em(lik, share):
+        for _ in range(languages.ROUNDS):
+            part = share * lik
+            share = np.maximum((part / part.sum(1, keepdims=True)).mean(0), 1e-9)
+        return share, np.log((share * lik).sum(1)).sum()
+
+    for t, row in zip(texts, got):
+        ll = []
+        for word in t.encode().split():
+            code = np.frombuffer(b" " + word + b" ", np.uint8)
+            grams = arrays.ngram_buckets(code, np.array([0, len(code)]), 3, languages.BITS)[0]
+            ll.append(model.logp[:, grams].astype(float).sum(1))
+        lik = np.maximum(np.exp(np.array(ll) - np.max(ll, 1, keepdims=True)), 1e-30)
+        order = np.argsort(-em(lik, np.full(4, 0.25))[0], kind="stable")
+        start, best = em(lik, np.full(4, 0.25))[0], None
+        for k in range(1, 5):
+            pick = order[:k]
+            share, value = em(lik[:, pick], start[pick] / start[pick].sum()) if k > 1 else (np.ones(1), np.log(lik[:, pick[0]]).sum())
+            value -= languages.PENALTY * (k - 1) * np.log1p(len(ll))
+            if best is None or value > best[0]:
+                best = value, {int(p): float(s) for p, s in zip(pick, share)}
+        assert np.allclose(row, [best[1].get(k, 0.0) for k in range(4)], atol=1e-6)
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(languages, "MAX_LANGUAGES", 2)
+    with pytest.raises(ValueError, match="languages"):
+        languages.fit(spark.createDataFrame([(i, "abc", str(i)) for i in range(3)], "doc_id long, text string, lang string"))
+
+
 ITEMS = [
     (1, "Alice has 12 apples and gives 5 apples to Bob before walking 3 km home, how many apples remain with Alice?"),
     (2, "what is the capital of the large country that lies south of the river"),
@@ -163,15 +251,89 @@ def test_items_of_few_plain_words(spark, windows):
     assert sorted(r["doc_id"] for r in kept.collect()) == [7, 8, 9, 10]
 
 
-def test_inconsistent_slots_are_no_match(spark):
+@pytest.mark.parametrize("windows", [0, dec.BROADCAST_WINDOWS])
+def test_inconsistent_slots_are_no_match(spark, windows):
+    """One value for one value, both ways, over the whole item."""
     item = "Ann saw 3 of Ann and 3 of Ann then 3 or Ann met 3 on Ann"
-    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, ITEMS[0][1])], "item_id long, text string")
     names, n = iter("Bea Cid Dot Eva Fay".split()), iter(range(10, 30))
     scrambled = " ".join(next(names) if w == "Ann" else str(next(n)) if w == "3" else w for w in item.split())
     swapped = item.replace("Ann", "Zoe").replace("3", "44")
-    docs = spark.createDataFrame([(1, scrambled), (2, swapped)], "doc_id long, text string")
-    got = {r["doc_id"]: r["contaminated"] for r in dec.decontaminate(docs, bench, least=0.1).collect()}
-    assert got[2]
+    many_to_one = "Carol has 7 apples and gives 7 apples to Carol before walking 9 km home, how many apples remain with Carol?"
+    half = f"{ITEMS[0][1].replace('12', '90')} {FILL} {ITEMS[0][1].replace('12', '91')}"  # two copies, each consistent
+    docs = spark.createDataFrame([(1, scrambled), (2, swapped), (3, many_to_one), (4, half)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in dec.decontaminate(docs, bench, broadcast_windows=windows).collect()}
+    assert [got[k]["item_ids"] for k in range(1, 5)] == [[], [1], [], [2]]
+    assert got[4]["coverage"] == 1.0 and got[4]["changed_slots"] == 1
+
+
+def values(text, change):
+    """text with its numbers and names changed by `change`."""
+    return re.sub(r"\d+(?:[.,]\d+)*|(?<![^\W\d_])[A-Z][a-zà-ÿ]+(?![^\W\d_])", lambda m: change(m[0]), text)
+
+
+@pytest.mark.parametrize("windows", [0, dec.BROADCAST_WINDOWS])
+def test_every_item_contaminates_itself(spark, windows):
+    """Each item as it stands and with other values throughout, not with values that contradict each other."""
+    rng = random.Random(7)
+    names, nouns = "Ann Bob Cara Dan Eve Finn Gail Hugo".split(), "apples pears books coins stones shells".split()
+    items = [r["text"] for r in q.table(spark, D, "benchmark").collect()]
+    n_given = len(items)
+    for _ in range(60):
+        x, y = rng.sample(names, 2)
+        a, b = rng.sample(range(2, 99), 2)
+        items.append(f"{x} has {a} {rng.choice(nouns)} while {y} holds {b} more than {x} once had before {y} gave {a} of the {b} back to {x} and kept the rest")
+    other = {**{n: f"{n[::-1].title()}q" for n in names}, **{str(k): str(k + 1000) for k in range(200)}}
+    fresh = iter(range(5000, 10**6))
+    docs = [(i, f"{FILL} {t} {FILL}") for i, t in enumerate(items)]
+    docs += [(10_000 + i, values(t, lambda v: other.get(v, v))) for i, t in enumerate(items) if i >= n_given]
+    docs += [(20_000 + i, values(t, lambda v: f"Q{''.join(chr(97 + int(c)) for c in str(next(fresh)))}" if v[0].isalpha() else str(next(fresh)))) for i, t in enumerate(items) if i >= n_given]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r["doc_id"]: r["item_ids"] for r in dec.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), bench, broadcast_windows=windows).collect()}
+    assert all(i % 10_000 in got[i] for i, _ in docs if i < 20_000)
+    assert not any(i % 10_000 in got[i] for i, _ in docs if i >= 20_000)
+
+
+def test_both_ways_are_alike(spark):
+    """The broadcast and the shuffled comparison on a whole table, with repeated and null ids, rows and items; rows go by their texts."""
+    docs = q.table(spark, D, "documents", "doc_id", "text")
+    bench = q.table(spark, D, "benchmark", "item_id", "text")
+    first = bench.first()["text"]
+    more = [(7, f"{FILL} {first}"), (7, FILL), (None, f"{FILL} {first}"), (None, FILL), (None, None), (8, first), (8, first)]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema)).withColumn("_gone", F.lit(1)).withColumn("key", F.lit("k"))
+    bench = bench.unionByName(spark.createDataFrame([(0, first), (0, first), (None, FILL[:40])], bench.schema))
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, str(r))
+    a, b = (sorted(dec.decontaminate(docs, bench, broadcast_windows=w).collect(), key=key) for w in (dec.BROADCAST_WINDOWS, 0))
+    assert a == b and sum(r["contaminated"] for r in a) > 10
+    bench = bench.where("item_id is not null")
+    a, b = (sorted(dec.drop_contaminated(docs, bench, broadcast_windows=w).collect(), key=key) for w in (dec.BROADCAST_WINDOWS, 0))
+    assert a == b and [r["text"] for r in a if r["doc_id"] is None] == [FILL, None] and sum(r["text"] == FILL for r in a) == 2
+
+
+def test_windows_meet_only_their_own_width(spark):
+    """Shared windows, before any is judged, are few: items give windows of their own width only."""
+    docs, bench = q.table(spark, D, "documents", "doc_id", "text"), q.table(spark, D, "benchmark", "item_id", "text")
+    items = dec.Benchmark([(r["item_id"], r["text"]) for r in bench.collect()])
+    pairs = set()
+    for r in docs.collect():
+        for _, _, data, offsets in slices(pa.array([r["text"]])):
+            pairs |= {(r["doc_id"], int(items.of[i])) for _, _, i, _ in items.probe(dec.tokenize(data, offsets))}
+    assert len(pairs) < 100
+
+
+def test_tokens_of_a_long_text_in_blocks(monkeypatch):
+    rng = random.Random(8)
+    text = " ".join(rng.choice(["12", "3.5", "km", "Anna", "É", "über", "x", "7,000", "...", "McDo"]) for _ in range(400)) + "9" * 300
+    data, offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])
+    whole = dec.tokenize(data, offsets)
+    h = {w: [np.concatenate([x for e, *rest in dec.windows_of_width(whole, w) if e == exact for x in rest[:1]]) for exact in (False, True)] for w in (2, 6)}
+    for size in (16, 50, 333):
+        monkeypatch.setattr(dec, "SLICE_BYTES", size)
+        got = dec.tokenize(data, offsets)
+        assert all(np.array_equal(x, y) for x, y in zip((whole.template, whole.surface, whole.kind, whole.first), (got.template, got.surface, got.kind, got.first)))
+        for w in (2, 6):
+            again = [np.concatenate([x for e, *rest in dec.windows_of_width(got, w) if e == exact for x in rest[:1]]) for exact in (False, True)]
+            assert all(np.array_equal(x, y) for x, y in zip(h[w], again))
 
 
 def test_empty_benchmark(spark):

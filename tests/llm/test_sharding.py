@@ -1,4 +1,5 @@
 import random
+import zlib
 from collections import Counter
 
 import pytest
@@ -34,16 +35,27 @@ def test_exact_sizes_and_gapless_slots(spark, bucket_rows):
         assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(by[s]))
     size = {d: 1 + len((t or "").encode()) for d, t, _ in data if d is not None}
     assert all(r["size"] == size[r["doc_id"]] for r in got if r["doc_id"] is not None)
+    crc = {d: zlib.crc32((t or "").encode()) for d, t, _ in data if d is not None}
+    assert all(r["text_crc32"] == crc[r["doc_id"]] for r in got if r["doc_id"] is not None)
+
+
+def test_repeated_rows(spark):
+    """Equal rows, ids included, are rows of their own."""
+    docs = spark.createDataFrame([(1, "a")] * 20 + [(None, None)] * 5, "doc_id long, text string").repartition(3)
+    got = shuffle_shards(docs, 4).collect()
+    assert len(got) == 25 and len({(r["shard"], r["slot"]) for r in got}) == 25 and sorted(Counter(r["shard"] for r in got).values()) == [6, 6, 6, 7]
 
 
 def test_uniform(spark):
     """Over many seeds a row is in each shard, and first in it, about as often as any other."""
     docs = spark.createDataFrame([(i, "t") for i in range(6)], "doc_id long, text string")
-    seen = Counter()
+    seen, first = Counter(), Counter()
     for seed in range(40):
         for r in shuffle_shards(docs, 2, seed=seed).collect():
             seen[r["doc_id"], r["shard"]] += 1
+            first[r["doc_id"]] += r["slot"] == 0
     assert all(8 <= n <= 32 for n in seen.values()) and len(seen) == 12
+    assert all(3 <= first[i] <= 27 for i in range(6)) and sum(first.values()) == 80
 
 
 def test_empty(spark):

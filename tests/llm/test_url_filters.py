@@ -17,7 +17,7 @@ def brute(url, rules, default="allow"):
     return host, path, None if best is None else rules[best].text, default if best is None else rules[best].verdict
 
 
-URLS = [None, "", "no scheme", "http://", "https://net/", "https://net", "http://a.net/x", "http://example.net/en/", "http://EXAMPLE.net/en/a?b#c", "http://xexample.net/en/", "http://m.example.com/de/1", "http://example.com/de", "ftp://x.org/fr/#f", "http://org/fr/", "http://é.org/fr/a", "http://a.net:80/x", "x://y://z.net/", "http://net?q", "http://a.net/\n/b"]
+URLS = [None, "", "no scheme", "http://", "https://net/", "https://net", "http://a.net/x", "http://example.net/en/", "http://EXAMPLE.net/en/a?b#c", "http://xexample.net/en/", "http://m.example.com/de/1", "http://example.com/de", "ftp://x.org/fr/#f", "http://org/fr/", "http://é.org/fr/a", "http://a.net:80/x", "x://y://z.net/", "http://net?q", "http://a.net/\n/b", "http://a\nb.net/x", "http://\n.org/fr/y"]
 
 
 def test_equals_brute_force(spark):
@@ -27,8 +27,17 @@ def test_equals_brute_force(spark):
     rules = RULES + [Rule("block", "example.com/"), Rule("allow", "a.example.com/de"), Rule("block", "com/")]
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(urls)], "page_id int, url string, host string")
     for used in (RULES, rules):
-        got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in filter_urls(pages, used).collect()}
-        assert got == {i: brute(u, used) for i, u in enumerate(urls)}
+        for at_once in (2, 100):
+            got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in filter_urls(pages, used, rules_at_once=at_once).collect()}
+            assert got == {i: brute(u, used) for i, u in enumerate(urls)}
+
+
+def test_other_columns_and_repeats(spark):
+    pages = spark.createDataFrame([(1, "http://x.net/", "a", "b", "c", 1)] * 2 + [(None, None, None, None, None, None)], "page_id int, url string, _url string, _host string, path string, verdict int")
+    out = filter_urls(pages, RULES)
+    assert out.columns == ["page_id", "url", "_url", "_host", "host", "path", "rule", "verdict"]
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == [(1, "http://x.net/", "a", "b", "x.net", "/", "net/", "block")] * 2 + [(None, None, None, None, "", "", None, "allow")]
+    assert {r["verdict"] for r in filter_urls(pages, []).collect()} == {"allow"}
 
 
 def test_wildcards_and_index(spark):
