@@ -14,6 +14,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import spatial
+from tessera.plans import spatial_names
 from tessera.plans.cypher import clauses, split_top
 
 WORDS = ("FOR", "FILTER", "LET", "COLLECT", "SORT", "LIMIT", "RETURN")
@@ -22,6 +24,7 @@ WORDS = ("FOR", "FILTER", "LET", "COLLECT", "SORT", "LIMIT", "RETURN")
 def expression(text: str) -> str:
     """AQL's operators, functions and object literals as Spark SQL's."""
     text = re.sub(r'"([^"]*)"', lambda m: "'" + m[1].replace("'", "\\'") + "'", text.strip())
+    text = spatial_names.aql(text) if spatial_names.uses(text) else text
     if text.startswith("{") and text.endswith("}"):
         parts = [p.split(":", 1) if ":" in p else (p, p) for p in split_top(text[1:-1])]
         return "named_struct(" + ", ".join(f"'{k.strip().strip(chr(39))}', {expression(v)}" for k, v in parts) + ")"
@@ -35,6 +38,8 @@ def expression(text: str) -> str:
 
 def run(spark: SparkSession, text: str, collections: Mapping[str, DataFrame]) -> DataFrame:
     rows: DataFrame | None = None
+    if spatial_names.uses(text):
+        spatial_names.register(spark)
     for word, body in clauses(text, WORDS):
         if word == "FOR":
             rows = _for(spark, rows, body, collections)
@@ -82,6 +87,10 @@ def _for(spark: SparkSession, rows: DataFrame | None, body: str, collections: Ma
         return out if rows is None else rows.crossJoin(out)
     var, source = re.match(r"(\w+)\s+IN\s+(.+)$", body, re.I | re.S).groups()
     source = source.strip()
+    if m := re.match(r"(NEAR|WITHIN|WITHIN_RECTANGLE)\s*\((.*)\)$", source, re.I | re.S):
+        near = _near(m[1].upper(), [a.strip() for a in split_top(m[2])], collections)
+        one = near.select(F.struct(*near.columns).alias(var))
+        return one if rows is None else rows.crossJoin(one)
     if source in collections:
         df = collections[source]
         one = df.select(F.struct(*df.columns).alias(var))
@@ -92,6 +101,17 @@ def _for(spark: SparkSession, rows: DataFrame | None, body: str, collections: Ma
     return base.select("*", F.explode(F.expr(expression(source))).alias(var))
 
 
+def _near(how: str, args: list[str], collections: Mapping[str, DataFrame]) -> DataFrame:
+    """NEAR(c, latitude, longitude, limit), WITHIN(c, latitude, longitude, metres), WITHIN_RECTANGLE(c, lat1, lon1, lat2, lon2): rows of c, which has latitude and longitude."""
+    df, numbers = collections[args[0]], [float(a) for a in args[1:5]]
+    lat, lon = F.col("latitude"), F.col("longitude")
+    if how == "WITHIN_RECTANGLE":
+        (a, b), (c, d) = sorted(numbers[::2]), sorted(numbers[1::2])
+        return df.where(lat.between(a, b) & lon.between(c, d))
+    far = df.withColumn("distance", spatial.haversine(lon, lat, F.lit(numbers[1]), F.lit(numbers[0])))
+    return far.orderBy("distance", *df.columns).limit(int(numbers[2]) if len(numbers) > 2 else 100) if how == "NEAR" else far.where(F.col("distance") <= numbers[2])
+
+
 def _collect(rows: DataFrame, body: str) -> DataFrame:
     count = re.search(r"\bWITH\s+COUNT\s+INTO\s+(\w+)", body, re.I)
     into = re.search(r"(?<!COUNT )\bINTO\s+(\w+)\s*$", body, re.I) if not count else None

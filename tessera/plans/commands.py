@@ -7,8 +7,9 @@ import shlex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import spatial, vectors
+from tessera.functions import geometry, spatial, vectors
 from tessera.operators import timeseries as ts
+from tessera.sources.rounds import keep_round
 
 SERIES = "series string, t_ms long, value double, seq long"
 VECTORS = "id string, embedding array<double>, metadata map<string,string>"
@@ -20,10 +21,12 @@ class Store:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.series, self.labels, self.policy, self.rules = spark.createDataFrame([], SERIES), {}, {}, {}
+        self._series, self.labels, self.policy, self.rules = spark.createDataFrame([], SERIES), {}, {}, {}
         self.vectors: dict[str, DataFrame] = {}
         self.places: dict[str, DataFrame] = {}
+        self.shapes: dict[str, DataFrame] = {}
         self._seq = 0
+        self._new: list[tuple] = []
 
     def run(self, line: str) -> DataFrame | str | int:
         name, *args = shlex.split(line)
@@ -50,9 +53,24 @@ class Store:
         self._seq += 1 << 50
         self.series = self.series.unionByName(added)
 
+    @property
+    def series(self) -> DataFrame:
+        """All samples; those that came one by one since the last look are added as one batch."""
+        if self._new:
+            self._series, self._new = self._series.unionByName(self.spark.createDataFrame(self._new, SERIES)), []
+        return self._series
+
+    @series.setter
+    def series(self, rows: DataFrame) -> None:
+        self._series = rows
+
+    def compact(self) -> None:
+        """Write the samples and read them again: the plan no longer grows with the commands so far."""
+        self.series = keep_round(self.series, "series")
+
     def ts_add(self, key: str, at: str, value: str) -> int:
         self._seq += 1
-        self.series = self.series.unionByName(self.spark.createDataFrame([(key, int(at), float(value), self._seq)], SERIES))
+        self._new.append((key, int(at), float(value), self._seq))
         return int(at)
 
     def ts_madd(self, *args: str) -> int:
@@ -197,6 +215,56 @@ class Store:
         d = spatial.haversine(F.col("x"), F.col("y"), F.lit(float(x)), F.lit(float(y)))
         return self.places[key].withColumn("metres", d).where(F.col("metres") <= float(metres)).orderBy("metres", "name")
 
+    def geo_geometry_add(self, key: str, name: str, text: str) -> str:
+        """GEO.POLYGON.ADD, GEO.LINESTRING.ADD: a named geometry, by its text."""
+        new = self.spark.createDataFrame([(name, text)], "name string, wkt string")
+        old = self.shapes.get(key)
+        self.shapes[key] = new if old is None else old.where(F.col("name") != name).unionByName(new)
+        return "OK"
+
+    geo_polygon_add = geo_linestring_add = geo_geometry_add
+
+    def load_shapes(self, key: str, rows: DataFrame) -> None:
+        """Geometries in bulk: (name, wkt)."""
+        self.shapes[key] = rows.select("name", "wkt")
+
+    def geo_geometry_get(self, key: str, *names: str) -> DataFrame:
+        return self.shapes[key].where(F.col("name").isin(list(names)))
+
+    def geo_geometry_del(self, key: str, *names: str) -> str:
+        self.shapes[key] = self.shapes[key].where(~F.col("name").isin(list(names)))
+        return "OK"
+
+    def _related(self, key: str, text: str, how: str) -> DataFrame:
+        return self.shapes[key].where(geometry.relates(geometry.from_wkt(F.col("wkt")), geometry.from_wkt(F.lit(text)), how)).select("name")
+
+    def geo_within(self, key: str, text: str) -> DataFrame:
+        """Names of the geometries that are within the given one; the next three likewise."""
+        return self._related(key, text, "within")
+
+    def geo_intersects(self, key: str, text: str) -> DataFrame:
+        return self._related(key, text, "intersects")
+
+    def geo_contains(self, key: str, text: str) -> DataFrame:
+        return self._related(key, text, "contains")
+
+    def geo_overlaps(self, key: str, text: str) -> DataFrame:
+        return self._related(key, text, "overlaps")
+
+    def geo_fence_add(self, name: str, text: str, alerts: str = "ENTER,EXIT") -> str:
+        self.geo_geometry_add("_fences", name, text)
+        return "OK"
+
+    def geo_fence_del(self, name: str) -> str:
+        return self.geo_geometry_del("_fences", name)
+
+    def geo_fence_list(self) -> DataFrame:
+        return self.shapes.get("_fences", self.spark.createDataFrame([], "name string, wkt string"))
+
+    def geo_fence_check(self, entity: str, x: str, y: str) -> DataFrame:
+        """Names of the fences around the entity's place."""
+        return self.geo_contains("_fences", f"POINT({x} {y})")
+
     def georadiusbymember(self, key: str, name: str, metres: str) -> DataFrame:
         at = self.geopos(key, name).first()
         return self.georadius(key, str(at["x"]), str(at["y"]), metres)

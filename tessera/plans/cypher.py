@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans import spatial_names
 from tessera.plans.procedures import call
 
 CLAUSES = ("OPTIONAL MATCH", "MATCH", "WHERE", "WITH", "RETURN", "ORDER BY", "SKIP", "LIMIT", "UNWIND", "CALL", "YIELD", "CREATE", "MERGE", "SET", "REMOVE", "DETACH DELETE", "DELETE")
@@ -66,6 +67,7 @@ def clauses(text: str, words: tuple[str, ...] = CLAUSES) -> list[tuple[str, str]
 def expression(text: str) -> str:
     """Cypher's operators and functions as Spark SQL's."""
     text = re.sub(r'"([^"]*)"', lambda m: "'" + m[1].replace("'", "\\'") + "'", text)
+    text = spatial_names.cypher(text) if spatial_names.uses(text) else text
     text = re.sub(r"\b(\w+):(\w+)\b(?!')", r"array_contains(\1.labels, '\2')", text)
     text = re.sub(r"=~\s*", "RLIKE ", text)
     text = re.sub(r"([\w.]+)\s+STARTS\s+WITH\s+('[^']*'|[\w.]+)", r"startswith(\1, \2)", text, flags=re.I)
@@ -201,6 +203,8 @@ class Graph:
 
     def query(self, text: str) -> DataFrame:
         """The rows that the query returns."""
+        if spatial_names.uses(text):
+            spatial_names.register(self.spark)
         rows: DataFrame | None = None
         for word, body in self._grouped(text):
             if word == "MATCH":

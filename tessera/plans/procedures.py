@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import geometry, spatial
 from tessera.operators import graph
 
 
@@ -19,6 +20,17 @@ def _start(nodes: DataFrame, o: dict[str, str]) -> DataFrame:
     return nodes.where(F.col("id") == F.lit(o["start"]).cast(nodes.schema["id"].dataType)).select("id")
 
 
+def _places(nodes: DataFrame, o: dict[str, str]) -> DataFrame:
+    """Nodes with x and y, and their distance from (x, y): on the sphere if given by longitude and latitude."""
+    if "longitude" in o:
+        return nodes.withColumn("distance", spatial.haversine(F.col("x"), F.col("y"), F.lit(float(o["longitude"])), F.lit(float(o["latitude"]))))
+    return nodes.withColumn("distance", spatial.distance(F.col("x"), F.col("y"), F.lit(float(o["x"])), F.lit(float(o["y"]))))
+
+
+def _meeting(nodes: DataFrame, o: dict[str, str]) -> DataFrame:
+    return nodes.where(geometry.relates(geometry.from_wkt(F.col(o.get("property", "geometry"))), geometry.from_wkt(F.lit(o["geometry"])), "intersects"))
+
+
 PROCEDURES: dict[str, Callable[[DataFrame, DataFrame, dict[str, str]], DataFrame]] = {
     "graph.pagerank": lambda n, e, o: graph.pagerank(n, e, float(o.get("damping", 0.85)), int(o.get("iterations", 20)), float(o.get("tolerance", 1e-4))),
     "graph.shortestpath": lambda n, e, o: graph.shortest_path(int(o["start"]), e, o.get("weight")),
@@ -29,6 +41,9 @@ PROCEDURES: dict[str, Callable[[DataFrame, DataFrame, dict[str, str]], DataFrame
     "graph.closenesscentrality": lambda n, e, o: graph.closeness(n, e),
     "graph.degreecentrality": lambda n, e, o: graph.degrees(n, e),
     "graph.trianglecount": lambda n, e, o: graph.triangles(n, e),
+    "spatial.closest": lambda n, e, o: _places(n, o).orderBy("distance", "id").limit(int(o.get("limit", 1))),
+    "spatial.withindistance": lambda n, e, o: _places(n, o).where(F.col("distance") <= float(o["distance"])),
+    "spatial.intersects": lambda n, e, o: _meeting(n, o),
 }
 
 

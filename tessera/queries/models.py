@@ -327,13 +327,6 @@ def sp_bbox(spark: SparkSession, d: str) -> DataFrame:
     return points(spark, d).where(spatial.in_box(F.col("x"), F.col("y"), (-20, 0, 60, 45))).select("id")
 
 
-@query("SELECT 6.0 AS area, 12.0 AS perimeter, 7.0 AS line, 'POINT(1.0 2.0)' AS wkt, 'u4pruy' AS hash")
-def sp_area(spark: SparkSession, d: str) -> DataFrame:
-    r = spatial.ring([(0, 0), (4, 0), (4, 3)])
-    one = F.lit(1.0)
-    return spark.range(1).select(spatial.area(r).alias("area"), spatial.perimeter(r).alias("perimeter"), spatial.length(r).alias("line"), spatial.point_text(one, one * 2).alias("wkt"), spatial.geohash(F.lit(10.40744), F.lit(57.64911), 6).alias("hash"))
-
-
 @query(f"SELECT id, round(radians(x) * 6378137, 3) AS mx, round(ln(tan(pi() / 4 + radians(y) / 2)) * 6378137, 3) AS my FROM {PTS} p")
 def sp_mercator(spark: SparkSession, d: str) -> DataFrame:
     m = spatial.to_mercator(F.col("x"), F.col("y"))
