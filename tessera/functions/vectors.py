@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -76,7 +76,7 @@ def knn_join(df: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
 
     Queries are collected in blocks of at most MAX_QUERY_FLOATS numbers and broadcast; every task
     multiplies its rows with a block and keeps k candidates a query, so the shuffle is of k rows for
-    each query and task, then the best k of those are ranked.
+    each query and task. These are ranked in 64 parts a query, then the best k of each part.
     """
     total = queries.count()
     if not total:
@@ -91,9 +91,9 @@ def knn_join(df: DataFrame, queries: DataFrame, k: int, metric: str = "cosine",
         shared = df.sparkSession.sparkContext.broadcast((ids, matrix))
         found = df.select(F.col(id_col).cast("long"), col).where(F.col(col).isNotNull()).mapInArrow(_nearest(shared, k, metric, exclude_self), "query_id long, id long, score double")
         out = found if out is None else out.unionByName(found)
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), 1, k)
-    ranked = out.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("rank", "x"))
-    return ranked.select("query_id", F.col("x.id").alias("id"), (-F.col("x.s")).alias("score"), (F.col("rank") + 1).alias("rank"))
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "id"))
+    fewer = out.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(64))).withColumn("rank", rank("query_id", "_part")).where(F.col("rank") <= k)
+    return fewer.drop("_part").withColumn("rank", rank("query_id")).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
 
 
 def _nearest(shared, k: int, metric: str, exclude_self: bool):

@@ -31,27 +31,39 @@ def last_by(value: Column, by: Column) -> Column:
     return F.max_by(value, by)
 
 
+CUTS = 200
+
+
 def percentile_nearest(df: DataFrame, keys: Sequence[str], value: str, p: float) -> DataFrame:
     """(keys, percentile): the value at rank round(p / 100 * (n - 1)) of each group's sorted non-null values.
 
-    Exact without sorting a group: an approximate percentile brackets the rank, only the distinct
-    values inside the bracket are counted and ranked.
+    Exact without sorting a group: CUTS approximate quantiles around the rank cut the values into
+    ranges, whose exact counts tell the range that holds the rank; only the distinct values of that
+    one are counted and ranked. (Should many values lie outside the cuts, the range is larger, not wrong.)
     """
-    share = p / 100
+    share, eps = p / 100, 0.01
     rows = df.where(F.col(value).isNotNull())
-    eps = 0.01
-    bounds = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx(value, max(0.0, share - eps), 1000).alias("_lo"), F.percentile_approx(value, min(1.0, share + eps), 1000).alias("_hi"),
-    ).withColumn("_rank", F.floor(F.lit(share) * (F.col("_n") - 1) + 0.5))
-    joined = rows.join(bounds, list(keys)) if keys else rows.crossJoin(F.broadcast(bounds))
-    group = [*keys, "_rank"]
-    spot = F.when(F.col(value) < F.col("_lo"), F.lit(None)).otherwise(F.col(value))
-    inside = joined.where(F.col(value) <= F.col("_hi")).groupBy(*group, spot.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(*group).orderBy(F.col("_v").asc_nulls_first())
-    upto = F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    hit = inside.withColumn("_upto", upto).where("_upto > _rank and _upto - _c <= _rank and _v is not null")
-    return hit.select(*keys, F.col("_v").alias("percentile"))
+    shares = [min(1.0, max(0.0, share - eps + 2 * eps * k / CUTS)) for k in range(CUTS + 1)]
+    bounds = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.array_distinct(F.percentile_approx(value, shares, 10_000)).alias("_cuts"))
+    bounds = bounds.withColumn("_rank", F.floor(F.lit(share) * (F.col("_n") - 1) + 0.5)).drop("_n")
+
+    def joined(with_: DataFrame, right: DataFrame) -> DataFrame:
+        if not keys:
+            return with_.crossJoin(F.broadcast(right))  # one row
+        named = right.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+        same = F.lit(True)
+        for i, k in enumerate(keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        return with_.join(named, same).drop(*[f"_k{i}" for i in range(len(keys))])
+
+    ranged = joined(rows, bounds).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(value))))
+    counts = ranged.groupBy(*keys, "_range", "_rank").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, 0))  # CUTS + 2 rows a group at most
+    hit = counts.withColumn("_upto", upto).where("_upto > _rank and _upto - _c <= _rank")
+    hit = hit.select(*keys, F.col("_range").alias("_hit"), (F.col("_rank") - F.col("_upto") + F.col("_c")).alias("_place"))
+    inside = joined(ranged.select(*keys, F.col(value).alias("_v"), "_range"), hit).where("_range = _hit").groupBy(*keys, "_place", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    below = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    return inside.withColumn("_upto", below).where("_upto > _place and _upto - _c <= _place").select(*keys, F.col("_v").alias("percentile"))
 
 
 def histogram(df: DataFrame, value: str, buckets: int) -> DataFrame:

@@ -6,14 +6,16 @@ and lost executors cost one round. Nothing but counts comes to the driver, unles
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.rounds import drop_round, keep_round
+from tessera.operators import components
+from tessera.operators.hot import join_values
+from tessera.sources.rounds import drop_round, keep_round, release, rounds
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -54,50 +56,61 @@ def variable_length(start: DataFrame, edges: DataFrame, least: int = 1, most: in
     e = edges.select(F.monotonically_increasing_id().alias("_e"), "src", "dst")
     if direction == "both":
         e = e.unionByName(e.select("_e", F.col("dst").alias("src"), F.col("src").alias("dst")))
-    e = keep_round(e, "edges")
-    frontier = start.select(F.col("id").alias("start"), F.col("id").alias("end"), F.array().cast("array<long>").alias("_used"))
-    out = None
-    for h in range(1, most + 1):
-        step = frontier.join(e, F.col("end") == F.col("src")).where(~F.array_contains("_used", F.col("_e")))
-        frontier = keep_round(step.select("start", F.col("dst").alias("end"), F.array_append("_used", F.col("_e")).alias("_used")), "paths")
-        if h >= least:
-            rows = frontier.select("start", "end", F.lit(h).alias("hops"))
-            out = rows if out is None else out.unionByName(rows)
-        if frontier.isEmpty():
-            break
+    with rounds() as made:
+        e = keep_round(e, "edges")
+        frontier = start.select(F.col("id").alias("start"), F.col("id").alias("end"), F.array().cast("array<long>").alias("_used"))
+        kept: list[DataFrame] = []
+        out = None
+        for h in range(1, most + 1):
+            step = frontier.join(e, F.col("end") == F.col("src")).where(~F.array_contains("_used", F.col("_e")))
+            frontier = keep_round(step.select("start", F.col("dst").alias("end"), F.array_append("_used", F.col("_e")).alias("_used")), "paths")
+            if h >= least:
+                rows = frontier.select("start", "end", F.lit(h).alias("hops"))
+                out = rows if out is None else out.unionByName(rows)
+                kept.append(frontier)
+            if frontier.isEmpty():
+                break
+    release(made, *kept)
     return out
 
 
 def bfs(start: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(start, node, depth): the fewest hops along directed edges from each start node, itself at 0."""
-    e = keep_round(edges.select("src", "dst").distinct(), "edges")
-    seen = keep_round(start.select(F.col("id").alias("start"), F.col("id").alias("node")).distinct().withColumn("depth", F.lit(0)), "bfs")
-    frontier, depth = seen, 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        reached = frontier.join(e, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        frontier = keep_round(reached.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
-        if frontier.isEmpty():
-            break
-        seen = keep_round(seen.unionByName(frontier), "bfs")
+    with rounds() as made:
+        e = keep_round(edges.select("src", "dst").distinct(), "edges")
+        seen = keep_round(start.select(F.col("id").alias("start"), F.col("id").alias("node")).distinct().withColumn("depth", F.lit(0)), "bfs")
+        frontier, depth = seen, 0
+        while max_depth is None or depth < max_depth:
+            depth += 1
+            reached = frontier.join(e, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+            frontier = keep_round(reached.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
+            if frontier.isEmpty():
+                break
+            seen = keep_round(seen.unionByName(frontier), "bfs")
+            release([r for r in made if r is not e], seen, frontier)
+    release(made, seen)
     return seen
 
 
 def traverse(start: DataFrame, edges: DataFrame, max_depth: int) -> DataFrame:
     """(source, target, relationship, depth): breadth-first rows, one for each (current, neighbour) pair over all starts, at its least depth."""
     kind = F.col("type") if "type" in edges.columns else F.lit(None).cast("string")
-    e = keep_round(edges.select("src", "dst", kind.alias("relationship")).distinct(), "edges")
-    frontier = start.select(F.col("id").alias("node")).distinct()
-    done = None
-    visited = keep_round(frontier, "visited")
-    for depth in range(1, max_depth + 1):
-        step = frontier.join(e, F.col("node") == F.col("src")).groupBy("src", "dst").agg(F.min("relationship").alias("relationship"))
-        rows = keep_round(step.select(F.col("src").alias("source"), F.col("dst").alias("target"), "relationship", F.lit(depth).alias("depth")), "traverse")
-        done = rows if done is None else done.unionByName(rows)
-        frontier = keep_round(rows.select(F.col("target").alias("node")).distinct().join(visited, "node", "left_anti"), "frontier")
-        if frontier.isEmpty():
-            break
-        visited = keep_round(visited.unionByName(frontier), "visited")
+    with rounds() as made:
+        e = keep_round(edges.select("src", "dst", kind.alias("relationship")).distinct(), "edges")
+        frontier = start.select(F.col("id").alias("node")).distinct()
+        done, kept = None, []
+        visited = keep_round(frontier, "visited")
+        for depth in range(1, max_depth + 1):
+            step = frontier.join(e, F.col("node") == F.col("src")).groupBy("src", "dst").agg(F.min("relationship").alias("relationship"))
+            rows = keep_round(step.select(F.col("src").alias("source"), F.col("dst").alias("target"), "relationship", F.lit(depth).alias("depth")), "traverse")
+            kept.append(rows)
+            done = rows if done is None else done.unionByName(rows)
+            frontier = keep_round(rows.select(F.col("target").alias("node")).distinct().join(visited, "node", "left_anti"), "frontier")
+            if frontier.isEmpty():
+                break
+            visited = keep_round(visited.unionByName(frontier), "visited")
+            release([r for r in made if r is not e], *kept, frontier, visited)
+    release(made, *kept)
     return done
 
 
@@ -108,17 +121,22 @@ def shortest_path(start: int, edges: DataFrame, weight: str | None = None, max_r
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     one = edges.select("src", "dst", w.alias("w"))
-    e = keep_round(one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.min("w").alias("w")), "edges")
-    best = keep_round(e.sparkSession.range(1).select(F.lit(start).cast(edges.schema["src"].dataType).alias("node"), F.lit(0.0).alias("cost")), "best")
-    frontier = best
-    for _ in range(max_rounds):
-        offers = frontier.join(e, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min(F.col("cost") + F.col("w")).alias("offer"))
-        better = keep_round(offers.join(best, "node", "left").where("cost is null or offer < cost").select("node", F.col("offer").alias("cost")), "better")
-        if better.isEmpty():
-            return best
-        best = keep_round(best.join(better.select("node"), "node", "left_anti").unionByName(better), "best")
-        frontier = better
-    raise RuntimeError(f"costs still fall after {max_rounds} rounds: a negative cycle?")
+    with rounds() as made:
+        e = keep_round(one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")).groupBy("src", "dst").agg(F.min("w").alias("w")), "edges")
+        best = keep_round(e.sparkSession.range(1).select(F.lit(start).cast(edges.schema["src"].dataType).alias("node"), F.lit(0.0).alias("cost")), "best")
+        frontier = best
+        for _ in range(max_rounds):
+            offers = frontier.join(e, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min(F.col("cost") + F.col("w")).alias("offer"))
+            better = keep_round(offers.join(best, "node", "left").where("cost is null or offer < cost").select("node", F.col("offer").alias("cost")), "better")
+            if better.isEmpty():
+                break
+            best = keep_round(best.join(better.select("node"), "node", "left_anti").unionByName(better), "best")
+            frontier = better
+            release([r for r in made if r is not e], best, frontier)
+        else:
+            raise RuntimeError(f"costs still fall after {max_rounds} rounds: a negative cycle?")
+    release(made, best)
+    return best
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iterations: int = 20, tolerance: float = 1e-4) -> DataFrame:
@@ -142,21 +160,11 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, iteratio
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the least id that each node reaches over edges taken both ways; nodes without edges are their own.
 
-    Least labels spread along edges and jump along labels, so rounds grow with the logarithm of a component's width.
+    By contraction: each round at least halves the nodes that still have edges, and a component's
+    label, however many nodes have it, is joined by a broadcast.
     """
-    e = keep_round(undirected(edges), "edges")
-    label = keep_round(nodes.select("id").distinct().withColumn("component", F.col("id")), "label")
-    while True:
-        around = e.join(label, e["src"] == label["id"]).groupBy(F.col("dst").alias("id")).agg(F.min("component").alias("near"))
-        low = label.join(around, "id", "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
-        low = keep_round(low, "low")
-        jump = low.select(F.col("id").alias("component"), F.col("component").alias("further"))
-        new = keep_round(low.join(jump, "component", "left").select("id", "old", F.least("component", F.coalesce("further", "component")).alias("component")), "label")
-        done = new.where("component <> old").isEmpty()
-        drop_round(label, low)
-        label = new
-        if done:
-            return label.select("id", "component")
+    found = components.connected_components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return join_values(nodes.select("id").distinct(), found.withColumnRenamed("node", "id"), "id").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def communities(nodes: DataFrame, edges: DataFrame, min_size: int = 2) -> DataFrame:
@@ -190,13 +198,16 @@ def triangles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 MAX_GRAPH_EDGES = 5_000_000
+SOURCES_AT_ONCE = 1_000
+
 
+def _is_small(both: DataFrame, max_edges: int) -> bool:
+    """Whether a graph, with both directions of its edges, may go to every worker."""
+    return both.limit(2 * max_edges + 1).count() <= 2 * max_edges
 
-def _adjacency(nodes: DataFrame, edges: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, row starts and neighbours (as places) of the simple undirected graph; for graphs of at most MAX_GRAPH_EDGES edges."""
-    both = undirected(edges)
-    if both.limit(2 * MAX_GRAPH_EDGES + 1).count() > 2 * MAX_GRAPH_EDGES:
-        raise ValueError(f"path centralities hold the graph in every worker: more than {MAX_GRAPH_EDGES} edges don't fit")
+
+def _adjacency(nodes: DataFrame, both: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, row starts and neighbours (as places) of the simple undirected graph."""
     ids = np.sort(nodes.select("id").distinct().toArrow().column(0).to_numpy())
     e = both.toArrow()
     src, dst = np.searchsorted(ids, e.column(0).to_numpy()), np.searchsorted(ids, e.column(1).to_numpy())
@@ -204,6 +215,34 @@ def _adjacency(nodes: DataFrame, edges: DataFrame) -> tuple[np.ndarray, np.ndarr
     return ids, np.searchsorted(src[order], np.arange(len(ids) + 1)), dst[order]
 
 
+def _by_blocks(nodes: DataFrame, both: DataFrame, of: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """of(sources, edges) for blocks of SOURCES_AT_ONCE source nodes, dealt by hash; the results written and put together."""
+    e = keep_round(both, "edges")
+    sources = keep_round(nodes.select("id").distinct(), "sources")
+    blocks = max(1, -(-sources.count() // SOURCES_AT_ONCE))
+    out = None
+    for k in range(blocks):
+        with rounds() as made:
+            found = keep_round(of(sources.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k), e), "block")
+        release(made, found)
+        out = found if out is None else out.unionByName(found)
+    drop_round(e, sources)
+    return out
+
+
+def _shortest_paths(sources: DataFrame, e: DataFrame) -> list[DataFrame]:
+    """For each depth: (start, node, paths), the nodes at that distance and how many shortest paths lead there."""
+    levels = [keep_round(sources.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(1.0).alias("paths")), "level")]
+    while True:
+        step = levels[-1].join(e, F.col("node") == F.col("src")).groupBy("start", F.col("dst").alias("node")).agg(F.sum("paths").alias("paths"))
+        for seen in levels[-2:]:  # a neighbour is at most one level back
+            step = step.join(seen.select("start", "node"), ["start", "node"], "left_anti")
+        now = keep_round(step, "level")
+        if now.isEmpty():
+            return levels
+        levels.append(now)
+
+
 def _levels(start: np.ndarray, to: np.ndarray, s: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Breadth-first levels from s, each node's depth and its number of shortest paths."""
     n = len(start) - 1
@@ -222,10 +261,23 @@ def _levels(start: np.ndarray, to: np.ndarray, s: int) -> tuple[list[np.ndarray]
     return levels[:-1], depth, paths
 
 
-def closeness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, closeness): reachable others divided by the sum of their distances, 0 without any. Sources are dealt to tasks."""
-    spark = nodes.sparkSession
-    shared = spark.sparkContext.broadcast(_adjacency(nodes, edges))
+def closeness(nodes: DataFrame, edges: DataFrame, max_edges: int = MAX_GRAPH_EDGES) -> DataFrame:
+    """(id, closeness): reachable others divided by the sum of their distances, 0 without any.
+
+    A graph of at most max_edges edges goes to every worker, which is dealt sources; a larger one is
+    searched level by level with joins, from blocks of sources.
+    """
+    spark, both = nodes.sparkSession, undirected(edges)
+    if not _is_small(both, max_edges):
+
+        def far(sources: DataFrame, e: DataFrame) -> DataFrame:
+            found = sources.select("id", F.lit(0).alias("n"), F.lit(0).alias("total"))
+            for depth, level in enumerate(_shortest_paths(sources, e)[1:], 1):
+                found = found.unionByName(level.groupBy(F.col("start").alias("id")).agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) * depth).alias("total")))
+            return found.groupBy("id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+        return _by_blocks(nodes, both, far).select("id", F.when(F.col("total") > 0, F.col("n") / F.col("total")).otherwise(0.0).alias("closeness"))
+    shared = spark.sparkContext.broadcast(_adjacency(nodes, both))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, start, to = shared.value
@@ -241,10 +293,31 @@ def closeness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").distinct().repartition(parts, "id").mapInPandas(run, f"id {nodes.schema['id'].dataType.simpleString()}, closeness double")
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, betweenness) of the undirected graph, by Brandes' accumulation from every source, halved. Sources are dealt to tasks, whose sums are added."""
-    spark = nodes.sparkSession
-    shared = spark.sparkContext.broadcast(_adjacency(nodes, edges))
+def betweenness(nodes: DataFrame, edges: DataFrame, max_edges: int = MAX_GRAPH_EDGES) -> DataFrame:
+    """(id, betweenness) of the undirected graph, by Brandes' accumulation from every source, halved.
+
+    Where the graph goes to every worker (see closeness), sources are dealt to tasks, whose sums are
+    added; else the levels are searched and then accumulated backwards with joins.
+    """
+    spark, both = nodes.sparkSession, undirected(edges)
+    if not _is_small(both, max_edges):
+
+        def credit(sources: DataFrame, e: DataFrame) -> DataFrame:
+            levels = _shortest_paths(sources, e)
+            total, back = sources.select("id", F.lit(0.0).alias("b")), None
+            for level in levels[:0:-1]:
+                here = level if back is None else level.join(back, ["start", "node"], "left")
+                here = here.withColumn("b", F.coalesce("b", F.lit(0.0)) if back is not None else F.lit(0.0))
+                total = total.unionByName(here.groupBy(F.col("node").alias("id")).agg(F.sum("b").alias("b")))
+                share = here.select("start", F.col("node").alias("src"), ((1 + F.col("b")) / F.col("paths")).alias("share"))
+                before = levels[levels.index(level) - 1]
+                up = share.join(e, "src").select("start", F.col("dst").alias("node"), "share").join(before, ["start", "node"])
+                back = keep_round(up.groupBy("start", "node").agg(F.sum(F.col("share") * F.col("paths")).alias("b")), "back")
+            return total.groupBy("id").agg(F.sum("b").alias("b"))
+
+        found = _by_blocks(nodes, both, credit).groupBy("id").agg((F.sum("b") / 2).alias("betweenness"))
+        return nodes.select("id").distinct().join(found, "id", "left").na.fill(0.0)
+    shared = spark.sparkContext.broadcast(_adjacency(nodes, both))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, start, to = shared.value
@@ -268,6 +341,48 @@ def betweenness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").distinct().repartition(parts, "id").mapInPandas(run, f"id {kind}, b double").groupBy("id").agg((F.sum("b") / 2).alias("betweenness"))
 
 
+def random_walks(nodes: DataFrame, edges: DataFrame, length: int = 10, walks: int = 5, seed: int = 7) -> DataFrame:
+    """(walk, path array): `walks` walks of at most `length` steps from every node over edges taken both ways.
+
+    The next node is the neighbour of the least hash of seed, walk, step and neighbour; a walk ends
+    where there is none. Each step is one join with a partial minimum.
+    """
+    with rounds() as made:
+        e = keep_round(undirected(edges), "edges")
+        now = nodes.select("id").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(walks - 1)))).select(F.struct("id", "k").alias("walk"), F.array("id").alias("path"))
+        for step in range(length):
+            ends = now.withColumn("src", F.element_at("path", -1))
+            draw = F.xxhash64(F.lit(seed), F.lit(step), F.col("walk"), F.col("dst"))
+            chosen = ends.select("walk", "src").join(e, "src").groupBy("walk").agg(F.min_by("dst", draw).alias("next"))
+            now = keep_round(now.join(chosen, "walk", "left").select("walk", F.when(F.col("next").isNotNull(), F.array_append("path", F.col("next"))).otherwise(F.col("path")).alias("path")), "walks")
+            release([r for r in made if r is not e], now)
+    release(made, now)
+    return now
+
+
+def node_embeddings(nodes: DataFrame, edges: DataFrame, size: int = 16, length: int = 10, walks: int = 5, seed: int = 7) -> DataFrame:
+    """(id, embedding array<float>): words' vectors of the random walks, by Spark's Word2Vec, as in Node2Vec without return bias."""
+    from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
+
+    text = random_walks(nodes, edges, length, walks, seed).select(F.transform("path", lambda x: x.cast("string")).alias("path"))
+    model = Word2Vec(vectorSize=size, minCount=1, inputCol="path", outputCol="out", seed=seed, numPartitions=1, windowSize=4).fit(text)
+    kind = nodes.schema["id"].dataType
+    return model.getVectors().select(F.col("word").cast(kind).alias("id"), vector_to_array("vector", "float32").alias("embedding"))
+
+
+def neighbourhood_means(nodes: DataFrame, edges: DataFrame, features: str = "features", rounds_: int = 2) -> DataFrame:
+    """(id, features): each round the mean of a node's own vector and its neighbours' mean, as an untrained aggregation over the graph."""
+    e = undirected(edges)
+    now = nodes.select("id", F.col(features).cast("array<double>").alias("features"))
+    for _ in range(rounds_):
+        spread = e.join(now.select(F.col("id").alias("src"), "features"), "src").select("dst", F.posexplode("features").alias("k", "v"))
+        means = spread.groupBy("dst", "k").agg(F.avg("v").alias("v")).groupBy(F.col("dst").alias("id")).agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("m"))
+        near = now.join(means, "id", "left")
+        now = near.select("id", F.when(F.col("m").isNull(), F.col("features")).otherwise(F.zip_with("features", "m", lambda x, m: (x + m["v"]) / 2)).alias("features"))
+    return now
+
+
 def depth_first(start: int, edges: DataFrame, max_depth: int | None = None) -> list[tuple[int, int]]:
     """(node, depth) in depth-first order, neighbours by id. The order is sequential by nature: graphs of at most MAX_GRAPH_EDGES edges, on the driver."""
     if edges.limit(MAX_GRAPH_EDGES + 1).count() > MAX_GRAPH_EDGES:

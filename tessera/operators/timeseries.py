@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,11 +45,47 @@ def downsample(df: DataFrame, keys: Sequence[str], at: str, value: str, size_ms:
     return bucket_aggregate(df, keys, at, value, size_ms, ["avg"]).withColumnRenamed("avg", "value")
 
 
-def time_weighted_average(df: DataFrame, keys: Sequence[str], at: str, value: str) -> DataFrame:
+ROWS_AT_ONCE = 1_000_000
+
+
+def chunk_ms(df: DataFrame, at: str, least: int = 1) -> int:
+    """A chunk length by which ROWS_AT_ONCE samples, on average over all series, are in a chunk; no less than `least`.
+
+    Windows over a series are then over (series, chunk): a few long series are as many tasks as a
+    thousand short ones. What a chunk needs of the ones before it is small and joined or copied.
+    """
+    r = df.agg(F.min(at).alias("a"), F.max(at).alias("b"), F.count(at).alias("n")).first()
+    span = (r["b"] - r["a"] + 1) if r["n"] else 1
+    return int(max(least, -(-span // max(1, -(-r["n"] // ROWS_AT_ONCE)))))
+
+
+def _chunked(df: DataFrame, keys: Sequence[str], at: str, chunk: int | None, least: int = 1) -> tuple[DataFrame, int]:
+    size = max(chunk or chunk_ms(df, at, least), least)
+    return df.withColumn("_chunk", F.floor(F.col(at) / size).cast("long")), size
+
+
+def _carried(rows: DataFrame, keys: Sequence[str], edge: Column, back: bool) -> DataFrame:
+    """(keys, _chunk, _edge): for each chunk, `edge` (an aggregate) of the nearest chunk before it (after it if not back) that has rows."""
+    each = rows.groupBy(*keys, "_chunk").agg(edge.alias("_own"))
+    w = Window.partitionBy(*keys).orderBy("_chunk")
+    return each.select(*keys, "_chunk", (F.lag("_own") if back else F.lead("_own")).over(w).alias("_edge"))
+
+
+def _with_edge(rows: DataFrame, keys: Sequence[str], edge: Column, back: bool) -> DataFrame:
+    carried = _carried(rows, keys, edge, back)
+    named = carried.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_chunk").alias("_c"), "_edge")
+    same = F.col("_chunk") == F.col("_c")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(named, same, "left").drop("_c", *[f"_k{i}" for i in range(len(keys))])
+
+
+def time_weighted_average(df: DataFrame, keys: Sequence[str], at: str, value: str, chunk: int | None = None) -> DataFrame:
     """(keys, twa): each value weighted by the time until the next sample; a single sample is its own average."""
-    w = Window.partitionBy(*keys).orderBy(at)
-    span = F.coalesce(F.lead(at).over(w) - F.col(at), F.lit(0))
-    rows = df.withColumn("_span", span)
+    rows, _ = _chunked(df, keys, at, chunk)
+    rows = _with_edge(rows, keys, F.min(at), False)
+    w = Window.partitionBy(*keys, "_chunk").orderBy(at)
+    rows = rows.withColumn("_span", F.coalesce(F.lead(at).over(w), F.col("_edge")) - F.col(at)).withColumn("_span", F.coalesce("_span", F.lit(0)))
     total = F.sum("_span")
     return rows.groupBy(*keys).agg(F.when(total > 0, F.sum(F.col(value) * F.col("_span")) / total).otherwise(F.avg(value)).alias("twa"))
 
@@ -79,26 +116,51 @@ def label_filter(df: DataFrame, labels: str, wanted: dict[str, str]) -> DataFram
     return df
 
 
-def moving_average(df: DataFrame, keys: Sequence[str], at: str, value: str, window_ms: int) -> DataFrame:
-    """df with moving_avg over the samples of the last window_ms milliseconds, both ends included."""
-    w = Window.partitionBy(*keys).orderBy(at).rangeBetween(-window_ms, 0)
-    return df.withColumn("moving_avg", F.avg(value).over(w))
+def moving_average(df: DataFrame, keys: Sequence[str], at: str, value: str, window_ms: int, chunk: int | None = None) -> DataFrame:
+    """df with moving_avg over the samples of the last window_ms milliseconds, both ends included.
+
+    A sample is copied to the chunk after its own where that one's windows reach back to it (chunks
+    are no shorter than the window).
+    """
+    rows, size = _chunked(df, keys, at, chunk, window_ms + 1)
+    reach = F.floor((F.col(at) + window_ms) / size).cast("long")
+    copied = rows.withColumn("_in", F.explode(F.when(F.col("_chunk").isNull(), F.array(F.lit(None).cast("long"))).otherwise(F.sequence("_chunk", reach))))
+    w = Window.partitionBy(*keys, "_in").orderBy(at).rangeBetween(-window_ms, 0)
+    return copied.withColumn("moving_avg", F.avg(value).over(w)).where(F.col("_in").eqNullSafe(F.col("_chunk"))).drop("_in", "_chunk")
 
 
-def rate(df: DataFrame, keys: Sequence[str], at: str, value: str) -> DataFrame:
+def _before(df: DataFrame, keys: Sequence[str], at: str, value: str, chunk: int | None) -> DataFrame:
+    """df with _prev: struct<at, value> of the sample before."""
+    rows, _ = _chunked(df, keys, at, chunk)
+    last = F.struct(F.col(at).alias("at"), F.col(value).alias("value"))
+    rows = _with_edge(rows, keys, F.max_by(last, F.col(at)), True)
+    w = Window.partitionBy(*keys, "_chunk").orderBy(at)
+    return rows.withColumn("_prev", F.coalesce(F.lag(last).over(w), F.col("_edge"))).drop("_chunk", "_edge")
+
+
+def rate(df: DataFrame, keys: Sequence[str], at: str, value: str, chunk: int | None = None) -> DataFrame:
     """df with rate: change a second since the sample before; null for the first and where no time has passed."""
-    w = Window.partitionBy(*keys).orderBy(at)
-    seconds = (F.col(at) - F.lag(at).over(w)) / 1000.0
-    return df.withColumn("rate", F.when(seconds > 0, (F.col(value) - F.lag(value).over(w)) / seconds))
+    seconds = (F.col(at) - F.col("_prev.at")) / 1000.0
+    return _before(df, keys, at, value, chunk).withColumn("rate", F.when(seconds > 0, (F.col(value) - F.col("_prev.value")) / seconds)).drop("_prev")
 
 
-def delta(df: DataFrame, keys: Sequence[str], at: str, value: str) -> DataFrame:
-    return df.withColumn("delta", F.col(value) - F.lag(value).over(Window.partitionBy(*keys).orderBy(at)))
+def delta(df: DataFrame, keys: Sequence[str], at: str, value: str, chunk: int | None = None) -> DataFrame:
+    return _before(df, keys, at, value, chunk).withColumn("delta", F.col(value) - F.col("_prev.value")).drop("_prev")
 
 
-def cumulative_sum(df: DataFrame, keys: Sequence[str], at: str, value: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("cumulative_sum", F.sum(value).over(w))
+def cumulative_sum(df: DataFrame, keys: Sequence[str], at: str, value: str, chunk: int | None = None) -> DataFrame:
+    """df with cumulative_sum: the chunks' totals before, and the running sum in the chunk."""
+    rows, _ = _chunked(df, keys, at, chunk)
+    totals = rows.groupBy(*keys, "_chunk").agg(F.sum(value).alias("_own"))
+    before = totals.withColumn("_edge", F.sum("_own").over(Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1))).drop("_own")
+    named = before.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_chunk").alias("_c"), "_edge")
+    same = F.col("_chunk").eqNullSafe(F.col("_c"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    joined = rows.join(named, same, "left").drop("_c", *[f"_k{i}" for i in range(len(keys))])
+    run = F.sum(value).over(Window.partitionBy(*keys, "_chunk").orderBy(at).rowsBetween(Window.unboundedPreceding, 0))
+    total = F.when(run.isNull() & F.col("_edge").isNull(), F.lit(None)).otherwise(F.coalesce(run, F.lit(0)) + F.coalesce("_edge", F.lit(0)))
+    return joined.withColumn("cumulative_sum", total).drop("_chunk", "_edge")
 
 
 def anomalies(df: DataFrame, keys: Sequence[str], value: str, k: float) -> DataFrame:
@@ -111,32 +173,76 @@ def anomalies(df: DataFrame, keys: Sequence[str], value: str, k: float) -> DataF
     return df.join(stats, list(keys)).where("_sd > 0").withColumn("z", z).where(F.abs("z") > k).drop("_mean", "_sd")
 
 
-def exponential_average(df: DataFrame, keys: Sequence[str], at: str, value: str, alpha: float) -> DataFrame:
-    """(keys, at, value, ema): y0 = x0, then alpha * x + (1 - alpha) * y before.
+def exponential_average(df: DataFrame, keys: Sequence[str], at: str, value: str, alpha: float, chunk: int | None = None) -> DataFrame:
+    """df's rows that have a value, with ema: y0 = x0, then alpha * x + (1 - alpha) * y before, in order of time (ties by value).
 
-    A linear recurrence, so it needs each series in order: partitions sorted by key and time are
-    streamed with the last average kept between batches; a series is never held in memory.
+    A chunk's last average is decay * (the average before it) + rest, where decay and rest are the
+    chunk's own: these are found for all chunks at once, the chunks' starts follow from them, and a
+    second pass gives the averages. Both stream sorted partitions; a series is never held in memory.
     """
     if not 0 < alpha <= 1:
         raise ValueError("alpha must be in (0, 1]")
-    names = [*keys, at, value]
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names) + ", ema double"
+    rows, _ = _chunked(df.where(F.col(value).isNotNull()), keys, at, chunk)
+    order, names = [*keys, "_chunk", at, value], df.columns
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, y = None, 0.0
+    def sorted_(part: DataFrame) -> DataFrame:
+        return part.repartition(*[F.col(k) for k in keys], F.col("_chunk")).sortWithinPartitions(*order)
+
+    def groups(part: pd.DataFrame) -> Iterator[tuple[tuple, pd.DataFrame]]:
+        marks = part[[*keys, "_chunk"]]
+        new = (marks != marks.shift()) & ~(marks.isna() & marks.shift().isna())
+        for _, g in part.groupby(new.any(axis=1).cumsum(), sort=False):
+            yield tuple(None if v != v else v for v in g.iloc[0][[*keys, "_chunk"]]), g
+
+    def smooth(start: float, x: np.ndarray) -> np.ndarray:
+        return pd.Series(np.concatenate([[start], x])).ewm(alpha=alpha, adjust=False).mean().to_numpy()[1:]
+
+    def ends(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now = None  # key, decay, rest, first value of the chunk so far
         for part in parts:
             out = []
-            for row in part[names].itertuples(index=False):
-                x = row[-1]
-                if row[:-2] != key:
-                    key, y = row[:-2], x
+            for key, g in groups(part):
+                x = g[value].to_numpy(float)
+                if now is not None and now[0] == key:
+                    now = (key, now[1] * (1 - alpha) ** len(x), float(smooth(now[2], x)[-1]), now[3])
                 else:
-                    y = alpha * x + (1 - alpha) * y
+                    out += [now] if now is not None else []
+                    now = (key, (1 - alpha) ** len(x), float(smooth(0.0, x)[-1]), float(x[0]))
+            yield pd.DataFrame([(*k, a, b, c) for k, a, b, c in out], columns=[*keys, "_chunk", "_decay", "_rest", "_first"])
+        if now is not None:
+            yield pd.DataFrame([(*now[0], *now[1:])], columns=[*keys, "_chunk", "_decay", "_rest", "_first"])
+
+    def starts(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, y = None, 0.0
+        for part in parts:
+            out = []
+            for row in part.itertuples(index=False):
+                own = tuple(None if v != v else v for v in row[: len(keys)])
+                y = row[-1] if own != key else y
+                key = own
                 out.append(y)
-            yield part[names].assign(ema=out)
+                y = row[-3] * y + row[-2]
+            yield part[[*keys, "_chunk"]].assign(_start=out)
 
-    ordered = df.where(F.col(value).isNotNull()).select(*names).repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, at, value)
-    return ordered.mapInPandas(run, schema)
+    def averages(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, y = None, 0.0
+        for part in parts:
+            out = []
+            for own, g in groups(part):
+                got = smooth(y if own == key else float(g["_start"].iloc[0]), g[value].to_numpy(float))
+                key, y = own, float(got[-1])
+                out.append(got)
+            yield part[names].assign(ema=np.concatenate(out) if out else np.zeros(0))
+
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", _chunk long"
+    chunks = sorted_(rows.select(*order)).mapInPandas(ends, f"{kinds}, _decay double, _rest double, _first double")
+    begun = chunks.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, "_chunk").mapInPandas(starts, f"{kinds}, _start double")
+    named = begun.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_chunk").alias("_c"), "_start")
+    same = F.col("_chunk").eqNullSafe(F.col("_c"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", ema double"
+    return sorted_(rows.join(named, same).drop("_c", *[f"_k{i}" for i in range(len(keys))])).mapInPandas(averages, schema)
 
 
 def compaction(df: DataFrame, keys: Sequence[str], at: str, value: str, rule: str, size_ms: int) -> DataFrame:

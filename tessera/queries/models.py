@@ -67,8 +67,7 @@ def ts_cumulative_sum(spark: SparkSession, d: str) -> DataFrame:
 e(series, n, value, ema) AS (SELECT series, n, value, value FROM o WHERE n = 1 UNION ALL SELECT o.series, o.n, o.value, 0.3 * o.value + 0.7 * e.ema FROM e JOIN o ON o.series = e.series AND o.n = e.n + 1)
 SELECT o.event_id, round(ema, 6) AS ema FROM e JOIN o USING (series, n)""")
 def ts_ewma(spark: SparkSession, d: str) -> DataFrame:
-    s = samples(spark, d)
-    return ts.exponential_average(s, ["series"], "t_ms", "value", 0.3).join(s.select("series", "t_ms", "event_id"), ["series", "t_ms"]).select("event_id", F.round("ema", 6).alias("ema"))
+    return ts.exponential_average(samples(spark, d), ["series"], "t_ms", "value", 0.3).select("event_id", F.round("ema", 6).alias("ema"))
 
 
 @query(f"SELECT event_id, round((value - m) / sd, 6) AS z FROM {S} s JOIN (SELECT series, avg(value) AS m, stddev_pop(value) AS sd FROM {S} t GROUP BY series) g USING (series) WHERE sd > 0 AND abs((value - m) / sd) > 1.5")

@@ -1,7 +1,9 @@
 """Time travel on plain Parquet: every write is a snapshot in a folder of its own, listed in a small log.
 
-Layout: <root>/data/<snapshot id>/ and <root>/log/ (one row a snapshot, tag or branch move). Snapshots
-are immutable; a reader picks one by id, time, tag or branch and scans that folder alone.
+Layout: <root>/data/<snapshot id>/, <root>/ids/<snapshot id> (a marker that claims the id) and
+<root>/log/ (one row a snapshot, tag or branch move). A snapshot is a list of data folders: a write
+has one of its own, an append that of its rows and its parent's; nothing is rewritten but by `compact`.
+Ids are claimed by creating the marker, which fails if it is there, so two writers never share one.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LOG = "snapshot long, at timestamp, kind string, name string, parent long"
+LOG = "snapshot long, at timestamp, kind string, name string, parent long, folders array<long>"
 MAIN = "main"
 
 
@@ -29,21 +31,46 @@ class VersionedTable:
             return self.spark.createDataFrame([], LOG)
         return self.spark.read.schema(LOG).parquet(f"{self.root}/log")
 
-    def _note(self, snapshot: int, kind: str, name: str, parent: int | None) -> None:
-        row = [(snapshot, datetime.now(timezone.utc), kind, name, parent)]
+    def _note(self, snapshot: int, kind: str, name: str, parent: int | None, folders: list[int] | None = None) -> None:
+        row = [(snapshot, datetime.now(timezone.utc), kind, name, parent, folders)]
         self.spark.createDataFrame(row, LOG).coalesce(1).write.mode("append").parquet(f"{self.root}/log")
 
-    def write(self, df: DataFrame, branch: str = MAIN) -> int:
-        """A new snapshot at the branch's head; returns its id."""
+    def _claim(self) -> int:
+        """The next id that no writer has."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(self.root).getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
         last = self.log().where("kind = 'snapshot'").agg(F.max("snapshot")).first()[0]
         new = (last or 0) + 1
+        while not fs.createNewFile(path(f"{self.root}/ids/{new}")):
+            new += 1
+        return new
+
+    def _folders(self, snapshot: int) -> list[int]:
+        row = self.log().where((F.col("kind") == "snapshot") & (F.col("snapshot") == snapshot)).first()
+        if row is None:
+            raise ValueError("no such snapshot")
+        return row["folders"] or [snapshot]
+
+    def write(self, df: DataFrame, branch: str = MAIN) -> int:
+        """A new snapshot at the branch's head, of df alone; returns its id."""
+        new = self._claim()
         df.write.parquet(f"{self.root}/data/{new}")
-        self._note(new, "snapshot", branch, self.current(branch))
+        self._note(new, "snapshot", branch, self.current(branch), [new])
         return new
 
     def append(self, df: DataFrame, branch: str = MAIN) -> int:
+        """A new snapshot of the branch's head and df's rows; only df is written."""
         head = self.current(branch)
-        return self.write(df if head is None else self.read(snapshot=head).unionByName(df), branch)
+        if head is None:
+            return self.write(df, branch)
+        new = self._claim()
+        df.select(*self.read(snapshot=head).columns).write.parquet(f"{self.root}/data/{new}")
+        self._note(new, "snapshot", branch, head, [*self._folders(head), new])
+        return new
+
+    def compact(self, branch: str = MAIN) -> int:
+        """A new snapshot of the branch's head in one folder."""
+        return self.write(self.read(branch=branch), branch)
 
     def snapshots(self) -> DataFrame:
         return self.log().where("kind = 'snapshot'").select("snapshot", "at", F.col("name").alias("branch"), "parent")
@@ -75,7 +102,7 @@ class VersionedTable:
 
     def read(self, **which) -> DataFrame:
         """read(), read(snapshot=3), read(as_of=datetime), read(tag="v1"), read(branch="dev")."""
-        return self.spark.read.parquet(f"{self.root}/data/{self.resolve(**which)}")
+        return self.spark.read.parquet(*[f"{self.root}/data/{k}" for k in self._folders(self.resolve(**which))])
 
     def history(self, branch: str = MAIN) -> list[int]:
         """Snapshot ids from the branch's head back to its first."""
