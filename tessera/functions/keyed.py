@@ -86,6 +86,18 @@ def zrange(df: DataFrame, key: str, member: str, score: str, start: int, stop: i
     return df.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank").between(start, stop))
 
 
+def zrank(df: DataFrame, key: str, member: str, score: str, name) -> DataFrame:
+    """(key, rank from 0) of one member in each key that has it: how many come before it, without sorting a key."""
+    own = df.where(F.col(member) == F.lit(name)).select(F.col(key).alias("_key"), F.col(score).alias("_score"))
+    less = (F.col(score) < F.col("_score")) | ((F.col(score) == F.col("_score")) & (F.col(member) < F.lit(name)))
+    return df.join(own, F.col(key) == F.col("_key")).groupBy(key).agg(F.sum(less.cast("long")).alias("rank"))
+
+
+def zcount(df: DataFrame, key: str, score: str, low: float, high: float) -> DataFrame:
+    """(key, n) of the members with low <= score <= high; 0 for keys without any."""
+    return df.groupBy(key).agg(F.count(F.when(F.col(score).between(low, high), 1)).alias("n"))
+
+
 def zrange_by_score(df: DataFrame, score: str, low: float, high: float) -> DataFrame:
     return df.where(F.col(score).between(low, high))
 

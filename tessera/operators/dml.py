@@ -15,7 +15,7 @@ def insert_select(target: DataFrame, rows: DataFrame, columns: Sequence[str] | N
     """INSERT INTO target (columns) SELECT ...: rows matched by position; other columns take their default, else null."""
     columns = list(columns or target.columns)
     named = rows.toDF(*columns)
-    full = named.select(*[(F.col(c) if c in columns else (defaults or {}).get(c, F.lit(None))).cast(target.schema[c].dataType).alias(c) for c in target.columns])
+    full = named.select(*[(F.col(c) if c in columns else (defaults or {}).get(c, F.lit(None))).cast(target.schema[c].dataType.simpleString()).alias(c) for c in target.columns])
     return target.unionByName(full)
 
 
@@ -39,7 +39,7 @@ def upsert_do_update(target: DataFrame, rows: DataFrame, keys: Sequence[str], up
 def update(target: DataFrame, assignments: Mapping[str, Column], where: Column) -> DataFrame:
     """UPDATE ... SET ... WHERE: only rows for which the condition is true change."""
     hit = F.coalesce(where, F.lit(False))
-    return target.select(*[F.when(hit, assignments[c]).otherwise(F.col(c)).cast(target.schema[c].dataType).alias(c) if c in assignments else F.col(c) for c in target.columns])
+    return target.select(*[F.when(hit, assignments[c]).otherwise(F.col(c)).cast(target.schema[c].dataType.simpleString()).alias(c) if c in assignments else F.col(c) for c in target.columns])
 
 
 def update_from(target: DataFrame, source: DataFrame, keys: Sequence[str], assignments: Mapping[str, Column]) -> DataFrame:
@@ -59,6 +59,32 @@ def delete_using(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> D
     return target.join(source.select(*keys), list(keys), "left_anti")
 
 
+def returning(rows: DataFrame, *columns: str) -> DataFrame:
+    """RETURNING: all columns (no argument, or *) or expressions of the rows that a statement touched."""
+    return rows if not columns or columns == ("*",) else rows.selectExpr(*columns)
+
+
+def inserted(target: DataFrame, rows: DataFrame, columns: Sequence[str] | None = None, defaults: Mapping[str, Column] | None = None) -> DataFrame:
+    """What insert_select adds: the new rows as the table holds them."""
+    return insert_select(target.limit(0), rows, columns, defaults)
+
+
+def upserted(target: DataFrame, rows: DataFrame, keys: Sequence[str], update: Sequence[str] | None) -> DataFrame:
+    """What an upsert adds or changes, as the table holds it afterwards; update None: DO NOTHING, only what is new."""
+    if update is None:
+        return upsert_do_nothing(target, rows, keys).join(target.select(*keys), list(keys), "left_anti").select(*target.columns)
+    return upsert_do_update(target, rows, keys, update).join(rows.select(*keys).distinct(), list(keys), "left_semi").select(*target.columns)
+
+
+def updated(target: DataFrame, assignments: Mapping[str, Column], where: Column) -> DataFrame:
+    """The rows that update changes, as they are afterwards."""
+    return update(target.where(F.coalesce(where, F.lit(False))), assignments, F.lit(True))
+
+
+def deleted(target: DataFrame, where: Column) -> DataFrame:
+    return target.where(F.coalesce(where, F.lit(False)))
+
+
 def truncate(target: DataFrame) -> DataFrame:
     return target.where(F.lit(False))
 

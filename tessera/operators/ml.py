@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -57,13 +57,13 @@ MODELS: dict[str, object] = {}
 
 
 def train(name: str, kind: str, df: DataFrame, features: Sequence[str], label: str | None = None, **options):
-    """Fit and register a model: linear_regression, logistic_regression, kmeans, decision_tree, random_forest, gradient_boosting, svm, naive_bayes, pca."""
+    """Fit and register a model: linear_regression, logistic_regression, kmeans, decision_tree, random_forest, gradient_boosting, regression_tree, neural_network (layers=[...]), svm, naive_bayes, pca."""
     from pyspark.ml import classification as c
     from pyspark.ml import clustering, feature, regression
 
     kinds = {
         "linear_regression": regression.LinearRegression, "logistic_regression": c.LogisticRegression, "kmeans": clustering.KMeans,
-        "decision_tree": c.DecisionTreeClassifier, "random_forest": c.RandomForestClassifier, "gradient_boosting": regression.GBTRegressor, "svm": c.LinearSVC, "naive_bayes": c.NaiveBayes, "pca": feature.PCA,
+        "decision_tree": c.DecisionTreeClassifier, "regression_tree": regression.DecisionTreeRegressor, "random_forest": c.RandomForestClassifier, "neural_network": c.MultilayerPerceptronClassifier, "gradient_boosting": regression.GBTRegressor, "svm": c.LinearSVC, "naive_bayes": c.NaiveBayes, "pca": feature.PCA,
     }
     if kind == "pca":
         options |= {"inputCol": "features", "outputCol": "components"}
@@ -91,6 +91,38 @@ def evaluate(name: str, df: DataFrame) -> dict[str, float]:
     return {"accuracy": got.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]}
 
 
+def save(name: str, path: str) -> None:
+    """The model's files, and what it needs to be used again, in a folder that all executors share."""
+    model, features, kind, label = MODELS[name]
+    model.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.getActiveSession()
+    kinds = type(model).__module__ + "." + type(model).__name__
+    spark.createDataFrame([(name, features, kind, label, kinds)], "name string, features array<string>, kind string, label string, class string").coalesce(1).write.mode("overwrite").json(f"{path}/about")
+
+
+def load(path: str, name: str | None = None) -> str:
+    """A saved model under its old name or another; returns the name."""
+    from importlib import import_module
+
+    about = SparkSession.getActiveSession().read.schema("name string, features array<string>, kind string, label string, class string").json(f"{path}/about").first()
+    module, _, kind = about["class"].rpartition(".")
+    model = getattr(import_module(module), kind).load(f"{path}/model")
+    MODELS[name or about["name"]] = (model, list(about["features"]), about["kind"], about["label"])
+    return name or about["name"]
+
+
+def model_info(name: str) -> dict[str, object]:
+    model, features, kind, label = MODELS[name]
+    return {"name": name, "kind": kind, "features": features, "label": label, "parameters": {p.name: v for p, v in model.extractParamMap().items()}}
+
+
+def score_stream(name: str, stream: DataFrame, at: str, size: str, keys: Sequence[str] = (), late: str = "1 minute") -> DataFrame:
+    """Streaming inference: (window_start, keys, n, prediction): the mean prediction of every window, rows scored as they come."""
+    scored = predict(name, stream.withWatermark(at, late) if stream.isStreaming else stream)
+    got = scored.groupBy(F.window(at, size).alias("w"), *keys).agg(F.count(F.lit(1)).alias("n"), F.avg("prediction").alias("prediction"))
+    return got.select(F.col("w.start").alias("window_start"), *keys, "n", "prediction")
+
+
 def drop_model(name: str) -> bool:
     return MODELS.pop(name, None) is not None
 

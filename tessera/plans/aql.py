@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tessera.functions import spatial
 from tessera.plans import spatial_names
 from tessera.plans.cypher import clauses, split_top
+from tessera.plans.graphrag import CALL, KnowledgeBases
 
 WORDS = ("FOR", "FILTER", "LET", "COLLECT", "SORT", "LIMIT", "RETURN")
 
@@ -36,13 +37,18 @@ def expression(text: str) -> str:
     return re.sub(r"\b([A-Z_]+)\s*\(", lambda m: names.get(m[1], m[1].lower()) + "(", text)
 
 
-def run(spark: SparkSession, text: str, collections: Mapping[str, DataFrame]) -> DataFrame:
+def run(spark: SparkSession, text: str, collections: Mapping[str, DataFrame], knowledge: KnowledgeBases | None = None) -> DataFrame:
+    """The rows that the query returns. GRAPHRAG_*(...) stands for a collection where knowledge bases are given."""
+    if knowledge is not None:
+        collections = _Knowing(collections, knowledge)
     rows: DataFrame | None = None
     if spatial_names.uses(text):
         spatial_names.register(spark)
-    for word, body in clauses(text, WORDS):
+    parts = clauses(text, WORDS)
+    for k, (word, body) in enumerate(parts):
         if word == "FOR":
-            rows = _for(spark, rows, body, collections)
+            following = parts[k + 1][1] if k + 1 < len(parts) and parts[k + 1][0] == "FILTER" else ""
+            rows = _for(spark, rows, body, collections, following)
         elif word == "FILTER":
             rows = rows.where(expression(body))
         elif word == "LET":
@@ -72,7 +78,47 @@ def run(spark: SparkSession, text: str, collections: Mapping[str, DataFrame]) ->
     return rows
 
 
-def _for(spark: SparkSession, rows: DataFrame | None, body: str, collections: Mapping[str, DataFrame]) -> DataFrame:
+class _Knowing(dict):
+    """Collections, and GRAPHRAG_* calls as such."""
+
+    def __init__(self, collections: Mapping[str, DataFrame], knowledge: KnowledgeBases):
+        super().__init__(collections)
+        self.knowledge = knowledge
+
+    def __contains__(self, name: object) -> bool:
+        return super().__contains__(name) or bool(CALL.match(str(name)))
+
+    def __missing__(self, name: str) -> DataFrame:
+        return self.knowledge.call(*CALL.match(name).groups())
+
+
+def _equalities(var: str, known: list[str], condition: str) -> list[tuple[str, str]]:
+    """(expression over known variables, expression over var) of the equalities that a condition's AND parts name between them."""
+    out = []
+    for part in re.split(r"\s+AND\s+|&&", condition, flags=re.I) if not re.search(r"\bOR\b|\|\|", condition, re.I) else []:
+        sides = re.match(r"\s*([\w.]+)\s*==\s*([\w.]+)\s*$", part)
+        if not sides:
+            continue
+        for a, b in (sides.groups(), sides.groups()[::-1]):
+            if b.split(".")[0] == var and a.split(".")[0] in known and a.split(".")[0] != var:
+                out.append((a, b))
+                break
+    return out
+
+
+def _combined(rows: DataFrame, one: DataFrame, var: str, condition: str) -> DataFrame:
+    """Earlier rows with a loop's: joined by the equalities of the filter that follows; a product only where it names none."""
+    pairs = _equalities(var, rows.columns, condition)
+    if not pairs:
+        return rows.crossJoin(one)
+    same = None
+    for a, b in pairs:
+        now = F.expr(expression(a)) == F.expr(expression(b))
+        same = now if same is None else same & now
+    return rows.join(one, same)
+
+
+def _for(spark: SparkSession, rows: DataFrame | None, body: str, collections: Mapping[str, DataFrame], condition: str = "") -> DataFrame:
     if m := re.match(r"(\w+)(?:\s*,\s*(\w+))?\s+IN\s+(\d+)\.\.(\d+)\s+(OUTBOUND|INBOUND|ANY)\s+(\S+)\s+(\w+)$", body, re.I):
         from tessera.operators import graph
 
@@ -90,11 +136,11 @@ def _for(spark: SparkSession, rows: DataFrame | None, body: str, collections: Ma
     if m := re.match(r"(NEAR|WITHIN|WITHIN_RECTANGLE)\s*\((.*)\)$", source, re.I | re.S):
         near = _near(m[1].upper(), [a.strip() for a in split_top(m[2])], collections)
         one = near.select(F.struct(*near.columns).alias(var))
-        return one if rows is None else rows.crossJoin(one)
+        return one if rows is None else _combined(rows, one, var, condition)
     if source in collections:
         df = collections[source]
         one = df.select(F.struct(*df.columns).alias(var))
-        return one if rows is None else rows.crossJoin(one)
+        return one if rows is None else _combined(rows, one, var, condition)
     base = rows if rows is not None else spark.range(1).select()
     if m := re.match(r"(\d+)\.\.(\d+)$", source):
         return base.select("*", F.explode(F.sequence(F.lit(int(m[1])), F.lit(int(m[2])))).alias(var))

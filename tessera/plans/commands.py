@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import shlex
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import geometry, spatial, vectors
 from tessera.operators import timeseries as ts
+from tessera.plans.cypher import Graph, clauses
+from tessera.plans.graphrag import KnowledgeBases
+from tessera.plans.statements import explain
 from tessera.sources.rounds import keep_round
 
 SERIES = "series string, t_ms long, value double, seq long"
@@ -25,6 +30,11 @@ class Store:
         self.vectors: dict[str, DataFrame] = {}
         self.places: dict[str, DataFrame] = {}
         self.shapes: dict[str, DataFrame] = {}
+        self.indexes: dict[str, dict] = {}
+        self.graphs: dict[str, Graph] = {}
+        self.config: dict[str, str] = {"QUERY_TIMEOUT": "0", "MAX_QUEUED_QUERIES": "0"}
+        self.slow: list[tuple[str, str, float]] = []
+        self.knowledge = KnowledgeBases(spark)
         self._seq = 0
         self._new: list[tuple] = []
 
@@ -157,7 +167,18 @@ class Store:
         self.vectors.setdefault(key, self.spark.createDataFrame([], VECTORS))
         return "OK"
 
-    ft_create = vector_create
+    def ft_create(self, key: str, *options: str) -> str:
+        """FT.CREATE name [ON HASH] SCHEMA field TYPE ... VECTOR algorithm n name value ...: the vector field's DIM and DISTANCE_METRIC are kept."""
+        o = [x.upper() for x in options]
+        spec = {k.lower(): options[o.index(k) + 1] for k in ("DIM", "DISTANCE_METRIC", "TYPE") if k in o}
+        self.indexes[key] = {"metric": {"COSINE": "cosine", "L2": "l2", "IP": "dot"}[spec.get("distance_metric", "COSINE").upper()], "dim": int(spec["dim"]) if "dim" in spec else None}
+        return self.vector_create(key)
+
+    def ft_add(self, key: str, name: str, numbers: str, *metadata: str) -> str:
+        want, got = self.indexes.get(key, {}).get("dim"), len(numbers.split(","))
+        if want and got != want:
+            raise ValueError(f"{got} dimensions, the index has {want}")
+        return self.vector_add(key, name, numbers, *metadata)
 
     def vector_add(self, key: str, name: str, numbers: str, *metadata: str) -> str:
         row = [(name, [float(x) for x in numbers.split(",")], dict(zip(metadata[::2], metadata[1::2])))]
@@ -181,17 +202,108 @@ class Store:
             where = c if where is None else where & c
         return vectors.search(self.vectors[key], [float(x) for x in numbers.split(",")], int(k), metric.lower(), float(threshold) if threshold else None, where, "embedding", "id").select("id", "score")
 
-    ft_search = vector_search
+    vector_knn = vector_search
+
+    def ft_search(self, key: str, query: str, *options: str) -> DataFrame:
+        """FT.SEARCH index "filter=>[KNN k @field $name]" PARAMS n name numbers ... [LIMIT offset count]; filters are * or @field:{value} ...
+
+        Without such a query text, as VECTOR.SEARCH: the numbers, then k.
+        """
+        m = re.match(r"\s*(.*?)\s*=>\s*\[\s*KNN\s+(\d+)\s+@\w+\s+\$(\w+)", query, re.I)
+        if not m:
+            return self.vector_search(key, query, *options)
+        o = [x.upper() for x in options]
+        given = options[o.index("PARAMS") + 2 :]
+        numbers = dict(zip(given[::2], given[1::2]))[m[3]]
+        where = [f"{a}={b}" for a, b in re.findall(r"@(\w+):\{([^}]*)\}", m[1])]
+        found = self.vector_search(key, numbers, m[2], self.indexes.get(key, {}).get("metric", "cosine"), None, *where)
+        if "LIMIT" in o:
+            k = o.index("LIMIT")
+            found = found.orderBy(F.desc("score"), "id").offset(int(options[k + 1])).limit(int(options[k + 2]))
+        return found
 
     def vector_info(self, key: str) -> DataFrame:
         return self.vectors[key].agg(F.count(F.lit(1)).alias("vectors"), F.max(F.size("embedding")).alias("dims"))
 
-    ft_info = vector_info
+    vector_stats = vector_info
+
+    def ft_info(self, key: str) -> DataFrame:
+        spec = self.indexes.get(key, {})
+        return self.vector_info(key).withColumn("metric", F.lit(spec.get("metric", "cosine"))).withColumn("dim", F.lit(spec.get("dim")).cast("int"))
+
+    def vector_count(self, key: str) -> int:
+        return self.vectors[key].count()
+
+    def vector_list(self, key: str) -> DataFrame:
+        return self.vectors[key].select("id")
+
+    def load_vectors(self, key: str, rows: DataFrame) -> None:
+        """Vectors in bulk: (id, embedding, metadata map)."""
+        self.vectors[key] = rows.select(F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"), "metadata")
 
     def vector_drop(self, key: str) -> int:
         return int(self.vectors.pop(key, None) is not None)
 
-    ft_dropindex = vector_drop
+    ft_del = vector_del
+
+    def ft_dropindex(self, key: str, *_: str) -> int:
+        self.indexes.pop(key, None)
+        return self.vector_drop(key)
+
+    # graphs
+    def load_graph(self, name: str, graph: Graph) -> None:
+        self.graphs[name] = graph
+
+    def graph_query(self, name: str, text: str) -> DataFrame | str:
+        """GRAPH.QUERY: rows for a query with RETURN (or CALL); else the graph after it is kept. A name that is new is an empty graph."""
+        if name not in self.graphs:
+            self.graphs[name] = Graph(self.spark.createDataFrame([], "id long, labels array<string>, name string"), self.spark.createDataFrame([], "src long, dst long, type string"))
+        began = time.perf_counter()
+        words = [w for w, _ in clauses(text)]
+        out = self.graphs[name].query(text) if "RETURN" in words or words[:1] == ["CALL"] else None
+        if out is None:
+            self.graphs[name] = self.graphs[name].execute(text)
+        self.slow.append((name, text, time.perf_counter() - began))
+        self.slow = sorted(self.slow, key=lambda r: -r[2])[:10]
+        return "OK" if out is None else out
+
+    def graph_explain(self, name: str, text: str) -> str:
+        return explain(self.graphs[name].query(text))
+
+    def graph_profile(self, name: str, text: str) -> DataFrame:
+        """(plan, rows, seconds) of the query, run as a whole."""
+        found, began = self.graphs[name].query(text), time.perf_counter()
+        n = found.count()
+        return self.spark.createDataFrame([(explain(found), n, time.perf_counter() - began)], "plan string, rows long, seconds double")
+
+    def graph_delete(self, name: str) -> str:
+        del self.graphs[name]
+        return "OK"
+
+    def graph_list(self) -> DataFrame:
+        return self.spark.createDataFrame([(n,) for n in sorted(self.graphs)], "graph string")
+
+    def graph_config(self, what: str, name: str, value: str | None = None) -> DataFrame | str:
+        """GET name (* for all) or SET name value."""
+        if what.upper() == "SET":
+            self.config[name.upper()] = value
+            return "OK"
+        rows = [(k, v) for k, v in sorted(self.config.items()) if name in ("*", k) or name.upper() == k]
+        return self.spark.createDataFrame(rows, "name string, value string")
+
+    def graph_slowlog(self, name: str) -> DataFrame:
+        """The slowest queries of a graph, by the time to plan them (results are lazy)."""
+        return self.spark.createDataFrame([(t, s) for n, t, s in self.slow if n == name], "query string, seconds double")
+
+    # knowledge
+    def graphrag_build(self, name: str, doc_id: str, body: str, *_: str) -> DataFrame:
+        return self.knowledge.build(name, doc_id, body)
+
+    def graphrag_query(self, name: str, question: str, *options: str) -> DataFrame:
+        return self.knowledge.query(name, question, *options)
+
+    def graphrag_stats(self, name: str) -> DataFrame:
+        return self.knowledge.stats(name)
 
     # places
     def geoadd(self, key: str, *args: str) -> int:

@@ -294,7 +294,7 @@ class Graph:
         """CREATE, MERGE (one node), or MATCH ... SET / REMOVE / DELETE / DETACH DELETE: the graph after it."""
         parts = self._grouped(text)
         nodes, edges = self.nodes, self.edges
-        kinds = {f.name: f.dataType for f in nodes.schema}
+        kinds = {f.name: f.dataType.simpleString() for f in nodes.schema}
         matched = [p for p in parts if p[0] in ("MATCH", "WITH")]
         rows = self._match(None, matched[0][1][0]) if matched else None
         if rows is not None and matched[0][1][1]:
@@ -320,7 +320,7 @@ class Graph:
                             a, b = b, a
                         end = lambda n: made[n.var] if n.var in made else F.col(f"{n.var}.id")
                         values = {"src": end(a), "dst": end(b), "type": F.lit(r.types[0])} | {p: F.expr(expression(v)) for p, v in r.props.items()}
-                        edges = edges.unionByName(base.select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in edges.schema]))
+                        edges = edges.unionByName(base.select(*[values.get(f.name, F.lit(None)).cast(f.dataType.simpleString()).alias(f.name) for f in edges.schema]))
             elif word == "SET":
                 for item in split_top(body):
                     var, key, value = re.match(r"(\w+)\.(\w+)\s*=\s*(.*)$", item, re.S).groups()

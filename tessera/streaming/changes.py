@@ -67,6 +67,26 @@ def write_topic(stream: DataFrame, servers: str, topic: str, checkpoint: str):
     return stream.writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint).start()
 
 
+def post_rows(rows: DataFrame, url: str, batch: int = 500, timeout: float = 10.0) -> None:
+    """A webhook sink: the rows of to_topic as JSON arrays of at most `batch`, posted by each task; a refused post fails the task, which is tried again (at least once)."""
+
+    def send(part) -> None:
+        import json
+        from itertools import islice
+        from urllib.request import Request, urlopen
+
+        part = iter(part)
+        while chunk := [{"key": r["key"], "value": json.loads(r["value"])} for r in islice(part, batch)]:
+            urlopen(Request(url, json.dumps(chunk).encode(), {"Content-Type": "application/json"}), timeout=timeout).close()
+
+    rows.select("key", "value").foreachPartition(send)
+
+
+def write_webhook(stream: DataFrame, url: str, checkpoint: str):
+    """The webhook sink on a stream of to_topic's rows."""
+    return stream.writeStream.foreachBatch(lambda df, _: post_rows(df, url)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def geofence(df: DataFrame, entity: str, order: str, inside: Column) -> DataFrame:
     """df rows where an entity enters or leaves, with `event`; its first position counts as enter if inside."""
     from pyspark.sql import Window
