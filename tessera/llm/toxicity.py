@@ -185,19 +185,21 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows:
         discard(sample)
         return unfitted(pos, n)
 
+    small = np.uint16 if len(chosen) < 1 << 16 else np.int32  # places of chosen buckets, as they go to the driver
+
     def narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.full(1 << BITS, -1, np.int32)
         place[chosen] = np.arange(len(chosen))
         for batch in batches:
             cols = [place[np.frombuffer(raw, np.int32)] for raw in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c[c >= 0].tobytes() for c in cols], pa.binary())], ["y", "cols"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c[c >= 0].astype(small).tobytes() for c in cols], pa.binary())], ["y", "cols"])
 
     got = sample.mapInArrow(narrowed, "y int, cols binary").toArrow()
     discard(sample)
     y = got.column(0).to_numpy().astype(np.float64)
-    parts = [np.frombuffer(x.as_py(), np.int32) for x in got.column(1)]
+    parts = [np.frombuffer(x.as_py(), small) for x in got.column(1)]
     row = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in parts])
-    col = np.concatenate(parts)
+    col = np.concatenate(parts).astype(np.int32)
     w, b = logistic(row, col, ratio[col].astype(np.float32), y, len(chosen))
     weights = np.zeros(1 << BITS, np.float32)
     weights[chosen] = w * ratio
