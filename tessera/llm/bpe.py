@@ -7,8 +7,8 @@ The tokenizers library has Unicode tables of its own: letters and digits of Unic
 17, normal forms of 9. Texts with characters on which this Python or its regex module differ go a
 second, exact way; whatever release of them is installed, the results are the library's.
 
-A pre-token of n bytes takes about 60 n bytes while it is merged; nothing else grows with a text but
-the text itself, its pre-tokens and ids.
+A pre-token of n bytes takes about 60 n bytes while it is merged. Long texts are encoded in parts, so
+nothing else grows with a text but the text itself, its ids and what they decode to.
 
 Defined results: a null text is an empty one; an empty text has no ids and decodes to an empty
 string; repeated rows each get their own result; other columns of the input are ignored.
@@ -42,6 +42,8 @@ CAPITALS_17 = "1C89=1C8A A7CB=264 A7CC=A7CD A7CE=A7CF A7D2=A7D3 A7D4=A7D5 A7DA=A
 MARKS_10 = "7FD 898-89F 8CA-8D3 9FE C3C D3B-D3C EBA 1715 1ABF-1ACE 1DF6-1DFA A82C 10D24-10D27 10EAB-10EAC 10EFD-10EFF 10F46-10F50 10F82-10F85 11070 1133B 1145E 11839-1183A 11930 1193D-1193E 11943 119E0 11A34 11A47 11A99 11D42 11D44-11D45 11D97 11F41-11F42 16FF0-16FF1 1E08F 1E130-1E136 1E2AE 1E2EC-1E2EF 1E4EC-1E4EF"
 CACHE_ENTRIES = 400_000
 CACHED_LENGTH = 64
+PART_CHARS = 500_000
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 _loaded: dict[tuple, Vocabulary] = {}
 
 
@@ -167,6 +169,10 @@ class Vocabulary:
         blank = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
         if not self.pattern.search(regex.sub(r"\S", "", blank)):  # runs of white space as one space change nothing where no pre-token has any
             self.steps, self.exact_steps = ([f for f in steps if getattr(f, "spaces", None) is None] for steps in (self.steps, self.exact_steps))
+            known = {f.func if isinstance(f, partial) else f for f in self.exact_steps} <= {_normal, _newest_lower}
+            self.by_parts = known and "(?" not in pattern
+        else:
+            self.by_parts = pattern == BYTE_LEVEL and not self.steps
         self.coded = Recent(self._code)
 
     def _code(self, token: str) -> bytes:
@@ -256,14 +262,23 @@ class Vocabulary:
                 heapq.heappush(queue, m[0] << 32 | h)
         return [s for s in sym if s >= 0]
 
+    def parts(self, text: str) -> Iterator[str]:
+        """A long text in parts whose pre-tokens are its own: cut before single spaces, where that can't change any."""
+        at = 0
+        while self.by_parts and len(text) - at > PART_CHARS and (cut := _CUT.search(text, at + PART_CHARS)):
+            yield text[at : cut.start()]
+            at = cut.start()
+        yield text[at:]
+
     def encoded(self, text: str) -> bytes:
         """The ids of the text as little-endian unsigned 32-bit integers."""
         get, raw = self.coded.__getitem__, []
         for known, piece in self.pieces(text):
             if known is not None:
                 raw.append(np.array([known], "<u4").tobytes())
-            else:
-                raw += map(get, self.pretokens(piece))
+                continue
+            for part in self.parts(piece):
+                raw.append(b"".join(map(get, self.pretokens(part))))
         return b"".join(raw)
 
     def encode(self, text: str | None) -> list[int]:

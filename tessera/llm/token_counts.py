@@ -41,7 +41,8 @@ def frequent_pretokens(docs: DataFrame, source, text_col: str, table_size: int,
             for text in chain.from_iterable(batch.column(0).slice(at, 512).to_pylist() for at in range(0, batch.num_rows, 512)):
                 for known, part in voc.pieces(text or ""):
                     if known is None:
-                        seen.update(voc.pretokens(part))
+                        for p in voc.parts(part):
+                            seen.update(voc.pretokens(p))
                 while len(seen) > COUNTED:  # in bounded memory: rare ones are forgotten
                     cut += 1
                     seen = Counter({t: c for t, c in seen.items() if c > cut})
@@ -53,7 +54,7 @@ def frequent_pretokens(docs: DataFrame, source, text_col: str, table_size: int,
     n = texts.count()
     if n > sample_texts:
         texts = texts.sample(sample_texts / n, SEED)
-    reports = texts.limit(2 * sample_texts).repartition(SAMPLE_PARTS).mapInArrow(count, "token string, n long").toArrow()
+    reports = texts.repartition(SAMPLE_PARTS).mapInArrow(count, "token string, n long").toArrow()
     total: Counter[str] = Counter()
     for token, found in zip(reports.column(0).to_pylist(), reports.column(1).to_pylist()):
         total[token] += found
@@ -95,7 +96,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             for text in chain.from_iterable(batch.column(1).slice(at, 512).to_pylist() for at in range(0, batch.num_rows, 512)):
                 n = 0
                 for known, part in voc.pieces(text or ""):
-                    n += 1 if known is not None else sum(map(get, voc.pretokens(part)))
+                    n += 1 if known is not None else sum(sum(map(get, voc.pretokens(p))) for p in voc.parts(part))
                 n_tokens.append(n)
                 n_bytes.append(len((text or "").encode()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())], [id_col, "n_bytes", "n_tokens", "over_limit"])
