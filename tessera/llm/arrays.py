@@ -3,7 +3,7 @@
 Texts are read straight from Arrow's UTF-8 buffers, in slices of bounded size, so a worker holds
 one slice's arrays at a time however long the partition is. A text longer than a slice is a slice of
 its own, and its bytes are worked through in blocks of SLICE_BYTES, with what a block needs of the one
-before carried over: only its words' hashes (16 bytes each) and its results are held as a whole.
+before carried over: only its words' hashes (8 bytes each, 16 while they are put together) and its results are held as a whole.
 """
 
 from __future__ import annotations
@@ -111,13 +111,18 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
             sums[-1][-1] = U64((int(sums[-1][-1]) + pow(int(_M), length, 1 << 64) * int(got[0])) % (1 << 64))
             length += int(end[0])
         if len(start) > on:
-            starts.append(start[on:] + lo)
+            if len(offsets) > 2:
+                starts.append(start[on:] + lo)
             sums.append(got[on:])
             length = int(end[-1] - start[-1])
         if not len(end) or end[-1] != len(block):
             length = 0
-    start = np.concatenate([np.zeros(0, np.int64), *starts])
-    return mix(np.concatenate([np.zeros(0, U64), *sums])), np.searchsorted(start, offsets)
+    for block in sums:
+        block[:] = mix(block)
+    h = np.concatenate([np.zeros(0, U64), *sums])
+    if len(offsets) <= 2:
+        return h, np.array([0, len(h)])[: len(offsets)]
+    return h, np.searchsorted(np.concatenate([np.zeros(0, np.int64), *starts]), offsets)
 
 
 def windows(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,21 +149,25 @@ def windows(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, n
     return out, bound
 
 
-def _long_set(h: np.ndarray, width: int) -> np.ndarray:
-    """The sorted distinct shingle hashes of one long text's words, in blocks of words."""
+def _long_set(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
+    """The sorted distinct shingle hashes of one long text, in blocks of words."""
+    h, _ = word_hashes(data, offsets)
     step = SLICE_BYTES // 8
     found = [np.unique(windows(part, np.array([0, len(part)]), width)[0]) for k in range(0, max(1, len(h) - width + 1), step) if len(part := h[k : k + step + width - 1])]
-    return np.unique(np.concatenate([np.zeros(0, U64), *found]))
+    del h
+    out = np.concatenate([np.zeros(0, U64), *found])
+    found.clear()
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])] if len(out) else out
 
 
 def shingle_sets(col: pa.Array, width: int = 5) -> Iterator[list[np.ndarray]]:
     """For runs of rows: the sorted distinct shingle hashes of each row's whole text."""
     for a, b, data, offsets in slices(col):
-        h, first = word_hashes(data, offsets)
         if b - a == 1 and len(data) > SLICE_BYTES:
-            yield [_long_set(h, width)]
+            yield [_long_set(data, offsets, width)]
             continue
-        h, bound = windows(h, first, width)
+        h, bound = windows(*word_hashes(data, offsets), width)
         yield [np.unique(h[bound[i] : bound[i + 1]]) for i in range(b - a)]
 
 
