@@ -7,11 +7,13 @@ probability 2e-6, one of 0.8 with 5e-9.
 
 Texts with equal shingle sets are one class from the start, so copies are never compared or
 paired. Within a bucket (classes that share a band) not all pairs are made: each class is
-compared with the bucket's hub, the class that shares most bands with others. Only where a bucket
-then still holds several components, classes off the hub's component are compared with those of
-other components on their full sets, in blocks of bounded size, so that no link that joins two
-components is missed among the pairs that share a band; pairs that are joined by then aren't
-compared, none are written but the links that join. Every link is confirmed on the full 64-bit sets.
+compared with the bucket's hub, the class that shares most bands with others. Where a bucket then
+still holds several components, the best class off the hub's component becomes a further hub and is
+compared with all that aren't in its component, for HUB_ROUNDS rounds or until a round finds no link.
+Classes that are off a bucket's largest component even then are compared with those of other components
+on their full sets, in blocks of bounded size, so that no link that joins two components is missed
+among the pairs that share a band; pairs that are joined by then aren't compared, none are written
+but the links that join. Every link is confirmed on the full 64-bit sets.
 
 Defined results: a text without words, or null, has an empty set, is linked with nothing and is
 its own component; equal texts are linked; repeated ids are rows of their own, with one text or
@@ -43,6 +45,7 @@ AGREE = 72  # of SKETCH; of a pair of similarity 0.75 fewer agree with probabili
 BLOCK = 16_384  # shingles at once
 STRAYS, OTHERS, BLOCK_SHINGLES = 256, 2_048, 2_000_000  # classes and hashes in a block of the second comparison
 BROADCAST_IDS = 1_000_000
+HUB_ROUNDS = 2
 
 
 def _permute(x: np.ndarray, a: int, b: int) -> np.ndarray:
@@ -211,18 +214,18 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: st
     return out
 
 
-def open_buckets(members: DataFrame, hubs: DataFrame, component: DataFrame, light: DataFrame) -> DataFrame:
-    """(band, node, label, stray, level): the classes of buckets that hold several components, but the hubs; written.
+def open_buckets(members: DataFrame, done: DataFrame, component: DataFrame, light: DataFrame) -> DataFrame:
+    """(band, node, label, stray, level): what is left of buckets, without done (band, node), which were compared with all, where that is several components; written.
 
-    A stray is off the component of its bucket's hub. Classes whose sizes are within a factor of 4/3
+    A stray is off the component that has most of it. Classes whose sizes are within a factor of 4/3
     are of the same level or of neighbouring ones.
     """
-    labelled = members.join(component, "node", "left").select("band", "node", F.coalesce("component", "node").alias("label"))
-    mixed = labelled.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("band")
-    hub_label = hubs.join(component, hubs["hub"] == component["node"], "left").select("band", "hub", F.coalesce("component", "hub").alias("hub_label"))
+    labelled = members.join(done, ["band", "node"], "left_anti").join(component, "node", "left").select("band", "node", F.coalesce("component", "node").alias("label"))
+    parts = labelled.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "label")).alias("most"))
+    mixed = parts.where("parts > 1").select("band", F.col("most.label").alias("main"))
     level = F.floor(F.log("n_shingles") / F.log(F.lit(4 / 3))).cast("int")
-    rows = labelled.join(mixed, "band").join(hub_label, "band").where("node <> hub").join(light.select("node", "n_shingles"), "node")
-    return written(rows.select("band", "node", "label", (F.col("label") != F.col("hub_label")).alias("stray"), level.alias("level")), "open")
+    rows = labelled.join(mixed, "band").join(light.select("node", "n_shingles"), "node")
+    return written(rows.select("band", "node", "label", (F.col("label") != F.col("main")).alias("stray"), level.alias("level")), "open")
 
 
 def away_from_hubs(open_: DataFrame, light: DataFrame, sets: DataFrame) -> DataFrame:
@@ -280,7 +283,7 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     banded = classes.select("node", F.explode("bands").alias("band"))
     shared = written(banded.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
     members = written(banded.join(shared, "band"), "members")
-    score = members.groupBy("node").agg(F.sum("n").alias("score"))
+    score = written(members.groupBy("node").agg(F.sum("n").alias("score")), "score")
     hubs = written(members.join(score, "node").groupBy("band").agg(F.max(F.struct("score", "node")).alias("top")).select("band", F.col("top.node").alias("hub")), "hubs")
     pairs = members.join(hubs, "band").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     light = classes.select("node", "n_shingles", "bands", "sketch")
@@ -290,10 +293,32 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return pairs.join(b, "b").join(a, "a").where("100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)").select("a", "b", "sketch_a", "sketch_b")
 
     likely = written(with_sketches(pairs).mapInArrow(_agreeing, "a long, b long"), "pairs")
-    links = _confirmed(likely, classes, docs, id_col, text_col)
+    links = first_links = _confirmed(likely, classes, docs, id_col, text_col)
     component = connected_components(links)
 
-    open_ = open_buckets(members, hubs, component, light)
+    done = hubs.select("band", F.col("hub").alias("node"))
+    open_ = open_buckets(members, done, component, light)
+    further: list[DataFrame] = []
+    for _ in range(HUB_ROUNDS):
+        if open_.where("stray").isEmpty():
+            break
+        strays = open_.where("stray").join(score, "node")
+        more = written(strays.groupBy("band").agg(F.max(F.struct("score", "node", "label")).alias("top")).select("band", F.col("top.node").alias("hub"), F.col("top.label").alias("own")), "hubs")
+        pairs = open_.join(more, "band").where("label <> own").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+        found = written(with_sketches(pairs).mapInArrow(_agreeing, "a long, b long"), "pairs")
+        new = _confirmed(found, classes, docs, id_col, text_col)
+        discard(found)
+        further += [more, new]
+        done = done.unionByName(more.select("band", F.col("hub").alias("node")))
+        if new.isEmpty():
+            discard(open_)
+            open_ = open_buckets(members, done, component, light)
+            break
+        links = links.unionByName(new)
+        joined = connected_components(links)
+        discard(component, open_)
+        component = joined
+        open_ = open_buckets(members, done, component, light)
     if not open_.where("stray").isEmpty():
         sets = _full_sets(open_.select("node").distinct(), classes, docs, id_col, text_col)
         late = away_from_hubs(open_, light, sets)
@@ -302,7 +327,7 @@ def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             discard(component)
             component = joined
         discard(sets, late)
-    discard(open_, shared, members, hubs, likely, links)
+    discard(open_, shared, members, score, hubs, likely, first_links, *further)
 
     # the least id of each component and the row that is kept, for each class
     labels = written(classes.select("node", "keeper_id", "digest").join(component, "node", "left").select("node", "keeper_id", "digest", F.coalesce("component", "node").alias("label")), "labels")

@@ -118,11 +118,11 @@ def test_second_comparison_is_complete(spark, monkeypatch, blocks):
     label = {k: 0 if k < 8 else 8 if k < 12 else k for k in range(n)}
     frame = spark.createDataFrame
     members = frame([(11, k, n) for k in range(n)] + [(6, 0, 2), (6, 3, 2)], "band long, node long, n long")
-    hubs = frame([(11, 2), (6, 0)], "band long, hub long")
+    done = frame([(11, 2), (6, 0)], "band long, node long")
     component = frame([(k, v) for k, v in label.items() if k < 12], "node long, component long")
     light = frame([(k, len(sets[k]), bands, bytes(near_dedup.SKETCH)) for k in range(n)], "node long, n_shingles long, bands array<long>, sketch binary")
     full = frame([(k, sets[k].view(np.int64).tolist()) for k in range(n)], "node long, shingles array<long>")
-    open_ = near_dedup.open_buckets(members, hubs, component, light)
+    open_ = near_dedup.open_buckets(members, done, component, light)
     assert {(r["band"], r["node"]) for r in open_.collect()} == {(11, k) for k in range(n) if k != 2}
     got = [(r["a"], r["b"]) for r in near_dedup.away_from_hubs(open_, light, full).collect()]
 
@@ -140,8 +140,10 @@ def test_second_comparison_is_complete(spark, monkeypatch, blocks):
         assert len(got) < 2 * n
 
 
-def test_links_away_from_the_hub(spark):
-    """Texts that are all a little too far from their bucket's hub, some of them alike in pairs: only the second comparison finds those."""
+@pytest.mark.parametrize("hub_rounds", [0, 1, 5])
+def test_links_away_from_the_hub(spark, monkeypatch, hub_rounds):
+    """Texts that are all a little too far from their bucket's hub, some of them alike in pairs: only further hubs and the last comparison find those."""
+    monkeypatch.setattr(near_dedup, "HUB_ROUNDS", hub_rounds)
     rng = random.Random(9)
     base = [f"b{i}" for i in range(150)]
     data = [(0, " ".join(base))]
