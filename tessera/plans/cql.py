@@ -1,4 +1,4 @@
-"""A CQL subset: SELECT with CONTAINS, CONTAINS KEY, IN, ALLOW FILTERING; INSERT, UPDATE, DELETE, TRUNCATE, BATCH on named DataFrames."""
+"""A CQL subset: SELECT with CONTAINS, CONTAINS KEY, IN, ALLOW FILTERING; INSERT, UPDATE, DELETE, TRUNCATE, BATCH, CREATE, ALTER and DROP TABLE on named DataFrames."""
 
 from __future__ import annotations
 
@@ -17,6 +17,32 @@ def condition(text: str) -> str:
     return text.replace("!=", "<>")
 
 
+# fixed values: types by name
+TYPES = {
+    "ascii": "string", "text": "string", "varchar": "string", "uuid": "string", "timeuuid": "string", "inet": "string", "int": "int", "bigint": "bigint", "counter": "bigint", "varint": "decimal(38,0)",
+    "smallint": "smallint", "tinyint": "tinyint", "float": "float", "double": "double", "decimal": "decimal(38,10)", "boolean": "boolean", "blob": "binary", "date": "date", "timestamp": "timestamp",
+}
+
+
+def spark_type(text: str) -> str:
+    """Spark's type of a CQL type: names above, list, set, map, frozen."""
+    text = text.strip().lower()
+    if m := re.match(r"(list|set|frozen|map)\s*<(.*)>$", text, re.S):
+        inner, depth, parts = "", 0, []
+        for c in m[2] + ",":
+            depth += {"<": 1, ">": -1}.get(c, 0)
+            if c == "," and not depth:
+                parts.append(inner)
+                inner = ""
+            else:
+                inner += c
+        kinds = [spark_type(p) for p in parts]
+        return {"list": "array<{0}>", "set": "array<{0}>", "frozen": "{0}", "map": "map<{0},{1}>"}[m[1]].format(*kinds)
+    if text not in TYPES:
+        raise ValueError(f"no type {text}")
+    return TYPES[text]
+
+
 class Keyspace:
     """Tables by name; keys are the primary keys that INSERT overwrites by, as CQL's does."""
 
@@ -54,8 +80,37 @@ class Keyspace:
         if m := re.match(r"TRUNCATE\s+(?:TABLE\s+)?(\w+)$", text, re.I):
             self.tables[m[1]] = dml.truncate(self.tables[m[1]])
             return None
+        if m := re.match(r"CREATE\s+TABLE\s+(IF\s+NOT\s+EXISTS\s+)?(?:\w+\.)?(\w+)\s*\((.*)\)(?:\s+WITH\s+.*)?$", text, re.I | re.S):
+            return self._create(m[2], m[3], bool(m[1]))
+        if m := re.match(r"ALTER\s+TABLE\s+(\w+)\s+ADD\s+(\w+)\s+(.+)$", text, re.I):
+            self.tables[m[1]] = self.tables[m[1]].withColumn(m[2], F.lit(None).cast(spark_type(m[3])))
+            return None
+        if m := re.match(r"DROP\s+TABLE\s+(IF\s+EXISTS\s+)?(\w+)$", text, re.I):
+            if m[2] not in self.tables and not m[1]:
+                raise ValueError(f"no table {m[2]}")
+            self.tables.pop(m[2], None)
+            return None
+        if re.match(r"(?:CREATE|DROP|ALTER)\s+KEYSPACE\b|USE\s+\w+$", text, re.I):
+            return None  # a keyspace is this object
         raise ValueError(f"not understood: {text[:60]}")
 
+    def _create(self, name: str, columns: str, once: bool) -> None:
+        if name in self.tables:
+            if once:
+                return
+            raise ValueError(f"table {name} exists")
+        fields, keys = [], []
+        for part in split_top(columns):
+            if m := re.match(r"PRIMARY\s+KEY\s*\((.*)\)$", part, re.I | re.S):
+                keys = re.findall(r"\w+", m[1])
+                continue
+            column, kind = re.match(r"(\w+)\s+(.+)$", part, re.S).groups()
+            if re.search(r"\s+PRIMARY\s+KEY$", kind, re.I):
+                keys, kind = [column], re.sub(r"\s+PRIMARY\s+KEY$", "", kind, flags=re.I)
+            fields.append(f"{column} {spark_type(kind)}")
+        self.tables[name] = self.spark.createDataFrame([], ", ".join(fields))
+        self.keys[name] = keys
+
     def _select(self, text: str) -> DataFrame:
         text = re.sub(r"\s+ALLOW\s+FILTERING\b", "", text, flags=re.I)
         m = re.match(r"SELECT\s+(.*?)\s+FROM\s+(\w+)(?:\s+WHERE\s+(.*?))?(\s+(?:GROUP\s+BY|ORDER\s+BY|LIMIT)\s+.*)?$", text, re.I | re.S)

@@ -447,3 +447,136 @@ def entity_fuzzy(spark: SparkSession, d: str) -> DataFrame:
     words = spark.createDataFrame([("Customer#000000", "name")], "keyword string, type string")
     found = text.extract_fuzzy(load(spark, d, "customer"), "c_custkey", "c_name", words)
     return found.select("c_custkey", "position", F.round("confidence", 6).alias("confidence"))
+
+
+# tables in chunks, views, models, matrices
+
+
+@query(f"SELECT series, count(*) AS n FROM {S} s WHERE t_ms BETWEEN 1704500000000 AND 1705500000000 GROUP BY series")
+def hypertable(spark: SparkSession, d: str) -> DataFrame:
+    """Written in chunks of a day, old chunks dropped, a range read."""
+    path = f"{shared_folder(spark)}/hyper-{uuid.uuid4().hex}"
+    files.write_hypertable(samples(spark, d), path, "t_ms", DAY, ["series"])
+    files.drop_chunks(spark, path, 1704400000000, DAY)
+    return files.read_hypertable(spark, path, "t_ms", DAY, 1704500000000, 1705500000000).groupBy("series").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT CAST(t_ms // {DAY} * {DAY} AS BIGINT) AS chunk, count(*) AS rows FROM {S} s WHERE t_ms // {DAY} * {DAY} + {DAY} > 1704500000000 GROUP BY 1")
+def hypertable_chunks(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/hyper-{uuid.uuid4().hex}"
+    files.write_hypertable(samples(spark, d), path, "t_ms", DAY)
+    files.drop_chunks(spark, path, 1704500000000, DAY)
+    return files.chunks(spark, path)
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
+def materialized_view(spark: SparkSession, d: str) -> DataFrame:
+    from tessera.plans.statements import execute
+
+    load(spark, d, "orders").limit(0).createOrReplaceTempView("surface_orders")
+    execute(spark, "CREATE OR REPLACE MATERIALIZED VIEW surface_status AS SELECT o_orderstatus, count(*) AS n FROM surface_orders GROUP BY o_orderstatus")
+    load(spark, d, "orders").createOrReplaceTempView("surface_orders")
+    execute(spark, "REFRESH MATERIALIZED VIEW surface_status")
+    return execute(spark, "SELECT * FROM surface_status")
+
+
+@query("SELECT count(*) AS rows FROM orders WHERE o_totalprice > 100000")
+def explain_analyze(spark: SparkSession, d: str) -> DataFrame:
+    from tessera.plans.statements import execute
+
+    load(spark, d, "orders").createOrReplaceTempView("surface_orders")
+    return execute(spark, "EXPLAIN (ANALYZE, COSTS) SELECT * FROM surface_orders WHERE o_totalprice > 100000").select("rows")
+
+
+@query("SELECT * FROM (VALUES ('n_nationkey'), ('n_name'), ('n_regionkey')) t(col_name)")
+def describe(spark: SparkSession, d: str) -> DataFrame:
+    from tessera.plans.statements import execute
+
+    load(spark, d, "nation").createOrReplaceTempView("surface_nation")
+    return execute(spark, "DESCRIBE surface_nation").select("col_name")
+
+
+@query("SELECT * FROM (VALUES ('guest', 't', 'select'), ('admin', 't', 'delete')) t(role, object, privilege)")
+def privileges(spark: SparkSession, d: str) -> DataFrame:
+    p = transactions.Privileges()
+    s = Session(spark, {}, p)
+    for statement in ("GRANT SELECT, INSERT ON t TO guest", "GRANT DELETE ON TABLE t TO admin", "REVOKE INSERT ON t FROM guest"):
+        s.execute(statement)
+    return p.held(spark)
+
+
+@query("SELECT * FROM (VALUES (1, 'b', 20), (3, 'c', NULL)) t(id, name, age)")
+def cql_batch(spark: SparkSession, d: str) -> DataFrame:
+    from tessera.plans.cql import Keyspace
+
+    k = Keyspace(spark, {})
+    k.execute("CREATE TABLE people (id int PRIMARY KEY, name text, tags set<text>)")
+    k.execute("BEGIN BATCH INSERT INTO people (id, name) VALUES (1, 'a'); INSERT INTO people (id, name) VALUES (1, 'b'); INSERT INTO people (id, name) VALUES (2, 'x'); INSERT INTO people (id, name) VALUES (3, 'c'); DELETE FROM people WHERE id = 2; APPLY BATCH")
+    k.execute("ALTER TABLE people ADD age int")
+    k.execute("UPDATE people SET age = 20 WHERE id = 1")
+    return k.execute("SELECT id, name, age FROM people")
+
+
+@query(f"SELECT series, CAST(t_ms // {DAY} * {DAY} AS BIGINT) AS bucket, max(value) AS max FROM {S} s WHERE t_ms BETWEEN 1704500000000 AND 1705500000000 AND value > 10 GROUP BY 1, 2 ORDER BY bucket DESC, series LIMIT 6 OFFSET 2")
+def mm_range_builder(spark: SparkSession, d: str) -> DataFrame:
+    text_ = "SELECT * FROM metrics RANGE 1704500000000 TO 1705500000000 WHERE value > 10 BY series BUCKET 1d max value ORDER DESC LIMIT 6 OFFSET 2"
+    return multimodel.Engine(spark, {"metrics": samples(spark, d)}).query(text_)
+
+
+@query("SELECT n_nationkey FROM nation")
+def mm_timeout(spark: SparkSession, d: str) -> DataFrame:
+    e = multimodel.Engine(spark, {"nation": load(spark, d, "nation")})
+    return spark.createDataFrame(e.rows("SELECT n_nationkey FROM nation TIMEOUT 10m"))
+
+
+@query(f"SELECT vec_id, round({COSINE}, 6) AS score FROM embeddings ORDER BY {COSINE} DESC, vec_id LIMIT 5")
+def mm_vector_index(spark: SparkSession, d: str) -> DataFrame:
+    """An index search that probes all lists: as exact as the scan."""
+    e = load(spark, d, "embeddings")
+    m = multimodel.Engine(spark, {"docs": e})
+    m.query("CREATE INDEX i ON docs USING ivfflat (embedding vector_cosine_ops) WITH (lists = 8)")
+    first = e.where("vec_id = 0").select("embedding").first()[0]
+    return m.query(f"NEAREST 5 TO [{', '.join(map(str, first))}] FROM docs BY cosine PROBES 1000").select("vec_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT c_custkey, round(regr_intercept(c_acctbal, c_nationkey) OVER () + regr_slope(c_acctbal, c_nationkey) OVER () * c_nationkey, 3) AS prediction FROM customer")
+def mm_model(spark: SparkSession, d: str) -> DataFrame:
+    m = multimodel.Engine(spark, {"customer": load(spark, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey")})
+    m.query("TRAIN MODEL balance USING linear_regression FEATURES c_nationkey TARGET c_acctbal FROM customer")
+    out = m.query("PREDICT balance FROM customer").select("c_custkey", F.round("prediction", 3).alias("prediction"))
+    m.query("DROP MODEL balance")
+    return out
+
+
+@query("SELECT event_type, time_bucket(INTERVAL '1 day', ts) AS window_start, count(*) AS n, round(avg(2 * value + 1), 4) AS prediction FROM events WHERE value IS NOT NULL GROUP BY 1, 2")
+def stream_inference(spark: SparkSession, d: str) -> DataFrame:
+    """The batch twin of scoring a stream by windows."""
+    from tessera.operators import ml
+
+    line = spark.createDataFrame([(float(x), 2.0 * x + 1) for x in range(10)], "value double, y double")
+    ml.train("surface_line", "linear_regression", line, ["value"], "y")
+    out = ml.score_stream("surface_line", load(spark, d, "events").where("value is not null"), "ts", "1 day", ["event_type"])
+    return out.select("event_type", "window_start", "n", F.round("prediction", 4).alias("prediction"))
+
+
+@query("SELECT n_nationkey, [[1.0 * n_nationkey + 2 * 3, 1.0 * n_nationkey * 2 + 2 * 4]] AS product, [[1.0 * n_nationkey], [2.0]] AS turned, [[n_nationkey * 0.5, 1.0]] AS half FROM nation")
+def matrices(spark: SparkSession, d: str) -> DataFrame:
+    from tessera.functions import matrices as m
+
+    row = lambda *v: F.array(*[(x if not isinstance(x, (int, float)) else F.lit(x)).cast("double") for x in v])
+    a, b = F.array(row(F.col("n_nationkey"), 2)), F.array(row(1, 2), row(3, 4))
+    return load(spark, d, "nation").select("n_nationkey", m.matmul(a, b).alias("product"), m.transpose(a).alias("turned"), m.scale(a, 0.5).alias("half"))
+
+
+@query(f"SELECT count(DISTINCT id) AS nodes, 16 AS size FROM (SELECT src AS id FROM {RING} x UNION SELECT dst FROM {RING} y) z")
+def g_embeddings(spark: SparkSession, d: str) -> DataFrame:
+    edges = ring(spark, d)
+    found = graph.node_embeddings(edges.select(F.col("src").alias("id")).distinct(), edges, 16)
+    return found.agg(F.count_distinct("id").alias("nodes"), F.max(F.size("embedding")).alias("size"))
+
+
+@query(f"WITH e AS (SELECT src, dst FROM {RING} x UNION SELECT dst, src FROM {RING} y) SELECT n_nationkey AS id, round((n_nationkey + (SELECT avg(dst) FROM e WHERE src = n_nationkey)) / 2, 9) AS feature FROM nation")
+def g_neighbourhoods(spark: SparkSession, d: str) -> DataFrame:
+    edges = ring(spark, d)
+    nodes = load(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.array(F.col("n_nationkey").cast("double")).alias("features"))
+    return graph.neighbourhood_means(nodes, edges, rounds_=1).select("id", F.round(F.col("features")[0], 9).alias("feature"))

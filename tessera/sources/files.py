@@ -32,6 +32,41 @@ def write_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int,
     df.write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
 
 
+def write_hypertable(df: DataFrame, path: str, at: str, chunk_ms: int, keys: Sequence[str] = (), codec: str = "zstd", mode: str = "append") -> None:
+    """A time-series table in chunks of chunk_ms (by `at`, epoch milliseconds), each sorted by keys and time and compressed: a folder _chunk=<start> for each."""
+    start = (F.floor(F.col(at) / chunk_ms) * chunk_ms).cast("long")
+    rows = df.withColumn("_chunk", start).repartition("_chunk", *keys).sortWithinPartitions("_chunk", *keys, at)
+    rows.write.mode(mode).partitionBy("_chunk").option("compression", codec).parquet(path)
+
+
+def read_hypertable(spark: SparkSession, path: str, at: str, chunk_ms: int, start: int | None = None, end: int | None = None) -> DataFrame:
+    """Samples with start <= at <= end; only their chunks are listed and read."""
+    df = spark.read.parquet(path)
+    if start is not None:
+        df = df.where((F.col("_chunk") > start - chunk_ms) & (F.col(at) >= start))
+    if end is not None:
+        df = df.where((F.col("_chunk") <= end) & (F.col(at) <= end))
+    return df.drop("_chunk")
+
+
+def chunks(spark: SparkSession, path: str) -> DataFrame:
+    """(chunk, rows) of a hypertable."""
+    return spark.read.parquet(path).groupBy(F.col("_chunk").cast("long").alias("chunk")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def drop_chunks(spark: SparkSession, path: str, before: int, chunk_ms: int) -> list[int]:
+    """Retention: delete the folders of chunks that end at or before `before`; their starts are returned. Nothing is rewritten."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = there.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    gone = []
+    for status in fs.listStatus(there):
+        name = status.getPath().getName()
+        if name.startswith("_chunk=") and int(name[7:]) + chunk_ms <= before:
+            fs.delete(status.getPath(), True)
+            gone.append(int(name[7:]))
+    return sorted(gone)
+
+
 def values(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(list(rows), schema)
 

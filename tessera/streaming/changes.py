@@ -8,6 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def start(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None, mode: str = "append"):
+    """A streaming query that gives each micro-batch to `sink`. every: an interval as trigger, `once` to take what is there in one batch, or None for all that is there in batches."""
+    trigger = {"availableNow": True} if every is None else {"once": True} if every == "once" else {"processingTime": every}
+    return stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 def filter_changes(df: DataFrame, tables: Sequence[str] = (), operations: Sequence[str] = (), transactions: Sequence[int] = ()) -> DataFrame:
     """Changes that meet every list that isn't empty."""
     for column, wanted in (("table", tables), ("op", operations), ("tx", transactions)):
