@@ -9,6 +9,7 @@ Joins of two tables go by grid cells (`spatial_join`), never over all pairs.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pandas as pd
@@ -23,6 +24,16 @@ GEOMETRY = f"struct<kind: string, parts: array<array<{POINTS}>>>"
 _XY = lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))
 
 
+def _once(f: Callable[..., Column]) -> Callable[..., Column]:
+    """f with its first argument evaluated once, however often f names it: expressions that are nested don't multiply."""
+
+    @wraps(f)
+    def bound(first: Column, *rest: object) -> Column:
+        return F.get(F.transform(F.array(first), lambda x: f(x, *rest)), F.lit(0))
+
+    return bound
+
+
 def geometry(kind: Column | str, parts: Column) -> Column:
     return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), parts.alias("parts")).cast(GEOMETRY)
 
@@ -46,6 +57,7 @@ def make_box(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
 # text
 
 
+@_once
 def from_wkt(text: Column) -> Column:
     """Any of the six kinds, with or without SRID; ordinates beyond the second are left out; EMPTY has no parts."""
     body = F.trim(F.regexp_replace(text, r"(?i)^\s*SRID=\d+;", ""))
@@ -66,11 +78,13 @@ def from_wkt(text: Column) -> Column:
     return F.when(known, geometry(kind, F.when(empty, F.array().cast(f"array<array<{POINTS}>>")).otherwise(parts)))
 
 
+@_once
 def _text_number(v: Column) -> Column:
     v = F.round(v, shapes.DIGITS) + F.lit(0.0)
     return F.when((v == F.floor(v)) & (F.abs(v) < 1e15), v.cast("long").cast("string")).otherwise(v.cast("string"))
 
 
+@_once
 def to_wkt(g: Column) -> Column:
     line = lambda r: F.array_join(F.transform(r, lambda p: F.concat(_text_number(p["x"]), F.lit(" "), _text_number(p["y"]))), ", ")
     wrapped = lambda t: F.concat(F.lit("("), t, F.lit(")"))
@@ -88,6 +102,7 @@ def to_wkt(g: Column) -> Column:
 _JSON = {"Point": "POINT", "LineString": "LINESTRING", "Polygon": "POLYGON", "MultiPoint": "MULTIPOINT", "MultiLineString": "MULTILINESTRING", "MultiPolygon": "MULTIPOLYGON"}
 
 
+@_once
 def from_geojson(text: Column) -> Column:
     kind, raw = F.get_json_object(text, "$.type"), F.get_json_object(text, "$.coordinates")
     read = lambda depth: F.from_json(raw, "array<" * depth + "double" + ">" * depth)
@@ -104,6 +119,7 @@ def from_geojson(text: Column) -> Column:
     return F.when(kind.isin(*_JSON), geometry(F.upper(kind), parts))
 
 
+@_once
 def to_geojson(g: Column) -> Column:
     names = F.create_map(*[F.lit(x) for kv in _JSON.items() for x in kv[::-1]])
     pair = lambda p: F.concat(F.lit("["), _text_number(p["x"]), F.lit(","), _text_number(p["y"]), F.lit("]"))
@@ -149,20 +165,24 @@ def n_geometries(g: Column) -> Column:
     return F.size(g["parts"])
 
 
+@_once
 def geometry_n(g: Column, n: int) -> Column:
     """The n-th member, from 1; null out of range."""
     part = F.try_element_at(g["parts"], F.lit(n))
     return F.when(part.isNotNull(), geometry(F.regexp_replace(g["kind"], "^MULTI", ""), F.array(part)))
 
 
+@_once
 def exterior_ring(g: Column) -> Column:
     return F.when((g["kind"] == "POLYGON") & (F.size(g["parts"]) > 0), make_line(F.get(F.get(g["parts"], F.lit(0)), F.lit(0))))
 
 
+@_once
 def n_interior_rings(g: Column) -> Column:
     return F.when((g["kind"] == "POLYGON") & (F.size(g["parts"]) > 0), F.size(F.get(g["parts"], F.lit(0))) - 1)
 
 
+@_once
 def interior_ring_n(g: Column, n: int) -> Column:
     """The n-th hole, from 1; null out of range."""
     ring = F.try_element_at(F.get(g["parts"], F.lit(0)), F.lit(n + 1))
@@ -173,12 +193,14 @@ def is_empty(g: Column) -> Column:
     return F.size(g["parts"]) == 0
 
 
+@_once
 def is_closed(g: Column) -> Column:
     """Whether all lines end where they begin; points are closed."""
     each = F.forall(F.flatten(g["parts"]), lambda r: spatial.points_equal(r[0]["x"], r[0]["y"], F.element_at(r, -1)["x"], F.element_at(r, -1)["y"]))
     return F.when(g["kind"].isin("POINT", "MULTIPOINT"), F.lit(True)).otherwise(each)
 
 
+@_once
 def boundary(g: Column) -> Column:
     """Rings of areas as lines; ends of open lines; nothing for points."""
     none = F.array().cast(f"array<array<{POINTS}>>")
@@ -188,6 +210,7 @@ def boundary(g: Column) -> Column:
     return F.when(g["kind"].isin("POLYGON", "MULTIPOLYGON"), geometry("MULTILINESTRING", rings)).otherwise(geometry("MULTIPOINT", F.when(g["kind"].isin("LINESTRING", "MULTILINESTRING"), ends).otherwise(none)))
 
 
+@_once
 def collect(geometries: Column) -> Column:
     """An array of geometries of one family (points, lines, areas) as one multi-geometry; null for none or mixed ones."""
     family = F.array_distinct(F.transform(geometries, lambda g: F.regexp_replace(g["kind"], "^MULTI", "")))
@@ -205,6 +228,7 @@ def _is_area(g: Column) -> Column:
     return g["kind"].isin("POLYGON", "MULTIPOLYGON")
 
 
+@_once
 def area(g: Column) -> Column:
     """Outer rings less their holes; 0 for points and lines. Rings are closed."""
     ring = lambda r: F.abs(_ring_sum(r, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])) / 2
@@ -220,14 +244,16 @@ def length(g: Column) -> Column:
 
 def envelope(g: Column) -> Column:
     """struct<min_x, min_y, max_x, max_y>."""
-    return spatial.envelope(coordinates(g))
+    return _once(spatial.envelope)(coordinates(g))
 
 
+@_once
 def envelope_shape(g: Column) -> Column:
     e = envelope(g)
     return F.when(F.size(g["parts"]) > 0, make_box(e["min_x"], e["min_y"], e["max_x"], e["max_y"]))
 
 
+@_once
 def centroid(g: Column) -> Column:
     """struct<x, y>: by area, by length, or of points."""
     zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
@@ -258,6 +284,7 @@ def centroid(g: Column) -> Column:
 # on Arrow batches
 
 
+@_once
 def _flat(g: Column) -> Column:
     """What a batch function reads: numbers in plain arrays."""
     numbers = F.flatten(F.transform(coordinates(g), lambda p: F.array(p["x"], p["y"])))
@@ -305,6 +332,12 @@ def relates(a: Column, b: Column, how: str) -> Column:
     return has(relation(a, b), how)
 
 
+def boxes_meet(a: Column, b: Column) -> Column:
+    """Whether the envelopes meet: a filter inside the JVM before the exact comparison of all relations but disjoint."""
+    x, y = envelope(a), envelope(b)
+    return (x["min_x"] <= y["max_x"]) & (y["min_x"] <= x["max_x"]) & (x["min_y"] <= y["max_y"]) & (y["min_y"] <= x["max_y"])
+
+
 def has(bits: Column, how: str) -> Column:
     return (bits == 0) if how == "disjoint" else bits.bitwiseAND(F.lit(shapes.NAMES[how])) != 0
 

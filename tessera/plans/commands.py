@@ -348,7 +348,8 @@ class Store:
         return "OK"
 
     def _related(self, key: str, text: str, how: str) -> DataFrame:
-        return self.shapes[key].where(geometry.relates(geometry.from_wkt(F.col("wkt")), geometry.from_wkt(F.lit(text)), how)).select("name")
+        rows, other = self.shapes[key].withColumn("_g", geometry.from_wkt(F.col("wkt"))), geometry.from_wkt(F.lit(text))
+        return rows.where(geometry.boxes_meet(F.col("_g"), other)).where(geometry.relates(F.col("_g"), other, how)).select("name")
 
     def geo_within(self, key: str, text: str) -> DataFrame:
         """Names of the geometries that are within the given one; the next three likewise."""

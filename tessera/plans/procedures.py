@@ -28,7 +28,8 @@ def _places(nodes: DataFrame, o: dict[str, str]) -> DataFrame:
 
 
 def _meeting(nodes: DataFrame, o: dict[str, str]) -> DataFrame:
-    return nodes.where(geometry.relates(geometry.from_wkt(F.col(o.get("property", "geometry"))), geometry.from_wkt(F.lit(o["geometry"])), "intersects"))
+    own, other = geometry.from_wkt(F.col(o.get("property", "geometry"))), geometry.from_wkt(F.lit(o["geometry"]))
+    return nodes.where(geometry.boxes_meet(own, other)).where(geometry.relates(own, other, "intersects"))
 
 
 PROCEDURES: dict[str, Callable[[DataFrame, DataFrame, dict[str, str]], DataFrame]] = {

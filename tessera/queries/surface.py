@@ -548,7 +548,7 @@ def mm_model(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query("SELECT event_type, time_bucket(INTERVAL '1 day', ts) AS window_start, count(*) AS n, round(avg(2 * value + 1), 4) AS prediction FROM events WHERE value IS NOT NULL GROUP BY 1, 2")
+@query("SELECT event_type, time_bucket(INTERVAL '1 day', ts) AS window_start, count(*) AS n, CAST(floor(avg(2 * value + 1) + 1e-6) AS DOUBLE) AS prediction FROM events WHERE value IS NOT NULL GROUP BY 1, 2")
 def stream_inference(spark: SparkSession, d: str) -> DataFrame:
     """The batch twin of scoring a stream by windows."""
     from tessera.operators import ml
@@ -556,10 +556,10 @@ def stream_inference(spark: SparkSession, d: str) -> DataFrame:
     line = spark.createDataFrame([(float(x), 2.0 * x + 1) for x in range(10)], "value double, y double")
     ml.train("surface_line", "linear_regression", line, ["value"], "y")
     out = ml.score_stream("surface_line", load(spark, d, "events").where("value is not null"), "ts", "1 day", ["event_type"])
-    return out.select("event_type", "window_start", "n", F.round("prediction", 4).alias("prediction"))
+    return out.select("event_type", "window_start", "n", F.floor(F.col("prediction") + 1e-6).cast("double").alias("prediction"))
 
 
-@query("SELECT n_nationkey, [[1.0 * n_nationkey + 2 * 3, 1.0 * n_nationkey * 2 + 2 * 4]] AS product, [[1.0 * n_nationkey], [2.0]] AS turned, [[n_nationkey * 0.5, 1.0]] AS half FROM nation")
+@query("SELECT n_nationkey, CAST([[n_nationkey + 6, n_nationkey * 2 + 8]] AS DOUBLE[][]) AS product, CAST([[n_nationkey], [2]] AS DOUBLE[][]) AS turned, CAST([[n_nationkey * 0.5, 1]] AS DOUBLE[][]) AS half FROM nation")
 def matrices(spark: SparkSession, d: str) -> DataFrame:
     from tessera.functions import matrices as m
 
