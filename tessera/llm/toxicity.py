@@ -111,15 +111,33 @@ def choose(p: np.ndarray, q: np.ndarray, pos: int, n: int, max_features: int = M
     return chosen, ratio[chosen]
 
 
-def logistic(row: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray, size: int, l1: float = 4e-4, rounds: int = 200) -> tuple[np.ndarray, float]:
-    """Weights and intercept of an L1 logistic regression on a sparse matrix, by accelerated proximal gradient."""
-    n = len(y)
+def logistic(first: np.ndarray, col: np.ndarray, ratio: np.ndarray, y: np.ndarray, l1: float = 4e-4, rounds: int = 200) -> tuple[np.ndarray, float]:
+    """Weights and intercept of an L1 logistic regression on which scaled buckets each text has, by accelerated proximal gradient.
+
+    Text t has the buckets col[first[t] : first[t + 1]], with their ratios as values. Sums by text and
+    by bucket are differences of running sums over the pairs in either order.
+    """
+    n, size = len(y), len(ratio)
+    order = np.argsort(col, kind="stable")
+    text = np.repeat(np.arange(n), np.diff(first))[order]
+    ends = np.searchsorted(col[order], np.arange(size + 1))
+    col = col.astype(np.intp)
+    del order
+    picked, total = np.empty(len(col)), np.zeros(len(col) + 1)
+
+    def sums(values: np.ndarray, at: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        np.take(values, at, out=picked, mode="clip")
+        np.cumsum(picked, out=total[1:])
+        return total[bounds[1:]] - total[bounds[:-1]]
+
+    by_text = lambda z: sums(z * ratio, col, first)
+    by_bucket = lambda e: sums(e, text, ends) * ratio
     prior = (y.sum() + 0.5) / (n + 1)
     start = float(np.log(prior / (1 - prior)))
     v = np.ones(size) / np.sqrt(size)
     norm = 0.0
     for _ in range(15):  # the step is found by the norm of the matrix
-        v = np.bincount(col, val * np.bincount(row, val * v[col], n)[row], size)
+        v = by_bucket(by_text(v))
         norm = np.linalg.norm(v)
         v /= norm or 1
     step = 1 / (0.25 * (norm / n) * 1.1 + 0.25)
@@ -128,9 +146,9 @@ def logistic(row: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray, s
         t1 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         m = (t - 1) / t1
         z, c, t = w + m * (w - w0), b + m * (b - b0), t1
-        err = 1 / (1 + np.exp(-(np.bincount(row, val * z[col], n) + c))) - y
+        err = 1 / (1 + np.exp(-(by_text(z) + c))) - y
         w0, b0 = w, b
-        w = z - step * np.bincount(col, val * err[row], size) / n
+        w = z - step * by_bucket(err) / n
         w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
         b = c - step * err.mean()
     return w, float(b)
@@ -198,9 +216,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows:
     discard(sample)
     y = got.column(0).to_numpy().astype(np.float64)
     parts = [np.frombuffer(x.as_py(), small) for x in got.column(1)]
-    row = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in parts])
-    col = np.concatenate(parts).astype(np.int32)
-    w, b = logistic(row, col, ratio[col].astype(np.float32), y, len(chosen))
+    first = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+    w, b = logistic(first, np.concatenate(parts).astype(np.int32), ratio, y)
     weights = np.zeros(1 << BITS, np.float32)
     weights[chosen] = w * ratio
     return Model(weights, b)
