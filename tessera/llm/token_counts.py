@@ -26,7 +26,7 @@ from tessera.llm.bpe import CACHED_LENGTH, Recent, Vocabulary, vocabulary
 
 SAMPLE_TEXTS, SAMPLE_PARTS = 10_000, 8
 COUNTED = 200_000
-LENGTHS_CACHED = 600_000
+LENGTHS_CACHED = 500_000
 SEED = 20240607
 
 
