@@ -59,8 +59,59 @@ def _loads(text):
         return None
 
 
-def contains(doc: Column, part: Column) -> Column:
-    """`@>`: recursive for objects; an array holds another if each of its items is in some item."""
+def _at(keys: Sequence[str]) -> str | None:
+    """A variant's path to nested keys, if they can be written there."""
+    return None if any("'" in k or "\\" in k for k in keys) else "$" + "".join(f"['{k}']" for k in keys)
+
+
+def _typed(doc: Column, at: str) -> tuple[Column, Column]:
+    """The value at a path as a variant, and the name of its type."""
+    value = F.try_variant_get(F.try_parse_json(doc), at, "variant")
+    return value, F.schema_of_variant(value)
+
+
+def _is(kind_: Column, wanted: str) -> Column:
+    number = kind_.rlike(r"^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    tests = {
+        "object": kind_.startswith("OBJECT"), "array": kind_.startswith("ARRAY"), "string": kind_ == "STRING", "boolean": kind_ == "BOOLEAN", "null": kind_ == "VOID",
+        "number": number,
+    }
+    return tests[wanted]
+
+
+def _holds(doc: Column, keys: tuple[str, ...], part) -> Column | None:
+    """Whether the document holds a constant without arrays at nested keys, inside the JVM; None if that can't be said there."""
+    at = _at(keys)
+    if at is None or isinstance(part, list):
+        return None
+    value, kind_ = _typed(doc, at)
+    if isinstance(part, dict):
+        out = _is(kind_, "object")
+        for k, v in part.items():
+            inner = _holds(doc, (*keys, k), v)
+            if inner is None:
+                return None
+            out = out & inner
+        return out
+    if part is None:
+        return _is(kind_, "null")
+    if isinstance(part, bool):
+        return _is(kind_, "boolean") & (F.try_variant_get(value, "$", "boolean") == part)
+    if isinstance(part, str):
+        return _is(kind_, "string") & (F.try_variant_get(value, "$", "string") == part)
+    return _is(kind_, "number") & (F.try_variant_get(value, "$", "double") == float(part)) if abs(part) < 1 << 53 else None
+
+
+def contains(doc: Column, part: Column | str) -> Column:
+    """`@>`: recursive for objects; an array holds another if each of its items is in some item.
+
+    A part given as text that has no arrays is compared inside the JVM.
+    """
+    if isinstance(part, str):
+        inside = _holds(doc, (), json.loads(part))
+        if inside is not None:
+            return F.when(doc.isNotNull(), F.coalesce(inside, F.lit(False)))
+        part = F.lit(part)
 
     @pandas_udf("boolean")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -69,6 +120,39 @@ def contains(doc: Column, part: Column) -> Column:
     return run(doc, part)
 
 
+def _meeting(doc: Column, keys: tuple[str, ...], schema: dict) -> Column | None:
+    """As _check, inside the JVM, of the value at nested keys; None for schemas of arrays' items."""
+    at = _at(keys)
+    if at is None or "items" in schema or any("'" in k or "\\" in k for k in schema.get("properties", {})):
+        return None
+    value, kind_ = _typed(doc, at)
+    out = _is(kind_, {"integer": "number"}.get(schema["type"], schema["type"])) if "type" in schema else F.lit(True)
+    if schema.get("type") == "integer":  # a variant doesn't tell 1.0 from 1
+        out = out & F.get_json_object(doc, at).rlike(r"^-?\d+$")
+    known, names = schema.get("properties", {}), F.json_object_keys(F.get_json_object(doc, at) if keys else doc)
+    lacks = F.lit(False)
+    if schema.get("required"):
+        lacks = lacks | (F.size(F.array_except(F.array(*map(F.lit, schema["required"])), names)) > 0)
+    if schema.get("additionalProperties") is False:
+        lacks = lacks | (F.size(F.array_except(names, F.array(*map(F.lit, known)).cast("array<string>"))) > 0)
+    out = out & ~(_is(kind_, "object") & lacks)
+    for k, s in known.items():
+        inner = _meeting(doc, (*keys, k), s)
+        if inner is None:
+            return None
+        there = F.coalesce(_is(kind_, "object") & F.array_contains(names, k), F.lit(False))
+        out = out & (~there | F.coalesce(inner, F.lit(False)))
+    for name, wanted, measure in (
+        ("minItems", "array", lambda: F.json_array_length(F.to_json(value))), ("maxItems", "array", lambda: F.json_array_length(F.to_json(value))),
+        ("minLength", "string", lambda: F.length(F.try_variant_get(value, "$", "string"))), ("maxLength", "string", lambda: F.length(F.try_variant_get(value, "$", "string"))),
+        ("minimum", "number", lambda: F.try_variant_get(value, "$", "double")), ("maximum", "number", lambda: F.try_variant_get(value, "$", "double")),
+    ):
+        if name in schema:
+            fits = measure() >= schema[name] if name.startswith("min") else measure() <= schema[name]
+            out = out & (~_is(kind_, wanted) | fits)
+    return out & ~_is(kind_, "null") if not keys else out
+
+
 def _check(value, schema: dict) -> bool:
     kinds = {"object": dict, "array": list, "string": str, "number": (int, float), "integer": int, "boolean": bool, "null": type(None)}
     if "type" in schema:
@@ -90,7 +174,10 @@ def _check(value, schema: dict) -> bool:
 
 
 def valid(doc: Column, schema: dict) -> Column:
-    """Whether the document meets a JSON schema (type, required, properties, additionalProperties, items, bounds)."""
+    """Whether the document meets a JSON schema (type, required, properties, additionalProperties, items, bounds); inside the JVM but for schemas of arrays' items."""
+    inside = _meeting(doc, (), schema)
+    if inside is not None:
+        return F.when(doc.isNotNull(), F.coalesce(inside, F.lit(False)))
 
     @pandas_udf("boolean")
     def run(a: pd.Series) -> pd.Series:

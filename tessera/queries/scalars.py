@@ -97,7 +97,7 @@ def json_merge_delete(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT event_id, CAST(props->>'$.k' AS BIGINT) = 5 AS has, true AS empty_part FROM events")
 def json_contains(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("props")
-    return load(spark, d, "events").select("event_id", json_ops.contains(p, F.lit('{"k": 5}')).alias("has"), json_ops.contains(p, F.lit("{}")).alias("empty_part"))
+    return load(spark, d, "events").select("event_id", json_ops.contains(p, '{"k": 5}').alias("has"), json_ops.contains(p, "{}").alias("empty_part"))
 
 
 @query("SELECT event_id, CAST(props->>'$.k' AS BIGINT) BETWEEN 10 AND 60 AS ok, 'object' AS kind, 'number' AS k_kind FROM events")

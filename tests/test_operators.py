@@ -252,3 +252,24 @@ def test_keywords_of_several_words(spark):
     got = rows(text.extract_keywords(docs, "id", "body", keywords))
     assert got == [(1, "place", "New York City", 0.9), (1, "place", "New York", 0.9), (1, "thing", "city", 0.9), (5, "thing", "city", 0.9)]
     assert rows(text.extract_keywords(docs, "id", "body", keywords.limit(0))) == []
+
+
+def test_json_inside_the_jvm(spark):
+    """Constant containment and schemas: the expressions against the plain recursion."""
+    docs = ['{"a":1,"b":{"c":"x","d":null},"e":[1,2]}', '{"a":1.0,"b":{"c":"y"}}', '{"a":"1"}', '{"a":true,"b":[]}', '{"a":12345678901234567890}', '{"a":1.5,"k":"abcd"}', "[1,2]", '"x"', "5", "null", "{bad", "", None, '{"a":{"a":{"a":1}}}', '{"a":false,"b":{}}']
+    df = spark.createDataFrame(list(enumerate(docs)), "i int, d string")
+    parts = ['{"a":1}', '{"a":1.5}', '{"b":{"c":"x"}}', '{"b":{}}', "{}", '{"a":true}', '{"b":{"d":null}}', '"x"', "5", '{"a":{"a":{"a":1}}}', '{"e":[2]}', "null"]
+    for part in parts:
+        got = {r[0]: r[1] for r in df.select("i", json_ops.contains(F.col("d"), part)).collect()}
+        want = {i: None if d is None else json_ops._within(json_ops.json.loads(part), json_ops._loads(d)) for i, d in enumerate(docs)}
+        if part == "null":
+            want = {i: w and docs[i] == "null" if w is not None else None for i, w in want.items()}
+        assert got == want, part
+    schemas = [
+        {"type": "object"}, {"type": "object", "required": ["a"]}, {"properties": {"a": {"type": "integer", "minimum": 1, "maximum": 9}}}, {"type": "object", "additionalProperties": False, "properties": {"a": {}, "b": {}}},
+        {"properties": {"b": {"type": "object", "required": ["c"]}, "k": {"type": "string", "maxLength": 3}}}, {"type": "array", "minItems": 2, "maxItems": 2}, {"type": "string", "minLength": 1}, {"type": "number"}, {"properties": {"a": {"type": "boolean"}}}, {"properties": {"e": {"items": {"type": "integer"}}}},
+    ]
+    for schema in schemas:
+        got = {r[0]: r[1] for r in df.select("i", json_ops.valid(F.col("d"), schema)).collect()}
+        want = {i: None if d is None else (v := json_ops._loads(d)) is not None and json_ops._check(v, schema) for i, d in enumerate(docs)}
+        assert got == want, schema

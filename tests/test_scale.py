@@ -89,3 +89,26 @@ def test_appends_write_only_their_rows(spark, tmp_path):
     assert spark.read.parquet(f"{t.root}/data/{second}").count() == 3
     assert t.history("dev") == [third, first] and len({t._claim(), t._claim()}) == 2
     assert t.read(snapshot=t.compact()).count() == 8 and len(t._folders(t.current())) == 1
+
+
+def test_rounds_are_deleted(spark, tmp_path):
+    import os
+    from types import SimpleNamespace
+
+    from tessera.sources import rounds
+
+    with rounds.rounds() as made:
+        a, b = (rounds.keep_round(spark.range(n), "x") for n in (2, 3))
+        c = rounds.keep_round(a, "x")
+        rounds.drop_round(a)
+    rounds.release(made, c)
+    assert c.count() == 2 and [os.path.exists(x._round_path) for x in (a, b, c)] == [False, False, True]
+    rounds.drop_round(c)
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077", applicationId="z"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        rounds.shared_folder(unset)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(9)], "src long, dst long")
+    folder = rounds.shared_folder(spark)
+    before = set(os.listdir(folder))
+    assert graph.bfs(spark.createDataFrame([(0,)], "id long"), edges).count() == 10
+    assert len(set(os.listdir(folder)) - before) == 1
