@@ -45,7 +45,7 @@ AGREE = 72  # of SKETCH; of a pair of similarity 0.75 fewer agree with probabili
 BLOCK = 16_384  # shingles at once
 STRAYS, OTHERS, BLOCK_SHINGLES = 256, 2_048, 2_000_000  # classes and hashes in a block of the second comparison
 BROADCAST_IDS = 1_000_000
-HUB_ROUNDS = 2
+HUB_ROUNDS = 1
 
 
 def _permute(x: np.ndarray, a: int, b: int) -> np.ndarray:
