@@ -35,9 +35,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.arrays import mix, shingle_sets
-from tessera.llm.components import connected_components
-from tessera.llm.hot import join_values
 from tessera.llm.scratch import discard, release, rounds, written
+from tessera.operators.components import connected_components
+from tessera.operators.hot import join_values
 
 BANDS, ROWS, WIDTH = 48, 5, 5
 SKETCH = 128  # coordinates kept, a byte each, to dismiss pairs before their sets are fetched

@@ -7,7 +7,7 @@ import pytest
 from test_kernels import shingles
 
 from tessera.llm import near_dedup
-from tessera.llm.components import connected_components
+from tessera.operators.components import connected_components
 from tessera.llm.near_dedup import drop_duplicates, near_duplicates
 
 
