@@ -8,6 +8,7 @@ before carried over: only its words' hashes (8 bytes each, 16 while they are put
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +48,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+
+
+def give_back() -> None:
+    """Return to the system what this worker's allocators hold and don't use: idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def slices(col: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of runs of rows of about `limit` bytes; nulls are empty."""
     if isinstance(col, pa.ChunkedArray):
@@ -64,6 +75,8 @@ def slices(col: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterato
         b = min(b, n)
         yield a, b, data[off[a] : off[b]], off[a : b + 1] - off[a]
         a = b
+    if off[-1] - off[0] > SLICE_BYTES:
+        give_back()
 
 
 def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

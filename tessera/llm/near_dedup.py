@@ -9,7 +9,7 @@ Texts with equal shingle sets are one class from the start, so copies are never
 paired. Within a bucket (classes that share a band) not all pairs are made: each class is
 compared with the bucket's hub, the class that shares most bands with others. Where a bucket then
 still holds several components, the best class off the hub's component becomes a further hub and is
-compared with all that aren't in its component, for HUB_ROUNDS rounds or until a round finds no link.
+compared with all that aren't in its component, for HUB_ROUNDS rounds (none, unless it is set) or until a round finds no link.
 Classes that are off a bucket's largest component even then are compared with those of other components
 on their full sets, in blocks of bounded size, so that no link that joins two components is missed
 among the pairs that share a band; pairs that are joined by then aren't compared, none are written
@@ -45,7 +45,7 @@ AGREE = 72  # of SKETCH; of a pair of similarity 0.75 fewer agree with probabili
 BLOCK = 16_384  # shingles at once
 STRAYS, OTHERS, BLOCK_SHINGLES = 256, 2_048, 2_000_000  # classes and hashes in a block of the second comparison
 BROADCAST_IDS = 1_000_000
-HUB_ROUNDS = 1
+HUB_ROUNDS = 0  # each takes a dozen jobs, and 200 to 300 MB of an executor that has run many plans; it saves copies in the blocks
 
 
 def _permute(x: np.ndarray, a: int, b: int) -> np.ndarray:
