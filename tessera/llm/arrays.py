@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 U64 = np.uint64
 _M = U64(0x9E3779B97F4A7C13)  # odd, so it has an inverse modulo 2**64
 _MINV = U64(pow(0x9E3779B97F4A7C13, -1, 1 << 64))
