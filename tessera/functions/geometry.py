@@ -13,6 +13,7 @@ from functools import wraps
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -247,6 +248,18 @@ def envelope(g: Column) -> Column:
     return _once(spatial.envelope)(coordinates(g))
 
 
+@_once
+def is_box(g: Column) -> Column:
+    """Whether an area is one axis-parallel box, which is its own envelope."""
+    ring = F.get(F.get(g["parts"], F.lit(0)), F.lit(0))
+    same = lambda i, j, c: F.get(ring, F.lit(i))[c] == F.get(ring, F.lit(j))[c]
+    flat = same(0, 1, "x") & same(1, 2, "y") & same(2, 3, "x") & same(3, 0, "y")
+    steep = same(0, 1, "y") & same(1, 2, "x") & same(2, 3, "y") & same(3, 0, "x")
+    one = (F.size(g["parts"]) == 1) & (F.size(F.get(g["parts"], F.lit(0))) == 1) & (F.size(ring) == 5)
+    apart = ~same(0, 2, "x") & ~same(0, 2, "y")
+    return F.coalesce(_is_area(g) & one & apart & same(0, 4, "x") & same(0, 4, "y") & (flat | steep), F.lit(False))
+
+
 @_once
 def envelope_shape(g: Column) -> Column:
     e = envelope(g)
@@ -284,47 +297,200 @@ def centroid(g: Column) -> Column:
 # on Arrow batches
 
 
-@_once
-def _flat(g: Column) -> Column:
-    """What a batch function reads: numbers in plain arrays."""
-    numbers = F.flatten(F.transform(coordinates(g), lambda p: F.array(p["x"], p["y"])))
-    return F.when(g.isNotNull(), F.struct(g["kind"].alias("kind"), numbers.alias("xy"), F.transform(F.flatten(g["parts"]), F.size).alias("rings"), F.transform(g["parts"], F.size).alias("parts")))
+class _Batch:
+    """The geometries of an Arrow column: shapes one by one, or the points of all that have the same form at once."""
+
+    def __init__(self, column: pa.StructArray) -> None:
+        parts = column.field("parts")
+        rings = parts.values
+        runs = rings.values
+        self.kinds = np.asarray(column.field("kind").to_pylist(), object)
+        self.known = np.asarray(column.is_valid()) & np.asarray(parts.is_valid()) & np.array([k is not None for k in self.kinds], bool)
+        self.parts, self.rings, self.runs = (np.asarray(x.offsets, np.int64) for x in (parts, rings, runs))
+        at = lambda name: runs.values.field(name).to_numpy(zero_copy_only=False)
+        self.xy = np.stack([at("x"), at("y")], 1) if len(runs.values) else np.zeros((0, 2))
+
+    def __len__(self) -> int:
+        return len(self.kinds)
+
+    def __getitem__(self, k: int) -> Shape | None:
+        if not self.known[k]:
+            return None
+        ring = lambda r: self.xy[self.runs[r] : self.runs[r + 1]]
+        return Shape(self.kinds[k], [[ring(r) for r in range(self.rings[p], self.rings[p + 1])] for p in range(self.parts[k], self.parts[k + 1])])
+
+    def shapes(self) -> list[Shape | None]:
+        return [self[k] for k in range(len(self))]
+
+    def of_one_part(self, kinds: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of these kinds that have one part, and its number of rings."""
+        rows = np.flatnonzero(self.known & np.isin(self.kinds, kinds) & (np.diff(self.parts) == 1))
+        return rows, np.diff(self.rings)[self.parts[rows]]
+
+    def forms(self, *kinds: str) -> Iterator[tuple[str, list[int], np.ndarray, np.ndarray]]:
+        """(kind, sizes of the rings, rows, their points) of the rows that have one part, by form; forms of few rows are left out."""
+        rows, n = self.of_one_part(kinds)
+        for rings in np.unique(n):
+            some = rows[n == rings]
+            first = self.rings[self.parts[some]]
+            sizes = np.diff(self.runs)[first[:, None] + np.arange(rings)]
+            forms, back, count = np.unique(sizes, axis=0, return_inverse=True, return_counts=True)
+            for k in np.flatnonzero(count > 3):
+                mine = np.ravel(back) == k
+                for kind in kinds:
+                    here = some[mine & (self.kinds[some] == kind)]
+                    if len(here):
+                        yield kind, [int(x) for x in forms[k]], here, self.xy[self.runs[self.rings[self.parts[here]]][:, None] + np.arange(forms[k].sum())]
+
+    def boxes(self) -> tuple[np.ndarray, np.ndarray]:
+        """As shapes.boxed."""
+        ok, bounds = np.zeros(len(self), bool), np.zeros((len(self), 4))
+        rows, n = self.of_one_part(("POLYGON", "MULTIPOLYGON"))
+        rows = rows[n == 1]
+        first = self.rings[self.parts[rows]]
+        five = np.diff(self.runs)[first] == 5 if len(rows) else np.zeros(0, bool)
+        rows, first = rows[five], first[five]
+        if len(rows):
+            ok[rows], bounds[rows] = shapes.boxes(self.xy[self.runs[first][:, None] + np.arange(5)])
+        return ok, bounds
+
+
+_TYPE = pa.struct([("kind", pa.string()), ("parts", pa.list_(pa.list_(pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))))])
+
+
+def _nested(kinds: pa.Array, parts: np.ndarray, rings: np.ndarray, runs: np.ndarray, xy: np.ndarray, gone: np.ndarray | None = None) -> pa.StructArray:
+    """An Arrow column from the numbers of parts, of rings of each part and of points of each ring."""
+    ends = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+    points = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(xy[:, k])) for k in (0, 1)], names=["x", "y"])
+    nested = points
+    for n in (runs, rings, parts):
+        nested = pa.ListArray.from_arrays(ends(n), nested)
+    return pa.StructArray.from_arrays([kinds, nested], fields=list(_TYPE), mask=None if gone is None else pa.array(gone))
+
+
+def _column(n: int, blocks: list[shapes.Block], others: dict[int, Shape | None]) -> pa.StructArray:
+    """Rows 0 to n - 1 as an Arrow column, from blocks and from single shapes."""
+    made, rows = [], []
+    for at, kind, sizes, xy in blocks:
+        flat = [k for part in sizes for k in part]
+        kinds = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(at), np.int32)), pa.array([kind])).dictionary_decode()
+        made.append(_nested(kinds, np.full(len(at), len(sizes)), np.tile([len(part) for part in sizes], len(at)).astype(int), np.tile(flat, len(at)).astype(int), (xy + 0.0).reshape(-1, 2)))
+        rows.append(at)
+    if others:
+        found = [s or Shape(None, []) for s in others.values()]
+        xy = np.concatenate([np.zeros((0, 2)), *[r for s in found for part in s.parts for r in part]]) + 0.0
+        kinds = pa.array([s.kind for s in found], pa.string())
+        made.append(_nested(kinds, np.array([len(s.parts) for s in found], int), np.array([len(part) for s in found for part in s.parts], int), np.array([len(r) for s in found for part in s.parts for r in part], int), xy, np.array([s.kind is None for s in found], bool)))
+        rows.append(np.fromiter(others, int))
+    if not made:
+        return pa.array([], _TYPE)
+    order = np.empty(n, np.int64)
+    order[np.concatenate(rows)] = np.arange(n)
+    return pa.concat_arrays(made).take(pa.array(order))
+
+
+def _each(f: Callable[[Shape], object], a: _Batch, rows: np.ndarray) -> dict[int, object]:
+    return {int(k): None if (x := a[k]) is None else f(x) for k in rows}
+
+
+def _each_pair(f: Callable[[Shape, Shape], object], a: _Batch, b: _Batch, rows: np.ndarray) -> dict[int, object]:
+    return {int(k): None if (x := a[k]) is None or (y := b[k]) is None else f(x, y) for k in rows}
+
+
+def _values(n: int, known: np.ndarray, found: np.ndarray, others: dict[int, object], kind: pa.DataType) -> pa.Array:
+    """A column of found where known, else of others."""
+    out = np.full(n, None, object)
+    out[known] = found[known]
+    for k, v in others.items():
+        out[k] = v
+    return pa.array(out, kind)
+
+
+def _box_pairs(a: _Batch, b: _Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows of two boxes, and their bounds."""
+    (p, x), (q, y) = a.boxes(), b.boxes()
+    rows = np.flatnonzero(p & q)
+    return rows, x[rows], y[rows]
+
+
+def _marked(n: int, rows: np.ndarray) -> np.ndarray:
+    out = np.zeros(n, bool)
+    out[rows] = True
+    return out
+
 
+def relation(a: Column, b: Column) -> Column:
+    """Bits of shapes.NAMES. Boxes are compared by the order of their sides, all of a batch at once."""
 
-def _shapes(df: pd.DataFrame) -> Iterator[Shape | None]:
-    for kind, xy, rings, parts in zip(df["kind"], df["xy"], df["rings"], df["parts"]):
-        if kind is None or xy is None:
-            yield None
-            continue
-        runs = np.split(np.asarray(xy, float).reshape(-1, 2), np.cumsum(rings)[:-1]) if len(rings) else []
-        ends = np.cumsum([0, *parts])
-        yield Shape(kind, [list(runs[a:b]) for a, b in zip(ends, ends[1:])])
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        x, y = _Batch(a), _Batch(b)
+        rows, p, q = _box_pairs(x, y)
+        bits, ok = shapes.relate_boxes(p, q)
+        done, found = _marked(len(x), rows[ok]), np.zeros(len(x), np.int32)
+        found[rows] = bits
+        return _values(len(x), done, found, _each_pair(shapes.relate, x, y, np.flatnonzero(~done)), pa.int32())
 
+    return F.arrow_udf(run, "int")(a, b)  # made when used: it needs a session
 
-def _rows(found: list[Shape | None]) -> pd.DataFrame:
-    parts = lambda s: [[[{"x": float(x) + 0.0, "y": float(y) + 0.0} for x, y in r] for r in part] for part in s.parts]
-    return pd.DataFrame({"kind": [s and s.kind for s in found], "parts": [s and parts(s) for s in found]}, dtype=object)
 
+def _of_two(f: Callable[[Shape, Shape], object], kind: pa.DataType, name: str) -> Callable[[Column, Column], Column]:
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        x, y = _Batch(a), _Batch(b)
+        return pa.array(list(_each_pair(f, x, y, np.arange(len(x))).values()), kind)
 
-def _of_two(f: Callable[[Shape, Shape], object], kind: str) -> Callable[[Column, Column], Column]:
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
-        return pd.Series([None if x is None or y is None else f(x, y) for x, y in zip(_shapes(a), _shapes(b))], dtype=object)
+    return lambda a, b: F.arrow_udf(run, name)(a, b)
 
-    return lambda a, b: F.pandas_udf(run, kind)(_flat(a), _flat(b))  # made when used: it needs a session
 
+def is_simple(g: Column) -> Column:
+    """See shapes.is_simple. Areas, single points and segments are."""
 
-def _of_one(f: Callable[[Shape], object], kind: str) -> Callable[[Column], Column]:
-    def run(a: pd.DataFrame) -> pd.Series:
-        return pd.Series([None if x is None else f(x) for x in _shapes(a)], dtype=object)
+    def run(a: pa.Array) -> pa.Array:
+        x = _Batch(a)
+        done = x.known & np.isin(x.kinds, ("POLYGON", "MULTIPOLYGON", "POINT"))
+        return _values(len(x), done, np.ones(len(x), bool), _each(shapes.is_simple, x, np.flatnonzero(~done)), pa.bool_())
 
-    return lambda a: F.pandas_udf(run, kind)(_flat(a))
+    return F.arrow_udf(run, "boolean")(g)
 
 
-relation = _of_two(shapes.relate, "int")
-distance = _of_two(shapes.distance, "double")
-to_wkb = _of_one(shapes.to_wkb, "binary")
-is_simple = _of_one(shapes.is_simple, "boolean")
-is_valid = _of_one(shapes.is_valid, "boolean")
+PAIRS_AT_ONCE = 4_000_000
+
+
+def is_valid(g: Column) -> Column:
+    """See shapes.is_valid. Polygons of one form and few edges are looked at together, and one by one where that leaves a doubt."""
+
+    def run(a: pa.Array) -> pa.Array:
+        x = _Batch(a)
+        done = np.zeros(len(x), bool)
+        for _, sizes, rows, xy in x.forms("POLYGON", "MULTIPOLYGON"):
+            if min(sizes) > 3 and sum(sizes) <= 32:
+                step = max(1, PAIRS_AT_ONCE // sum(sizes))
+                for k in range(0, len(rows), step):
+                    done[rows[k : k + step]] = shapes.surely_valid(xy[k : k + step], sizes)
+        return _values(len(x), done, done, _each(shapes.is_valid, x, np.flatnonzero(~done)), pa.bool_())
+
+    return F.arrow_udf(run, "boolean")(g)
+
+
+def to_wkb(g: Column) -> Column:
+    """Little-endian well-known binary. Shapes of one form are written together."""
+
+    def run(a: pa.Array) -> pa.Array:
+        x = _Batch(a)
+        out, done = np.full(len(x), None, object), np.zeros(len(x), bool)
+        for kind, sizes, rows, xy in x.forms(*shapes.DIMENSION):
+            raw, places = shapes.wkb_layout(kind, [sizes])
+            lines = np.tile(raw, (len(rows), 1))
+            lines[:, places] = np.ascontiguousarray(xy, "<f8").reshape(len(rows), -1).view(np.uint8)
+            whole, n = lines.tobytes(), len(raw)
+            for k, row in enumerate(rows):
+                out[row] = whole[k * n : k * n + n]
+            done[rows] = True
+        return _values(len(x), done, out, _each(shapes.to_wkb, x, np.flatnonzero(~done)), pa.binary())
+
+    return F.arrow_udf(run, "binary")(g)
+
+
+distance = _of_two(shapes.distance, pa.float64(), "double")
 
 
 def relates(a: Column, b: Column, how: str) -> Column:
@@ -347,30 +513,91 @@ def dwithin(a: Column, b: Column, d: float) -> Column:
 
 
 def _shape_of(f: Callable[[Shape], Shape], g: Column) -> Column:
-    def run(a: pd.DataFrame) -> pd.DataFrame:
-        return _rows([None if x is None else f(x) for x in _shapes(a)])
+    def run(a: pa.Array) -> pa.Array:
+        x = _Batch(a)
+        return _column(len(x), [], _each(f, x, np.arange(len(x))))
 
-    return F.pandas_udf(run, GEOMETRY)(_flat(g))
+    return F.arrow_udf(run, GEOMETRY)(g)
 
 
-def from_wkb(raw: Column) -> Column:
-    def run(a: pd.Series) -> pd.DataFrame:
-        return _rows([None if x is None else shapes.from_wkb(x) for x in a])
+FORMS_AT_ONCE = 16
+
 
-    return F.pandas_udf(run, GEOMETRY)(raw)
+def from_wkb(raw: Column) -> Column:
+    """Well-known binary of either byte order. Bytes that differ in their coordinates only are read together, for the first forms of a batch."""
+
+    def run(a: pa.Array) -> pa.Array:
+        values = a.to_pylist()
+        size = np.array([-1 if v is None else len(v) for v in values], int)
+        others: dict[int, Shape | None] = dict.fromkeys(map(int, np.flatnonzero(size < 0)))
+        blocks, left, tried = [], [np.flatnonzero(size == n) for n in np.unique(size[size >= 0])], 0
+        while left:
+            rows = left.pop()
+            first = shapes.from_wkb(values[rows[0]])
+            alike = np.zeros(len(rows), bool)
+            if tried < FORMS_AT_ONCE and len(rows) > 3 and first.parts and shapes.to_wkb(first) == values[rows[0]]:
+                tried += 1
+                sizes = [[len(r) for r in part] for part in first.parts]
+                layout, places = shapes.wkb_layout(first.kind, sizes)
+                lines = np.frombuffer(b"".join(values[k] for k in rows), np.uint8).reshape(len(rows), -1)
+                xy = np.ascontiguousarray(lines[:, places]).view("<f8").astype(float).reshape(len(rows), -1, 2)
+                alike = (lines[:, ~places] == layout[~places]).all(1) & ~np.isnan(xy).any((1, 2))
+                blocks.append((rows[alike], first.kind, sizes, xy[alike]))
+            if alike.any():
+                left += [rows[~alike]] if not alike.all() else []
+            else:
+                others |= {int(k): shapes.from_wkb(values[k]) for k in rows}
+        return _column(len(values), blocks, others)
+
+    return F.arrow_udf(run, GEOMETRY)(raw)
 
 
 def combine(a: Column, b: Column, how: str) -> Column:
-    """intersection, union, difference or symdifference of two areas; intersection and difference of points or lines with an area."""
+    """intersection, union, difference or symdifference of two areas; intersection and difference of points or lines with an area.
+
+    Boxes are combined by the order of their sides, all of a batch with the same order at once.
+    """
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return _rows([None if x is None or y is None else shapes.combine(x, y, how) for x, y in zip(_shapes(a), _shapes(b))])
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        x, y = _Batch(a), _Batch(b)
+        rows, p, q = _box_pairs(x, y)
+        blocks, ok = shapes.combine_boxes(p, q, how)
+        rest = np.flatnonzero(~_marked(len(x), rows[ok]))
+        return _column(len(x), [(rows[at], *block) for at, *block in blocks], _each_pair(lambda u, v: shapes.combine(u, v, how), x, y, rest))
 
-    return F.pandas_udf(run, GEOMETRY)(_flat(a), _flat(b))
+    return F.arrow_udf(run, GEOMETRY)(a, b)
 
 
 def buffer(g: Column, d: float, quarter: int = 8) -> Column:
-    return _shape_of(lambda s: shapes.buffer(s, d, quarter), g)
+    """See shapes.buffer. Points, segments, and boxes taken in are done together."""
+
+    def run(a: pa.Array) -> pa.Array:
+        x = _Batch(a)
+        done, blocks = np.zeros(len(x), bool), []
+
+        def put(rows: np.ndarray, xy: np.ndarray) -> None:
+            blocks.append((rows, "POLYGON", [[xy.shape[1]]], xy))
+            done[rows] = True
+
+        if d > 1e-3:
+            for kind, sizes, rows, xy in x.forms("POINT", "LINESTRING"):
+                fit = np.isfinite(xy).all((1, 2)) & (np.abs(xy) < 1e6).all((1, 2))
+                if kind == "POINT" and sizes == [1]:
+                    put(rows[fit], shapes.buffer_points(xy[fit, 0], d, quarter))
+                elif kind == "LINESTRING" and sizes == [2]:
+                    found, ok = shapes.buffer_segments(xy[fit, 0], xy[fit, 1], d, quarter)
+                    put(rows[fit][ok], found)
+        elif d < -1e-3:
+            ok, bounds = x.boxes()
+            rows = np.flatnonzero(ok)
+            found, some, sure = shapes.shrink_boxes(bounds[rows], -d)
+            put(rows[some], found)
+            none = rows[sure & ~some]
+            blocks.append((none, "MULTIPOLYGON", [], np.zeros((len(none), 0, 2))))
+            done[none] = True
+        return _column(len(x), [b for b in blocks if len(b[0])], _each(lambda s: shapes.buffer(s, d, quarter), x, np.flatnonzero(~done)))
+
+    return F.arrow_udf(run, GEOMETRY)(g)
 
 
 def convex_hull(g: Column) -> Column:
@@ -402,28 +629,23 @@ def voronoi(g: Column, box: tuple[float, float, float, float]) -> Column:
 
 
 def union_aggregate(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """(keys, column): the union of every group's areas, of unions in each task, so a group isn't gathered but as what its parts make."""
+    """(keys, column): the union of every group's areas, equal ones once, of unions in each task, so a group isn't gathered but as what its parts make."""
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
-    def united(found: list[Shape]) -> Shape:
-        while len(found) > 1:  # in pairs: areas stay small as long as they can
-            found = [shapes.combine(found[k], found[k + 1], "union") if k + 1 < len(found) else found[k] for k in range(0, len(found), 2)]
-        return found[0]
-
     def partly(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for key, rows in batch.groupby(keys, dropna=False, sort=False):
-                got = united(list(_shapes(pd.DataFrame(list(rows["_flat"])))))
+                got = shapes.united([shapes.from_wkb(w) for w in rows["_wkb"]])
                 out.append((*(key if isinstance(key, tuple) else (key,)), shapes.to_wkb(got)))
             yield pd.DataFrame(out, columns=[*keys, "_wkb"])
 
     def wholly(rows: pd.DataFrame) -> pd.DataFrame:
-        got = united([shapes.from_wkb(w) for w in rows["_wkb"]])
+        got = shapes.united([shapes.from_wkb(w) for w in rows["_wkb"]])
         return pd.DataFrame([{**rows[keys].iloc[0].to_dict(), "_wkb": shapes.to_wkb(got)}])
 
-    flat = df.where(F.col(column).isNotNull() & _is_area(F.col(column))).select(*keys, _flat(F.col(column)).alias("_flat"))
-    parts = flat.mapInPandas(partly, f"{kinds}, _wkb binary")
+    areas = df.where(F.col(column).isNotNull() & _is_area(F.col(column))).select(*keys, column).distinct()
+    parts = areas.select(*keys, to_wkb(F.col(column)).alias("_wkb")).mapInPandas(partly, f"{kinds}, _wkb binary")
     return parts.groupBy(*keys).applyInPandas(wholly, f"{kinds}, _wkb binary").select(*keys, from_wkb(F.col("_wkb")).alias(column))
 
 
@@ -438,12 +660,16 @@ def spatial_join(left: DataFrame, right: DataFrame, cell: float, how: str = "int
     def placed(df: DataFrame, g: str, tag: str) -> DataFrame:
         e = envelope(F.col(g))
         along = lambda low, high: F.sequence(F.floor(e[low] / cell), F.floor(e[high] / cell))
-        boxed = df.where(F.col(g).isNotNull() & ~is_empty(F.col(g))).withColumn(f"_box{tag}", e)
+        boxed = df.where(F.col(g).isNotNull() & ~is_empty(F.col(g))).withColumn(f"_box{tag}", e).withColumn(f"_is{tag}", is_box(F.col(g)))
         return boxed.withColumn("_cx", F.explode(along("min_x", "max_x"))).withColumn("_cy", F.explode(along("min_y", "max_y")))
 
     a, b = placed(left, column, "_a"), placed(right.select(*[F.col(c).alias(f"other_{c}") for c in right.columns]), f"other_{other}", "_b")
     x, y = F.col("_box_a"), F.col("_box_b")
     meet = (x["min_x"] <= y["max_x"]) & (y["min_x"] <= x["max_x"]) & (x["min_y"] <= y["max_y"]) & (y["min_y"] <= x["max_y"])
     first = (F.col("_cx") == F.floor(F.greatest(x["min_x"], y["min_x"]) / cell)) & (F.col("_cy") == F.floor(F.greatest(x["min_y"], y["min_y"]) / cell))
-    pairs = a.join(b, ["_cx", "_cy"]).where(meet & first).drop("_cx", "_cy", "_box_a", "_box_b")
-    return pairs.where(relates(F.col(column), F.col(f"other_{other}"), how))
+    candidates = lambda a, b: a.join(b, ["_cx", "_cy"]).where(meet & first).drop("_cx", "_cy", "_box_a", "_box_b", "_is_a", "_is_b")
+    exact = relates(F.col(column), F.col(f"other_{other}"), how)
+    if how != "intersects":
+        return candidates(a, b).where(exact)
+    rest = candidates(a, b.where(~F.col("_is_b"))).unionByName(candidates(a.where(~F.col("_is_a")), b.where("_is_b")))
+    return candidates(a.where("_is_a"), b.where("_is_b")).unionByName(rest.where(exact))  # boxes intersect where their envelopes meet

@@ -93,42 +93,102 @@ NUMBER: dict[str, tuple[Callable[[Shape, float], object], str]] = {
 }
 
 
+def _boxes_or_each(of_boxes: Callable, f: Callable[[Shape, Shape], object]) -> Callable[[list, list], list]:
+    """A function of two lists of shapes: pairs of boxes together, the others one by one."""
+
+    def run(a: list[Shape | None], b: list[Shape | None]) -> list:
+        (p, x), (q, y) = shapes.boxed(a), shapes.boxed(b)
+        rows = np.flatnonzero(p & q)
+        out = dict(zip(rows.tolist(), of_boxes(x[rows], y[rows])))
+        return [None if u is None or v is None else out[k] if out.get(k, _OPEN) is not _OPEN else f(u, v) for k, (u, v) in enumerate(zip(a, b))]
+
+    return run
+
+
+_OPEN = object()
+
+
+def _related(test: Callable[[int], bool]) -> Callable[[list, list], list]:
+    def of_boxes(x: np.ndarray, y: np.ndarray) -> list:
+        return [test(n) if ok else _OPEN for n, ok in zip(*(v.tolist() for v in shapes.relate_boxes(x, y)))]
+
+    return _boxes_or_each(of_boxes, lambda a, b: test(shapes.relate(a, b)))
+
+
+def _combined(how: str) -> Callable[[list, list], list]:
+    def of_boxes(x: np.ndarray, y: np.ndarray) -> list:
+        out = [_OPEN] * len(x)
+        for rows, kind, sizes, xy in shapes.combine_boxes(x, y, how)[0]:
+            ends = np.cumsum([0, *[n for part in sizes for n in part]])
+            for k, p in zip(rows.tolist(), xy):
+                rings = iter([p[i:j] for i, j in zip(ends, ends[1:])])
+                out[k] = to_wkt(Shape(kind, [[next(rings) for _ in part] for part in sizes]))
+        return out
+
+    return _boxes_or_each(of_boxes, lambda a, b: to_wkt(shapes.combine(a, b, how)))
+
+
+#: Functions of two geometries that have a way for many pairs at once.
+MANY: dict[str, Callable[[list, list], list]] = {
+    **{f"st_{n}": _related((lambda bit: lambda n: bool(n & bit))(bit)) for n, bit in shapes.NAMES.items()},
+    "st_disjoint": _related(lambda n: n == 0), **{f"st_{how}": _combined(how) for how in shapes.KEEP},
+}
+
+
+def _read(texts: pd.Series) -> list[Shape | None]:
+    """Shapes of texts; a text that repeats in the batch is read once."""
+    codes, kinds = pd.factorize(texts)
+    found = [from_wkt(x) for x in kinds]
+    return [None if c < 0 else found[c] for c in codes]
+
+
 def register(spark: SparkSession) -> None:
     """The functions above in this session, once."""
     if spark.sparkContext.applicationId + str(id(spark._jsparkSession)) in _done:
         return
-
-    def text(read: Callable, f: Callable, kind: str, n: int) -> Callable:
-        def each(*args: object) -> object:
-            return None if any(x is None or x != x for x in args) else f(*read(args))
-
-        return (_scalar1 if n == 1 else _scalar2)(each, kind)
-
     for name, (f, kind) in ONE.items():
-        spark.udf.register(name, text(lambda a: (from_wkt(a[0]),), f, kind, 1))
+        spark.udf.register(name, _of_one(f, kind))
     for name, (f, kind) in TWO.items():
-        spark.udf.register(name, text(lambda a: (from_wkt(a[0]), from_wkt(a[1])), f, kind, 2))
+        spark.udf.register(name, _of_two(MANY.get(name) or _one_by_one(f), kind))
     for name, (f, kind) in NUMBER.items():
-        spark.udf.register(name, text(lambda a: (from_wkt(a[0]), float(a[1])), f, kind, 2))
+        spark.udf.register(name, _of_number(f, kind))
     for kind in ("MULTIPOINT", "LINESTRING", "MULTILINESTRING", "POLYGON", "MULTIPOLYGON"):
-        spark.udf.register(f"geo_make_{kind.lower()}", text(lambda a: a, _nested(kind), "string", 1))
+        spark.udf.register(f"geo_make_{kind.lower()}", _of_text(_nested(kind)))
     _done.add(spark.sparkContext.applicationId + str(id(spark._jsparkSession)))
 
 
-def _scalar1(f: Callable, kind: str) -> Callable:
+def _one_by_one(f: Callable) -> Callable[[list, list], list]:
+    return lambda a, b: [None if u is None or v is None else f(u, v) for u, v in zip(a, b)]
+
+
+def _of_one(f: Callable, kind: str) -> Callable:
     def run(a: pd.Series) -> pd.Series:
-        return pd.Series([f(x) for x in a], dtype=object)
+        return pd.Series([None if s is None else f(s) for s in _read(a)], dtype=object)
 
     return F.pandas_udf(run, kind)
 
 
-def _scalar2(f: Callable, kind: str) -> Callable:
+def _of_two(f: Callable[[list, list], list], kind: str) -> Callable:
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([f(x, y) for x, y in zip(a, b)], dtype=object)
+        return pd.Series(f(_read(a), _read(b)), dtype=object)
 
     return F.pandas_udf(run, kind)
 
 
+def _of_number(f: Callable, kind: str) -> Callable:
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None or v is None or v != v else f(s, float(v)) for s, v in zip(_read(a), b)], dtype=object)
+
+    return F.pandas_udf(run, kind)
+
+
+def _of_text(f: Callable) -> Callable:
+    def run(a: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else f(x) for x in a], dtype=object)
+
+    return F.pandas_udf(run, "string")
+
+
 def _calls(text: str, name: str, make: Callable[[list[str]], str]) -> str:
     """Every call of a function in a query text, its arguments given to `make`."""
     from tessera.plans.cypher import split_top
