@@ -239,19 +239,21 @@ def to_utm(lon: Column, lat: Column) -> Column:
 def dbscan(df: DataFrame, d: float, min_points: int, id_col: str = "id", x: str = "x", y: str = "y") -> DataFrame:
     """(id, cluster): density clusters named by their least core id, null for noise. A border point goes to its least core's cluster.
 
-    Neighbours come from the grid join, clusters from the components of neighbouring core points.
+    Points of equal coordinates are one spot, which weighs as many, so that copies are never paired.
+    Neighbouring spots come from the grid join, clusters from the components of neighbouring core spots.
     """
     from tessera.operators.graph import connected_components
     from tessera.sources.rounds import keep_round
 
     pts = df.select(F.col(id_col).alias("id"), F.col(x).alias("x"), F.col(y).alias("y"))
-    near = keep_round(within_join(pts, pts, d).select("id", "other_id"), "near")
-    core = near.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_points).select("id")
+    spots = keep_round(pts.where("x is not null and y is not null").groupBy("x", "y").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "spots")
+    near = keep_round(within_join(spots, spots, d).select("id", "other_id", "other_n"), "near")
+    core = near.groupBy("id").agg(F.sum("other_n").alias("_n")).where(F.col("_n") >= min_points).select("id")
     links = near.join(core, "id").join(core.withColumnRenamed("id", "other_id"), "other_id")
     label = connected_components(core, links.select(F.col("id").alias("src"), F.col("other_id").alias("dst")))
     border = near.join(label.withColumnRenamed("id", "other_id"), "other_id").groupBy("id").agg(F.min_by("component", "other_id").alias("_border"))
-    out = pts.select("id").join(label, "id", "left").join(border, "id", "left")
-    return out.select(F.col("id").alias(id_col), F.coalesce("component", "_border").alias("cluster"))
+    named = spots.join(label, "id", "left").join(border, "id", "left").select("x", "y", F.coalesce("component", "_border").alias("cluster"))
+    return pts.join(named, ["x", "y"], "left").select(F.col("id").alias(id_col), "cluster")
 
 
 def kmeans(df: DataFrame, k: int, x: str = "x", y: str = "y", seed: int = 1) -> DataFrame:
