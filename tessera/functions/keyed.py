@@ -75,9 +75,21 @@ def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.subtract(b)
 
 
+def exact_sum(value: Column) -> Column:
+    """Aggregate: the sum of doubles as they are written, whatever their order: 0.1 + 0.2 + 0.3 is 0.6.
+
+    Added as decimals. Where a group has a value of 1e9 or more, or of more than 18 decimal places, it
+    is the plain sum, whose last digits depend on the order.
+    """
+    exact = value.try_cast("decimal(38,18)")
+    known = F.bool_and(F.coalesce((F.abs(value) < 1e9) & (exact.cast("double") == value), value.isNull()))
+    return F.when(known, F.sum(F.when(F.abs(value) < 1e9, exact)).cast("double")).otherwise(F.sum(value))
+
+
 def zset(changes: DataFrame, key: str, member: str, score: str) -> DataFrame:
-    """ZINCRBY: (key, member, score) with summed scores."""
-    return changes.groupBy(key, member).agg(F.sum(score).alias(score))
+    """ZINCRBY: (key, member, score) with summed scores, which don't depend on the order of the changes."""
+    double = changes.schema[score].dataType.simpleString() == "double"
+    return changes.groupBy(key, member).agg((exact_sum(F.col(score)) if double else F.sum(score)).alias(score))
 
 
 def zrange(df: DataFrame, key: str, member: str, score: str, start: int, stop: int) -> DataFrame:

@@ -93,3 +93,12 @@ def test_long_windows(spark):
     assert np.allclose(ts._range_sums(dense, low, high), [dense[a:b].sum() for a, b in zip(low, high)], rtol=1e-13)
     dense[600] = np.nan
     assert np.isnan(ts._range_sums(dense, np.array([0, 601, 500]), np.array([600, 1001, 601]))).tolist() == [False, False, True]
+
+
+def test_scores_do_not_depend_on_order(spark):
+    """The sums of two members are equal if their changes are, in whatever order; equal scores go by name."""
+    one = [("k", 3, 0.1), ("k", 3, 0.2), ("k", 3, 0.3), ("k", 9, 0.3), ("k", 9, 0.2), ("k", 9, 0.1), ("k", 7, 0.6), ("k", 1, 0.7), ("k", 2, 1e300), ("k", 4, None)]
+    z = keyed.zset(spark.createDataFrame(one, "k string, m long, s double").coalesce(1), "k", "m", "s")
+    assert {r["m"]: r["s"] for r in z.collect()} == {3: 0.6, 9: 0.6, 7: 0.6, 1: 0.7, 2: 1e300, 4: None}
+    assert [keyed.zrank(z, "k", "m", "s", m).first()["rank"] for m in (3, 7, 9)] == [0, 1, 2]
+    assert {r["m"] for r in keyed.zrange_by_score(z, "s", 0.6, 0.65).collect()} == {3, 7, 9}
