@@ -11,7 +11,7 @@ from tessera.plans.commands import Store
 from tessera.plans.cypher import Graph
 from tessera.queries.base import query
 from tessera.queries.models import PTS, points
-from tessera.session import load
+from tessera.session import load, spread
 
 BOXES = f"(SELECT id, x AS x1, y AS y1, x + 3 + id % 80 AS x2, y + 3 + id % 60 AS y2 FROM {PTS} p)"
 FIXED = (-20.0, -15.0, 30.0, 25.0)
@@ -25,7 +25,7 @@ OWN = "(x2 - x1) * (y2 - y1)"
 def boxes(spark: SparkSession, d: str) -> DataFrame:
     """(id, geometry): a box from every customer's point."""
     x, y, k = F.col("x"), F.col("y"), F.col("id")
-    return points(spark, d).select("id", geometry.make_box(x, y, x + 3 + k % 80, y + 3 + k % 60).alias("geometry"))
+    return spread(points(spark, d)).select("id", geometry.make_box(x, y, x + 3 + k % 80, y + 3 + k % 60).alias("geometry"))
 
 
 def fixed() -> Column:
@@ -68,7 +68,7 @@ def sp_buffer(spark: SparkSession, d: str) -> DataFrame:
     capsule = geometry.buffer(geometry.make_line(F.array(F.struct(x, y), F.struct((x + 10).alias("x"), y))), 2.0)
     box = geometry.buffer(geometry.make_box(x, y, x + 4, y + 4), -2.0)
     e = geometry.envelope(circle)
-    return points(spark, d).select(
+    return spread(points(spark, d)).select(
         "id", F.round(geometry.area(circle), 6).alias("area"), F.round(e["min_x"], 6).alias("min_x"), F.round(e["max_y"], 6).alias("max_y"), F.round(geometry.area(capsule), 6).alias("along"), F.round(geometry.area(box), 6).alias("less")
     )
 
@@ -79,7 +79,7 @@ IX, IY = "CAST(x AS INT)", "CAST(y AS INT)"
 
 def _holed(spark: SparkSession, d: str) -> DataFrame:
     """(id, x, y, wkt, g): a square of side 9 with a hole of side 2, read from text."""
-    rows = points(spark, d).withColumn("wkt", F.expr(TEXT.format("int(x)", "int(y)")))
+    rows = spread(points(spark, d)).withColumn("wkt", F.expr(TEXT.format("int(x)", "int(y)")))
     return rows.withColumn("g", geometry.from_wkt(F.col("wkt")))
 
 
@@ -164,7 +164,7 @@ def sp_geohash(spark: SparkSession, d: str) -> DataFrame:
 def _placed(spark: SparkSession, d: str) -> Graph:
     x, y, k = F.col("x").cast("int"), F.col("y").cast("int"), F.col("id")
     text = F.format_string("POLYGON((%d %d, %d %d, %d %d, %d %d, %d %d))", x, y, x + 3 + k % 80, y, x + 3 + k % 80, y + 3 + k % 60, x, y + 3 + k % 60, x, y)
-    nodes = points(spark, d).select("id", F.array(F.lit("Place")).alias("labels"), "x", "y", text.alias("shape"))
+    nodes = spread(points(spark, d)).select("id", F.array(F.lit("Place")).alias("labels"), "x", "y", text.alias("shape"))
     return Graph(nodes, spark.createDataFrame([], "src long, dst long, type string"))
 
 

@@ -9,6 +9,7 @@ from tessera.functions import shapes as s
 from tessera.functions import keyed, spatial
 from tessera.operators import graph
 from tessera.operators import timeseries as ts
+from tessera.plans import spatial_names
 
 
 def rectangles(seed, n=150):
@@ -102,3 +103,23 @@ def test_scores_do_not_depend_on_order(spark):
     assert {r["m"]: r["s"] for r in z.collect()} == {3: 0.6, 9: 0.6, 7: 0.6, 1: 0.7, 2: 1e300, 4: None}
     assert [keyed.zrank(z, "k", "m", "s", m).first()["rank"] for m in (3, 7, 9)] == [0, 1, 2]
     assert {r["m"] for r in keyed.zrange_by_score(z, "s", 0.6, 0.65).collect()} == {3, 7, 9}
+
+
+def test_buffers_together(spark):
+    rng = np.random.default_rng(7)
+    p, q = rng.integers(-5, 5, (20, 2)).astype(float), rng.integers(5, 9, (20, 2)).astype(float)
+    circles = s.buffer_points(p, 2.0, 8)
+    assert all(same(s.Shape("POLYGON", [[c]]), s.buffer(s.Shape("POINT", [[x[None]]]), 2.0)) for c, x in zip(circles, p))
+    found, ok = s.buffer_segments(p, q, 2.0, 8)
+    assert ok.sum() > 15 and all(same(s.Shape("POLYGON", [[c]]), s.buffer(s.Shape("LINESTRING", [[np.stack([p[k], q[k]])]]), 2.0)) for k, c in zip(np.flatnonzero(ok), found))
+    boxes = rectangles(8, 40)
+    found, some, ok = s.shrink_boxes(boxes, 1.0)
+    left = iter(found)
+    for k in np.flatnonzero(ok):
+        want = s.buffer(box(boxes[k]), -1.0)
+        assert same(s.Shape("POLYGON", [[next(left)]]), want) if some[k] else not want.parts
+    texts = ["POINT(1 2)", "POINT(3 2)", "POINT(1 7)", "POINT(4 4)", "POINT EMPTY", "LINESTRING(0 0, 1 0, 1 1)", "POLYGON((0 0, 9 0, 9 9, 0 9, 0 0))", None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").coalesce(1)
+    for d in (2.0, -2.0):
+        got = {r["k"]: r["w"] for r in rows.select("k", g.to_wkt(g.buffer(g.from_wkt(F.col("t")), d)).alias("w")).collect()}
+        assert got == {k: None if t is None else s.to_wkt(s.buffer(s.from_wkt(t), d)) for k, t in enumerate(texts)}
\ No newline at end of file
