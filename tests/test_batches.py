@@ -122,4 +122,24 @@ def test_buffers_together(spark):
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").coalesce(1)
     for d in (2.0, -2.0):
         got = {r["k"]: r["w"] for r in rows.select("k", g.to_wkt(g.buffer(g.from_wkt(F.col("t")), d)).alias("w")).collect()}
-        assert got == {k: None if t is None else s.to_wkt(s.buffer(s.from_wkt(t), d)) for k, t in enumerate(texts)}
\ No newline at end of file
+        assert got == {k: None if t is None else s.to_wkt(s.buffer(s.from_wkt(t), d)) for k, t in enumerate(texts)}
+
+
+def test_formats_together(spark):
+    """Sure validity is validity; bytes of many forms, either order and empty ones in one batch."""
+    rng = np.random.default_rng(9)
+    sure = 0
+    for sizes in ([5], [4, 4], [6]) * 60:
+        rings = [rng.integers(0, 7 if k == 0 else 4, (n - 1, 2)).astype(float) for k, n in enumerate(sizes)]
+        rings = [np.concatenate([r, r[:1]]) for r in rings]
+        found = bool(s.surely_valid(np.concatenate(rings)[None], sizes)[0])
+        sure += found
+        assert not found or s.is_valid(s.Shape("POLYGON", [rings]))
+    assert sure > 9 and s.surely_valid(s.from_wkt("POLYGON((0 0, 9 0, 9 9, 0 9, 0 0), (1 1, 1 3, 3 3, 3 1, 1 1))").points[None], [5, 5])[0]
+    kinds = ["POINT(1 2)", "POINT(3 4)", "POINT EMPTY", "LINESTRING(0 0, 1 1)", "POLYGON((0 0, 9 0, 9 9, 0 9, 0 0), (1 1, 1 3, 3 3, 3 1, 1 1))", "MULTIPOINT((1 2), (3 4))", "POLYGON((0 0, 9 9, 9 0, 0 9, 0 0))", "MULTIPOLYGON(((0 0, 1 0, 1 1, 0 0)), ((5 5, 6 5, 6 6, 5 5)))"]
+    texts = [t for t in kinds for _ in range(5)] + [None]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").coalesce(1).withColumn("g", g.from_wkt(F.col("t")))
+    got = {r["k"]: r for r in rows.select("k", g.to_wkb(F.col("g")).alias("raw"), g.to_wkt(g.from_wkb(g.to_wkb(F.col("g")))).alias("w"), g.is_valid(F.col("g")).alias("v"), g.is_simple(F.col("g")).alias("s")).collect()}
+    for k, t in enumerate(texts):
+        x = None if t is None else s.from_wkt(t)
+        assert tuple(got[k])[1:] == ((None,) * 4 if x is None else (s.to_wkb(x), t, s.is_valid(x), s.is_simple(x))), t
\ No newline at end of file
