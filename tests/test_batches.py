@@ -142,4 +142,24 @@ def test_formats_together(spark):
     got = {r["k"]: r for r in rows.select("k", g.to_wkb(F.col("g")).alias("raw"), g.to_wkt(g.from_wkb(g.to_wkb(F.col("g")))).alias("w"), g.is_valid(F.col("g")).alias("v"), g.is_simple(F.col("g")).alias("s")).collect()}
     for k, t in enumerate(texts):
         x = None if t is None else s.from_wkt(t)
-        assert tuple(got[k])[1:] == ((None,) * 4 if x is None else (s.to_wkb(x), t, s.is_valid(x), s.is_simple(x))), t
\ No newline at end of file
+        assert tuple(got[k])[1:] == ((None,) * 4 if x is None else (s.to_wkb(x), t, s.is_valid(x), s.is_simple(x))), t
+
+
+def test_overlays_of_boxes():
+    a, b = rectangles(3), rectangles(4)
+    for how in s.KEEP:
+        blocks, ok = s.combine_boxes(a, b, how)
+        found = {r: (kind, sizes, p) for rows, kind, sizes, xy in blocks for r, p in zip(rows.tolist(), xy)}
+        assert ok.all() and len(found) == len(a)
+        for k, (kind, sizes, p) in found.items():
+            want = s.combine(box(a[k]), box(b[k]), how)
+            assert kind == want.kind and sizes == [[len(r) for r in part] for part in want.parts] and (not len(p) or np.allclose(p, want.points))
+
+
+def test_overlay_columns(spark):
+    texts = ["POLYGON((0 0, 4 0, 4 4, 0 4, 0 0))", "POLYGON((1 1, 2 1, 2 2, 1 2, 1 1))", "POLYGON((0 0, 4 0, 0 4, 0 0))", None, "POLYGON((9 9, 12 9, 12 12, 9 12, 9 9))", "POLYGON((-1 2, 1 2, 1 3, -1 3, -1 2))"]
+    other = "POLYGON((0 0, 3 0, 3 3, 0 3, 0 0))"
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").coalesce(1).withColumn("g", g.from_wkt(F.col("t")))
+    for how in s.KEEP:
+        got = {r["k"]: r["w"] for r in rows.select("k", g.to_wkt(g.combine(F.col("g"), g.from_wkt(F.lit(other)), how)).alias("w")).collect()}
+        assert got == {k: None if t is None else s.to_wkt(s.combine(s.from_wkt(t), s.from_wkt(other), how)) for k, t in enumerate(texts)}
\ No newline at end of file
