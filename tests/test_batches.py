@@ -162,4 +162,16 @@ def test_overlay_columns(spark):
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").coalesce(1).withColumn("g", g.from_wkt(F.col("t")))
     for how in s.KEEP:
         got = {r["k"]: r["w"] for r in rows.select("k", g.to_wkt(g.combine(F.col("g"), g.from_wkt(F.lit(other)), how)).alias("w")).collect()}
-        assert got == {k: None if t is None else s.to_wkt(s.combine(s.from_wkt(t), s.from_wkt(other), how)) for k, t in enumerate(texts)}
\ No newline at end of file
+        assert got == {k: None if t is None else s.to_wkt(s.combine(s.from_wkt(t), s.from_wkt(other), how)) for k, t in enumerate(texts)}
+
+
+def test_texts_in_batches(spark):
+    spatial_names.register(spark)
+    a, b = rectangles(5, 40), rectangles(6, 40)
+    rows = [(k, s.to_wkt(box(x)), s.to_wkt(box(y))) for k, (x, y) in enumerate(zip(a, b))] + [(40, None, "POINT(1 1)"), (41, "POINT(1 1)", "POLYGON((0 0, 4 0, 0 4, 0 0))")]
+    spark.createDataFrame(rows, "k int, a string, b string").coalesce(1).createOrReplaceTempView("texts")
+    got = {r["k"]: r for r in spark.sql("SELECT k, st_within(a, b) w, st_disjoint(a, b) d, st_symdifference(a, b) x FROM texts WHERE k < 40 UNION ALL SELECT k, st_within(a, b), st_disjoint(a, b), NULL FROM texts WHERE k > 39").collect()}
+    for k, x, y in rows:
+        bits = None if x is None else s.relate(s.from_wkt(x), s.from_wkt(y))
+        assert (got[k]["w"], got[k]["d"]) == ((None, None) if bits is None else (bool(bits & s.WITHIN), bits == 0))
+        assert k > 39 or got[k]["x"] == s.to_wkt(s.combine(s.from_wkt(x), s.from_wkt(y), "symdifference"))
\ No newline at end of file
