@@ -174,4 +174,18 @@ def test_texts_in_batches(spark):
     for k, x, y in rows:
         bits = None if x is None else s.relate(s.from_wkt(x), s.from_wkt(y))
         assert (got[k]["w"], got[k]["d"]) == ((None, None) if bits is None else (bool(bits & s.WITHIN), bits == 0))
-        assert k > 39 or got[k]["x"] == s.to_wkt(s.combine(s.from_wkt(x), s.from_wkt(y), "symdifference"))
\ No newline at end of file
+        assert k > 39 or got[k]["x"] == s.to_wkt(s.combine(s.from_wkt(x), s.from_wkt(y), "symdifference"))
+
+
+def test_unions_and_joins(spark):
+    """Equal boxes count once, boxes apart are never cut at each other; boxes that meet are paired inside the JVM, others exactly."""
+    rng = np.random.default_rng(10)
+    at = [(int(x), int(y)) for x, y in rng.integers(0, 60, (1500, 2))] * 2
+    rows = spark.createDataFrame([(k, 1, float(x), float(y)) for k, (x, y) in enumerate(at)], "k int, one int, x double, y double")
+    boxes = rows.select("k", "one", g.make_box(F.col("x"), F.col("y"), F.col("x") + 1, F.col("y") + 1).alias("geometry"))
+    got = g.union_aggregate(boxes, ["one"], "geometry").select(F.round(g.area(F.col("geometry")), 6).alias("a")).first()
+    assert got["a"] == len(set(at))
+    others = spark.createDataFrame([(0, "POLYGON((10 10, 12 10, 12 12, 10 12, 10 10))"), (1, "POLYGON((20 20, 30 20, 20 30, 20 20))")], "n int, t string").select("n", g.from_wkt(F.col("t")).alias("geometry"))
+    pairs = {(r["k"], r["other_n"]) for r in g.spatial_join(boxes, others, 8.0).collect()}
+    hit = lambda x, y, n: x <= 12 and x + 1 >= 10 and y <= 12 and y + 1 >= 10 if n == 0 else x + 1 >= 20 and y + 1 >= 20 and max(x, 20) + max(y, 20) <= 50
+    assert pairs == {(k, n) for k, (x, y) in enumerate(at) for n in (0, 1) if hit(x, y, n)}
