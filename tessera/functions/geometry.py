@@ -304,27 +304,32 @@ class _Batch:
         parts = column.field("parts")
         rings = parts.values
         runs = rings.values
-        self.kinds = np.asarray(column.field("kind").to_pylist(), object)
-        self.known = np.asarray(column.is_valid()) & np.asarray(parts.is_valid()) & np.array([k is not None for k in self.kinds], bool)
+        kind = column.field("kind").dictionary_encode()
+        self.names = np.array([*kind.dictionary.to_pylist(), None], object)
+        self.codes = kind.indices.fill_null(len(self.names) - 1).to_numpy(zero_copy_only=False)
+        self.known = np.asarray(column.is_valid()) & np.asarray(parts.is_valid()) & (self.codes < len(self.names) - 1)
         self.parts, self.rings, self.runs = (np.asarray(x.offsets, np.int64) for x in (parts, rings, runs))
         at = lambda name: runs.values.field(name).to_numpy(zero_copy_only=False)
         self.xy = np.stack([at("x"), at("y")], 1) if len(runs.values) else np.zeros((0, 2))
 
     def __len__(self) -> int:
-        return len(self.kinds)
+        return len(self.codes)
+
+    def of_kind(self, kinds: tuple[str, ...]) -> np.ndarray:
+        return np.array([k in kinds for k in self.names], bool)[self.codes]
 
     def __getitem__(self, k: int) -> Shape | None:
         if not self.known[k]:
             return None
         ring = lambda r: self.xy[self.runs[r] : self.runs[r + 1]]
-        return Shape(self.kinds[k], [[ring(r) for r in range(self.rings[p], self.rings[p + 1])] for p in range(self.parts[k], self.parts[k + 1])])
+        return Shape(self.names[self.codes[k]], [[ring(r) for r in range(self.rings[p], self.rings[p + 1])] for p in range(self.parts[k], self.parts[k + 1])])
 
     def shapes(self) -> list[Shape | None]:
         return [self[k] for k in range(len(self))]
 
     def of_one_part(self, kinds: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
         """Rows of these kinds that have one part, and its number of rings."""
-        rows = np.flatnonzero(self.known & np.isin(self.kinds, kinds) & (np.diff(self.parts) == 1))
+        rows = np.flatnonzero(self.known & self.of_kind(kinds) & (np.diff(self.parts) == 1))
         return rows, np.diff(self.rings)[self.parts[rows]]
 
     def forms(self, *kinds: str) -> Iterator[tuple[str, list[int], np.ndarray, np.ndarray]]:
@@ -338,7 +343,7 @@ class _Batch:
             for k in np.flatnonzero(count > 3):
                 mine = np.ravel(back) == k
                 for kind in kinds:
-                    here = some[mine & (self.kinds[some] == kind)]
+                    here = some[mine & self.of_kind((kind,))[some]]
                     if len(here):
                         yield kind, [int(x) for x in forms[k]], here, self.xy[self.runs[self.rings[self.parts[here]]][:, None] + np.arange(forms[k].sum())]
 
@@ -399,6 +404,8 @@ def _each_pair(f: Callable[[Shape, Shape], object], a: _Batch, b: _Batch, rows:
 
 def _values(n: int, known: np.ndarray, found: np.ndarray, others: dict[int, object], kind: pa.DataType) -> pa.Array:
     """A column of found where known, else of others."""
+    if found.dtype != object and all(v is None for v in others.values()):
+        return pa.array(found, kind, mask=~known)
     out = np.full(n, None, object)
     out[known] = found[known]
     for k, v in others.items():
@@ -446,7 +453,7 @@ def is_simple(g: Column) -> Column:
 
     def run(a: pa.Array) -> pa.Array:
         x = _Batch(a)
-        done = x.known & np.isin(x.kinds, ("POLYGON", "MULTIPOLYGON", "POINT"))
+        done = x.known & x.of_kind(("POLYGON", "MULTIPOLYGON", "POINT"))
         return _values(len(x), done, np.ones(len(x), bool), _each(shapes.is_simple, x, np.flatnonzero(~done)), pa.bool_())
 
     return F.arrow_udf(run, "boolean")(g)
@@ -568,6 +575,25 @@ def combine(a: Column, b: Column, how: str) -> Column:
     return F.arrow_udf(run, GEOMETRY)(a, b)
 
 
+def overlay_areas(a: Column, b: Column) -> Column:
+    """struct of the area of every overlay of two areas (see `combine`), by name. Shapes are made and measured within the batch: only numbers go back."""
+
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        x, y = _Batch(a), _Batch(b)
+        rows, p, q = _box_pairs(x, y)
+        out = []
+        for how in shapes.KEEP:
+            blocks, ok = shapes.combine_boxes(p, q, how)
+            found, done = np.zeros(len(x)), _marked(len(x), rows[ok])
+            for at, _, sizes, xy in blocks:
+                found[rows[at]] = shapes.areas(sizes, xy)
+            rest = _each_pair(lambda u, v, how=how: shapes.area(shapes.combine(u, v, how)), x, y, np.flatnonzero(~done))
+            out.append(_values(len(x), done, found, rest, pa.float64()))
+        return pa.StructArray.from_arrays(out, names=list(shapes.KEEP))
+
+    return F.arrow_udf(run, f"struct<{', '.join(f'{how}: double' for how in shapes.KEEP)}>")(a, b)
+
+
 def buffer(g: Column, d: float, quarter: int = 8) -> Column:
     """See shapes.buffer. Points, segments, and boxes taken in are done together."""
 

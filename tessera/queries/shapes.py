@@ -54,10 +54,8 @@ def sp_lines(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT id, round(CAST({COMMON} AS DOUBLE), 6) AS intersection, round(CAST({OWN} + 2000 - {COMMON} AS DOUBLE), 6) AS "union", round(CAST({OWN} - {COMMON} AS DOUBLE), 6) AS difference,
 round(CAST({OWN} + 2000 - 2 * {COMMON} AS DOUBLE), 6) AS symdifference FROM {BOXES} b""")
 def sp_overlay(spark: SparkSession, d: str) -> DataFrame:
-    rows = boxes(spark, d)
-    for how in shapes.KEEP:
-        rows = rows.withColumn(how, F.round(geometry.area(geometry.combine(F.col("geometry"), fixed(), how)), 6))
-    return rows.drop("geometry")
+    rows = boxes(spark, d).withColumn("areas", geometry.overlay_areas(F.col("geometry"), fixed()))
+    return rows.select("id", *[F.round(F.col("areas")[how], 6).alias(how) for how in shapes.KEEP])
 
 
 @query(f"SELECT id, round(64 * sin(pi() / 16), 6) AS area, round(x - 2, 6) AS min_x, round(y + 2, 6) AS max_y, round(40 + 64 * sin(pi() / 16), 6) AS along, 0.0 AS less FROM {PTS} p")

@@ -189,3 +189,26 @@ def test_unions_and_joins(spark):
     pairs = {(r["k"], r["other_n"]) for r in g.spatial_join(boxes, others, 8.0).collect()}
     hit = lambda x, y, n: x <= 12 and x + 1 >= 10 and y <= 12 and y + 1 >= 10 if n == 0 else x + 1 >= 20 and y + 1 >= 20 and max(x, 20) + max(y, 20) <= 50
     assert pairs == {(k, n) for k, (x, y) in enumerate(at) for n in (0, 1) if hit(x, y, n)}
+
+
+def test_overlay_areas(spark):
+    """All four areas in one pass: boxes together, other shapes exactly; every order of two boxes' sides as the general overlay has it."""
+    texts = ["POLYGON((0 0, 4 0, 4 4, 0 4, 0 0))", "POLYGON((1 1, 2 1, 2 2, 1 2, 1 1))", "POLYGON((0 0, 4 0, 0 4, 0 0))", None, "POLYGON((9 9, 12 9, 12 12, 9 12, 9 9))", "POLYGON EMPTY"]
+    other = "POLYGON((0 0, 3 0, 3 3, 0 3, 0 0))"
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").coalesce(1).withColumn("a", g.overlay_areas(g.from_wkt(F.col("t")), g.from_wkt(F.lit(other))))
+    got = {r["k"]: r["a"] for r in rows.collect()}
+    for k, t in enumerate(texts):
+        for how in s.KEEP:
+            assert got[k][how] == (None if t is None else pytest.approx(s.area(s.combine(s.from_wkt(t), s.from_wkt(other), how))))
+    sides = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+    pairs = np.array([(a, c, b, d) for a, b in sides for c, d in sides], float)
+    a, b = (x.reshape(-1, 4) for x in np.broadcast_arrays(pairs[:, None], pairs[None]))
+    bits, ok = s.relate_boxes(a, b)
+    assert ok.all()
+    for how in s.KEEP:
+        for at, kind, sizes, xy in s.combine_boxes(a, b, how)[0]:
+            k = int(at[0])
+            want = s.combine(box(a[k]), box(b[k]), how)
+            assert bits[k] == s.relate(box(a[k]), box(b[k]))
+            assert kind == want.kind and sizes == [[len(r) for r in part] for part in want.parts] and np.allclose(xy[0], want.points)
+            assert s.areas(sizes, xy[:1])[0] == pytest.approx(s.area(want))
