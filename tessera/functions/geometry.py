@@ -683,17 +683,22 @@ def spatial_join(left: DataFrame, right: DataFrame, cell: float, how: str = "int
     of the larger geometries: those of many cells are copied to all of them.
     """
 
+    sides = ("min_x", "min_y", "max_x", "max_y")
+
     def placed(df: DataFrame, g: str, tag: str) -> DataFrame:
-        e = envelope(F.col(g))
-        along = lambda low, high: F.sequence(F.floor(e[low] / cell), F.floor(e[high] / cell))
-        boxed = df.where(F.col(g).isNotNull() & ~is_empty(F.col(g))).withColumn(f"_box{tag}", e).withColumn(f"_is{tag}", is_box(F.col(g)))
-        return boxed.withColumn("_cx", F.explode(along("min_x", "max_x"))).withColumn("_cy", F.explode(along("min_y", "max_y")))
+        """The bounds as plain columns, made once by a generator, and a row for each cell; _fx and _fy are the first cells."""
+        known = df.where(F.col(g).isNotNull() & ~is_empty(F.col(g)))
+        boxed = known.select("*", is_box(F.col(g)).alias(f"_is{tag}"), F.inline(F.array(envelope(F.col(g)))).alias(*[f"_{c}{tag}" for c in sides]))
+        at = lambda c: F.floor(F.col(f"_{c}{tag}") / cell)
+        rows = boxed.select("*", at("min_x").alias(f"_fx{tag}"), at("min_y").alias(f"_fy{tag}"), F.explode(F.sequence(at("min_x"), at("max_x"))).alias("_cx"))
+        return rows.select("*", F.explode(F.sequence(F.col(f"_fy{tag}"), at("max_y"))).alias("_cy"))
 
     a, b = placed(left, column, "_a"), placed(right.select(*[F.col(c).alias(f"other_{c}") for c in right.columns]), f"other_{other}", "_b")
-    x, y = F.col("_box_a"), F.col("_box_b")
-    meet = (x["min_x"] <= y["max_x"]) & (y["min_x"] <= x["max_x"]) & (x["min_y"] <= y["max_y"]) & (y["min_y"] <= x["max_y"])
-    first = (F.col("_cx") == F.floor(F.greatest(x["min_x"], y["min_x"]) / cell)) & (F.col("_cy") == F.floor(F.greatest(x["min_y"], y["min_y"]) / cell))
-    candidates = lambda a, b: a.join(b, ["_cx", "_cy"]).where(meet & first).drop("_cx", "_cy", "_box_a", "_box_b", "_is_a", "_is_b")
+    c = F.col
+    meet = (c("_min_x_a") <= c("_max_x_b")) & (c("_min_x_b") <= c("_max_x_a")) & (c("_min_y_a") <= c("_max_y_b")) & (c("_min_y_b") <= c("_max_y_a"))
+    first = (c("_cx") == F.greatest("_fx_a", "_fx_b")) & (c("_cy") == F.greatest("_fy_a", "_fy_b"))
+    kept = [*left.columns, *[f"other_{c}" for c in right.columns]]
+    candidates = lambda a, b: a.join(b, ["_cx", "_cy"]).where(meet & first).select(*kept)
     exact = relates(F.col(column), F.col(f"other_{other}"), how)
     if how != "intersects":
         return candidates(a, b).where(exact)

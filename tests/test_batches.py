@@ -212,3 +212,14 @@ def test_overlay_areas(spark):
             assert bits[k] == s.relate(box(a[k]), box(b[k]))
             assert kind == want.kind and sizes == [[len(r) for r in part] for part in want.parts] and np.allclose(xy[0], want.points)
             assert s.areas(sizes, xy[:1])[0] == pytest.approx(s.area(want))
+
+
+def test_bounds_of_joins_are_made_once(spark):
+    """The cells, and the comparison of a pair, read plain bounds; no envelope is made for them again."""
+    rows = spark.range(40).select("id", g.make_box(F.col("id") % 7 * 1.5, F.col("id") % 5 * 1.5, F.col("id") % 7 * 1.5 + 3, F.col("id") % 5 * 1.5 + 2).alias("geometry"))
+    joined = g.spatial_join(rows, rows, 4.0).select("id", "other_id")
+    plan = joined._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    cells, pairs = [x for x in plan if "explode(sequence" in x], [x for x in plan if "Join Inner" in x]
+    assert cells and pairs and not any("array_min" in x or "transform" in x for x in cells + pairs)
+    at = [(k, k % 7 * 1.5, k % 5 * 1.5) for k in range(40)]
+    assert sorted(tuple(r) for r in joined.collect()) == [(a, b) for a, x, y in at for b, u, v in at if abs(x - u) <= 3 and abs(y - v) <= 2]
