@@ -214,8 +214,14 @@ def boundary(g: Column) -> Column:
 @_once
 def collect(geometries: Column) -> Column:
     """An array of geometries of one family (points, lines, areas) as one multi-geometry; null for none or mixed ones."""
-    family = F.array_distinct(F.transform(geometries, lambda g: F.regexp_replace(g["kind"], "^MULTI", "")))
-    return F.when(F.size(family) == 1, geometry(F.concat(F.lit("MULTI"), F.get(family, F.lit(0))), F.flatten(F.transform(geometries, lambda g: g["parts"]))))
+    family = F.array_distinct(F.transform(F.array_distinct(geometries["kind"]), lambda kind: F.regexp_replace(kind, "^MULTI", "")))
+    return F.when(F.size(family) == 1, geometry(F.concat(F.lit("MULTI"), F.get(family, F.lit(0))), F.flatten(geometries["parts"])))
+
+
+def collect_points(x: Column, y: Column) -> Column:
+    """Aggregate: a group's points as one multi-point, as `collect` of them; null for none. Only two numbers a point are gathered."""
+    found = F.collect_list(F.when(x.isNotNull() & y.isNotNull(), spatial.point(x, y)))
+    return F.when(F.size(found) > 0, geometry("MULTIPOINT", F.transform(found, lambda p: F.array(F.array(p)))))
 
 
 # measures
@@ -289,9 +295,10 @@ def centroid(g: Column) -> Column:
     areas = F.aggregate(g["parts"], zero, by_area)
     middle = lambda a, b: (spatial.distance(a["x"], a["y"], b["x"], b["y"]), (a["x"] + b["x"]) / 2, (a["y"] + b["y"]) / 2)
     lines = F.aggregate(F.flatten(g["parts"]), zero, lambda s, r: run(s, r, middle))
-    points = F.aggregate(coordinates(g), zero, lambda s, p: add(s, F.lit(1.0), p["x"], p["y"]))
+    total = lambda c: F.aggregate(coordinates(g)[c], F.lit(0.0), lambda s, v: s + v)
+    points = F.struct(F.size(coordinates(g)).cast("double").alias("w"), total("x").alias("x"), total("y").alias("y"))
     t = F.when(_is_area(g), areas).when(g["kind"].isin("LINESTRING", "MULTILINESTRING"), lines).otherwise(points)
-    return F.when(t["w"] != 0, F.struct((t["x"] / t["w"]).alias("x"), (t["y"] / t["w"]).alias("y")))
+    return _once(lambda t: F.when(t["w"] != 0, F.struct((t["x"] / t["w"]).alias("x"), (t["y"] / t["w"]).alias("y"))))(t)
 
 
 # on Arrow batches

@@ -110,7 +110,7 @@ def centroid(points: Column) -> Column:
 
 def envelope(points: Column) -> Column:
     """struct<min_x, min_y, max_x, max_y>."""
-    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
+    xs, ys = points["x"], points["y"]
     return F.struct(F.array_min(xs).alias("min_x"), F.array_min(ys).alias("min_y"), F.array_max(xs).alias("max_x"), F.array_max(ys).alias("max_y"))
 
 

@@ -110,11 +110,11 @@ JOIN (SELECT g, CAST(count(*) AS DOUBLE) AS covered FROM (SELECT DISTINCT id % 5
 def sp_collect(spark: SparkSession, d: str) -> DataFrame:
     """Collected points, and the union of unit boxes at them."""
     x, y = F.col("x"), F.col("y")
-    rows = points(spark, d).withColumn("g", F.col("id") % 5)
-    many = rows.groupBy("g").agg(geometry.collect(F.collect_list(geometry.make_point(x, y))).alias("m"))
+    rows = spread(points(spark, d)).withColumn("g", F.col("id") % 5)
     m = F.col("m")
+    many = rows.groupBy("g").agg(geometry.collect_points(x, y).alias("m")).select("g", geometry.n_geometries(m).cast("long").alias("members"), geometry.envelope(m).alias("e"), geometry.centroid(m).alias("c"))
     one = geometry.union_aggregate(rows.select("g", geometry.make_box(x, y, x + 1, y + 1).alias("box")), ["g"], "box").select("g", F.round(geometry.area(F.col("box")), 6).alias("covered"))
-    return many.select("g", geometry.n_geometries(m).cast("long").alias("members"), geometry.envelope(m)["min_x"].alias("min_x"), geometry.envelope(m)["max_y"].alias("max_y"), F.round(geometry.centroid(m)["x"], 9).alias("cx")).join(one, "g")
+    return many.select("g", "members", F.col("e.min_x").alias("min_x"), F.col("e.max_y").alias("max_y"), F.round(F.col("c.x"), 9).alias("cx")).join(one, "g")
 
 
 STORES = "(SELECT 1000 + s_suppkey AS id, CAST(s_suppkey * 53 % 360 - 180 AS DOUBLE) AS x1, CAST(s_suppkey * 29 % 170 - 85 AS DOUBLE) AS y1 FROM supplier)"

@@ -223,3 +223,13 @@ def test_bounds_of_joins_are_made_once(spark):
     assert cells and pairs and not any("array_min" in x or "transform" in x for x in cells + pairs)
     at = [(k, k % 7 * 1.5, k % 5 * 1.5) for k in range(40)]
     assert sorted(tuple(r) for r in joined.collect()) == [(a, b) for a, x, y in at for b, u, v in at if abs(x - u) <= 3 and abs(y - v) <= 2]
+
+
+def test_points_are_collected_as_such(spark):
+    """A group's points as one multi-point hold what collecting their geometries gives, nulls left out."""
+    rows = spark.createDataFrame([(1, 0.5, 2.0), (1, 4.5, -1.0), (1, None, 3.0), (1, 0.5, 2.0), (2, None, None)], "k int, x double, y double")
+    x, y = F.col("x"), F.col("y")
+    both = rows.groupBy("k").agg(g.collect_points(x, y).alias("a"), g.collect(F.collect_list(g.make_point(x, y))).alias("b"))
+    got = {r["k"]: r for r in both.select("k", g.n_geometries(F.col("a")).alias("n"), g.envelope(F.col("a")).alias("e"), g.centroid(F.col("a")).alias("c"), F.col("a").alias("a"), F.col("b").alias("b")).collect()}
+    assert got[1]["n"] == 3 and tuple(got[1]["e"]) == (0.5, -1.0, 4.5, 2.0) and tuple(got[1]["c"]) == pytest.approx((5.5 / 3, 1.0))
+    assert got[1]["a"]["kind"] == got[1]["b"]["kind"] == "MULTIPOINT" and sorted(got[1]["a"]["parts"]) == sorted(got[1]["b"]["parts"]) and got[2]["a"] is None
