@@ -119,10 +119,8 @@ def _combined(how: str) -> Callable[[list, list], list]:
     def of_boxes(x: np.ndarray, y: np.ndarray) -> list:
         out = [_OPEN] * len(x)
         for rows, kind, sizes, xy in shapes.combine_boxes(x, y, how)[0]:
-            ends = np.cumsum([0, *[n for part in sizes for n in part]])
-            for k, p in zip(rows.tolist(), xy):
-                rings = iter([p[i:j] for i, j in zip(ends, ends[1:])])
-                out[k] = to_wkt(Shape(kind, [[next(rings) for _ in part] for part in sizes]))
+            for k, text in zip(rows.tolist(), shapes.to_texts(kind, sizes, xy)):
+                out[k] = text
         return out
 
     return _boxes_or_each(of_boxes, lambda a, b: to_wkt(shapes.combine(a, b, how)))
@@ -136,10 +134,30 @@ MANY: dict[str, Callable[[list, list], list]] = {
 
 
 def _read(texts: pd.Series) -> list[Shape | None]:
-    """Shapes of texts; a text that repeats in the batch is read once."""
+    """Shapes of texts; a text that repeats in the batch is read once, and those that differ in their numbers only together."""
     codes, kinds = pd.factorize(texts)
-    found = [from_wkt(x) for x in kinds]
-    return [None if c < 0 else found[c] for c in codes]
+    kinds = list(kinds)
+    found: list[Shape | None] = [None] * len(kinds)
+    blocks, rest = shapes.from_texts(kinds)
+    for rows, *block in blocks:
+        for k, s in zip(rows.tolist(), shapes.shapes_of(*block)):
+            found[k] = s
+    for k in rest:
+        found[k] = from_wkt(kinds[k])
+    return [None if c < 0 else found[c] for c in codes.tolist()]
+
+
+def _areas(texts: pd.Series) -> pd.Series:
+    """st_area of texts, those that differ in their numbers only together."""
+    codes, kinds = pd.factorize(texts)
+    kinds = list(kinds)
+    found = np.zeros(len(kinds) + 1)
+    blocks, rest = shapes.from_texts(kinds)
+    for rows, kind, sizes, xy in blocks:
+        found[rows] = shapes.areas(sizes, xy) if shapes.DIMENSION[kind] == 2 else 0.0
+    for k in rest:
+        found[k] = shapes.area(from_wkt(kinds[k]))
+    return pd.Series(found[codes]).astype(object).where(codes >= 0, None)
 
 
 def register(spark: SparkSession) -> None:
@@ -147,7 +165,7 @@ def register(spark: SparkSession) -> None:
     if spark.sparkContext.applicationId + str(id(spark._jsparkSession)) in _done:
         return
     for name, (f, kind) in ONE.items():
-        spark.udf.register(name, _of_one(f, kind))
+        spark.udf.register(name, F.pandas_udf(_areas, kind) if name == "st_area" else _of_one(f, kind))
     for name, (f, kind) in TWO.items():
         spark.udf.register(name, _of_two(MANY.get(name) or _one_by_one(f), kind))
     for name, (f, kind) in NUMBER.items():

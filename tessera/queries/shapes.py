@@ -161,8 +161,10 @@ def sp_geohash(spark: SparkSession, d: str) -> DataFrame:
 
 def _placed(spark: SparkSession, d: str) -> Graph:
     x, y, k = F.col("x").cast("int"), F.col("y").cast("int"), F.col("id")
-    text = F.format_string("POLYGON((%d %d, %d %d, %d %d, %d %d, %d %d))", x, y, x + 3 + k % 80, y, x + 3 + k % 80, y + 3 + k % 60, x, y + 3 + k % 60, x, y)
-    nodes = spread(points(spark, d)).select("id", F.array(F.lit("Place")).alias("labels"), "x", "y", text.alias("shape"))
+    at = [(x, y), (x + 3 + k % 80, y), (x + 3 + k % 80, y + 3 + k % 60), (x, y + 3 + k % 60), (x, y)]
+    text = F.concat(F.lit("POLYGON(("), F.concat_ws(", ", *[F.concat_ws(" ", a.cast("string"), b.cast("string")) for a, b in at]), F.lit("))"))
+    # a generator's text is made once a row, and a filter on it isn't moved in front of the dealing to all cores
+    nodes = spread(points(spark, d)).select("id", F.array(F.lit("Place")).alias("labels"), "x", "y", F.explode(F.array(text)).alias("shape"))
     return Graph(nodes, spark.createDataFrame([], "src long, dst long, type string"))
 
 

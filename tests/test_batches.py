@@ -233,3 +233,29 @@ def test_points_are_collected_as_such(spark):
     got = {r["k"]: r for r in both.select("k", g.n_geometries(F.col("a")).alias("n"), g.envelope(F.col("a")).alias("e"), g.centroid(F.col("a")).alias("c"), F.col("a").alias("a"), F.col("b").alias("b")).collect()}
     assert got[1]["n"] == 3 and tuple(got[1]["e"]) == (0.5, -1.0, 4.5, 2.0) and tuple(got[1]["c"]) == pytest.approx((5.5 / 3, 1.0))
     assert got[1]["a"]["kind"] == got[1]["b"]["kind"] == "MULTIPOINT" and sorted(got[1]["a"]["parts"]) == sorted(got[1]["b"]["parts"]) and got[2]["a"] is None
+
+
+def test_texts_of_one_form(spark):
+    """Texts that differ in their numbers only are read, measured and written together, as one by one; a filter on made shapes stays behind the dealing."""
+    kinds = ["POLYGON((0 0, {0} 0, {0} {1}, 0 {1}, 0 0))", "POLYGON((0 0, 9 0, 9 9, 0 9, 0 0), (1 1, 1 {0}, 2 {0}, 1 1))", "SRID=4326;POINT({0} -{1}e-1)", "POINT Z({0} {1} 7)", "LINESTRING(0 0, {0} {1})", "MULTIPOLYGON(((0 0, 1 0, 1 {0}, 0 0)), ((5 5, 6 5, 6 {1}, 5 5)))", "POINT EMPTY"]
+    texts = [t.format(a, b) for t in kinds for a, b in [(1, 2.5), (3, 4), (5.25, 6), (7, 8), (2, 2)]]
+    blocks, rest = s.from_texts(texts)
+    found = {k: x for rows, *block in blocks for k, x in zip(rows.tolist(), s.shapes_of(*block))}
+    written = {k: t for rows, *block in blocks for k, t in zip(rows.tolist(), s.to_texts(*block))}
+    assert len(found) >= 20 and sorted([*found, *rest]) == list(range(len(texts)))
+    for k, x in found.items():
+        assert same(x, s.from_wkt(texts[k])) and written[k] == s.to_wkt(s.from_wkt(texts[k]))
+    spatial_names.register(spark)
+    spark.createDataFrame([(k, t) for k, t in enumerate([*texts, None])], "k int, t string").coalesce(1).createOrReplaceTempView("forms")
+    got = {r["k"]: r["a"] for r in spark.sql("SELECT k, st_area(t) a FROM forms").collect()}
+    assert got == {k: None if t is None else pytest.approx(s.area(s.from_wkt(t))) for k, t in enumerate([*texts, None])}
+    with pytest.raises(ValueError):
+        s.from_wkt("POINT(+1 2)")
+    assert s.from_texts(["POINT(+1 2)"] * 5) == ([], [0, 1, 2, 3, 4])
+
+
+def test_made_shapes_are_filtered_on_all_cores(spark):
+    from tessera.queries import shapes as queries
+
+    plan = queries.cypher_spatial(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("st_within") < plan.index("Repartition")
