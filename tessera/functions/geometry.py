@@ -1,6 +1,7 @@
 """Geometries of every kind as columns: struct<kind, parts>, where a part is a polygon's rings, one line or one point.
 
-Reading and writing text and GeoJSON, accessors and measures are expressions inside the JVM. What
+Reading and writing text and GeoJSON, accessors and measures are expressions inside the JVM (`read_wkt`,
+`write_wkt` and `read_geojson` give the same on Arrow batches, for many rows of few forms). What
 compares or builds shapes edge by edge (predicates, distance, overlays, buffers, WKB) runs on Arrow
 batches in `tessera.functions.shapes`. Planar. Nulls propagate, and a text that isn't a geometry is null.
 Joins of two tables go by grid cells (`spatial_join`), never over all pairs.
@@ -100,7 +101,7 @@ def to_wkt(g: Column) -> Column:
     return F.when(F.size(parts) == 0, F.concat(g["kind"], F.lit(" EMPTY"))).otherwise(F.concat(g["kind"], body))
 
 
-_JSON = {"Point": "POINT", "LineString": "LINESTRING", "Polygon": "POLYGON", "MultiPoint": "MULTIPOINT", "MultiLineString": "MULTILINESTRING", "MultiPolygon": "MULTIPOLYGON"}
+_JSON = shapes.GEOJSON
 
 
 @_once
@@ -346,7 +347,8 @@ class _Batch:
             some = rows[n == rings]
             first = self.rings[self.parts[some]]
             sizes = np.diff(self.runs)[first[:, None] + np.arange(rings)]
-            forms, back, count = np.unique(sizes, axis=0, return_inverse=True, return_counts=True)
+            alike = len(some) and (sizes == sizes[0]).all()
+            forms, back, count = (sizes[:1], np.zeros(len(some), int), np.array([len(some)])) if alike else np.unique(sizes, axis=0, return_inverse=True, return_counts=True)
             for k in np.flatnonzero(count > 3):
                 mine = np.ravel(back) == k
                 for kind in kinds:
@@ -467,6 +469,7 @@ def is_simple(g: Column) -> Column:
 
 
 PAIRS_AT_ONCE = 4_000_000
+BYTES_AT_ONCE = 1 << 30
 
 
 def is_valid(g: Column) -> Column:
@@ -490,20 +493,71 @@ def to_wkb(g: Column) -> Column:
 
     def run(a: pa.Array) -> pa.Array:
         x = _Batch(a)
-        out, done = np.full(len(x), None, object), np.zeros(len(x), bool)
+        done, made = [], []
         for kind, sizes, rows, xy in x.forms(*shapes.DIMENSION):
             raw, places = shapes.wkb_layout(kind, [sizes])
-            lines = np.tile(raw, (len(rows), 1))
-            lines[:, places] = np.ascontiguousarray(xy, "<f8").reshape(len(rows), -1).view(np.uint8)
-            whole, n = lines.tobytes(), len(raw)
-            for k, row in enumerate(rows):
-                out[row] = whole[k * n : k * n + n]
-            done[rows] = True
-        return _values(len(x), done, out, _each(shapes.to_wkb, x, np.flatnonzero(~done)), pa.binary())
+            step = max(1, BYTES_AT_ONCE // len(raw))
+            for k in range(0, len(rows), step):
+                lines = np.tile(raw, (len(rows[k : k + step]), 1))
+                lines[:, places] = np.ascontiguousarray(xy[k : k + step], "<f8").reshape(len(lines), -1).view(np.uint8)
+                ends = np.arange(len(lines) + 1, dtype=np.int32) * len(raw)
+                made.append(pa.Array.from_buffers(pa.binary(), len(lines), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(lines)]))
+            done.append(rows)
+        others = _each(shapes.to_wkb, x, np.flatnonzero(~_marked(len(x), np.concatenate([np.zeros(0, int), *done]))))
+        order = np.empty(len(x), np.int64)
+        order[np.concatenate([np.zeros(0, int), *done, np.fromiter(others, int)])] = np.arange(len(x))
+        return pa.concat_arrays([*made, pa.array(list(others.values()), pa.binary())]).take(pa.array(order))
 
     return F.arrow_udf(run, "binary")(g)
 
 
+CHARACTERS_AT_ONCE, NUMBERS_AT_ONCE = 4_000_000, 1_000_000
+
+
+def _read(text: Column, read: Callable[[str], Shape], plainly: Callable[[Column], Column]) -> Column:
+    """Texts that `read` takes and that share their form are read together; all others plainly, inside the JVM."""
+
+    def run(a: pa.Array) -> pa.Array:
+        values = a.to_pylist()
+        rows = [k for k, v in enumerate(values) if v is not None and len(v) <= CHARACTERS_AT_ONCE // 4]
+        cut = np.cumsum([0, *[len(values[k]) for k in rows]])[:-1] // CHARACTERS_AT_ONCE
+        blocks, left = [], _marked(len(values), np.arange(len(values)))
+        for some in np.split(np.array(rows, int), np.flatnonzero(np.diff(cut)) + 1):
+            for at, kind, sizes, xy in shapes.from_texts([values[k] for k in some], read)[0]:
+                sure = (np.isfinite(xy) & ((xy != 0) | ~np.signbit(xy))).all((1, 2))  # others depend on who reads them
+                blocks.append((some[at[sure]], kind, sizes, xy[sure]))
+                left[some[at[sure]]] = False
+        return _column(len(values), blocks, dict.fromkeys(map(int, np.flatnonzero(left))))
+
+    return F.coalesce(F.arrow_udf(run, GEOMETRY)(text), plainly(text))
+
+
+def read_wkt(text: Column) -> Column:
+    """As `from_wkt`, for many rows: texts that differ in their numbers only are read a batch at a time. Not for use inside lambdas."""
+    return _read(text, shapes.from_plain_wkt, from_wkt)
+
+
+def read_geojson(text: Column) -> Column:
+    """As `from_geojson`, for many rows."""
+    return _read(text, shapes.from_plain_geojson, from_geojson)
+
+
+def write_wkt(g: Column) -> Column:
+    """As `to_wkt`, for many rows: single shapes of one form are written together if their numbers are plain, the others inside the JVM."""
+
+    def run(a: pa.Array) -> pa.Array:
+        x = _Batch(a)
+        out = np.full(len(x), None, object)
+        for kind, sizes, rows, xy in x.forms(*shapes.DIMENSION):
+            if min(sizes, default=0) > 0 and (len(sizes) == 1 or shapes.DIMENSION[kind] == 2):
+                step = max(1, NUMBERS_AT_ONCE // (2 * sum(sizes)))
+                for k in range(0, len(rows), step):
+                    out[rows[k : k + step]] = shapes.to_texts(kind, [sizes], xy[k : k + step], shapes.sure_number)
+        return pa.array(out, pa.string())
+
+    return F.coalesce(F.arrow_udf(run, "string")(g), to_wkt(g))
+
+
 distance = _of_two(shapes.distance, pa.float64(), "double")
 
 

@@ -78,7 +78,7 @@ IX, IY = "CAST(x AS INT)", "CAST(y AS INT)"
 def _holed(spark: SparkSession, d: str) -> DataFrame:
     """(id, x, y, wkt, g): a square of side 9 with a hole of side 2, read from text."""
     rows = spread(points(spark, d)).withColumn("wkt", F.expr(TEXT.format("int(x)", "int(y)")))
-    return rows.withColumn("g", geometry.from_wkt(F.col("wkt")))
+    return rows.withColumn("g", geometry.read_wkt(F.col("wkt")))
 
 
 @query(f"""SELECT id, 10 AS points, 1 AS members, 1 AS holes, 77.0 AS area, 44.0 AS perimeter, round((81 * (x + 4.5) - 4 * (x + 2)) / 77, 9) AS cx, round((81 * (y + 4.5) - 4 * (y + 2)) / 77, 9) AS cy,
@@ -97,10 +97,10 @@ def sp_accessors(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""SELECT id, {TEXT.format(IX, IY)} AS wkt, 177 AS n_bytes, {TEXT.format(IX, IY)} AS from_bytes,
 '{{"type":"Point","coordinates":[' || {IX} || ',' || {IY} || ']}}' AS json, 'POINT(' || {IX} || ' ' || {IY} || ')' AS from_json, true AS valid, true AS simple, 4326 AS srid FROM {PTS} p""")
 def sp_formats(spark: SparkSession, d: str) -> DataFrame:
-    g, raw = F.col("g"), geometry.to_wkb(F.col("g"))
-    json = geometry.to_geojson(geometry.make_point(F.col("x"), F.col("y")))
-    return _holed(spark, d).select(
-        "id", geometry.to_wkt(g).alias("wkt"), F.octet_length(raw).alias("n_bytes"), geometry.to_wkt(geometry.from_wkb(raw)).alias("from_bytes"), json.alias("json"), geometry.to_wkt(geometry.from_geojson(json)).alias("from_json"),
+    g, raw, json = F.col("g"), geometry.to_wkb(F.col("g")), F.col("json")
+    rows = _holed(spark, d).withColumn("json", geometry.to_geojson(geometry.make_point(F.col("x"), F.col("y"))))
+    return rows.select(
+        "id", geometry.write_wkt(g).alias("wkt"), F.octet_length(raw).alias("n_bytes"), geometry.write_wkt(geometry.from_wkb(raw)).alias("from_bytes"), "json", geometry.write_wkt(geometry.read_geojson(json)).alias("from_json"),
         geometry.is_valid(g).alias("valid"), geometry.is_simple(g).alias("simple"), geometry.srid(geometry.set_srid(F.col("wkt"), 4326)).alias("srid"),
     )
 

@@ -145,6 +145,32 @@ def test_formats_together(spark):
         assert tuple(got[k])[1:] == ((None,) * 4 if x is None else (s.to_wkb(x), t, s.is_valid(x), s.is_simple(x))), t
 
 
+def test_texts_together(spark):
+    """Texts are read and written together as they are one by one inside the JVM, and plain ones are not left to it."""
+    plain = ["POINT(1 -2)", "LINESTRING (0 0, 1.5 1)", "MULTIPOINT(1 2, 3 4)", "MULTIPOINT((1 2), (3 4))", "POLYGON((0 0, 9 0, 9 9, 0 0), (1 1, 2 1, 2 2, 1 1))", "MULTILINESTRING((0 0, 1 1), (2 2, 3e1 3))", "MULTIPOLYGON(((0 0, 1 0, 1 1, 0 0)), ((5 5, 6 5, 6 6, 5 5)))"]
+    hard = ["point(1 2)", "SRID=4326;POINT(1 2)", "POINT Z (1 2 3)", "POINT EMPTY", "garbage", "", "POLYGON((1 2, 3 4), 5 6)", "LINESTRING((1 2, 3 4))", "POINT(01 +2)", "POINT(-0 .5)", "POINT(1e400 1)", "POINT(1 2)x", None]
+    numbers = ["1e-5", "0.001", "123456.123456", "1234567.5", "1e15", "-1e16", "0.1234567891", "0.30000000000000004", "99999999999999999999", "-3.25"]
+    texts = [t for t in (*plain, *hard, *(f"POINT({v} 7)" for v in numbers)) for _ in range(5)]
+    assert s.from_texts([t for t in plain for _ in range(5)], s.from_plain_wkt)[1] == []
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").coalesce(1)
+    both = rows.select("t", g.read_wkt(F.col("t")).alias("a"), g.from_wkt(F.col("t")).alias("b"))
+    for r in both.select("t", "a", "b", g.write_wkt(F.col("a")).alias("c"), g.to_wkt(F.col("b")).alias("d")).collect():
+        assert repr(r["a"]) == repr(r["b"]) and r["c"] == r["d"], r
+    json = ['{"type":"Point","coordinates":[1,-2.5]}', '{"coordinates": [[1, 2], [3, 4e0]], "type": "LineString"}', '{"type":"MultiPoint","coordinates":[[1,2],[3,4]]}', '{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]}', '{"type":"MultiLineString","coordinates":[[[0,0],[1,0]],[[1,1],[0,0]]]}', '{"type":"MultiPolygon","coordinates":[[[[0,0],[1,0],[1,1],[0,0]]],[[[5,5],[6,5],[6,6],[5,5]]]]}']
+    assert s.from_texts([t for t in json for _ in range(5)], s.from_plain_geojson)[1] == []
+    json += ['{"type":"Point","coordinates":[-0,-0.0]}', '{"type":"Point","coordinates":[1,2,3]}', '{"type":"Point","coordinates":[1,2],"id":7}', '{"type":"Polygon","coordinates":[]}', '{"type":"Other","coordinates":[1,2]}', '{"type":["Point"],"coordinates":[1,2]}', "[1,2]", "7", "", None]
+    rows = spark.createDataFrame([(t,) for t in json for _ in range(5)], "t string").coalesce(1)
+    for r in rows.select("t", g.read_geojson(F.col("t")).alias("a"), g.from_geojson(F.col("t")).alias("b")).collect():
+        assert repr(r["a"]) == repr(r["b"]), r
+
+
+def test_numbers_in_bytes():
+    rng = np.random.default_rng(3)
+    texts = [repr(v) for v in (rng.normal(size=2000) * 10.0 ** rng.integers(-30, 30, 2000)).tolist()] + [f"{v:.{k % 10}f}" for k, v in enumerate((rng.normal(size=2000) * 1e4).tolist())] + ["0", "-0", "1E5", "2e-320", "9" * 30, "0.5"]
+    assert s._numbers(np.frombuffer(",".join(texts).encode(), np.uint8))[2].tobytes() == np.array([*map(float, texts)]).tobytes()
+    assert np.isnan(s._numbers(np.frombuffer(b"+1 01 1. .5 1-2 --1 - 1E+ 1.2.3 00 -01", np.uint8))[2]).all()
+
+
 def test_overlays_of_boxes():
     a, b = rectangles(3), rectangles(4)
     for how in s.KEEP:
